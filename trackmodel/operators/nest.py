@@ -22,16 +22,24 @@ def tuple_column(df: DataFrame, members: list[str]) -> Column:
     return uniform_array([q(m) for m in members], types)
 
 
-def nest_array(df: DataFrame, group_cols: list[str], members: list[str], name: str) -> DataFrame:
+def _collect(c: Column, distinct: bool) -> Column:
+    # a set drops repeated rows inside the aggregation itself (partial sets per task), which is what a
+    # `distinct` of the rows before grouping would do, without its extra shuffle
+    return F.sort_array(F.collect_set(c) if distinct else F.collect_list(c))
+
+
+def nest_array(df: DataFrame, group_cols: list[str], members: list[str], name: str,
+               distinct: bool = False) -> DataFrame:
     """One row per group with ``name`` = sorted list of ``[m1, m2, ...]`` tuples (A2/A3)."""
     tup = tuple_column(df, members)
-    return df.groupBy(*[q(c) for c in group_cols]).agg(F.sort_array(F.collect_list(tup)).alias(name))
+    return df.groupBy(*[q(c) for c in group_cols]).agg(_collect(tup, distinct).alias(name))
 
 
-def nest_collection(df: DataFrame, group_cols: list[str], members: list[str], name: str) -> DataFrame:
+def nest_collection(df: DataFrame, group_cols: list[str], members: list[str], name: str,
+                    distinct: bool = False) -> DataFrame:
     """One row per group with ``name`` = sorted list of structs of ``members`` (first member leads the order) (A4)."""
     st = F.struct(*[q(m) for m in members])
-    return df.groupBy(*[q(c) for c in group_cols]).agg(F.sort_array(F.collect_list(st)).alias(name))
+    return df.groupBy(*[q(c) for c in group_cols]).agg(_collect(st, distinct).alias(name))
 
 
 def with_cols_index(df: DataFrame, array_name: str, members: list[str]) -> DataFrame:

@@ -109,28 +109,30 @@ def batch_duplicates(incoming: DataFrame, key: str = KEY) -> DataFrame:
 def dedup_plan(plan: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
     """(one plan row per key, ``(key, op)`` of every other row of a repeated key).
 
-    The winner is the least (definition order, canonical JSON). Everything is an aggregate with a
-    map-side partial combine, so a key repeated a million times never meets in one task as a million
-    rows; the join back to the winners is split by AQE if one key dominates.
+    The winner is the least (definition order, canonical JSON). It is one aggregate with a map-side
+    partial combine (``min_by`` keeps one candidate per key and task), so a key repeated a million
+    times never meets in one task as a million rows. ``op`` depends on the key only, so the repeats
+    are reported as ``n - 1`` rows of ``(key, op)``.
     """
+    cols = [c for c in plan.columns if c != key]
     biz = business_columns(plan.drop("collection", "op"))
     order = F.struct((q(DEF_COL) if DEF_COL in plan.columns else F.lit(0)).alias("d"), canonical_json(biz).alias("j"))
-    rank = plan.withColumn("__rank", order)
-    best = rank.groupBy(q(key).alias("__bk")).agg(F.min("__rank").alias("__best"))
-    j = rank.join(best, q(key).eqNullSafe(F.col("__bk")), "left")
-    win = F.col("__rank") == F.col("__best")
-    winners = j.filter(win).drop("__best", "__bk")
-    # winners of one key are identical documents: keep one, report the other copies
-    keep = winners.dropDuplicates([key]).drop("__rank")
-    copies = winners.groupBy(q(key), "op").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1) \
-        .select(q(key), "op", F.explode(F.sequence(F.lit(2), F.col("__n").cast("int"))).alias("__c")).drop("__c")
-    losers = j.filter(~win).select(q(key), "op")
-    return keep, losers.unionByName(copies)
+    g = plan.groupBy(q(key)).agg(F.min_by(F.struct(*[q(c) for c in cols]), order).alias("__w"),
+                                 F.count(F.lit(1)).alias("__n"))
+    keep = g.select(q(key), *[F.col("__w").getField(c).alias(c) for c in cols])
+    dups = g.filter(F.col("__n") > 1).select(
+        q(key), F.col("__w.op").alias("op"),
+        F.explode(F.sequence(F.lit(2), F.col("__n").cast("int"))).alias("__c")).drop("__c")
+    return keep, dups
 
 
 def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column | None = None,
                key: str = KEY) -> tuple[DataFrame, DataFrame]:
-    """(new version of the collection, outcome per plan row ``(collection, key, op, status)``)."""
+    """(new version of the collection, outcome per plan row ``(collection, key, op, status)``).
+
+    The version streams the current collection once through a left join with the (deduplicated) plan;
+    the outcome needs only the key and ``_etag`` columns of the collection, which is all its scan reads.
+    """
     now = now if now is not None else F.current_timestamp()
     plan = plan.filter(q(key).isNotNull())
     one, dups = dedup_plan(plan, key)
@@ -138,7 +140,6 @@ def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column
     cb = business_columns(current)
     pk = one.select(q(key).alias("__pk"), F.col("op").alias("__op"), F.col(PLAN_ETAG).alias("__pe"),
                     *[q(c).alias(f"__n_{c}") for c in pb])
-    # the store is streamed once; the plan side is the one AQE may broadcast
     j = current.join(pk, q(key) == F.col("__pk"), "left")
     is_update = (F.col("__op") == OP_UPDATE) & (F.col("_etag") == F.col("__pe"))
     names = list(dict.fromkeys(cb + pb))
@@ -151,27 +152,27 @@ def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column
         return F.when(is_update, F.lit(None).cast(current.schema[c].dataType)).otherwise(q(c))
 
     body = j.select(*[val(c).alias(c) for c in names], "_id", "_etag", "_created", "_updated",
-                    is_update.alias("__upd"), F.col("__pk").isNotNull().alias("__hit"))
+                    is_update.alias("__upd"))
     new_etag = etag_col(names)
     changed = F.col("__upd") & (new_etag != F.col("_etag"))
     kept = body.select(*[q(c) for c in names], "_id",
                        F.when(changed, new_etag).otherwise(F.col("_etag")).alias("_etag"), "_created",
                        F.when(changed, now).otherwise(F.col("_updated")).alias("_updated"))
-    cur_keys = current.select(q(key).alias("__ck"))
-    creates = one.filter(F.col("op") == OP_CREATE).join(cur_keys, q(key) == F.col("__ck"), "left_anti")
-    new_rows = creates.select(*[q(c) for c in pb], doc_id_col(collection, q(key)).alias("_id"),
-                              etag_col(pb).alias("_etag"), now.alias("_created"), now.alias("_updated"))
+    # plan rows whose key is not stored (any more): creates, or updates of a vanished document
+    missing = one.join(current.select(q(key).alias("__ck")), q(key) == F.col("__ck"), "left_anti")
+    new_rows = missing.filter(F.col("op") == OP_CREATE).select(
+        *[q(c) for c in pb], doc_id_col(collection, q(key)).alias("_id"), etag_col(pb).alias("_etag"),
+        now.alias("_created"), now.alias("_updated"))
     version = kept.unionByName(new_rows, allowMissingColumns=True)
 
-    # outcome of every plan row
-    applied = body.filter(F.col("__hit")).select(
-        q(key), F.when(F.col("__upd"), F.lit(UPDATED)).otherwise(F.lit(CONFLICT)).alias("status"))
-    st_existing = one.join(applied.withColumnRenamed(key, "__ak"), q(key) == F.col("__ak"), "left")
-    status = F.when(F.col("status").isNotNull(), F.col("status")) \
-        .when(F.col("op") == OP_CREATE, F.lit(CREATED)).otherwise(F.lit(CONFLICT))
-    outcome = st_existing.select(F.lit(collection).alias("collection"), q(key), "op", status.alias("status")) \
-        .unionByName(dups.select(F.lit(collection).alias("collection"), q(key), "op", F.lit(DUPLICATE).alias("status")))
-    return version, outcome
+    lit_c = F.lit(collection).alias("collection")
+    hit = j.filter(F.col("__pk").isNotNull()).select(
+        lit_c, q(key), F.col("__op").alias("op"),
+        F.when(is_update, F.lit(UPDATED)).otherwise(F.lit(CONFLICT)).alias("status"))
+    miss = missing.select(lit_c, q(key), "op",
+                          F.when(F.col("op") == OP_CREATE, F.lit(CREATED)).otherwise(F.lit(CONFLICT)).alias("status"))
+    dup = dups.select(lit_c, q(key), "op", F.lit(DUPLICATE).alias("status"))
+    return version, hit.unionByName(miss).unionByName(dup)
 
 
 def replace_by_key(current: DataFrame, docs: DataFrame, collection: str, overwrite: bool = False,

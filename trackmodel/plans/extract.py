@@ -5,7 +5,8 @@ Order of steps (one Spark plan per definition, straight from the source):
 1. resolve every pointer against the source schema (driver side);
 2. unnest the trie of this definition's array steps;
 3. when partitioned: epoch-ms timestamp and 1-based slice number (one pass, no per-slice jobs);
-4. project every attribute, ``distinct``;
+4. project every attribute; repeated rows collapse (a ``distinct`` for flat collections, sets inside
+   the nesting aggregates otherwise, which saves a shuffle);
 5. nested array: group by slice + outer + nested attributes, collect sorted tuples; an outer array
    is grouped by slice + outer attributes on its own and joined back on that key;
 6. nested collection: group by slice + outer attributes, collect sorted structs (``n_id`` first);
@@ -76,38 +77,32 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
     nar = [(f"__b{i}", m) for i, m in enumerate(nested.array.members)] if nested and nested.array else []
     sel += [r.col(a.pointer).alias(n) for n, a in nat]
     sel += [r.col(m.pointer).alias(n) for n, m in nar]
-    base = u.select(*sel).distinct()
-
+    rows = u.select(*sel)
     g_outer = group + [n for n, _ in o]
-    docs = None
-    if nested:
-        g_nested = g_outer + [n for n, _ in nat]
-        if nested.array:
-            rows = base.select(*[q(c) for c in g_nested + [n for n, _ in nar]])
-            if arr:
-                rows = rows.distinct()
-            level = nest_array(rows, g_nested, [n for n, _ in nar], "__narr")
-            members = [n for n, _ in nat] + ["__narr"]
-        else:
-            level = base.select(*[q(c) for c in g_nested])
-            if arr:
-                level = level.distinct()
-            members = [n for n, _ in nat]
-        # struct fields carry the model names; n_id leads so the sort follows it
-        names = {n: a.name for n, a in nat}
-        if nested.array:
-            names["__narr"] = nested.array.name
-        order = sorted(members, key=lambda m: 0 if names[m] == P.NESTED_KEY else 1)
-        level = level.select(*[q(c) for c in g_outer], *[q(m).alias(names[m]) for m in order])
-        docs = nest_collection(level, g_outer, [names[m] for m in order], nested.name)
-    if arr:
-        rows = base.select(*[q(c) for c in g_outer + [n for n, _ in arr]])
+    if not nested and not arr:
+        # a flat collection: the documents are the distinct projected rows
+        docs = rows.distinct()
+    else:
+        # repeated rows collapse inside the nesting aggregates (sets), so no separate distinct pass
+        docs = None
         if nested:
-            rows = rows.distinct()
-        adocs = nest_array(rows, g_outer, [n for n, _ in arr], d.array.name)
-        docs = adocs if docs is None else _join_null_safe(docs, adocs, g_outer)
-    if docs is None:
-        docs = base
+            g_nested = g_outer + [n for n, _ in nat]
+            names = {n: a.name for n, a in nat}
+            if nested.array:
+                level = nest_array(rows, g_nested, [n for n, _ in nar], "__narr", distinct=True)
+                members = [n for n, _ in nat] + ["__narr"]
+                names["__narr"] = nested.array.name
+            else:
+                level = rows
+                members = [n for n, _ in nat]
+            # struct fields carry the model names; n_id leads so the sort follows it
+            order = sorted(members, key=lambda m: 0 if names[m] == P.NESTED_KEY else 1)
+            level = level.select(*[q(c) for c in g_outer], *[q(m).alias(names[m]) for m in order])
+            docs = nest_collection(level, g_outer, [names[m] for m in order], nested.name,
+                                   distinct=not nested.array)
+        if arr:
+            adocs = nest_array(rows, g_outer, [n for n, _ in arr], d.array.name, distinct=True)
+            docs = adocs if docs is None else _join_null_safe(docs, adocs, g_outer)
 
     out = [q(n).alias(a.name) for n, a in o]
     if d.array:

@@ -47,6 +47,12 @@ def extract_documents(source: DataFrame, mapping: Mapping, sep: str = "__", tail
     return docs, rejects
 
 
+def stage_documents(docs: DataFrame, path: str) -> DataFrame:
+    """Write extracted documents to the shared folder and read them back (lineage cut, computed once)."""
+    docs.write.mode("errorifexists").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def stage_plan(plan: DataFrame, path: str) -> DataFrame:
     """Write a plan to the shared folder (partitioned by ``op``) and read it back: the confirm step then
     applies exactly what was validated, and the lineage of the extraction is cut (K5)."""
@@ -69,6 +75,8 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
     for collection, d in docs.items():
         if provenance:
             d = with_provenance(d, **provenance)
+        # the documents are computed once: the plan reads them twice (keys, then rows)
+        d = stage_documents(d, f"{stage_dir}/{collection}__documents")
         ip.documents[collection] = d
         plan = plan_upsert(d, store.scan(collection), collection)
         ip.plans[collection] = stage_plan(plan, f"{stage_dir}/{collection}")
@@ -76,15 +84,18 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
 
 
 def apply_import(spark: SparkSession, ip: ImportPlan, store: CollectionStore, now: Column | None = None) -> DataFrame:
-    """Apply staged plans; returns the grouped outcome (read back from the staging folder)."""
+    """Apply staged plans and write one new version per collection; returns the grouped outcome.
+
+    The outcome stays lazy: it reads the staged plan and the key/etag columns of the version the plan
+    was applied to, both of which stay on disk after the switch to the new version.
+    """
     now = now if now is not None else F.current_timestamp()
     outs = []
     for collection, plan in ip.plans.items():
-        version, outcome = apply_plan(plan, store.scan(collection), collection, now)
+        current = store.scan(collection)
+        version, outcome = apply_plan(plan, current, collection, now)
         store.write_version(collection, version)
-        path = f"{ip.stage_dir}/{collection}__outcome"
-        outcome.write.mode("errorifexists").parquet(path)
-        outs.append(spark.read.parquet(path))
+        outs.append(outcome)
     return import_outcome(outs)
 
 

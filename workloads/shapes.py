@@ -23,21 +23,28 @@ def epoch_ms(c: str):
     return F.unix_millis(F.col(c).cast("timestamp"))
 
 
-def write(df: DataFrame, fmt: str, name: str, **options) -> str:
-    path = scratch_path(df.sparkSession, name)
-    w = df.write.format(fmt)
-    for k, v in options.items():
-        w = w.option(k, v)
-    w.save(path)
-    return path
+_WRITTEN: dict[tuple, str] = {}
+
+
+def write(df: DataFrame, fmt: str, name: str, sf_dir: str, **options) -> str:
+    """Write ``df`` once per session and input folder (a provider file arrives once; queries share it)."""
+    key = (df.sparkSession.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _WRITTEN:
+        path = scratch_path(df.sparkSession, name)
+        w = df.write.format(fmt)
+        for k, v in options.items():
+            w = w.option(k, v)
+        w.save(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
 
 
 def nation_csv(spark: SparkSession, sf_dir: str) -> str:
-    return write(table(spark, sf_dir, "nation"), "csv", "nation-csv", header=True, sep=";")
+    return write(table(spark, sf_dir, "nation"), "csv", "nation-csv", sf_dir, header=True, sep=";")
 
 
 def nation_xml(spark: SparkSession, sf_dir: str) -> str:
-    return write(table(spark, sf_dir, "nation"), "xml", "nation-xml", rowTag="nation", rootTag="nations")
+    return write(table(spark, sf_dir, "nation"), "xml", "nation-xml", sf_dir, rowTag="nation", rootTag="nations")
 
 
 LINE_FIELDS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
@@ -68,7 +75,7 @@ def orders_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_json(spark: SparkSession, sf_dir: str) -> str:
-    return write(orders_nested(spark, sf_dir), "json", "orders-json")
+    return write(orders_nested(spark, sf_dir), "json", "orders-json", sf_dir)
 
 
 def customer_orders(spark: SparkSession, sf_dir: str, via_struct: bool = False) -> DataFrame:
@@ -105,7 +112,7 @@ def events_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_csv(spark: SparkSession, sf_dir: str) -> str:
-    return write(events_flat(spark, sf_dir), "csv", "events-csv", header=True, sep=";")
+    return write(events_flat(spark, sf_dir), "csv", "events-csv", sf_dir, header=True, sep=";")
 
 
 XML_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"
@@ -134,4 +141,4 @@ def events_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_xml(spark: SparkSession, sf_dir: str) -> str:
-    return write(events_positions(spark, sf_dir), "xml", "positions-xml", rowTag="Positions", rootTag="Feed")
+    return write(events_positions(spark, sf_dir), "xml", "positions-xml", sf_dir, rowTag="Positions", rootTag="Feed")
