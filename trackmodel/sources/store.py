@@ -104,8 +104,14 @@ class CollectionStore:
 
     # ---- writes ---------------------------------------------------------------------------------
     def write_version(self, collection: str, df: DataFrame) -> int:
-        """Write ``df`` as the next version and return its number (never overwrites what is read)."""
-        v = (self.current_version(collection) or 0) + 1
+        """Write ``df`` as the next version and return its number (never overwrites what is read).
+
+        Numbers also skip folders of writes that never committed (no ``_SUCCESS``), so a retry after a
+        lost driver starts a fresh folder; readers ignore uncommitted folders.
+        """
+        taken = [int(m.group(1)) for m in (_VERSION.match(n) for n in list_dirs(self.spark, f"{self.root}/{collection}"))
+                 if m]
+        v = max(taken, default=0) + 1
         df.write.mode("errorifexists").parquet(self.path(collection, v))
         return v
 
