@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,15 +61,25 @@ def stage_plan(plan: DataFrame, path: str) -> DataFrame:
 
 def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | DataFrame, store: CollectionStore,
                 inputs: dict | None = None, stage_dir: str | None = None, provenance: dict | None = None,
-                sep: str = "__", tail: str = TAIL_KEEP, outer: bool = False, cache_source: bool = False,
+                sep: str = "__", tail: str = TAIL_KEEP, outer: bool = False, stage_source: bool | None = None,
                 schema=None) -> ImportPlan:
+    """Validate an import: documents and upsert plan per collection, staged under ``stage_dir``.
+
+    ``stage_source`` (default: when a text file feeds more than one pass) parses the provider file once
+    into Parquet in the staging folder; every definition then reads only the columns it needs from it
+    instead of parsing the whole text again, and a lost executor re-reads Parquet, not the text.
+    """
     m = mapping if isinstance(mapping, Mapping) else parse_mapping(mapping, inputs)
-    df = source if isinstance(source, DataFrame) else read_source(spark, m.file, source, schema=schema)
-    if cache_source and len(m.definitions()) > 1:
-        # several definitions parse the same text file; keep the parsed rows (lost blocks are recomputed)
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    docs, rejects = extract_documents(df, m, sep, tail, outer)
     stage_dir = stage_dir or scratch_path(spark, f"staged-{m.name or 'import'}")
+    if isinstance(source, DataFrame):
+        df = source
+    else:
+        df = read_source(spark, m.file, source, schema=schema)
+        passes = len(m.definitions()) + sum(1 for d in m.definitions() if d.partition)
+        if stage_source if stage_source is not None else passes > 1:
+            df.write.mode("errorifexists").parquet(f"{stage_dir}/__source")
+            df = spark.read.parquet(f"{stage_dir}/__source")
+    docs, rejects = extract_documents(df, m, sep, tail, outer)
     ip = ImportPlan(m, stage_dir=stage_dir, rejected=rejects)
     for collection, d in docs.items():
         if provenance:
