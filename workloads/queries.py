@@ -174,7 +174,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS schema_identifier, o_custkey AS customer,
 FROM orders
 """)
 def struct_field(spark, sf):
-    src = shapes.orders_nested(spark, sf)
+    src = shapes.orders_file(spark, sf)
     return extract_definition(src, d({KEY: "o_orderkey", "customer": "header.o_custkey",
                                       "priority": "header.o_orderpriority"}))
 
@@ -185,7 +185,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS schema_identifier, o_orderkey AS first, o_
 FROM orders
 """)
 def array_index(spark, sf):
-    src = shapes.orders_nested(spark, sf)
+    src = shapes.orders_file(spark, sf)
     return extract_definition(src, d({KEY: "o_orderkey", "first": "header.pair.[0]", "second": "header.pair.[1]",
                                       "sixth": "header.pair.[5]"}))
 
@@ -295,7 +295,7 @@ SELECT o_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 """)
 def explode_one(spark, sf):
-    src = shapes.orders_nested(spark, sf)
+    src = shapes.orders_file(spark, sf)
     out = unnest.explode_one(src, "lines", "line")
     return out.select("o_orderkey", long("line.l_linenumber").alias("l_linenumber"),
                       F.col("line.l_partkey").alias("l_partkey"))
@@ -306,7 +306,7 @@ SELECT c_custkey, o_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_pa
 FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
 """)
 def explode_nested(spark, sf):
-    src = shapes.customer_orders(spark, sf)
+    src = shapes.customer_orders_file(spark, sf)
     u, a = unnest.unnest(src, [("orders", "lines")])
     o, li = F.col(a[("orders",)]), F.col(a[("orders", "lines")])
     return u.select("c_custkey", o.o_orderkey.alias("o_orderkey"), long(li.l_linenumber).alias("l_linenumber"),
@@ -318,7 +318,7 @@ SELECT c_custkey, o_orderkey, o_orderpriority, CAST(l_linenumber AS BIGINT) AS l
 FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
 """)
 def explode_struct_path(spark, sf):
-    src = shapes.customer_orders(spark, sf, via_struct=True)
+    src = shapes.customer_orders_file(spark, sf, via_struct=True)
     u, a = unnest.unnest(src, [("orders", "detail.lines")])
     o, li = F.col(a[("orders",)]), F.col(a[("orders", "detail.lines")])
     return u.select("c_custkey", o.o_orderkey.alias("o_orderkey"), o.detail.o_orderpriority.alias("o_orderpriority"),
@@ -337,7 +337,7 @@ SELECT a.l_orderkey AS o_orderkey, a.l_partkey AS line_part, r.l_partkey AS retu
 FROM a LEFT JOIN r ON a.l_orderkey = r.l_orderkey AND a.rn = r.rn
 """)
 def sibling_unnest(spark, sf):
-    src = shapes.orders_nested(spark, sf)
+    src = shapes.orders_file(spark, sf)
     u, a = unnest.unnest(src, [("lines",), ("returns",)])
     return u.select("o_orderkey", F.col(a[("lines",)]).l_partkey.alias("line_part"),
                     F.col(a[("returns",)]).l_partkey.alias("return_part"))
@@ -348,7 +348,7 @@ SELECT c_custkey, o_orderkey, o_orderstatus, l_partkey
 FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
 """)
 def shared_prefix(spark, sf):
-    src = shapes.customer_orders(spark, sf)
+    src = shapes.customer_orders_file(spark, sf)
     paths = [("orders",), ("orders",), ("orders", "lines")]  # three pointers, one explode of `orders`
     u, a = unnest.unnest(src, paths)
     o, li = F.col(a[("orders",)]), F.col(a[("orders", "lines")])
@@ -360,7 +360,7 @@ def shared_prefix(spark, sf):
 SELECT o_orderkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
 """)
 def explode_drops_empty(spark, sf):
-    src = shapes.orders_nested(spark, sf)
+    src = shapes.orders_file(spark, sf)
     out = unnest.explode_one(src, "returns", "r")
     return out.select("o_orderkey", F.col("r.l_partkey").alias("l_partkey"))
 
@@ -402,7 +402,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS schema_identifier, count(*) AS n_lines,
 FROM l GROUP BY l_orderkey
 """)
 def nest_top_array(spark, sf):
-    docs = extract_definition(shapes.orders_nested(spark, sf), d({
+    docs = extract_definition(shapes.orders_file(spark, sf), d({
         KEY: "o_orderkey",
         "lines": {"a": "nested_array", "a_id": "lines/l_linenumber", "part": "lines/l_partkey",
                   "qty": "lines/l_quantity"}}))
@@ -472,7 +472,7 @@ SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS schema_identifier, CAST(l_linenum
 FROM lineitem
 """)
 def expand_tuples(spark, sf):
-    docs = extract_definition(shapes.orders_nested(spark, sf), d({
+    docs = extract_definition(shapes.orders_file(spark, sf), d({
         KEY: "o_orderkey",
         "lines": {"a": "nested_array", "a_id": "lines/l_linenumber", "part": "lines/l_partkey",
                   "qty": "lines/l_quantity"}}))

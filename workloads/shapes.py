@@ -78,6 +78,11 @@ def orders_json(spark: SparkSession, sf_dir: str) -> str:
     return write(orders_nested(spark, sf_dir), "json", "orders-json", sf_dir)
 
 
+def orders_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ON as a nested Parquet file (types kept exactly), written once per session."""
+    return spark.read.parquet(write(orders_nested(spark, sf_dir), "parquet", "orders-parquet", sf_dir))
+
+
 def customer_orders(spark: SparkSession, sf_dir: str, via_struct: bool = False) -> DataFrame:
     """CO: one row per customer with ``orders`` (each with its ``lines``, or ``detail.lines`` when
     ``via_struct``). Customers without orders get an empty list."""
@@ -97,6 +102,12 @@ def customer_orders(spark: SparkSession, sf_dir: str, via_struct: bool = False)
         "c_custkey", "c_name", "c_nationkey", F.coalesce("orders", F.array().cast(empty)).alias("orders"))
 
 
+def customer_orders_file(spark: SparkSession, sf_dir: str, via_struct: bool = False) -> DataFrame:
+    """CO as a nested Parquet file, written once per session."""
+    name = "customer-orders-detail" if via_struct else "customer-orders"
+    return spark.read.parquet(write(customer_orders(spark, sf_dir, via_struct), "parquet", name, sf_dir))
+
+
 def events_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat positional feed from ``events`` with provider-style column names."""
     e = table(spark, sf_dir, "events")
