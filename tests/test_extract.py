@@ -104,3 +104,15 @@ def test_split_rejected(spark):
     df = spark.createDataFrame([("a",), (None,)], "schema_identifier string")
     ok, bad = split_rejected(df)
     assert ok.count() == 1 and bad.count() == 1
+
+
+def test_group_documents_clusters_without_folding(spark, local_dir):
+    from trackmodel.operators.nest import group_documents, write_grouped
+    df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "schema_identifier string, g int")
+    rows = group_documents(df, "g").collect()
+    assert sorted((r["g"], r["document"]) for r in rows) == [
+        (1, '{"schema_identifier":"a","g":1}'), (1, '{"schema_identifier":"b","g":1}'),
+        (2, '{"schema_identifier":"c","g":2}')]
+    path = os.path.join(local_dir, "grouped")
+    write_grouped(df, "g", path)
+    assert sorted(n for n in os.listdir(path) if n.startswith("g=")) == ["g=1", "g=2"]

@@ -20,6 +20,8 @@ def test_store_versions_scan_page_lookup(spark, tmp):
     assert store.scan("Nope").count() == 0
     page = [r[0] for r in store.page("Teams", 2, 10).select("schema_identifier").collect()]
     assert page == sorted(str(i) for i in range(30))[10:20]
+    after = [r[0] for r in store.page_after("Teams", page[-1], 10).select("schema_identifier").collect()]
+    assert after == sorted(str(i) for i in range(30))[20:30]
     keys = spark.createDataFrame([("3",), ("7",), ("99",)], "k string")
     assert sorted(r[0] for r in store.lookup("Teams", keys).select("schema_identifier").collect()) == ["3", "7"]
     ids = [r[0] for r in store.scan("Teams").filter("schema_identifier = '3'").select("_id").collect()]

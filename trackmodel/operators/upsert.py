@@ -101,6 +101,15 @@ def plan_upsert(incoming: DataFrame, existing: DataFrame, collection: str, key:
                     F.col(PLAN_ID), F.col(PLAN_ETAG), *[F.col(c) for c in extra])
 
 
+def plan_creates(incoming: DataFrame, collection: str) -> DataFrame:
+    """The plan against a collection that does not exist yet: every document is a CREATE (no join)."""
+    nb = business_columns(incoming)
+    extra = [DEF_COL] if DEF_COL in incoming.columns else []
+    return incoming.select(F.lit(collection).alias("collection"), F.lit(OP_CREATE).alias("op"), *[q(c) for c in nb],
+                           F.lit(None).cast("string").alias(PLAN_ID), F.lit(None).cast("string").alias(PLAN_ETAG),
+                           *[F.col(c) for c in extra])
+
+
 def batch_duplicates(incoming: DataFrame, key: str = KEY) -> DataFrame:
     """Keys that occur more than once in one batch, with their count."""
     return incoming.groupBy(q(key)).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)

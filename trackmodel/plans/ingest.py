@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trackmodel.operators.report import import_counts, import_outcome, with_provenance
 from trackmodel.operators.timeparts import TAIL_KEEP
-from trackmodel.operators.upsert import apply_plan, plan_upsert
+from trackmodel.operators.upsert import apply_plan, plan_creates, plan_upsert
 from trackmodel.plans.extract import extract_collection, feature_constants, split_rejected
 from trackmodel.plans.mapping import Mapping, parse_mapping
 from trackmodel.session import scratch_path
@@ -84,10 +84,15 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
     for collection, d in docs.items():
         if provenance:
             d = with_provenance(d, **provenance)
-        # the documents are computed once: the plan reads them twice (keys, then rows)
-        d = stage_documents(d, f"{stage_dir}/{collection}__documents")
-        ip.documents[collection] = d
-        plan = plan_upsert(d, store.scan(collection), collection)
+        if store.current_version(collection) is None:
+            # nothing stored yet: every document is a CREATE and the plan needs no join
+            ip.documents[collection] = d
+            plan = plan_creates(d, collection)
+        else:
+            # the documents are computed once: the plan reads them twice (keys, then rows)
+            d = stage_documents(d, f"{stage_dir}/{collection}__documents")
+            ip.documents[collection] = d
+            plan = plan_upsert(d, store.scan(collection), collection)
         ip.plans[collection] = stage_plan(plan, f"{stage_dir}/{collection}")
     return ip
 

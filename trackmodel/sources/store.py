@@ -87,6 +87,16 @@ class CollectionStore:
         df = self.scan(collection, system)
         return df.orderBy(F.col(self.key)).offset((page - 1) * max_results).limit(max_results)
 
+    def page_after(self, collection: str, after: str | None, max_results: int = 25, system: bool = True) -> DataFrame:
+        """Keyset paging: the next ``max_results`` documents with a key greater than ``after``.
+
+        The key filter reaches the Parquet scan and the top-k never grows with the page number.
+        """
+        df = self.scan(collection, system)
+        if after is not None:
+            df = df.filter(F.col(self.key) > F.lit(after))
+        return df.orderBy(F.col(self.key)).limit(max_results)
+
     def lookup(self, collection: str, keys: DataFrame | list, by: str | None = None, system: bool = True) -> DataFrame:
         """Documents whose key (or ``_id``, with ``by='_id'``) is among ``keys``.
 

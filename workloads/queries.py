@@ -147,6 +147,14 @@ def collection_page(spark, sf):
     return _participants_store(spark, sf).page("Participants", 3, 25).select(KEY, "name")
 
 
+@query("collection_page_after", """
+SELECT CAST(c_custkey AS VARCHAR) AS schema_identifier, c_name AS name
+FROM customer WHERE CAST(c_custkey AS VARCHAR) > '1049' ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 25
+""")
+def collection_page_after(spark, sf):
+    return _participants_store(spark, sf).page_after("Participants", "1049", 25).select(KEY, "name")
+
+
 @query("lookup_by_key", f"""
 SELECT CAST(c_custkey AS VARCHAR) AS schema_identifier, c_name AS name, {_ID_SQL} AS _id
 FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
@@ -456,14 +464,12 @@ def array_cols_index(spark, sf):
 
 
 @query("group_documents", """
-SELECT n_regionkey, count(*) AS n,
-       string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}',
-                  '|' ORDER BY '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS documents
-FROM nation GROUP BY n_regionkey
+SELECT n_regionkey,
+       '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS document
+FROM nation
 """)
 def group_documents(spark, sf):
-    g = nest.group_documents(table(spark, sf, "nation"), "n_regionkey")
-    return g.select("n_regionkey", long("n").alias("n"), F.array_join("documents", "|").alias("documents"))
+    return nest.group_documents(table(spark, sf, "nation"), "n_regionkey")
 
 
 @query("expand_tuples", """
