@@ -116,3 +116,15 @@ def test_group_documents_clusters_without_folding(spark, local_dir):
     path = os.path.join(local_dir, "grouped")
     write_grouped(df, "g", path)
     assert sorted(n for n in os.listdir(path) if n.startswith("g=")) == ["g=1", "g=2"]
+
+
+def test_constant_documents_need_rows(spark):
+    d = parse_definition("Games", {"a": "collection", "schema_identifier": "dshs#mapping_1",
+                                   "moments": {"a": "nested_collection", "n_id": "t"}})
+    src = spark.createDataFrame([(1,), (2,)], "t int")
+    docs = extract_definition(src, d).collect()
+    assert len(docs) == 1 and [m["n_id"] for m in docs[0]["moments"]] == [1, 2]
+    assert extract_definition(src.limit(0), d).count() == 0
+    flat = parse_definition("Games", {"a": "collection", "schema_identifier": "dshs#mapping_1"})
+    assert extract_definition(src, flat).collect()[0]["schema_identifier"] == "1"
+    assert extract_definition(src.limit(0), flat).count() == 0

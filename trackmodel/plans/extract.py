@@ -67,9 +67,11 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
         u = assign_partition(u, TS_MS, d.partition.width_ms, tail=tail, bucket=BUCKET)
         group.append(BUCKET)
 
+    # outer literals are constants: they stay out of every group key and are added to the documents
     o = [(f"__o{i}", a) for i, a in enumerate(d.attrs)]
+    o_lit = {n for n, a in o if r.ptrs[a.pointer].is_literal}
     sel = [F.col(BUCKET)] if d.partition else []
-    sel += [r.col(a.pointer).alias(n) for n, a in o]
+    sel += [r.col(a.pointer).alias(n) for n, a in o if n not in o_lit]
     arr = [(f"__a{i}", m) for i, m in enumerate(d.array.members)] if d.array else []
     sel += [r.col(m.pointer).alias(n) for n, m in arr]
     nested = d.nested
@@ -77,8 +79,13 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
     nar = [(f"__b{i}", m) for i, m in enumerate(nested.array.members)] if nested and nested.array else []
     sel += [r.col(a.pointer).alias(n) for n, a in nat]
     sel += [r.col(m.pointer).alias(n) for n, m in nar]
+    g_outer = group + [n for n, _ in o if n not in o_lit]
+    if not g_outer:
+        # only constants outside: one document per non-empty source (a keyless aggregate would also
+        # answer an empty source with one empty document)
+        sel.append(F.lit(0).alias("__g"))
+        g_outer = ["__g"]
     rows = u.select(*sel)
-    g_outer = group + [n for n, _ in o]
     if not nested and not arr:
         # a flat collection: the documents are the distinct projected rows
         docs = rows.distinct()
@@ -104,7 +111,7 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
             adocs = nest_array(rows, g_outer, [n for n, _ in arr], d.array.name, distinct=True)
             docs = adocs if docs is None else _join_null_safe(docs, adocs, g_outer)
 
-    out = [q(n).alias(a.name) for n, a in o]
+    out = [(F.lit(r.ptrs[a.pointer].literal) if n in o_lit else q(n)).alias(a.name) for n, a in o]
     if d.array:
         out.append(q(d.array.name))
     if nested:
