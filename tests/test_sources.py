@@ -83,6 +83,11 @@ def test_deep_json_import(spark, local_dir):
     assert n_moments == 12 * 3 + 1  # three moments per event plus the extra event
     ts = [m["timestamp"] for r in gs for m in r["moments"]]
     assert all(isinstance(t, str) for t in ts)
+    # the participants member arrived as JSON text; it parses back into numbers
+    from trackmodel.functions.columns import json_array
+    first = docs["GameSections"].select(F.explode("moments").alias("m")) \
+        .select(json_array(F.col("m.participants")).alias("p")).first()["p"]
+    assert first == [[-1.0, -1.0, 50.0, 25.0, 5.0], [1.0, 11.0, 10.0, 20.0, 0.0]]
 
 
 def test_shared_prefix_explodes_once(spark, local_dir):

@@ -11,6 +11,7 @@ _EXPORTS = {
     "to_epoch_ms": "trackmodel.functions.columns",
     "uniform_array": "trackmodel.functions.columns",
     "urlify_col": "trackmodel.functions.columns",
+    "json_array": "trackmodel.functions.columns",
     "Pointer": "trackmodel.functions.pointers",
     "apply_steps": "trackmodel.functions.pointers",
     "parse_pointer": "trackmodel.functions.pointers",

@@ -81,3 +81,10 @@ def etag_col(business_cols: list[str]) -> Column:
 def doc_id_col(collection: str, key: Column) -> Column:
     """Deterministic surrogate id (24 hex chars, like an ObjectId) so re-evaluation never changes it."""
     return F.substring(F.sha2(F.concat_ws("|", F.lit(collection), key), 256), 1, 24)
+
+
+def json_array(c: Column | str, element: str = "array<double>") -> Column:
+    """Recover a nested array that a mixed-type JSON array turned into text (e.g. the participants
+    member of a moment tuple): ``'[[1,2.5],[3,4]]'`` -> ``array<array<double>>``; bad text -> null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.from_json(c, f"array<{element}>", {"mode": "PERMISSIVE"})
