@@ -110,3 +110,14 @@ def test_end_to_end_ingest_twice(spark, tmp, flat_feed):
     assert {r["schema_identifier"]: r["_etag"] for r in store.scan("GameSections").collect()} == etags
     assert store.versions("GameSections") == [1, 2]
     assert store.scan("Participants").filter(F.col("_id").isNull()).count() == 0
+
+
+def test_type_change_between_versions(spark, tmp):
+    store = _store(spark, tmp, [("1", "a", 1, None), ("2", "b", 2, None)])
+    inc = spark.createDataFrame([("1", "a", "high")], "schema_identifier string, name string, score string")
+    plan = upsert.plan_upsert(inc, store.scan("Teams"), "Teams")
+    v, out = upsert.apply_plan(plan, store.scan("Teams"), "Teams")
+    rows = {r["schema_identifier"]: r["score"] for r in v.collect()}
+    assert rows == {"1": "high", "2": "2"}
+    v, st = upsert.replace_by_key(store.scan("Teams"), inc, "Teams", overwrite=True)
+    assert {r["schema_identifier"]: r["score"] for r in v.collect()} == {"1": "high", "2": "2"}

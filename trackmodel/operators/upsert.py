@@ -66,6 +66,14 @@ def _merge(new: Column, old: Column, nt: T.DataType, ot: T.DataType) -> Column:
     return F.coalesce(new.cast("string"), old.cast("string"))
 
 
+def _choose(cond: Column, new: Column, nt: T.DataType | None, old: Column, ot: T.DataType | None) -> Column:
+    """``new`` where ``cond`` holds, else ``old``; differing non-numeric types meet as text."""
+    if nt is not None and ot is not None and nt != ot and not (
+            isinstance(nt, T.NumericType) and isinstance(ot, T.NumericType)):
+        new, old = new.cast("string"), old.cast("string")
+    return F.when(cond, new).otherwise(old)
+
+
 def merge_columns(new_types: dict[str, T.DataType], old_types: dict[str, T.DataType],
                   new_col, old_col) -> list[Column]:
     """Merged business columns (union of both sides' names); ``new_col(name)``/``old_col(name)`` give the inputs."""
@@ -155,7 +163,7 @@ def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column
 
     def val(c: str) -> Column:
         if c in pb and c in cb:
-            return F.when(is_update, F.col(f"`__n_{c}`")).otherwise(q(c))
+            return _choose(is_update, F.col(f"`__n_{c}`"), one.schema[c].dataType, q(c), current.schema[c].dataType)
         if c in pb:
             return F.when(is_update, F.col(f"`__n_{c}`"))
         return F.when(is_update, F.lit(None).cast(current.schema[c].dataType)).otherwise(q(c))
@@ -204,9 +212,11 @@ def replace_by_key(current: DataFrame, docs: DataFrame, collection: str, overwri
     names = list(dict.fromkeys(cb + nb))
 
     def val(c: str) -> Column:
-        new = F.col(f"`__n_{c}`") if c in nb else F.lit(None)
-        old = q(c) if c in cb else F.lit(None)
-        return F.when(hit, new).otherwise(old)
+        if c in nb and c in cb:
+            return _choose(hit, F.col(f"`__n_{c}`"), docs.schema[c].dataType, q(c), current.schema[c].dataType)
+        if c in nb:
+            return F.when(hit, F.col(f"`__n_{c}`"))
+        return F.when(hit, F.lit(None).cast(current.schema[c].dataType)).otherwise(q(c))
 
     body = j.select(*[val(c).alias(c) for c in names], "_id", "_created", "_updated", "_etag", hit.alias("__hit"))
     kept = body.select(*[q(c) for c in names], "_id",
