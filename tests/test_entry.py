@@ -16,7 +16,7 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     rows = df.collect()
     assert df.columns == ["schema_identifier", "n_moments", "n_tuples"]
-    assert len(rows) > 0 and all(r["schema_identifier"].startswith("1__6h_") for r in rows)
+    assert len(rows) > 0 and all(r["schema_identifier"].startswith("1__1h_") for r in rows)
 
 
 @pytest.mark.parametrize("name", ["ingest_flat", "nest_two_level", "upsert_merge", "sibling_unnest", "time_partition",
