@@ -51,16 +51,23 @@ def uniform_array(cols: list[Column], types: list[T.DataType]) -> Column:
     return F.array(*[c.cast("string") for c in cols])
 
 
+def ntz_epoch_ms(c: Column) -> Column:
+    """Epoch ms of a wall-clock (``timestamp_ntz``/``date``) value read as UTC, whatever the session time
+    zone (a cast to ``timestamp`` would shift it by the session offset). Floors, like epoch_us // 1000."""
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+    return ((us - F.pmod(us, F.lit(1000))) / F.lit(1000)).cast("long")
+
+
 def to_epoch_ms(c: Column, dtype: T.DataType, fmt: str = MS_FORMAT) -> Column:
     """Normalise a timestamp-ish column to epoch milliseconds (long); unparsable values become null.
 
     ``fmt='ms'`` means the value already is epoch ms (number or numeric text); any other ``fmt`` is a
     datetime pattern. Timestamp-typed input is converted directly whatever ``fmt`` says.
     """
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_millis(c.cast("timestamp"))
-    if isinstance(dtype, T.DateType):
-        return F.unix_millis(c.cast("timestamp"))
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_millis(c)
+    if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
+        return ntz_epoch_ms(c)
     if fmt == MS_FORMAT:
         if isinstance(dtype, T.IntegralType):
             return c.cast("long")

@@ -391,8 +391,7 @@ SELECT DISTINCT l_returnflag AS schema_identifier, l_linestatus AS status, strft
 FROM lineitem
 """)
 def distinct_project(spark, sf):
-    li = table(spark, sf, "lineitem").withColumn("ship month", F.date_format(F.col("l_shipdate").cast("timestamp"),
-                                                                             "yyyy-MM"))
+    li = table(spark, sf, "lineitem").withColumn("ship month", F.date_format("l_shipdate", "yyyy-MM"))
     return extract_definition(li, d({KEY: "l_returnflag", "status": "l_linestatus", "month": "ship month"}))
 
 
@@ -511,7 +510,7 @@ SELECT event_id, {EV_MS} AS ts_ms, {EV_MS} AS ts_ms_from_text, {EV_MS} AS ts_ms_
 def normalize_ts(spark, sf):
     e = table(spark, sf, "events").select(
         "event_id", "ts",
-        F.date_format(F.col("ts").cast("timestamp"), shapes.XML_TS).alias("ts_text"),
+        F.date_format("ts", shapes.XML_TS_WRITE).alias("ts_text"),
         shapes.epoch_ms("ts").cast("string").alias("ts_number_text"))
     e = timeparts.normalize_ts(e, "ts", out="ts_ms")
     e = timeparts.normalize_ts(e, "ts_text", fmt=shapes.XML_TS, out="ts_ms_from_text")

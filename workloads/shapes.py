@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackmodel.functions.columns import ntz_epoch_ms
 from trackmodel.session import scratch_path
 
 
@@ -19,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def epoch_ms(c: str):
-    """Epoch milliseconds of a timestamp_ntz column (floor, like ``epoch_us // 1000``)."""
-    return F.unix_millis(F.col(c).cast("timestamp"))
+    """Epoch milliseconds of a timestamp_ntz column read as UTC (floor, like ``epoch_us // 1000``)."""
+    return ntz_epoch_ms(F.col(c))
 
 
 _WRITTEN: dict[tuple, str] = {}
@@ -127,14 +128,16 @@ def events_csv(spark: SparkSession, sf_dir: str) -> str:
 
 
 XML_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"
+# the driver tables hold UTC wall-clock values (timestamp_ntz): written with a literal zone designator
+XML_TS_WRITE = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def events_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ``Positions`` row per (user, day): ``Metadata`` plus ``FrameSet`` per event type with ``Frame``s."""
     e = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value",
-        F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd").alias("day"),
-        F.date_format(F.col("ts").cast("timestamp"), XML_TS).alias("t"),
+        F.date_format("ts", "yyyyMMdd").alias("day"),
+        F.date_format("ts", XML_TS_WRITE).alias("t"),
         F.get_json_object("props", "$.k").cast("int").alias("k"))
     frame = F.struct(F.col("event_id").alias("_N"), F.col("t").alias("_T"), F.col("value").alias("_X"),
                      F.col("k").alias("_Y"))
