@@ -75,7 +75,9 @@ class CollectionStore:
         """Whole collection (S5); an absent collection reads as empty."""
         v = version if version is not None else self.current_version(collection)
         if v is None:
-            df = self.spark.createDataFrame([], EMPTY_SCHEMA)
+            # an always-false filter: the optimizer sees an empty relation and prunes joins against it
+            df = self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in EMPTY_SCHEMA.fields]) \
+                .where(F.lit(False))
         else:
             df = self.spark.read.parquet(self.path(collection, v))
         return df if system else strip_system(df)
