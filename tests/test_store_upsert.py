@@ -103,6 +103,7 @@ def test_end_to_end_ingest_twice(spark, tmp, flat_feed):
     assert counts == {("Games", "CREATE"): 1, ("Teams", "CREATE"): 3, ("Participants", "CREATE"): 5,
                       ("GameSections", "CREATE"): 1}
     assert {r["status"] for r in outcome.collect()} == {"CREATED"}
+    assert ip.rejected_counts().count() == 0
     etags = {r["schema_identifier"]: r["_etag"] for r in store.scan("GameSections").collect()}
     ip2 = plan_import(spark, FLAT_MAPPING, flat_feed, store)
     assert {r["op"] for r in ip2.counts().collect()} == {"UPDATE"}

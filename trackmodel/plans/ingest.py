@@ -34,6 +34,14 @@ class ImportPlan:
     def counts(self) -> DataFrame:
         return import_counts(list(self.plans.values()))
 
+    def rejected_counts(self) -> DataFrame:
+        """``(collection, n)``: documents left out because their key is null."""
+        parts = [r.select(F.lit(c).alias("collection")) for c, r in self.rejected.items()]
+        both = parts[0]
+        for p in parts[1:]:
+            both = both.unionByName(p)
+        return both.groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+
 
 def extract_documents(source: DataFrame, mapping: Mapping, sep: str = "__", tail: str = TAIL_KEEP,
                       outer: bool = False, tag: bool = True) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:

@@ -82,4 +82,13 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
 
 
-__all__ = ["get_spark", "shared_dir", "scratch_path", "exists", "list_dirs", "local_path"]
+def glob_parents(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the parent folders of every path matching ``pattern`` (one file-system call)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(p)
+    return [] if found is None else [st.getPath().getParent().getName() for st in found]
+
+
+__all__ = ["get_spark", "shared_dir", "scratch_path", "exists", "list_dirs", "local_path", "glob_parents"]

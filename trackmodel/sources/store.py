@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from trackmodel.functions.columns import SYSTEM_COLUMNS, doc_id_col, etag_col
 from trackmodel.functions.pointers import KEY
-from trackmodel.session import exists, list_dirs
+from trackmodel.session import glob_parents, list_dirs
 
 _VERSION = re.compile(r"^v(\d{6})$")
 
@@ -56,12 +56,9 @@ class CollectionStore:
         return f"{self.root}/{collection}/v{version:06d}"
 
     def versions(self, collection: str) -> list[int]:
-        out = []
-        for name in list_dirs(self.spark, f"{self.root}/{collection}"):
-            m = _VERSION.match(name)
-            if m and exists(self.spark, f"{self.root}/{collection}/{name}/_SUCCESS"):
-                out.append(int(m.group(1)))
-        return sorted(out)
+        """Committed versions (one glob for every ``_SUCCESS`` marker of the collection)."""
+        names = glob_parents(self.spark, f"{self.root}/{collection}/v*/_SUCCESS")
+        return sorted(int(m.group(1)) for m in (_VERSION.match(n) for n in names) if m)
 
     def current_version(self, collection: str) -> int | None:
         v = self.versions(collection)
