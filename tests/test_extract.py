@@ -118,6 +118,33 @@ def test_group_documents_clusters_without_folding(spark, local_dir):
     assert sorted(n for n in os.listdir(path) if n.startswith("g=")) == ["g=1", "g=2"]
 
 
+def test_group_documents_splits_a_hot_group(spark):
+    """One group holding most documents is cut across several tasks, kept in order and whole."""
+    from pyspark.sql import functions as F
+
+    from trackmodel.operators.nest import group_documents
+    n = 4000
+    df = spark.range(n).select(F.col("id").cast("string").alias("schema_identifier"),
+                               F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.lit(100)).alias("g"))
+    out = group_documents(df, "g")
+    # a tiny input would otherwise be coalesced into one partition by AQE
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per_part = out.withColumn("p", F.spark_partition_id()).groupBy("p", "g").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hot_parts = {r["p"] for r in per_part if r["g"] == 100}
+    assert len(hot_parts) > 1
+    assert out.count() == n and out.filter("g = 100").count() == n - (n + 2) // 3
+    # groups stay contiguous: partition ids of consecutive groups never interleave
+    spans = {}
+    for r in per_part:
+        lo, hi = spans.get(r["g"], (r["p"], r["p"]))
+        spans[r["g"]] = (min(lo, r["p"]), max(hi, r["p"]))
+    ordered = sorted(spans.values())
+    assert all(a[1] <= b[0] for a, b in zip(ordered, ordered[1:]))
+
+
 def test_constant_documents_need_rows(spark):
     d = parse_definition("Games", {"a": "collection", "schema_identifier": "dshs#mapping_1",
                                    "moments": {"a": "nested_collection", "n_id": "t"}})

@@ -79,13 +79,16 @@ def group_documents(df: DataFrame, attribute: str, key: str | None = "schema_ide
                     name: str = "document") -> DataFrame:
     """Documents grouped by one attribute, as ``(attribute, document)`` rows clustered by the attribute.
 
-    A "map of lists" stays a DataFrame: every group's documents sit together in one hash partition,
-    sorted, but no group is ever folded into one row, so a group holding a third of all documents is
-    as cheap as any other. Use :func:`write_grouped` for one folder per group.
+    A "map of lists" stays a DataFrame and no group is ever folded into one row. The rows are range
+    partitioned on ``(attribute, key, document)``, not hashed on the attribute alone: range bounds are
+    sampled from the composite key, so a group holding a third of all documents is cut across several
+    tasks (adjacent partitions, still in order) instead of landing in one. Use :func:`write_grouped` for
+    one folder per group.
     """
     doc = F.to_json(F.struct(*[q(c) for c in df.columns])).alias(name)
-    out = df.select(q(attribute), doc)
-    return out.repartition(q(attribute)).sortWithinPartitions(q(attribute), name)
+    order = [q(attribute)] + ([q(key)] if key and key in df.columns and key != attribute else [])
+    out = df.select(*order, doc)
+    return out.orderBy(*order, name).select(q(attribute), name)
 
 
 def write_grouped(df: DataFrame, attribute: str, path: str) -> None:
