@@ -170,3 +170,11 @@ def test_describe_schema_all_types(spark):
     assert rows["aa[]"]["type"] == "array" and rows["aa[][]"]["non_null"] == 1
     assert rows["s.items.n"]["non_null"] == 1 and rows["s.items.n"]["level"] == 2
     assert [r["ord"] for r in describe_schema(df).orderBy("ord").collect()] == list(range(len(rows)))
+
+
+def test_scale_conf_sizes_partitions():
+    from trackmodel.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4)
+    assert c["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 ** 2)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
+    assert scale_conf(10)["spark.sql.shuffle.partitions"] == "200"

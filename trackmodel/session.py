@@ -39,6 +39,29 @@ def get_spark(master: str | None = None, app: str = "trackmodel", shuffle_partit
     return spark
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Session settings sized for an input of ``input_bytes`` (pass to ``get_spark(extra=...)``).
+
+    Scans are split into ``partition_bytes`` pieces; the shuffle starts with as many partitions as the
+    input has pieces (a nest's shuffle is at most its input, usually much less after map-side combine)
+    and AQE coalesces them to about ``partition_bytes`` each, splitting any join partition five times
+    larger than the median. Example: 100 TB at 256 MB gives ~400k scan tasks and 400k initial shuffle
+    partitions, which AQE coalesces to what the data actually needs.
+    """
+    pieces = max(1, -(-int(input_bytes) // int(partition_bytes)))
+    size = str(int(partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.shuffle.partitions": str(max(200, pieces)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
@@ -91,4 +114,4 @@ def glob_parents(spark: SparkSession, pattern: str) -> list[str]:
     return [] if found is None else [st.getPath().getParent().getName() for st in found]
 
 
-__all__ = ["get_spark", "shared_dir", "scratch_path", "exists", "list_dirs", "local_path", "glob_parents"]
+__all__ = ["get_spark", "scale_conf", "shared_dir", "scratch_path", "exists", "list_dirs", "local_path", "glob_parents"]
