@@ -2,8 +2,9 @@
 folder, so every registered query reads real files through the library's own readers and its work grows
 with the tables.
 
-Nesting follows natural, bounded parents: an order holds its lines; a customer holds its orders; an
-XML position file holds one (user, day) recording. Nothing is collected to the driver.
+Nesting follows natural parents bounded by time or by the order: an order holds its lines; a customer
+row holds one month of its orders; an XML position row holds one (user, hour) recording. No key is
+folded into one row whatever its share of the data. Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -85,8 +86,11 @@ def orders_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_orders(spark: SparkSession, sf_dir: str, via_struct: bool = False) -> DataFrame:
-    """CO: one row per customer with ``orders`` (each with its ``lines``, or ``detail.lines`` when
-    ``via_struct``). Customers without orders get an empty list."""
+    """CO: one row per customer and order month with that month's ``orders`` (each with its ``lines``,
+    or ``detail.lines`` when ``via_struct``). Customers without orders get one row with an empty list.
+
+    The month bounds a row the way a provider bounds a file: a customer holding a third of all orders
+    is spread over as many rows as it has months, never folded into one."""
     li = table(spark, sf_dir, "lineitem")
     lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(
         F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
@@ -96,11 +100,12 @@ def customer_orders(spark: SparkSession, sf_dir: str, via_struct: bool = False)
                          F.struct("o_orderpriority", "lines").alias("detail"))
     else:
         order = F.struct("o_orderkey", "o_orderstatus", "lines")
-    per_cust = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(order)).alias("orders"))
+    month = F.date_format("o_orderdate", "yyyy-MM").alias("o_month")
+    per_cust = o.groupBy("o_custkey", month).agg(F.sort_array(F.collect_list(order)).alias("orders"))
     c = table(spark, sf_dir, "customer")
     empty = per_cust.schema["orders"].dataType.simpleString()
     return c.join(per_cust, c.c_custkey == per_cust.o_custkey, "left").select(
-        "c_custkey", "c_name", "c_nationkey", F.coalesce("orders", F.array().cast(empty)).alias("orders"))
+        "c_custkey", "c_name", "c_nationkey", "o_month", F.coalesce("orders", F.array().cast(empty)).alias("orders"))
 
 
 def customer_orders_file(spark: SparkSession, sf_dir: str, via_struct: bool = False) -> DataFrame:
@@ -133,22 +138,26 @@ XML_TS_WRITE = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def events_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ``Positions`` row per (user, day): ``Metadata`` plus ``FrameSet`` per event type with ``Frame``s."""
+    """One ``Positions`` row per (user, hour): ``Metadata`` plus ``FrameSet`` per event type with ``Frame``s.
+
+    The hour bounds a row (a provider's position file covers a stretch of time), so a user holding a
+    third of all events is spread over as many rows as it has hours."""
     e = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value",
         F.date_format("ts", "yyyyMMdd").alias("day"),
+        F.date_format("ts", "HH").alias("hour"),
         F.date_format("ts", XML_TS_WRITE).alias("t"),
         F.get_json_object("props", "$.k").cast("int").alias("k"))
     frame = F.struct(F.col("event_id").alias("_N"), F.col("t").alias("_T"), F.col("value").alias("_X"),
                      F.col("k").alias("_Y"))
-    fs = e.groupBy("user_id", "day", "event_type").agg(F.sort_array(F.collect_list(frame)).alias("Frame"))
-    fs = fs.select("user_id", "day", F.struct(
+    fs = e.groupBy("user_id", "day", "hour", "event_type").agg(F.sort_array(F.collect_list(frame)).alias("Frame"))
+    fs = fs.select("user_id", "day", "hour", F.struct(
         F.col("day").alias("_GameSection"),
         F.concat(F.lit("M"), F.col("day")).alias("_MatchId"),
         F.col("event_type").alias("_TeamId"),
         F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("_PersonId"),
         F.col("Frame")).alias("fs"))
-    pos = fs.groupBy("user_id", "day").agg(F.sort_array(F.collect_list("fs")).alias("FrameSet"))
+    pos = fs.groupBy("user_id", "day", "hour").agg(F.sort_array(F.collect_list("fs")).alias("FrameSet"))
     return pos.select(F.struct(F.concat(F.lit("M"), F.col("day")).alias("_MatchId"),
                                F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("_UserId")).alias("Metadata"),
                       "FrameSet")
