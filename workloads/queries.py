@@ -429,15 +429,20 @@ def nest_top_array(spark, sf):
 
 
 @query("nest_collection", """
-SELECT CAST(o_custkey AS VARCHAR) AS schema_identifier, count(*) AS n_orders, min(o_orderkey) AS first_order,
-       string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS order_keys
-FROM orders GROUP BY o_custkey
+WITH o AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) // 1000 AS ms FROM orders),
+     b AS (SELECT *, (ms - min(ms) OVER ()) // 2592000000 + 1 AS k FROM o)
+SELECT CAST(o_custkey AS VARCHAR) || '__720h_' || CAST(k AS VARCHAR) AS schema_identifier, count(*) AS n_orders,
+       min(o_orderkey) AS first_order, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS order_keys
+FROM b GROUP BY o_custkey, k
 """)
 def nest_collection_q(spark, sf):
+    # a customer's orders per 30-day slice: the slice bounds the document even for a customer holding a
+    # large share of all orders (its orders spread over every slice it ordered in)
     docs = extract_definition(table(spark, sf, "orders"), d({
         KEY: "o_custkey",
         "orders": {"a": "nested_collection", "n_id": "o_orderkey", "status": "o_orderstatus",
-                   "priority": "o_orderpriority"}}))
+                   "priority": "o_orderpriority"},
+        "partition": {"interval": "720h", "ts_field": "o_orderdate"}}))
     return docs.select(KEY, F.size("orders").cast("long").alias("n_orders"),
                        F.col("orders")[0].n_id.alias("first_order"),
                        ids(F.col("orders"), lambda o: o.n_id).alias("order_keys"))
