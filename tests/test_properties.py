@@ -4,7 +4,6 @@ import string
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from trackmodel.functions.columns import urlify_col
 from trackmodel.functions.pointers import urlify
