@@ -33,3 +33,17 @@ def test_queries_match_oracle_small(spark, name):
     got = sorted((tuple(r[c] for c in order) for r in df.collect()), key=repr)
     want = sorted((tuple(dict(zip(dcols, r))[c] for c in order) for r in res.fetchall()), key=repr)
     assert got == want
+
+
+# plan nodes the library must never produce: pair enumeration, Python in the row path, row sampling
+FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow", "Sample "]
+
+
+def test_no_query_plans_forbidden_nodes(spark):
+    bad = {}
+    for name, make in sorted(entry.queries().items()):
+        plan = make(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        found = [f for f in FORBIDDEN if f in plan]
+        if found:
+            bad[name] = found
+    assert bad == {}
