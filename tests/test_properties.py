@@ -52,3 +52,46 @@ def test_slices_cover_every_row_once(spark, ms, width):
     dropped = assign_partition(df, "ms", width, tail="drop").count()
     n_legacy = -(-(max(ms) - lo) // width)
     assert dropped == sum(1 for m in ms if m < lo + n_legacy * width)
+
+
+def _py_merge(new, old):
+    """Reference rule on plain values: incoming wins, structs merge per field, null means absent."""
+    if isinstance(new, dict) or isinstance(old, dict):
+        if new is None and old is None:
+            return None
+        new, old = new or {}, old or {}
+        return {k: _py_merge(new.get(k), old.get(k)) for k in sorted(set(new) | set(old))}
+    return new if new is not None else old
+
+
+maybe_int = st.none() | st.integers(-3, 3)
+maybe_txt = st.none() | st.sampled_from(["a", "b", ""])
+struct_val = st.none() | st.fixed_dictionaries({"x": maybe_int, "y": maybe_txt})
+doc = st.fixed_dictionaries({"n": maybe_int, "t": maybe_txt, "s": struct_val})
+
+
+@SETTINGS
+@given(st.lists(st.tuples(doc, doc), min_size=1, max_size=40))
+def test_merge_matches_deep_merge_rule(spark, pairs):
+    from pyspark.sql import types as T
+
+    from trackmodel.operators.upsert import merge_columns
+
+    s_type = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.StringType())])
+    types = {"n": T.LongType(), "t": T.StringType(), "s": s_type}
+    fields = [T.StructField("i", T.LongType())]
+    for side in ("new", "old"):
+        fields += [T.StructField(f"{side}_{c}", t) for c, t in types.items()]
+    def st_(v):
+        return None if v is None else (v["x"], v["y"])
+
+    data = [(i, new["n"], new["t"], st_(new["s"]), old["n"], old["t"], st_(old["s"]))
+            for i, (new, old) in enumerate(pairs)]
+    df = spark.createDataFrame(data, T.StructType(fields))
+    merged = merge_columns(types, types, lambda c: df[f"new_{c}"], lambda c: df[f"old_{c}"])
+    got = {r["i"]: r for r in df.select("i", *merged).collect()}
+    for i, (new, old) in enumerate(pairs):
+        want = _py_merge(new, old)
+        r = got[i]
+        have = {"n": r["n"], "t": r["t"], "s": None if r["s"] is None else r["s"].asDict()}
+        assert have == want, (new, old)
