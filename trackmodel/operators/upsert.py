@@ -143,6 +143,17 @@ def dedup_plan(plan: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
     return keep, dups
 
 
+def _stored_keys(current: DataFrame, keys: DataFrame, key: str, alias: str = "__ck") -> DataFrame:
+    """Keys of ``current`` that are also in ``keys``, as one column ``alias``.
+
+    The collection's key column meets the batch's keys in a left-semi join, which AQE broadcasts when the
+    batch is small at run time, so the collection is streamed once and never shuffled to find out which
+    batch keys it holds; the result is at most the batch's size.
+    """
+    k = keys.select(q(key).alias("__bk"))
+    return current.select(q(key).alias(alias)).join(k, F.col(alias) == F.col("__bk"), "left_semi")
+
+
 def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column | None = None,
                key: str = KEY) -> tuple[DataFrame, DataFrame]:
     """(new version of the collection, outcome per plan row ``(collection, key, op, status)``).
@@ -176,7 +187,7 @@ def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column
                        F.when(changed, new_etag).otherwise(F.col("_etag")).alias("_etag"), "_created",
                        F.when(changed, now).otherwise(F.col("_updated")).alias("_updated"))
     # plan rows whose key is not stored (any more): creates, or updates of a vanished document
-    missing = one.join(current.select(q(key).alias("__ck")), q(key) == F.col("__ck"), "left_anti")
+    missing = one.join(_stored_keys(current, one, key), q(key) == F.col("__ck"), "left_anti")
     new_rows = missing.filter(F.col("op") == OP_CREATE).select(
         *[q(c) for c in pb], doc_id_col(collection, q(key)).alias("_id"), etag_col(pb).alias("_etag"),
         now.alias("_created"), now.alias("_updated"))
@@ -222,7 +233,7 @@ def replace_by_key(current: DataFrame, docs: DataFrame, collection: str, overwri
     kept = body.select(*[q(c) for c in names], "_id",
                        F.when(F.col("__hit"), etag_col(names)).otherwise(F.col("_etag")).alias("_etag"),
                        "_created", F.when(F.col("__hit"), now).otherwise(F.col("_updated")).alias("_updated"))
-    cur_keys = current.select(q(key).alias("__ck"))
+    cur_keys = _stored_keys(current, valid, key)
     creates = one.join(cur_keys, q(key) == F.col("__ck"), "left_anti")
     new_rows = creates.select(*[q(c) for c in nb], doc_id_col(collection, q(key)).alias("_id"),
                               etag_col(nb).alias("_etag"), now.alias("_created"), now.alias("_updated"))
