@@ -160,6 +160,9 @@ def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column
 
     The version streams the current collection once through a left join with the (deduplicated) plan;
     the outcome needs only the key and ``_etag`` columns of the collection, which is all its scan reads.
+    Pass a staged plan (:func:`trackmodel.plans.ingest.stage_plan`, as ``apply_import`` does): as a
+    Parquet scan its size is known when the query is planned, so a small batch is broadcast and the
+    collection is never shuffled for the join.
     """
     now = now if now is not None else F.current_timestamp()
     plan = plan.filter(q(key).isNotNull())
