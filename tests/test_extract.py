@@ -94,6 +94,20 @@ def test_outer_array_with_nested_collection(spark, flat_feed):
     assert all(len(r["roster"]) >= 1 and len(r["frames"]) >= 1 for r in docs)
 
 
+def test_outer_array_with_nested_collection_keeps_null_keys(spark):
+    # Q8 with a null group attribute: both aggregates and their join keep the null-key document
+    d = parse_definition("C", {"a": "collection", "schema_identifier": "k", "grp": "g",
+                               "tags": {"a": "nested_array", "a_id": "t"},
+                               "items": {"a": "nested_collection", "n_id": "i"}})
+    src = spark.createDataFrame([("a", None, 1, 10), ("a", None, 2, 11), ("a", "x", 3, 12), (None, None, 4, 13)],
+                                "k string, g string, t int, i int")
+    docs = {(r["schema_identifier"], r["grp"]): r for r in extract_definition(src, d).collect()}
+    assert set(docs) == {("a", None), ("a", "x"), (None, None)}
+    assert [t[0] for t in docs[("a", None)]["tags"]] == [1, 2]
+    assert [it["n_id"] for it in docs[("a", None)]["items"]] == [10, 11]
+    assert [it["n_id"] for it in docs[(None, None)]["items"]] == [13]
+
+
 def test_to_documents_omits_nulls(spark):
     df = spark.createDataFrame([("a", None, 1)], "schema_identifier string, x string, y int")
     doc = to_documents(df).first()["document"]

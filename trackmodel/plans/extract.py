@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackmodel.functions import pointers as P
 from trackmodel.functions.pointers import Pointer, parse_pointer
@@ -47,6 +48,41 @@ class _Resolver:
         return pointer_column(self.alias, p.explode, p.steps, p.verbatim)
 
 
+def _filler(dt: T.DataType) -> Column | None:
+    """A non-null stand-in of type ``dt`` for a null group key (None for types without one)."""
+    if isinstance(dt, T.NumericType):
+        return F.lit(0).cast(dt)
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return F.lit("").cast(dt)
+    if isinstance(dt, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(0).cast("timestamp").cast(dt)
+    return None
+
+
+def _null_free_keys(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]] | None:
+    """Replace each group key ``k`` by ``(k__nn, k__in)`` = (value or a stand-in, is null).
+
+    Aggregates grouped by these columns and joined on plain equality of the same columns keep null
+    keys matching and let the join reuse the aggregates' hash partitioning (a null-safe join would
+    re-shuffle both sides on derived expressions). None when some key has no stand-in.
+    """
+    fills = {k: _filler(rows.schema[k].dataType) for k in keys}
+    if any(f is None for f in fills.values()):
+        return None
+    cols = {}
+    for k, f in fills.items():
+        cols[f"{k}__nn"] = F.coalesce(q(k), f)
+        cols[f"{k}__in"] = q(k).isNull()
+    return rows.withColumns(cols).drop(*keys), [c for k in keys for c in (f"{k}__nn", f"{k}__in")]
+
+
+def _restore_keys(docs: DataFrame, keys: list[str]) -> DataFrame:
+    return docs.withColumns({k: F.when(F.col(f"{k}__in"), F.lit(None)).otherwise(F.col(f"{k}__nn"))
+                             for k in keys}).drop(*[c for k in keys for c in (f"{k}__nn", f"{k}__in")])
+
+
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         raise ValueError("documents need a group key")
@@ -86,6 +122,13 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
         sel.append(F.lit(0).alias("__g"))
         g_outer = ["__g"]
     rows = u.select(*sel)
+    restore: list[str] = []
+    if nested and arr:
+        # two aggregates on the same key, joined back: group both on null-free key columns so the join
+        # is a plain equi-join on their own partitioning (no extra shuffle), null keys included
+        nf = _null_free_keys(rows, g_outer)
+        if nf is not None:
+            rows, restore, g_outer = nf[0], g_outer, nf[1]
     if not nested and not arr:
         # a flat collection: the documents are the distinct projected rows
         docs = rows.distinct()
@@ -109,7 +152,12 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
                                    distinct=not nested.array)
         if arr:
             adocs = nest_array(rows, g_outer, [n for n, _ in arr], d.array.name, distinct=True)
-            docs = adocs if docs is None else _join_null_safe(docs, adocs, g_outer)
+            if docs is None:
+                docs = adocs
+            elif restore:
+                docs = _restore_keys(docs.join(adocs, g_outer, "inner"), restore)
+            else:
+                docs = _join_null_safe(docs, adocs, g_outer)
 
     out = [(F.lit(r.ptrs[a.pointer].literal) if n in o_lit else q(n)).alias(a.name) for n, a in o]
     if d.array:
