@@ -57,14 +57,15 @@ def extract_documents(source: DataFrame, mapping: Mapping, sep: str = "__", tail
 def stage_documents(docs: DataFrame, path: str) -> DataFrame:
     """Write extracted documents to the shared folder and read them back (lineage cut, computed once)."""
     docs.write.mode("errorifexists").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    # the schema is the one just written: reading it back needs no footer-inference job
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
 
 
 def stage_plan(plan: DataFrame, path: str) -> DataFrame:
     """Write a plan to the shared folder (partitioned by ``op``) and read it back: the confirm step then
     applies exactly what was validated, and the lineage of the extraction is cut (K5)."""
     plan.write.mode("errorifexists").partitionBy("op").parquet(path)
-    return plan.sparkSession.read.parquet(path)
+    return plan.sparkSession.read.schema(plan.schema).parquet(path)
 
 
 def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | DataFrame, store: CollectionStore,
@@ -86,7 +87,7 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
         passes = len(m.definitions()) + sum(1 for d in m.definitions() if d.partition)
         if stage_source if stage_source is not None else passes > 1:
             df.write.mode("errorifexists").parquet(f"{stage_dir}/__source")
-            df = spark.read.parquet(f"{stage_dir}/__source")
+            df = spark.read.schema(df.schema).parquet(f"{stage_dir}/__source")
     docs, rejects = extract_documents(df, m, sep, tail, outer)
     ip = ImportPlan(m, stage_dir=stage_dir, rejected=rejects)
     for collection, d in docs.items():
