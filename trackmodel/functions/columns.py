@@ -8,13 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values: interval units accepted by a partition spec, in milliseconds ---
+from trackmodel.functions.pointers import URLIFY_DROP, URLIFY_SPACES
+
+# --- fixed values: interval units accepted by a partition spec (in milliseconds), the epoch-ms format
+# name, and the system attributes of a stored document (the reference also has the HTTP-only `_links`) ---
 UNIT_MS = {"s": 1000, "m": 60 * 1000, "h": 60 * 60 * 1000}
 MS_FORMAT = "ms"
+SYSTEM_COLUMNS = ("_id", "_created", "_updated", "_etag")
 # --- end of fixed values ---
 
-SYSTEM_COLUMNS = ("_id", "_etag", "_created", "_updated")
-
 _INTERVAL = re.compile(r"^\s*(\d+)\s*([A-Za-z]+)\s*$")
 
 
@@ -34,7 +36,7 @@ def parse_interval(spec: str) -> tuple[int, str, int]:
 def urlify_col(c: Column | str) -> Column:
     """The alias rule of additional fields, applied to data."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.regexp_replace(c, r"[^\w\s]", ""), r"\s+", "_")
+    return F.regexp_replace(F.regexp_replace(c, URLIFY_DROP, ""), URLIFY_SPACES, "_")
 
 
 def is_numeric(dt: T.DataType) -> bool:

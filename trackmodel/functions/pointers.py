@@ -34,11 +34,14 @@ NESTED_KEY = "n_id"
 ARRAY_KEY = "a_id"
 ADDITIONAL_FIELDS = "additional_fields"
 PARTITION = "partition"
+# alias rule of additional fields: characters removed, then whitespace runs replaced by "_"
+URLIFY_DROP = r"[^\w\s]"
+URLIFY_SPACES = r"\s+"
 # --- end of fixed values ---
 
 _INDEX = re.compile(r"^\[(\d+)\]$")
-_NOT_WORD = re.compile(r"[^\w\s]")
-_SPACES = re.compile(r"\s+")
+_NOT_WORD = re.compile(URLIFY_DROP)
+_SPACES = re.compile(URLIFY_SPACES)
 
 
 def urlify(name: str) -> str:
