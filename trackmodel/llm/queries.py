@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, rules, tokencount
+from . import chat, decontam, langid, rules, sharding, tokencount
 from .common import table
 
 
@@ -47,6 +47,15 @@ FROM doc LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    out = sharding.balanced_shards(table(spark, sf_dir, "documents"), [F.md5(text)], shards=16, keep={
+        "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
+        "text_crc32": F.crc32(F.coalesce(text, F.lit("")))})
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -90,6 +99,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_sharding": op2_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
