@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, pii, rules, sharding, tokencount
+from . import chat, decontam, langid, neardup, packing, pii, rules, sharding, tokencount
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -111,6 +115,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_pii": op3_pii,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
