@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, packing, pii, rules, sharding, tokencount
+from . import chat, decontam, langid, neardup, packing, pii, quality, rules, sharding, tokencount
 from .common import table
 
 
@@ -66,6 +66,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents"), trusted).drop("text_hash")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -116,6 +121,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_pii": op3_pii,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality_model": op5_quality_model,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
