@@ -119,3 +119,11 @@ def ranked(df: DataFrame, group: str) -> DataFrame:
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     return (df.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_p")))
             .withColumn("rank", F.col("local") + F.col("_o")).drop("_g", "_p", "_o"))
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            max_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` less the rows whose id and text hash are in ``keys`` (``id_col``, ``text_hash``); nulls are equal."""
+    gone = small_side(keys.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h")), max_rows)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (
+        F.xxhash64(F.col(text_col).cast("string")) == F.col("_h")), "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ship, map_arrow, numbered, small_side, staged, text_chunks, texts_of, unstage
+from .common import _ship, map_arrow, numbered, small_side, staged, text_chunks, texts_of, unstage, without
 from .shingles import digest, minima, shingle_sets
 
 HASHES, ROWS, BANDS, BITS = 128, 4, 32, 4
@@ -162,7 +162,10 @@ def _link_block(percent: int, width: int):
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id, kept``: a row per document. Linked: 100 x common >= percent x union."""
+    """``id_col, n_shingles, component_id, kept, text_hash``: a row per document.
+
+    Linked: 100 x common >= percent x union. Kept: the id is its component's.
+    """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
     state = signatures(base, width)
@@ -203,7 +206,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     named = classes.join(found, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("first").alias("component"))
     by_set = named.select(F.col("digest").alias("d"), "label").join(least, "label").select("d", "component")
-    out = state.select("id", "n", "digest").join(by_set, F.col("digest") == F.col("d"), "left")
+    out = state.select("id", "h", "n", "digest").join(by_set, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+                      F.col("id").eqNullSafe(component).alias("kept"), F.col("h").alias("text_hash"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, and one of rows that repeat both id and text."""
+    found = staged(near_duplicates(docs, width, percent, id_col, text_col), "components")
+    left = without(docs, found.filter(~F.col("kept")), id_col, text_col)
+    again = found.filter("kept").groupBy(id_col, "text_hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    if not again.limit(1).count():
+        return left
+    again = staged(again, "repeated")
+    keys = again.select(F.col(id_col).alias("_r"), F.col("text_hash").alias("_rh"))
+    rows = left.withColumn("_h", F.xxhash64(F.col(text_col).cast("string")))
+    rows = rows.join(keys, F.col(id_col).eqNullSafe(F.col("_r")) & (F.col("_h") == F.col("_rh")), "left_semi")
+    one = rows.dropDuplicates([id_col, "_h"]).drop("_h")
+    return without(left, again, id_col, text_col).unionByName(one)

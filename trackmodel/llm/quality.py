@@ -1,7 +1,7 @@
 """Operator 5: text quality by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
 The model is over characters (order ``ORDER``), so words that trusted text never used still get a fair score.
-It is trained on all trusted documents: labelled good, and never labelled bad or toxic.
+It is trained on trusted documents: labelled good, and never labelled bad or toxic.
 
 1. Each task counts its distinct n-grams (all rows, and rows of trusted text); sums are shuffled by n-gram.
 2. Lower orders count distinct predecessors; discounts come from counts of counts (a few numbers per order).
@@ -10,12 +10,13 @@ It is trained on all trusted documents: labelled good, and never labelled bad or
 3. The ``HEAD`` most frequent n-grams at most (chosen by a count bound) are broadcast as hash and log
    probability; a task adds them up per document. Positions whose n-gram is not among them are sent out as
    (row, n-gram, count) and joined with the sharded table, so every position of every text is scored.
-4. Thresholds per language: upper quartile of the trusted documents' mean log loss plus ``FENCE`` times its
+4. Thresholds per language, from the trusted documents that were kept out of the counts (one in ``ASIDE`` by
+   hash of the id, so that they are as new to the model as the rest): upper quartile of mean log loss plus ``FENCE`` times its
    distance from the lower quartile, plus ``SHORT`` nats shared by all characters of a text (short texts vary
-   more). A language with fewer than ``LEAST`` trusted documents takes the threshold over all.
+   more). A language with fewer than ``LEAST`` of them takes the threshold over all.
 
 Log probabilities are fixed-point integers, so sums do not depend on partitioning. Null text is empty; an
-empty text has no score (null) and is kept, as is every text when nothing is trusted. Null ids are never
+empty text has no score (null) and is kept, as is every text when no trusted document was kept out. Null ids are never
 trusted; a null language is a language of its own. Repeated rows are scored one by one. Other columns are
 not read.
 """
@@ -34,7 +35,9 @@ ORDER = 5
 HEAD = 1_000_000
 #: Trusted ids that may be broadcast (a long each).
 IDS = 1_000_000
-FENCE, SHORT, LEAST = 4.0, 30.0, 30
+FENCE, SHORT, LEAST = 4.0, 30.0, 20
+#: One trusted document in so many sets thresholds and is not counted.
+ASIDE = 5
 SCALE = 1 << 16
 #: Resolution of the quantiles, in nats per character.
 BIN = 1e-3
@@ -94,7 +97,7 @@ def _count(docs: DataFrame) -> DataFrame:
         sums = _Sums()
         for b in text_chunks(batches, "text"):
             flat, h, n = _codes(texts_of(b, "text"))
-            sums.add(flat, h, n, np.array(b.column("trusted").to_pylist(), bool))
+            sums.add(flat, h, n, np.array(b.column("role").to_pylist()) == 1)
         if not sums.parts:
             return
         sums.merge()
@@ -106,7 +109,7 @@ def _count(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seen[i:i + 50_000]),
                                               pa.array(uses[i:i + 50_000]), pa.array(good[i:i + 50_000])], ["gram", "h", "uses", "c"])
 
-    sums = map_arrow(docs.select("text", "trusted"), count, "gram string, h long, uses long, c long")
+    sums = map_arrow(docs.select("text", "role"), count, "gram string, h long, uses long, c long")
     return staged(sums.groupBy("gram", "h").agg(F.sum("uses").alias("uses"), F.sum("c").alias("c")), "grams")
 
 
@@ -166,7 +169,7 @@ def _head(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def losses(docs: DataFrame, table: DataFrame, head_size: int = HEAD) -> DataFrame:
-    """``docs`` (id, h, lang, text, trusted) without its text, with ``n`` places and ``lp``, their summed log probability."""
+    """``docs`` (id, h, lang, text, role) without its text, with ``n`` places and ``lp``, their summed log probability."""
     shared = docs.sparkSession.sparkContext.broadcast(_head(table, head_size))
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -186,7 +189,7 @@ def losses(docs: DataFrame, table: DataFrame, head_size: int = HEAD) -> DataFram
             sums = np.add.reduceat(value, np.cumsum(n) - n)
             none = pa.nulls(len(n), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), b.column("id"), b.column("h"), b.column("lang"), b.column("trusted"),
+                [pa.array(rows), b.column("id"), b.column("h"), b.column("lang"), b.column("role"),
                  pa.array(n - 1), pa.array(sums), none, pa.nulls(len(n), pa.int64())], names)
             rest = np.flatnonzero(~known)
             if len(rest):
@@ -200,11 +203,11 @@ def losses(docs: DataFrame, table: DataFrame, head_size: int = HEAD) -> DataFram
                 m = len(left)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(left["row"].to_numpy(np.int64)), pa.nulls(m, b.column("id").type), pa.nulls(m, pa.int64()),
-                     pa.nulls(m, pa.string()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
+                     pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
                      pa.array(left["gram"].tolist(), pa.string()), pa.array(left["k"].to_numpy(np.int64))], names)
 
-    names = ["row", "id", "h", "lang", "trusted", "n", "lp", "gram", "k"]
-    out = staged(map_arrow(docs, score, f"row long, id {kind}, h long, lang string, trusted boolean, n long, lp long, "
+    names = ["row", "id", "h", "lang", "role", "n", "lp", "gram", "k"]
+    out = staged(map_arrow(docs, score, f"row long, id {kind}, h long, lang string, role int, n long, lp long, "
                                         "gram string, k long"), "scores")
     rest = out.filter("gram is not null").select("row", "gram", "k").join(table.select("gram", F.col("lp").alias("g_lp")), "gram")
     rest = rest.groupBy("row").agg(F.sum(F.col("k") * F.col("g_lp")).alias("more"))
@@ -214,7 +217,7 @@ def losses(docs: DataFrame, table: DataFrame, head_size: int = HEAD) -> DataFram
 
 def _thresholds(scored: DataFrame) -> tuple[dict[str, float], float | None]:
     """Per language, and over all: upper quartile of the trusted loss plus the fence."""
-    got = scored.filter("trusted and n > 0").groupBy(
+    got = scored.filter("role = 2 and n > 0").groupBy(
         "lang", F.floor(F.col("loss") / BIN).cast("long").alias("bin")).count().collect()
     sums: dict[str | None, dict[int, int]] = {}
     for lang, b, n in got:
@@ -249,7 +252,8 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
                        F.col(text_col).cast("string").alias("text"))
     known = small_side(trusted.withColumn("trusted", F.lit(True)), IDS)
     base = base.withColumn("h", F.xxhash64("text")).join(known, F.col("id") == F.col("t_id"), "left").select(
-        "id", "h", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+        "id", "h", "lang", "text", F.when(F.col("trusted").isNull(), 0).when(
+            F.pmod(F.xxhash64(F.lit("aside"), F.col("id").cast("string")), F.lit(ASIDE)) == 0, 2).otherwise(1).alias("role"))
     grams = _count(base)
     lp = staged(grams.select("gram", "h", "uses").join(log_probabilities(grams), "gram"), "model")
     unstage(grams)
