@@ -65,7 +65,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     word = F.xxhash64(ascii_lower(F.col("word"))).alias("h")
     places = base.select("id", "text_hash", raw_words(F.col("text")).alias("words"))
     places = places.select("id", "text_hash", F.size("words").alias("n_words"),
-                           F.posexplode("words").alias("pos", "word")).select("id", "text_hash", "n_words", "pos", word)
+                           F.posexplode_outer("words").alias("pos", "word"))
+    places = places.filter("word is not null").select("id", "text_hash", "n_words", "pos", word)
     tokens = windows.select("window", "n", F.posexplode(F.split("window", " ")).alias("offset", "word"))
     tokens = tokens.select("window", "n", "offset", word)
     vocabulary = small_side(tokens.select("h").distinct(), POSTINGS)
@@ -87,9 +88,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     # Exact containment at the place, on the document's own words.
     joined = base.join(candidates, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")), "left")
     seen = joined.select("id", "text_hash", "cand", raw_words(F.col("text")).alias("words"))
-    seen = seen.select("id", "text_hash", "cand", F.size("words").alias("n_words"), F.when(
-        F.col("cand").isNotNull(), F.transform("words", ascii_lower)).alias("words"))
-    hits = F.filter("cand", lambda c: F.array_join(F.slice(F.col("words"), c["start"] + 1, c["n"]), " ") == c["window"])
+    seen = seen.select("id", "text_hash", "cand", "words", F.size("words").alias("n_words"))
+    hits = F.filter("cand", lambda c: F.array_join(F.transform(F.slice(
+        F.col("words"), c["start"] + 1, c["n"]), ascii_lower), " ") == c["window"])
     seen = seen.select("id", "text_hash", "n_words", hits.alias("hits"))
     covered = F.array_distinct(F.flatten(F.transform(
         "hits", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
