@@ -97,11 +97,12 @@ def balanced_shards(docs: DataFrame, links: list, shards: int = 16, rounds: int
         if not allowed:
             unstage(moves)
             break
-        # Whole (group, shard) parts move as long as the quota lasts, then rows in the order of a hash.
+        # A group's part of a shard moves whole, by a hash against the quota; a large part moves row by row.
         share = F.create_map(*[F.lit(x) for (a, b), v in allowed.items() for x in (a * shards + b, v / asked[a, b])])
         odds = F.coalesce(F.try_element_at(share, F.col("m_from") * shards + F.col("wish")), F.lit(0.0))
-        mover = moves.select(F.col("g").alias("mg"), F.col("shard").alias("m_from"), "wish")
-        chance = F.pmod(F.xxhash64(F.lit(turn), "mg", "m_from", F.when(F.lit(turn) % 2 == 1, F.col("row"))), F.lit(1 << 30)) / (1 << 30)
+        mover = moves.select(F.col("g").alias("mg"), F.col("shard").alias("m_from"), "wish",
+                             (F.col("n") * 16 > max(target)).alias("large"))
+        chance = F.pmod(F.xxhash64(F.lit(turn), "mg", "m_from", F.when(F.col("large"), F.col("row"))), F.lit(1 << 30)) / (1 << 30)
         new = state.join(mover, (F.col("g") == F.col("mg")) & (F.col("shard") == F.col("m_from")), "left").withColumn(
             "shard", F.when(F.col("wish").isNotNull() & (chance < odds), F.col("wish")).otherwise(F.col("shard")))
         # Unlinked rows give way: a row's hash falls into the span of one other shard, or of staying.
@@ -117,7 +118,7 @@ def balanced_shards(docs: DataFrame, links: list, shards: int = 16, rounds: int
                 to = F.when((spot >= lo) & (spot < hi), F.lit(a)).otherwise(to)
             way = F.when(F.col("shard") == b, to).otherwise(way)
         new = new.withColumn("shard", F.when(F.col("g").isNull(), way).otherwise(F.col("shard")).cast("int"))
-        new = staged(new.drop("mg", "m_from", "wish"), "state")
+        new = staged(new.drop("mg", "m_from", "wish", "large"), "state")
         unstage(moves)
         unstage(state)
         state = new
