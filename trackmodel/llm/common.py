@@ -121,9 +121,16 @@ def ranked(df: DataFrame, group: str) -> DataFrame:
             .withColumn("rank", F.col("local") + F.col("_o")).drop("_g", "_p", "_o"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer form of it that no column of ``df`` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             max_rows: int = 1_000_000) -> DataFrame:
     """``docs`` less the rows whose id and text hash are in ``keys`` (``id_col``, ``text_hash``); nulls are equal."""
-    gone = small_side(keys.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h")), max_rows)
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (
-        F.xxhash64(F.col(text_col).cast("string")) == F.col("_h")), "left_anti")
+    gone = small_side(keys.select(F.col(id_col).alias("gone_id"), F.col("text_hash").alias("gone_hash")), max_rows)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (
+        F.xxhash64(docs[text_col].cast("string")) == gone["gone_hash"]), "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ship, map_arrow, numbered, small_side, staged, text_chunks, texts_of, unstage, without
+from .common import _ship, fresh, map_arrow, numbered, small_side, staged, text_chunks, texts_of, unstage, without
 from .shingles import digest, minima, shingle_sets
 
 HASHES, ROWS, BANDS, BITS = 128, 4, 32, 4
@@ -221,8 +221,9 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     if not again.limit(1).count():
         return left
     again = staged(again, "repeated")
-    keys = again.select(F.col(id_col).alias("_r"), F.col("text_hash").alias("_rh"))
-    rows = left.withColumn("_h", F.xxhash64(F.col(text_col).cast("string")))
-    rows = rows.join(keys, F.col(id_col).eqNullSafe(F.col("_r")) & (F.col("_h") == F.col("_rh")), "left_semi")
-    one = rows.dropDuplicates([id_col, "_h"]).drop("_h")
+    keys = again.select(F.col(id_col).alias("again_id"), F.col("text_hash").alias("again_hash"))
+    rows = left.join(keys, left[id_col].eqNullSafe(keys["again_id"]) & (
+        F.xxhash64(left[text_col].cast("string")) == keys["again_hash"]), "left_semi")
+    tag = fresh(left, "text_hash")
+    one = rows.withColumn(tag, F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, tag]).drop(tag)
     return without(left, again, id_col, text_col).unionByName(one)
