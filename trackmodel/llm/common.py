@@ -56,6 +56,19 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], weight: str, total: int) -> DataFrame:
+    """Left join with a ``right`` that has each key once and, in ``weight``, how many rows of ``left`` share it.
+
+    Keys with over a thousandth of the ``total`` rows (a thousand keys at most) are broadcast, so their rows stay
+    where they are; the others are joined by a shuffle that no key dominates. ``left`` is read twice: stage it.
+    """
+    hot = F.broadcast(right.filter(F.col(weight) * 1000 > total))
+    cold = right.filter(F.col(weight) * 1000 <= total)
+    same = lambda r: [left[a].eqNullSafe(r[b]) for a, b in on]
+    rest = left.join(hot, same(hot), "left_anti")
+    return left.join(hot, same(hot)).unionByName(rest.join(cold, [F.col(a) == F.col(b) for a, b in on], "left"))
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with about ``limit`` bytes of text each, every row in one slice."""
     for b in batches:
