@@ -8,7 +8,8 @@
 4. A cluster is cut into blocks of bounded size, and each pair of blocks is one task's group: similarities
    estimated from matching bits, corrected for chance matches, drop clear misses; the rest is confirmed on
    the full sets. Only links that join something are returned, so a group of m texts returns less than m rows.
-5. Connected components of the links; every document gets the smallest id of its component.
+5. Connected components of the links; every document gets the smallest id of its component. Sets shared by
+   over a thousandth of the documents are joined back by broadcast, the others by a shuffle.
 
 A pair at the threshold is in no common bucket with probability (1 - 0.75^4)^32, about 5e-6; the estimate
 drops it with less than 1e-7. Buckets, clusters and partners have no cap. A cluster of m different texts that
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ship, fresh, map_arrow, numbered, small_side, staged, text_chunks, texts_of, unstage, without
+from .common import _ship, fresh, join_hot, map_arrow, numbered, small_side, staged, text_chunks, texts_of, unstage, without
 from .shingles import digest, minima, shingle_sets
 
 HASHES, ROWS, BANDS, BITS = 128, 4, 32, 4
@@ -169,7 +170,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
     state = signatures(base, width)
-    classes = staged(state.filter("n > 0").groupBy("digest").agg(F.min("row").alias("cls"), F.min("id").alias("first")), "classes")
+    classes = staged(state.filter("n > 0").groupBy("digest").agg(F.min("row").alias("cls"), F.min("id").alias("first"),
+                                                                 F.count(F.lit(1)).alias("copies")), "classes")
     reps = state.join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
 
     # Candidate clusters: buckets' members linked to the smallest of them.
@@ -205,8 +207,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     found = components(links)
     named = classes.join(found, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("first").alias("component"))
-    by_set = named.select(F.col("digest").alias("d"), "label").join(least, "label").select("d", "component")
-    out = state.select("id", "h", "n", "digest").join(by_set, F.col("digest") == F.col("d"), "left")
+    by_set = staged(named.select(F.col("digest").alias("d"), "label", "copies").join(least, "label").select(
+        "d", "component", "copies"), "by_set")
+    out = join_hot(state.select("id", "h", "n", "digest"), by_set, [("digest", "d")], "copies", state.count())
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"), F.col("h").alias("text_hash"))
