@@ -2,7 +2,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from tests.conftest import FLAT_MAPPING, HEADER
+from tests.conftest import LOG_MAPPING, write_log
+from trackmodel.operators import timeparts
 from trackmodel.operators.nest import expand_collection, expand_tuples, to_documents
 from trackmodel.plans.extract import extract_definition, split_rejected
 from trackmodel.plans.ingest import extract_documents
@@ -10,88 +11,87 @@ from trackmodel.plans.mapping import parse_definition, parse_mapping
 from trackmodel.sources.files import read_source
 
 
-def _docs(spark, path, mapping=FLAT_MAPPING, **kw):
+def _docs(spark, path, mapping=LOG_MAPPING, **kw):
     m = parse_mapping(mapping)
     src = read_source(spark, m.file, path)
     docs, rejects = extract_documents(src, m, tag=False, **kw)
     return src, docs, rejects
 
 
-def test_flat_feed_documents(spark, flat_feed):
-    src, docs, _ = _docs(spark, flat_feed)
-    n_rows = src.count()
-    assert docs["Games"].collect()[0]["schema_identifier"] == "1"
-    assert docs["Teams"].count() == 3
-    assert docs["Participants"].count() == 5
-    gs = docs["GameSections"].collect()
-    assert len(gs) == 1 and gs[0]["schema_identifier"] == "1__5m_1"
-    moments = gs[0]["moments"]
-    assert len(moments) == 19
-    assert [m["n_id"] for m in moments] == sorted(m["n_id"] for m in moments)  # Q20: deterministic order
-    assert all(m["section_id"] == "1" for m in moments)  # Q5: nested literals are kept
-    assert sum(len(m["participants"]) for m in moments) == n_rows
-    assert gs[0]["participants_cols"][:4] == ["a_id", "coord_x", "coord_y", "coord_z"]
-    # mixed member types: every member becomes text (empty columns are inferred as strings)
-    assert isinstance(moments[0]["participants"][0][0], str)
-
-
-def test_round_trip_equals_distinct_source(spark, flat_feed):
-    src, docs, _ = _docs(spark, flat_feed)
-    gs = docs["GameSections"]
-    members = gs.select("participants_cols").first()[0]
-    rows = expand_tuples(expand_collection(gs, "moments", keep=[]), "participants", members, keep=["n_id"])
-    got = rows.select(F.col("n_id").cast("long"), F.col("a_id").cast("int"), F.col("coord_x").cast("double"))
-    want = src.select(F.col("ts in ms"), F.col("sensor id"), F.col("x in m")).distinct()
+def test_flat_feed_documents(spark, log_file):
+    src, docs, rejects = _docs(spark, log_file)
+    assert sorted(r["schema_identifier"] for r in docs["Houses"].collect()) == ["H0", "H1"]
+    assert docs["Probes"].count() == 6 and all(r.count() == 0 for r in rejects.values())
+    logs = {r["schema_identifier"]: r for r in docs["Logs"].collect()}
+    assert set(logs) == {f"H{h}__5m_{k}" for h in (0, 1) for k in (1, 2)}  # 20 x 30 s from the minimum
+    readings = [m for r in logs.values() for m in r["readings"]]
+    assert all(m["unit"] == "celsius" for m in readings)  # Q5: nested literals are kept
+    for r in logs.values():
+        stamps = [m["n_id"] for m in r["readings"]]
+        assert stamps == sorted(stamps)  # Q20: deterministic order
+        assert r["values_cols"] == ["a_id", "temp", "humid_"]
+    assert sum(len(m["values"]) for m in readings) == src.count()
+    assert isinstance(readings[0]["values"][0][0], float)
+
+
+def test_round_trip_equals_distinct_source(spark, log_file):
+    src, docs, _ = _docs(spark, log_file)
+    logs = docs["Logs"]
+    members = logs.select("values_cols").first()[0]
+    rows = expand_tuples(expand_collection(logs, "readings", keep=[]), "values", members, keep=["n_id"])
+    got = rows.select(F.col("n_id").cast("long"), F.col("a_id").cast("int"), F.col("temp").cast("double"))
+    want = src.select("stamp", "probe", "temp").distinct()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def _feed(local_dir, name, lines):
-    path = os.path.join(local_dir, name)
-    with open(path, "w") as f:
-        f.write(HEADER + "\n" + "\n".join(lines) + "\n")
-    return path
+def _line(stamp, probe, house="H0"):
+    return f"{stamp};{house};B0;{probe};1.5;40;"
 
 
-def _line(ts, sensor, x=1.0):
-    return f"{ts};x;{sensor};1;7;\"R\";0;\"G\";{x};2.0;0.1;1.0;;;3;;;"
+def test_partition_keeps_the_tail(spark, local_dir):
+    # five readings one second apart; a 2 s interval: the span (4 s) is an exact multiple
+    path = write_log(local_dir, "tail.csv", [_line(1000 * t, 1) for t in range(5)])
+    body = dict(LOG_MAPPING["data"]["Logs"][0], partition={"interval": "2s", "ts_field": "stamp"})
+    _, docs, _ = _docs(spark, path, dict(LOG_MAPPING, data={"Logs": [body]}))
+    keys = sorted(r[0] for r in docs["Logs"].select("schema_identifier").collect())
+    assert keys == ["H0__2s_1", "H0__2s_2", "H0__2s_3"]
+    assert docs["Logs"].select(F.sum(F.size("readings"))).first()[0] == 5
+    ms = spark.range(5).select((F.col("id") * 1000).alias("ms"))  # Q1: the legacy loop lost the row at the maximum
+    assert timeparts.assign_partition(ms, "ms", 2000, tail="drop").count() == 4
 
 
-def test_partition_tail_keep_and_drop(spark, local_dir):
-    # five frames one second apart; a 2 s interval: the span (4 s) is an exact multiple
-    path = _feed(local_dir, "tail.csv", [_line(1000 * t, 1) for t in range(5)])
-    m = dict(FLAT_MAPPING)
-    m["data"] = {"GameSections": [dict(FLAT_MAPPING["data"]["GameSections"][0],
-                                       partition={"interval": "2s", "ts_field": "ts in ms"})]}
-    _, keep, _ = _docs(spark, path, m)
-    keys = sorted(r[0] for r in keep["GameSections"].select("schema_identifier").collect())
-    assert keys == ["1__2s_1", "1__2s_2", "1__2s_3"]
-    total = keep["GameSections"].select(F.sum(F.size("moments"))).first()[0]
-    assert total == 5  # Σ slice rows = all rows
-    _, drop, _ = _docs(spark, path, m, tail="drop")  # Q1: the legacy loop loses the row at the maximum
-    assert drop["GameSections"].select(F.sum(F.size("moments"))).first()[0] == 4
+def test_rows_without_a_usable_time_are_rejected(spark, local_dir):
+    lines = [_line(1000, 1), _line("soon", 2), _line("", 3), _line(2000, 4, house="")]
+    path = write_log(local_dir, "bad.csv", lines)
+    _, docs, rejects = _docs(spark, path)
+    assert docs["Logs"].select(F.sum(F.size("readings"))).first()[0] == 1
+    got = sorted((r["schema_identifier"] or "", r["reason"]) for r in rejects["Logs"].collect())
+    assert got == [("", "NO_KEY"), ("H0", "NO_TIMESTAMP"), ("H0", "NO_TIMESTAMP")]
+    # a pattern that fits no row: every row is reported, none is lost
+    wrong = dict(LOG_MAPPING, file=dict(LOG_MAPPING["file"], timestamp_format="yyyy/MM/dd"))
+    _, docs, rejects = _docs(spark, path, wrong)
+    assert docs["Logs"].count() == 0 and rejects["Logs"].count() == 4
 
 
 def test_duplicates_collapse_and_rejects(spark, local_dir):
-    lines = [_line(1000, 1), _line(1000, 1), _line(1000, 2), "2000;x;;1;7;\"R\";0;\"G\";1.0;2.0;0.1;1.0;;;3;;;"]
-    path = _feed(local_dir, "dups.csv", lines)
-    _, docs, rejects = _docs(spark, path)
-    gs = docs["GameSections"].first()
-    assert sum(len(m["participants"]) for m in gs["moments"]) == 3  # Q23: exact duplicates collapse
-    assert rejects["Participants"].count() == 1  # Q17: a row without key is rejected, not imported
-    assert docs["Participants"].count() == 2
+    lines = [_line(1000, 1), _line(1000, 1), _line(1000, 2), _line(2000, "")]
+    _, docs, rejects = _docs(spark, write_log(local_dir, "dups.csv", lines))
+    assert sum(len(m["values"]) for m in docs["Logs"].first()["readings"]) == 3  # Q23: exact duplicates collapse
+    assert rejects["Probes"].count() == 1  # Q17: a row without key is rejected, not imported
+    assert docs["Probes"].count() == 2
 
 
-def test_outer_array_with_nested_collection(spark, flat_feed):
+def test_outer_array_with_nested_collection(spark, log_file):
     # Q8: a document with both a top-level tuple array and a nested collection
-    d = parse_definition("Teams", {"a": "collection", "schema_identifier": "group id",
-                                   "roster": {"a": "nested_array", "a_id": "sensor id", "no": "number"},
-                                   "frames": {"a": "nested_collection", "n_id": "ts in ms",
-                                              "who": {"a": "nested_array", "a_id": "sensor id"}}})
-    src = read_source(spark, {"format": "csv", "delimiter": ";", "header": "True"}, flat_feed)
+    d = parse_definition("Houses", {"a": "collection", "schema_identifier": "house",
+                                    "fitted": {"a": "nested_array", "a_id": "probe", "bed": "bed"},
+                                    "times": {"a": "nested_collection", "n_id": "stamp",
+                                              "seen": {"a": "nested_array", "a_id": "probe"}}})
+    src = read_source(spark, {"format": "csv", "delimiter": ";", "header": "True"}, log_file)
     docs = extract_definition(src, d).orderBy("schema_identifier").collect()
-    assert len(docs) == 3
-    assert docs[0]["roster_cols"] == ["a_id", "no"] and docs[0]["who_cols"] == ["a_id"]
-    assert all(len(r["roster"]) >= 1 and len(r["frames"]) >= 1 for r in docs)
+    assert len(docs) == 2
+    assert docs[0]["fitted_cols"] == ["a_id", "bed"] and docs[0]["seen_cols"] == ["a_id"]
+    assert all(len(r["fitted"]) == 3 and len(r["times"]) >= 1 for r in docs)
 
 
 def test_outer_array_with_nested_collection_keeps_null_keys(spark):
@@ -160,12 +160,12 @@ def test_group_documents_splits_a_hot_group(spark):
 
 
 def test_constant_documents_need_rows(spark):
-    d = parse_definition("Games", {"a": "collection", "schema_identifier": "dshs#mapping_1",
-                                   "moments": {"a": "nested_collection", "n_id": "t"}})
+    d = parse_definition("Sites", {"a": "collection", "schema_identifier": "dshs#mapping_1",
+                                   "steps": {"a": "nested_collection", "n_id": "t"}})
     src = spark.createDataFrame([(1,), (2,)], "t int")
     docs = extract_definition(src, d).collect()
-    assert len(docs) == 1 and [m["n_id"] for m in docs[0]["moments"]] == [1, 2]
+    assert len(docs) == 1 and [m["n_id"] for m in docs[0]["steps"]] == [1, 2]
     assert extract_definition(src.limit(0), d).count() == 0
-    flat = parse_definition("Games", {"a": "collection", "schema_identifier": "dshs#mapping_1"})
+    flat = parse_definition("Sites", {"a": "collection", "schema_identifier": "dshs#mapping_1"})
     assert extract_definition(src, flat).collect()[0]["schema_identifier"] == "1"
     assert extract_definition(src.limit(0), flat).count() == 0

@@ -1,9 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import FLAT_MAPPING
+from tests.conftest import LOG_MAPPING, write_log
 from trackmodel.operators import upsert
 from trackmodel.plans.ingest import apply_import, ingest, plan_import
-from trackmodel.sources.store import CollectionStore
+from trackmodel.sources.store import CollectionStore, VersionConflict
 
 SCHEMA = "schema_identifier string, name string, score int, info struct<a:int,b:string>"
 
@@ -79,8 +80,8 @@ def test_duplicate_keys_apply_once(spark, tmp):
     v, out = upsert.apply_plan(plan, store.scan("Teams"), "Teams")
     rows = {r["schema_identifier"]: r for r in v.collect()}
     assert rows["7"]["name"] == "y"  # first definition wins
-    st = sorted((r[0], r[1]) for r in out.select("schema_identifier", "status").collect())
-    assert st == [("1", "UPDATED"), ("7", "CREATED"), ("7", "DUPLICATE"), ("7", "DUPLICATE")]
+    st = sorted(tuple(r) for r in out.select("schema_identifier", "status", "n").collect())
+    assert st == [("1", "UPDATED", 1), ("7", "CREATED", 1), ("7", "DUPLICATE", 2)]
 
 
 def test_replace_and_delete(spark, tmp):
@@ -96,29 +97,78 @@ def test_replace_and_delete(spark, tmp):
     assert [r[0] for r in left.select("schema_identifier").collect()] == ["1"]
 
 
-def test_end_to_end_ingest_twice(spark, tmp, flat_feed):
+def test_end_to_end_ingest_twice(spark, tmp, log_file):
     store = CollectionStore(spark, tmp)
-    ip, outcome = ingest(spark, FLAT_MAPPING, flat_feed, store)
+    ip, outcome = ingest(spark, LOG_MAPPING, log_file, store)
     counts = {(r["collection"], r["op"]): r["n"] for r in ip.counts().collect()}
-    assert counts == {("Games", "CREATE"): 1, ("Teams", "CREATE"): 3, ("Participants", "CREATE"): 5,
-                      ("GameSections", "CREATE"): 1}
+    assert counts == {("Houses", "CREATE"): 2, ("Probes", "CREATE"): 6, ("Logs", "CREATE"): 4}
     assert {r["status"] for r in outcome.collect()} == {"CREATED"}
     assert ip.rejected_counts().count() == 0
-    etags = {r["schema_identifier"]: r["_etag"] for r in store.scan("GameSections").collect()}
-    ip2 = plan_import(spark, FLAT_MAPPING, flat_feed, store)
+    etags = {r["schema_identifier"]: r["_etag"] for r in store.scan("Logs").collect()}
+    ip2 = plan_import(spark, LOG_MAPPING, log_file, store)
     assert {r["op"] for r in ip2.counts().collect()} == {"UPDATE"}
     apply_import(spark, ip2, store)
-    assert {r["schema_identifier"]: r["_etag"] for r in store.scan("GameSections").collect()} == etags
-    assert store.versions("GameSections") == [1, 2]
-    assert store.scan("Participants").filter(F.col("_id").isNull()).count() == 0
+    assert {r["schema_identifier"]: r["_etag"] for r in store.scan("Logs").collect()} == etags
+    assert store.versions("Logs") == [1, 2]
+    assert store.scan("Probes").filter(F.col("_id").isNull()).count() == 0
+    assert store.vacuum("Logs", keep=1) == [1] and store.versions("Logs") == [2]
+    store.drop("Logs")
+    assert store.scan("Logs").count() == 0
 
 
-def test_type_change_between_versions(spark, tmp):
+def test_outcome_counts_rejects(spark, tmp, local_dir):
+    path = write_log(local_dir, "bad.csv", ["1000;H0;B0;1;1.5;40;", "soon;H0;B0;2;1.5;40;", ";;B0;;1.5;40;"])
+    _, outcome = ingest(spark, LOG_MAPPING, path, CollectionStore(spark, tmp))
+    got = {(r["collection"], r["status"]): r["n"] for r in outcome.collect()}
+    assert got == {("Houses", "CREATED"): 1, ("Houses", "REJECTED"): 1, ("Probes", "CREATED"): 2, ("Probes", "REJECTED"): 1,
+                   ("Logs", "CREATED"): 1, ("Logs", "REJECTED"): 2}
+
+
+def test_values_that_do_not_fit_are_rejected(spark, tmp):
     store = _store(spark, tmp, [("1", "a", 1, None), ("2", "b", 2, None)])
-    inc = spark.createDataFrame([("1", "a", "high")], "schema_identifier string, name string, score string")
-    plan = upsert.plan_upsert(inc, store.scan("Teams"), "Teams")
-    v, out = upsert.apply_plan(plan, store.scan("Teams"), "Teams")
-    rows = {r["schema_identifier"]: r["score"] for r in v.collect()}
-    assert rows == {"1": "high", "2": "2"}
+    inc = spark.createDataFrame([("1", "a", "high"), ("2", "B", "7")], "schema_identifier string, name string, score string")
+    v, out = upsert.apply_plan(upsert.plan_upsert(inc, store.scan("Teams"), "Teams"), store.scan("Teams"), "Teams")
+    assert v.schema["score"].dataType.simpleString() == "int"  # one odd batch does not retype the collection
+    assert {r["schema_identifier"]: (r["name"], r["score"]) for r in v.collect()} == {"1": ("a", 1), "2": ("B", 7)}
+    assert {r["schema_identifier"]: r["status"] for r in out.collect()} == {"1": "REJECTED", "2": "UPDATED"}
     v, st = upsert.replace_by_key(store.scan("Teams"), inc, "Teams", overwrite=True)
-    assert {r["schema_identifier"]: r["score"] for r in v.collect()} == {"1": "high", "2": "2"}
+    assert {r["schema_identifier"]: r["status"] for r in st.collect()} == {"1": "REJECTED", "2": "REPLACED"}
+    assert {r["schema_identifier"]: r["score"] for r in v.collect()} == {"1": 1, "2": 7}
+
+
+def test_nested_columns_keep_their_types(spark, tmp):
+    store = CollectionStore(spark, tmp)
+    docs = spark.createDataFrame([("1", ["a"], [1.5], (1,), [(1, [2])]), ("2", ["b"], None, None, None)],
+                                 "schema_identifier string, s array<string>, d array<double>, info struct<n:int>, "
+                                 "m array<struct<i:int,t:array<int>>>")
+    store.initialize("C", docs)
+    before = {r["schema_identifier"]: r["_etag"] for r in store.scan("C").collect()}
+    for same in (docs, docs.select([F.col(c) for c in docs.columns[::-1]])):
+        v, _ = upsert.apply_plan(upsert.plan_upsert(same, store.scan("C"), "C"), store.scan("C"), "C")
+        assert {r["schema_identifier"]: r["_etag"] for r in v.collect()} == before
+    wider = spark.createDataFrame([("1", (5, "k"), [(3, [4.5], "z")]), ("3", None, None)],
+                                  "schema_identifier string, info struct<n:long,k:string>, m array<struct<i:int,t:array<double>,u:string>>")
+    v, out = upsert.apply_plan(upsert.plan_upsert(wider, store.scan("C"), "C"), store.scan("C"), "C")
+    assert v.schema["info"].dataType.simpleString() == "struct<n:bigint,k:string>"
+    assert v.schema["m"].dataType.simpleString() == "array<struct<i:int,t:array<double>,u:string>>"
+    rows = {r["schema_identifier"]: r for r in v.collect()}
+    assert tuple(rows["1"]["info"]) == (5, "k") and rows["1"]["s"] == ["a"] and tuple(rows["1"]["m"][0]) == (3, [4.5], "z")
+    assert rows["2"]["s"] == ["b"] and rows["2"]["_etag"] == before["2"] and set(rows) == {"1", "2", "3"}
+    v, st = upsert.replace_by_key(store.scan("C"), docs, "C", overwrite=True)
+    assert {r["schema_identifier"]: r["_etag"] for r in v.collect()} == before
+
+
+def test_second_writer_is_refused_and_applies_again(spark, tmp):
+    store = _store(spark, tmp, [("1", "a", 1, None), ("2", "b", 2, None)])
+    base = store.current_version("Teams")
+    first = spark.createDataFrame([("1", "A", 1, None)], SCHEMA)
+    second = spark.createDataFrame([("2", "B", 2, None)], SCHEMA)
+    made = [upsert.apply_plan(upsert.plan_upsert(d, store.scan("Teams"), "Teams"), store.scan("Teams"), "Teams")[0]
+            for d in (first, second)]
+    assert store.write_version("Teams", made[0], base) == base + 1
+    with pytest.raises(VersionConflict):
+        store.write_version("Teams", made[1], base)
+    again, _ = upsert.apply_plan(upsert.plan_upsert(second, store.scan("Teams"), "Teams"), store.scan("Teams"), "Teams")
+    store.write_version("Teams", again, base + 1)
+    assert {r["schema_identifier"]: r["name"] for r in store.scan("Teams").collect()} == {"1": "A", "2": "B"}
+    assert store.lookup("Teams", ["1", store.scan("Teams").filter("name = 'B'").first()["_id"]]).count() == 2

@@ -1,26 +1,34 @@
 import os
-import shutil
 
-from tests.conftest import FLAT_MAPPING, HEADER, flat_feed_rows
+import pytest
+
+from tests.conftest import LOG_MAPPING, log_lines, write_log
 from trackmodel.session import scratch_path
 from trackmodel.sources.store import CollectionStore
 from trackmodel.streaming import file_drop_import
 
 
-def test_file_drop_imports_each_file(spark, local_dir, tmp):
+@pytest.mark.parametrize("per_batch", [1, 2])
+def test_file_drop_keeps_every_file(spark, local_dir, tmp, per_batch):
     folder = os.path.join(local_dir, "drop")
     os.makedirs(folder)
-    for i, t0 in enumerate([1550000000000, 1560000000000]):
-        with open(os.path.join(folder, f"feed{i}.csv"), "w") as f:
-            f.write(HEADER + "\n" + "\n".join(flat_feed_rows(frames=4, t0=t0)) + "\n")
+    for i, t0 in enumerate([1700000000000, 1710000000000]):
+        write_log(folder, f"log{i}.csv", log_lines(stamps=4, t0=t0))
     store = CollectionStore(spark, tmp)
-    q = file_drop_import(spark, FLAT_MAPPING, folder, store, scratch_path(spark, "stream-ckpt"))
+    q = file_drop_import(spark, LOG_MAPPING, folder, store, scratch_path(spark, "stream-ckpt"), files_per_batch=per_batch)
     q.awaitTermination(300)
     assert q.exception() is None
-    # two files, two batches: the second re-confirms Games/Teams/Participants and re-slices its own section
-    assert len(store.versions("Teams")) == 2
-    assert store.scan("Teams").count() == 3
-    gs = store.scan("GameSections").collect()
-    assert [r["schema_identifier"] for r in gs] == ["1__5m_1"]
-    assert len(gs[0]["moments"]) == 4
-    shutil.rmtree(folder, ignore_errors=True)
+    assert store.scan("Houses").count() == 2
+    logs = {r["schema_identifier"]: len(r["readings"]) for r in store.scan("Logs").collect()}
+    # slices count from the epoch: both files' documents stand side by side however they were batched
+    assert logs == {f"H{h}__5m_{t0 // 300_000 + 1 + late}": n for t0 in (1700000000000, 1710000000000)
+                    for h in (0, 1) for late, n in slices(t0, h).items()}
+
+
+def slices(t0, house):
+    out = {}
+    for t in range(4):
+        if any((t + p) % 4 for p in range(6) if p % 2 == house):
+            k = (t0 + 30_000 * t) // 300_000 - t0 // 300_000
+            out[k] = out.get(k, 0) + 1
+    return out

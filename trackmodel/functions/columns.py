@@ -17,6 +17,8 @@ MS_FORMAT = "ms"
 SYSTEM_COLUMNS = ("_id", "_created", "_updated", "_etag")
 # --- end of fixed values ---
 
+PROVENANCE_COLUMNS = ("import_author", "import_message", "import_file", "import_mapping", "import_format")
+
 _INTERVAL = re.compile(r"^\s*(\d+)\s*([A-Za-z]+)\s*$")
 
 
@@ -83,8 +85,8 @@ def canonical_json(cols: list[str]) -> Column:
 
 
 def etag_col(business_cols: list[str]) -> Column:
-    """Version tag of a document: a hash of its business columns only."""
-    return F.sha2(canonical_json(business_cols), 256)
+    """Version tag of a document: a hash of its business columns only, without the import's stamps."""
+    return F.sha2(canonical_json([c for c in business_cols if c not in PROVENANCE_COLUMNS]), 256)
 
 
 def doc_id_col(collection: str, key: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmodel.functions.columns import PROVENANCE_COLUMNS
 from trackmodel.operators.upsert import CREATED, UPDATED
 
 
@@ -25,24 +26,13 @@ def import_outcome(outcomes: list[DataFrame] | DataFrame) -> DataFrame:
     """``(collection, op, status, n, message)``: the grouped result of an apply (R2)."""
     outcomes = outcomes if isinstance(outcomes, list) else [outcomes]
     both = reduce(lambda a, b: a.unionByName(b), outcomes)
-    g = both.groupBy("collection", "op", "status").agg(F.count(F.lit(1)).alias("n"))
+    g = both.groupBy("collection", "op", "status").agg(F.sum("n").alias("n"))
     msg = F.when(F.col("status") == CREATED, F.format_string("Created %d new documents", F.col("n"))) \
         .when(F.col("status") == UPDATED, F.format_string("Updated %d documents", F.col("n"))) \
         .otherwise(F.format_string("%d documents not applied: %s", F.col("n"), F.col("status")))
     return g.withColumn("message", msg)
 
 
-def with_provenance(df: DataFrame, author: str, message: str, file_name: str, mapping: str, fmt: str,
-                    source_file: bool = False) -> DataFrame:
-    """Stamp who imported what from where (R3). ``source_file=True`` adds the scanned file path of each
-    row, which is only available directly on a file scan (before any aggregation)."""
-    out = df.withColumns({
-        "import_author": F.lit(author),
-        "import_message": F.lit(message),
-        "import_file": F.lit(file_name),
-        "import_mapping": F.lit(mapping),
-        "import_format": F.lit(fmt),
-    })
-    if source_file:
-        out = out.withColumn("import_source_path", F.col("_metadata.file_path"))
-    return out
+def with_provenance(df: DataFrame, author: str, message: str, file_name: str, mapping: str, fmt: str) -> DataFrame:
+    """Stamp who imported what from where (R3). The stamps are no part of a document's version tag."""
+    return df.withColumns(dict(zip(PROVENANCE_COLUMNS, map(F.lit, (author, message, file_name, mapping, fmt)))))

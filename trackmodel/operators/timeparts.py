@@ -8,8 +8,11 @@ document is bounded by one slice.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackmodel.functions.columns import MS_FORMAT, parse_interval, to_epoch_ms
 
@@ -35,23 +38,22 @@ def _floor_div(d: Column, width: int) -> Column:
 
 
 def assign_partition(df: DataFrame, ms_col: str, width_ms: int, tail: str = TAIL_KEEP,
-                     bucket: str = "__bucket") -> DataFrame:
-    """Add the 1-based slice number ``bucket``; rows without a timestamp fall out.
+                     bucket: str = "__bucket", origin_ms: int | None = None) -> DataFrame:
+    """Add the 1-based slice number ``bucket``; rows without a usable timestamp stay, with a null number.
 
-    The minimum (and for ``tail='drop'`` the maximum) is a scalar subquery over the same rows: Spark
+    Slices count from ``origin_ms`` or, by default, from the data's minimum. The minimum (and for ``tail='drop'`` the maximum) is a scalar subquery over the same rows: Spark
     runs it once as a one-row aggregate and inlines the value, so no row is shuffled and nothing is
     collected. ``tail='drop'`` reproduces the legacy slicing loop, which emitted ``ceil(span/w)``
-    slices and so lost the rows at the maximum when the span is an exact multiple of ``w``.
+    slices and so lost the rows at the maximum when the span is an exact multiple of ``w``; no import uses it.
     """
     if tail not in (TAIL_KEEP, TAIL_DROP):
         raise ValueError(f"tail must be {TAIL_KEEP!r} or {TAIL_DROP!r}")
-    rows = df.filter(F.col(ms_col).isNotNull())
-    lo = rows.select(F.min(ms_col)).scalar()
-    out = rows.withColumn(bucket, _floor_div(F.col(ms_col) - lo, width_ms) + 1)
+    lo = df.select(F.min(ms_col)).scalar() if origin_ms is None else F.lit(int(origin_ms)).cast("long")
+    out = df.withColumn(bucket, _floor_div(F.col(ms_col) - lo, width_ms) + 1)
     if tail == TAIL_DROP:
-        hi = rows.select(F.max(ms_col)).scalar()
+        hi = df.select(F.max(ms_col)).scalar()
         n_slices = F.ceil((hi - lo) / F.lit(width_ms))
-        out = out.filter(F.col(bucket) <= n_slices)
+        out = out.filter((F.col(bucket) <= n_slices) | F.col(bucket).isNull())
     return out
 
 
@@ -74,6 +76,20 @@ def partition_suffix(key: Column, bucket: Column, interval: str, sep: str = "__"
     return F.concat(key.cast("string"), F.lit(suffix_text(interval, sep)), bucket.cast("string"))
 
 
-def time_range_filter(df: DataFrame, ms_col: str, lo_ms: int, hi_ms: int) -> DataFrame:
-    """Rows with ``lo <= ms <= hi`` (both inclusive); pushes down to Parquet when ``ms_col`` is stored."""
-    return df.filter(F.col(ms_col).between(lo_ms, hi_ms))
+def time_range_filter(df: DataFrame, col: str, lo_ms: int, hi_ms: int) -> DataFrame:
+    """Rows with ``lo <= time <= hi`` in epoch ms (both inclusive).
+
+    The bounds are converted once to the type of ``col`` (epoch-ms number, or timestamp read as UTC), so the
+    range is on the stored column itself and skips Parquet row groups.
+    """
+    dt = df.schema[col].dataType
+
+    def bound(ms: int, extra_us: int = 0) -> Column:
+        t = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=ms * 1000 + extra_us)
+        if isinstance(dt, T.TimestampNTZType):
+            return F.lit(t.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+        return F.lit(t.isoformat(sep=" ")).cast("timestamp")
+
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return df.filter((F.col(col) >= bound(lo_ms)) & (F.col(col) <= bound(hi_ms, 999)))
+    return df.filter(F.col(col).between(lo_ms, hi_ms))

@@ -38,7 +38,7 @@ def unnest(df: DataFrame, paths: list[Path], outer: bool = False, prefix: str =
 
     Returns the widened DataFrame and ``{path: column name}``. ``outer=False`` drops rows whose array
     is empty or null (as a plain unnest does); ``outer=True`` keeps them with a null element.
-    A step whose type is a struct instead of an array (a lone repeated XML child) is taken as is.
+    A step whose type is a struct instead of an array (a lone repeated XML child) is one element.
     """
     nodes = explode_trie([tuple(p) for p in paths if p])
     alias: dict[Path, str] = {}
@@ -64,6 +64,8 @@ def unnest(df: DataFrame, paths: list[Path], outer: bool = False, prefix: str =
                     arrays.append((child, expr))
                 elif isinstance(dt, T.StructType):
                     df = df.withColumn(name, expr)
+                    if not outer:  # as an empty array would: no child, no row, whatever type was inferred
+                        df = df.filter(F.col(name).isNotNull())
                 else:
                     raise ValueError(f"step {'/'.join(child)!r} is {dt.simpleString()}, not an array or struct")
             if len(arrays) == 1:

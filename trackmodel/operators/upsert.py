@@ -7,7 +7,8 @@ Plan/apply contract
   when the key set is small, so the store is streamed once and not shuffled). Each plan row carries
   ``op`` (CREATE/UPDATE), the merged business columns, and the ``_etag``/``_id`` it was planned against.
 * **merge**: incoming wins; structs merge field by field (recursively); arrays and scalars are replaced
-  whole; a null incoming value counts as absent.
+  whole; a null incoming value counts as absent. Both sides are first rebuilt to their common type: a
+  struct gains fields, numbers widen, nothing is ever turned into text.
 * **apply** re-joins the plan to the *current* version: same etag -> merged row (new ``_etag`` and
   ``_updated`` only if the content changed, so re-running an import is idempotent); other etag, or a
   CREATE whose key appeared meanwhile -> ``CONFLICT`` and the stored row stays; an UPDATE whose
@@ -18,17 +19,21 @@ Plan/apply contract
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackmodel.functions.columns import canonical_json, doc_id_col, etag_col
 from trackmodel.functions.pointers import KEY
+from trackmodel.functions.types import common_type, conform, lossy, overlay
 from trackmodel.sources.store import business_columns
 
 # --- fixed values: plan operations and apply outcomes ---
 OP_CREATE = "CREATE"
 OP_UPDATE = "UPDATE"
+OP_REJECT = "REJECT"
 CREATED = "CREATED"
 UPDATED = "UPDATED"
 CONFLICT = "CONFLICT"
@@ -36,6 +41,7 @@ DUPLICATE = "DUPLICATE"
 REPLACED = "REPLACED"
 EXISTS = "EXISTS"
 NO_KEY = "NO_KEY"
+REJECTED = "REJECTED"
 # --- end of fixed values ---
 
 DEF_COL = "__def"
@@ -47,40 +53,17 @@ def q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def _merge(new: Column, old: Column, nt: T.DataType, ot: T.DataType) -> Column:
-    if isinstance(nt, T.StructType) and isinstance(ot, T.StructType):
-        onames = {f.name: f.dataType for f in ot.fields}
-        nnames = {f.name: f.dataType for f in nt.fields}
-        fields = []
-        for f in nt.fields:
-            if f.name in onames:
-                fields.append(_merge(new.getField(f.name), old.getField(f.name), f.dataType, onames[f.name]).alias(f.name))
-            else:
-                fields.append(new.getField(f.name).alias(f.name))
-        for f in ot.fields:
-            if f.name not in nnames:
-                fields.append(old.getField(f.name).alias(f.name))
-        return F.when(new.isNull() & old.isNull(), F.lit(None)).otherwise(F.struct(*fields))
-    if nt == ot or (isinstance(nt, T.NumericType) and isinstance(ot, T.NumericType)):
-        return F.coalesce(new, old)
-    return F.coalesce(new.cast("string"), old.cast("string"))
-
-
-def _choose(cond: Column, new: Column, nt: T.DataType | None, old: Column, ot: T.DataType | None) -> Column:
-    """``new`` where ``cond`` holds, else ``old``; differing non-numeric types meet as text."""
-    if nt is not None and ot is not None and nt != ot and not (
-            isinstance(nt, T.NumericType) and isinstance(ot, T.NumericType)):
-        new, old = new.cast("string"), old.cast("string")
-    return F.when(cond, new).otherwise(old)
-
-
 def merge_columns(new_types: dict[str, T.DataType], old_types: dict[str, T.DataType],
                   new_col, old_col) -> list[Column]:
-    """Merged business columns (union of both sides' names); ``new_col(name)``/``old_col(name)`` give the inputs."""
+    """Merged business columns (union of both sides' names); ``new_col(name)``/``old_col(name)`` give the inputs.
+
+    Columns both sides have are rebuilt to their common type (:mod:`trackmodel.functions.types`) first.
+    """
     out = []
     for c, nt in new_types.items():
         if c in old_types:
-            out.append(_merge(new_col(c), old_col(c), nt, old_types[c]).alias(c))
+            dt = common_type(old_types[c], nt)
+            out.append(overlay(conform(new_col(c), nt, dt), conform(old_col(c), old_types[c], dt), dt).alias(c))
         else:
             out.append(new_col(c).alias(c))
     for c, ot in old_types.items():
@@ -89,12 +72,28 @@ def merge_columns(new_types: dict[str, T.DataType], old_types: dict[str, T.DataT
     return out
 
 
+def _choose(cond: Column, new: Column, nt: T.DataType, old: Column, ot: T.DataType) -> Column:
+    """``new`` where ``cond`` holds, else ``old``, both rebuilt to their common type."""
+    dt = common_type(ot, nt)
+    return F.when(cond, conform(new, nt, dt)).otherwise(conform(old, ot, dt))
+
+
+def _unfit(new_types: dict[str, T.DataType], old_types: dict[str, T.DataType], new_col) -> Column:
+    """Whether some incoming value does not fit the stored type of its column."""
+    parts = [lossy(new_col(c), nt, common_type(old_types[c], nt)) for c, nt in new_types.items() if c in old_types]
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
+
+
 def _types(df: DataFrame, cols: list[str]) -> dict[str, T.DataType]:
     return {c: df.schema[c].dataType for c in cols}
 
 
 def plan_upsert(incoming: DataFrame, existing: DataFrame, collection: str, key: str = KEY) -> DataFrame:
-    """Classify every incoming document CREATE/UPDATE against ``existing`` and merge."""
+    """Classify every incoming document CREATE/UPDATE against ``existing`` and merge.
+
+    A document with a value that does not fit the stored type of its column is ``REJECT``: applying the
+    plan reports it and leaves the stored document as it is.
+    """
     nb = business_columns(incoming)
     ob = business_columns(existing)
     keys = incoming.select(q(key).alias("__k")).distinct()
@@ -104,7 +103,8 @@ def plan_upsert(incoming: DataFrame, existing: DataFrame, collection: str, key:
     extra = [DEF_COL] if DEF_COL in incoming.columns else []
     j = incoming.join(old, q(key) == F.col("__ok"), "left")
     merged = merge_columns(_types(incoming, nb), _types(existing, ob), lambda c: q(c), lambda c: F.col(f"`__o_{c}`"))
-    op = F.when(F.col("__ok").isNull(), F.lit(OP_CREATE)).otherwise(F.lit(OP_UPDATE))
+    unfit = _unfit(_types(incoming, nb), _types(existing, ob), lambda c: q(c))
+    op = F.when(unfit, F.lit(OP_REJECT)).when(F.col("__ok").isNull(), F.lit(OP_CREATE)).otherwise(F.lit(OP_UPDATE))
     return j.select(F.lit(collection).alias("collection"), op.alias("op"), *merged,
                     F.col(PLAN_ID), F.col(PLAN_ETAG), *[F.col(c) for c in extra])
 
@@ -123,24 +123,32 @@ def batch_duplicates(incoming: DataFrame, key: str = KEY) -> DataFrame:
     return incoming.groupBy(q(key)).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+#: Repeated keys of one batch that may be broadcast to the batch.
+MAX_BROADCAST_KEYS = 100_000
+
+
 def dedup_plan(plan: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
-    """(one plan row per key, ``(key, op)`` of every other row of a repeated key).
+    """(one plan row per key, ``(key, op, n)``: how many further rows a repeated key has).
 
-    The winner is the least (definition order, canonical JSON). It is one aggregate with a map-side
-    partial combine (``min_by`` keeps one candidate per key and task), so a key repeated a million
-    times never meets in one task as a million rows. ``op`` depends on the key only, so the repeats
-    are reported as ``n - 1`` rows of ``(key, op)``.
+    The winner is the least (definition order, canonical JSON). Repeated keys are found on key, order and
+    a hash of the JSON alone; documents themselves are only touched for keys that do repeat, so a batch
+    without repeats is passed through unshuffled. A key repeated a million times meets as per-task minima.
     """
-    cols = [c for c in plan.columns if c != key]
     biz = business_columns(plan.drop("collection", "op"))
-    order = F.struct((q(DEF_COL) if DEF_COL in plan.columns else F.lit(0)).alias("d"), canonical_json(biz).alias("j"))
-    g = plan.groupBy(q(key)).agg(F.min_by(F.struct(*[q(c) for c in cols]), order).alias("__w"),
-                                 F.count(F.lit(1)).alias("__n"))
-    keep = g.select(q(key), *[F.col("__w").getField(c).alias(c) for c in cols])
-    dups = g.filter(F.col("__n") > 1).select(
-        q(key), F.col("__w.op").alias("op"),
-        F.explode(F.sequence(F.lit(2), F.col("__n").cast("int"))).alias("__c")).drop("__c")
-    return keep, dups
+    order = F.struct((q(DEF_COL) if DEF_COL in plan.columns else F.lit(0)).alias("d"),
+                     F.sha2(canonical_json(biz), 256).alias("j"))
+    slim = plan.select(q(key).alias("__rk"), order.alias("__ro"), F.col("op").alias("__rop"))
+    again = slim.groupBy("__rk").agg(F.min(F.struct("__ro", "__rop")).alias("__w"), F.count(F.lit(1)).alias("__n"))
+    again = again.filter(F.col("__n") > 1)
+    found = again.limit(MAX_BROADCAST_KEYS + 1).count()
+    dups = again.select(F.col("__rk").alias(key), F.col("__w.__rop").alias("op"), (F.col("__n") - 1).alias("n"))
+    if not found:
+        return plan, dups
+    keys = F.broadcast(again) if found <= MAX_BROADCAST_KEYS else again
+    once = plan.join(keys.select("__rk"), q(key) == F.col("__rk"), "left_anti")
+    best = plan.join(keys.select("__rk", F.col("__w.__ro").alias("__ro")), (q(key) == F.col("__rk")) & (
+        order == F.col("__ro"))).select(*[q(c) for c in plan.columns])
+    return once.unionByName(best.dropDuplicates([key])), dups
 
 
 def _stored_keys(current: DataFrame, keys: DataFrame, key: str, alias: str = "__ck") -> DataFrame:
@@ -156,7 +164,7 @@ def _stored_keys(current: DataFrame, keys: DataFrame, key: str, alias: str = "__
 
 def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column | None = None,
                key: str = KEY) -> tuple[DataFrame, DataFrame]:
-    """(new version of the collection, outcome per plan row ``(collection, key, op, status)``).
+    """(new version of the collection, outcome ``(collection, key, op, status, n)``: n plan rows).
 
     The version streams the current collection once through a left join with the (deduplicated) plan;
     the outcome needs only the key and ``_etag`` columns of the collection, which is all its scan reads.
@@ -166,6 +174,8 @@ def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column
     """
     now = now if now is not None else F.current_timestamp()
     plan = plan.filter(q(key).isNotNull())
+    refused = plan.filter(F.col("op") == OP_REJECT)
+    plan = plan.filter(F.col("op") != OP_REJECT)
     one, dups = dedup_plan(plan, key)
     pb = business_columns(one.drop("collection", "op"))
     cb = business_columns(current)
@@ -194,16 +204,26 @@ def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column
     new_rows = missing.filter(F.col("op") == OP_CREATE).select(
         *[q(c) for c in pb], doc_id_col(collection, q(key)).alias("_id"), etag_col(pb).alias("_etag"),
         now.alias("_created"), now.alias("_updated"))
-    version = kept.unionByName(new_rows, allowMissingColumns=True)
+    version = unite(kept, new_rows)
 
     lit_c = F.lit(collection).alias("collection")
+    one_row = F.lit(1).cast("long").alias("n")
     hit = j.filter(F.col("__pk").isNotNull()).select(
         lit_c, q(key), F.col("__op").alias("op"),
-        F.when(is_update, F.lit(UPDATED)).otherwise(F.lit(CONFLICT)).alias("status"))
+        F.when(is_update, F.lit(UPDATED)).otherwise(F.lit(CONFLICT)).alias("status"), one_row)
     miss = missing.select(lit_c, q(key), "op",
-                          F.when(F.col("op") == OP_CREATE, F.lit(CREATED)).otherwise(F.lit(CONFLICT)).alias("status"))
-    dup = dups.select(lit_c, q(key), "op", F.lit(DUPLICATE).alias("status"))
-    return version, hit.unionByName(miss).unionByName(dup)
+                          F.when(F.col("op") == OP_CREATE, F.lit(CREATED)).otherwise(F.lit(CONFLICT)).alias("status"), one_row)
+    dup = dups.select(lit_c, q(key), "op", F.lit(DUPLICATE).alias("status"), "n")
+    bad = refused.select(lit_c, q(key), "op", F.lit(REJECTED).alias("status"), one_row)
+    return version, hit.unionByName(miss).unionByName(dup).unionByName(bad)
+
+
+def unite(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Bag union by name; columns both have meet in their common type, missing ones are null."""
+    at, bt = _types(a, a.columns), _types(b, b.columns)
+    dts = {c: common_type(at[c], bt[c]) for c in at if c in bt}
+    return a.select(*[(conform(q(c), at[c], dts[c]) if c in dts else q(c)).alias(c) for c in at]).unionByName(
+        b.select(*[(conform(q(c), bt[c], dts[c]) if c in dts else q(c)).alias(c) for c in bt]), allowMissingColumns=True)
 
 
 def replace_by_key(current: DataFrame, docs: DataFrame, collection: str, overwrite: bool = False,
@@ -212,12 +232,13 @@ def replace_by_key(current: DataFrame, docs: DataFrame, collection: str, overwri
 
     Status per document: ``NO_KEY`` (no key), ``EXISTS`` (key present, ``overwrite=False``),
     ``REPLACED`` (key present, ``overwrite=True``: whole row replaced, ``_id``/``_created`` kept),
-    ``CREATED``. Returns (new version, status).
+    ``CREATED``, ``REJECTED`` (a value does not fit the stored type). Returns (new version, status).
     """
     now = now if now is not None else F.current_timestamp()
     nb = business_columns(docs)
     cb = business_columns(current)
-    valid = docs.filter(q(key).isNotNull())
+    unfit = _unfit(_types(docs, nb), _types(current, cb), lambda c: q(c))
+    valid = docs.filter(q(key).isNotNull() & ~unfit)
     one, _ = dedup_plan(valid.withColumn("op", F.lit(OP_CREATE)).withColumn("collection", F.lit(collection)), key)
     one = one.drop("op", "collection")
     nk = one.select(q(key).alias("__nk"), *[q(c).alias(f"__n_{c}") for c in nb])
@@ -240,9 +261,9 @@ def replace_by_key(current: DataFrame, docs: DataFrame, collection: str, overwri
     creates = one.join(cur_keys, q(key) == F.col("__ck"), "left_anti")
     new_rows = creates.select(*[q(c) for c in nb], doc_id_col(collection, q(key)).alias("_id"),
                               etag_col(nb).alias("_etag"), now.alias("_created"), now.alias("_updated"))
-    version = kept.unionByName(new_rows, allowMissingColumns=True)
+    version = unite(kept, new_rows)
     found = docs.join(cur_keys, q(key) == F.col("__ck"), "left")
-    st = F.when(q(key).isNull(), F.lit(NO_KEY)) \
+    st = F.when(q(key).isNull(), F.lit(NO_KEY)).when(unfit, F.lit(REJECTED)) \
         .when(F.col("__ck").isNull(), F.lit(CREATED)) \
         .when(F.lit(overwrite), F.lit(REPLACED)).otherwise(F.lit(EXISTS))
     status = found.select(F.lit(collection).alias("collection"), q(key), st.alias("status"))

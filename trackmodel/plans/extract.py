@@ -25,13 +25,16 @@ from pyspark.sql import types as T
 from trackmodel.functions import pointers as P
 from trackmodel.functions.pointers import Pointer, parse_pointer
 from trackmodel.operators.nest import nest_array, nest_collection, q, with_cols_index
-from trackmodel.operators.timeparts import TAIL_KEEP, assign_partition, normalize_ts, partition_suffix
+from trackmodel.operators.timeparts import assign_partition, normalize_ts, partition_suffix
 from trackmodel.operators.unnest import pointer_column, unnest
 from trackmodel.plans.mapping import Definition
 
 BUCKET = "__bucket"
 TS_MS = "__ts_ms"
 DEF_COL = "__def"
+REASON = "reason"
+NO_KEY = "NO_KEY"
+NO_TIMESTAMP = "NO_TIMESTAMP"
 
 
 class _Resolver:
@@ -93,14 +96,18 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 
 def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", sep: str = "__",
-                       tail: str = TAIL_KEEP, outer: bool = False) -> DataFrame:
-    """Documents of one definition (null keys included; see :func:`split_rejected`)."""
+                       outer: bool = False) -> DataFrame:
+    """Documents of one definition (null keys included; see :func:`split_rejected`).
+
+    Rows of a partitioned definition without a usable timestamp are in :func:`untimed_rows`, not here.
+    """
     r = _Resolver(df, d, outer)
     u = r.df
     group: list[str] = []
     if d.partition:
         u = normalize_ts(u, r.col(d.partition.ts), time_format, out=TS_MS)
-        u = assign_partition(u, TS_MS, d.partition.width_ms, tail=tail, bucket=BUCKET)
+        u = assign_partition(u, TS_MS, d.partition.width_ms, bucket=BUCKET, origin_ms=d.partition.origin_ms)
+        u = u.filter(F.col(BUCKET).isNotNull())
         group.append(BUCKET)
 
     # outer literals are constants: they stay out of every group key and are added to the documents
@@ -180,6 +187,22 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
     return docs
 
 
+def untimed_rows(df: DataFrame, d: Definition, time_format: str = "ms", outer: bool = False) -> DataFrame:
+    """``(key, reason)`` of every unnested row whose timestamp is missing or does not parse; flat, never nested."""
+    r = _Resolver(df, d, outer)
+    key = next(a.pointer for a in d.attrs if a.name == P.KEY)
+    rows = normalize_ts(r.df, r.col(d.partition.ts), time_format, out=TS_MS)
+    return rows.filter(F.col(TS_MS).isNull()).select(r.col(key).cast("string").alias(P.KEY), F.lit(NO_TIMESTAMP).alias(REASON))
+
+
+def rejected_rows(docs: DataFrame, df: DataFrame, defs: list[Definition], time_format: str = "ms",
+                  outer: bool = False) -> DataFrame:
+    """``(key, reason)``: documents without a key, and rows without a usable timestamp."""
+    parts = [docs.filter(q(P.KEY).isNull()).select(q(P.KEY), F.lit(NO_KEY).alias(REASON))]
+    parts += [untimed_rows(df, d, time_format, outer) for d in defs if d.partition]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def split_rejected(docs: DataFrame, key: str = P.KEY) -> tuple[DataFrame, DataFrame]:
     """(documents with a key, documents without one); the latter are reported, never imported."""
     return docs.filter(q(key).isNotNull()), docs.filter(q(key).isNull())
@@ -198,8 +221,8 @@ def union_definitions(parts: list[DataFrame], tag: bool = False) -> DataFrame:
 
 
 def extract_collection(df: DataFrame, defs: list[Definition], time_format: str = "ms", sep: str = "__",
-                       tail: str = TAIL_KEEP, outer: bool = False, tag: bool = False) -> DataFrame:
-    parts = [extract_definition(df, d, time_format, sep, tail, outer) for d in defs]
+                       outer: bool = False, tag: bool = False) -> DataFrame:
+    parts = [extract_definition(df, d, time_format, sep, outer) for d in defs]
     if tag:
         parts = [p.withColumn(DEF_COL, F.lit(d.index)) for p, d in zip(parts, defs)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

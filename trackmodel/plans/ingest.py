@@ -9,18 +9,19 @@ staged plans against the *current* store versions with etag checks and writes ne
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmodel.operators.report import import_counts, import_outcome, with_provenance
-from trackmodel.operators.timeparts import TAIL_KEEP
-from trackmodel.operators.upsert import apply_plan, plan_creates, plan_upsert
-from trackmodel.plans.extract import extract_collection, feature_constants, split_rejected
+from trackmodel.operators.upsert import OP_REJECT, REJECTED, apply_plan, plan_creates, plan_upsert
+from trackmodel.plans.extract import extract_collection, feature_constants, rejected_rows, split_rejected
 from trackmodel.plans.mapping import Mapping, parse_mapping
-from trackmodel.session import scratch_path
+from trackmodel.functions.pointers import KEY
+from trackmodel.session import delete, scratch_path
 from trackmodel.sources.files import read_source
-from trackmodel.sources.store import CollectionStore
+from trackmodel.sources.store import CollectionStore, VersionConflict
 
 
 @dataclass
@@ -35,22 +36,22 @@ class ImportPlan:
         return import_counts(list(self.plans.values()))
 
     def rejected_counts(self) -> DataFrame:
-        """``(collection, n)``: documents left out because their key is null."""
-        parts = [r.select(F.lit(c).alias("collection")) for c, r in self.rejected.items()]
+        """``(collection, reason, n)``: what was left out for want of a key or a usable timestamp."""
+        parts = [r.select(F.lit(c).alias("collection"), "reason") for c, r in self.rejected.items()]
         both = parts[0]
         for p in parts[1:]:
             both = both.unionByName(p)
-        return both.groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+        return both.groupBy("collection", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def extract_documents(source: DataFrame, mapping: Mapping, sep: str = "__", tail: str = TAIL_KEEP,
-                      outer: bool = False, tag: bool = True) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Documents and rejects (null key) per collection, all lazy."""
+def extract_documents(source: DataFrame, mapping: Mapping, sep: str = "__", outer: bool = False,
+                      tag: bool = True) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Documents, and rejects ``(key, reason)``, per collection, all lazy."""
     docs, rejects = {}, {}
     for collection, defs in mapping.collections.items():
-        d = extract_collection(source, defs, mapping.file.timestamp_format, sep, tail, outer, tag=tag)
-        d = feature_constants(d, mapping.features)
-        docs[collection], rejects[collection] = split_rejected(d)
+        d = extract_collection(source, defs, mapping.file.timestamp_format, sep, outer, tag=tag)
+        rejects[collection] = rejected_rows(d, source, defs, mapping.file.timestamp_format, outer)
+        docs[collection], _ = split_rejected(feature_constants(d, mapping.features))
     return docs, rejects
 
 
@@ -70,8 +71,8 @@ def stage_plan(plan: DataFrame, path: str) -> DataFrame:
 
 def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | DataFrame, store: CollectionStore,
                 inputs: dict | None = None, stage_dir: str | None = None, provenance: dict | None = None,
-                sep: str = "__", tail: str = TAIL_KEEP, outer: bool = False, stage_source: bool | None = None,
-                schema=None) -> ImportPlan:
+                sep: str = "__", outer: bool = False, stage_source: bool | None = None, schema=None,
+                sampling_ratio: float | None = None, multi_line: bool = False) -> ImportPlan:
     """Validate an import: documents and upsert plan per collection, staged under ``stage_dir``.
 
     ``stage_source`` (default: when a text file feeds more than one pass) parses the provider file once
@@ -83,17 +84,21 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
     if isinstance(source, DataFrame):
         df = source
     else:
-        df = read_source(spark, m.file, source, schema=schema)
+        df = read_source(spark, m.file, source, schema, sampling_ratio, multi_line)
         passes = len(m.definitions()) + sum(1 for d in m.definitions() if d.partition)
         if stage_source if stage_source is not None else passes > 1:
             df.write.mode("errorifexists").parquet(f"{stage_dir}/__source")
             df = spark.read.schema(df.schema).parquet(f"{stage_dir}/__source")
-    docs, rejects = extract_documents(df, m, sep, tail, outer)
-    ip = ImportPlan(m, stage_dir=stage_dir, rejected=rejects)
+    docs, rejects = extract_documents(df, m, sep, outer)
+    tagged = [r.withColumn("collection", F.lit(c)) for c, r in rejects.items()]
+    left_out = stage_documents(reduce(lambda a, b: a.unionByName(b), tagged), f"{stage_dir}/__rejected")
+    ip = ImportPlan(m, stage_dir=stage_dir, rejected={
+        c: left_out.filter(F.col("collection") == c).drop("collection") for c in rejects})
     for collection, d in docs.items():
         if provenance:
             d = with_provenance(d, **provenance)
-        if store.current_version(collection) is None:
+        base = store.current_version(collection)
+        if base is None:
             # nothing stored yet: every document is a CREATE and the plan needs no join
             ip.documents[collection] = d
             plan = plan_creates(d, collection)
@@ -101,7 +106,7 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
             # the documents are computed once: the plan reads them twice (keys, then rows)
             d = stage_documents(d, f"{stage_dir}/{collection}__documents")
             ip.documents[collection] = d
-            plan = plan_upsert(d, store.scan(collection), collection)
+            plan = plan_upsert(d, store.scan(collection, version=base), collection)
         ip.plans[collection] = stage_plan(plan, f"{stage_dir}/{collection}")
     return ip
 
@@ -109,17 +114,30 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
 def apply_import(spark: SparkSession, ip: ImportPlan, store: CollectionStore, now: Column | None = None) -> DataFrame:
     """Apply staged plans and write one new version per collection; returns the grouped outcome.
 
-    The outcome stays lazy: it reads the staged plan and the key/etag columns of the version the plan
-    was applied to, both of which stay on disk after the switch to the new version.
+    Each version claims the number after the one it was made from; when another writer was faster, the plan
+    is applied again to the newer version, where documents changed meanwhile come out as ``CONFLICT``.
+    The outcome (with what was rejected before planning, as ``REJECTED``) is stored and read back; then the
+    staged source and documents are deleted. The plans stay, as the record of what was applied.
     """
     now = now if now is not None else F.current_timestamp()
     outs = []
     for collection, plan in ip.plans.items():
-        current = store.scan(collection)
-        version, outcome = apply_plan(plan, current, collection, now)
-        store.write_version(collection, version)
+        while True:
+            base = store.current_version(collection)
+            version, outcome = apply_plan(plan, store.scan(collection, version=base), collection, now)
+            try:
+                store.write_version(collection, version, base or 0)
+                break
+            except VersionConflict:
+                if store.current_version(collection) == base:
+                    raise  # claimed by a writer that has not finished
         outs.append(outcome)
-    return import_outcome(outs)
+    outs += [r.select(F.lit(c).alias("collection"), F.col(KEY), F.lit(OP_REJECT).alias("op"),
+                      F.lit(REJECTED).alias("status"), F.lit(1).cast("long").alias("n")) for c, r in ip.rejected.items()]
+    outcome = stage_documents(import_outcome(outs), f"{ip.stage_dir}/__outcome")
+    for name in ["__source", *[f"{c}__documents" for c in ip.plans]]:
+        delete(spark, f"{ip.stage_dir}/{name}")
+    return outcome
 
 
 def ingest(spark: SparkSession, mapping: dict | Mapping, source: str | DataFrame, store: CollectionStore,

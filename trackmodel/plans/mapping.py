@@ -42,6 +42,7 @@ class Partition:
     interval: str
     ts: str
     width_ms: int
+    origin_ms: int | None = None  # slices count from here; None: from the data's minimum
 
 
 @dataclass
@@ -190,7 +191,7 @@ def parse_definition(collection: str, body: dict, index: int = 0, inputs: dict |
     part = body.get(P.PARTITION)
     if part is not None:
         _, _, width = parse_interval(part["interval"])
-        d.partition = Partition(part["interval"], part["ts_field"], width)
+        d.partition = Partition(part["interval"], part["ts_field"], width, part.get("origin_ms"))
     return d
 
 

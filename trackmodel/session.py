@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -65,14 +64,14 @@ def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> di
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting (tests) gets a folder of its own.
+    Only a local-mode session without that setting (tests) gets one, below its warehouse folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         master = spark.sparkContext.master
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        d = tempfile.mkdtemp(prefix="trackmodel-ckpt-")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
@@ -84,15 +83,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{_SCRATCH}/{uuid.uuid4().hex}/{name}"
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+def create_file(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False when it is there already. Only one caller succeeds."""
+    fs, p = _fs(spark, path)
+    return bool(fs.createNewFile(p))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
 
 
 def list_dirs(spark: SparkSession, path: str) -> list[str]:
@@ -114,4 +118,4 @@ def glob_parents(spark: SparkSession, pattern: str) -> list[str]:
     return [] if found is None else [st.getPath().getParent().getName() for st in found]
 
 
-__all__ = ["get_spark", "scale_conf", "shared_dir", "scratch_path", "exists", "list_dirs", "local_path", "glob_parents"]
+__all__ = ["get_spark", "scale_conf", "shared_dir", "scratch_path", "create_file", "delete", "list_dirs", "glob_parents"]

@@ -56,7 +56,7 @@ def _field_values(v: _Vals, name: str) -> _Vals:
 def _flatten_values(v: _Vals) -> _Vals:
     # the node's values are arrays: turn them into a list of elements
     if v.is_list:
-        return _Vals(F.flatten(v.col), True)
+        return _Vals(F.flatten(F.filter(v.col, lambda x: x.isNotNull())), True)  # a null inner array holds nothing
     return _Vals(v.col, True)
 
 

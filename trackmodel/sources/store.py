@@ -2,7 +2,8 @@
 
 ``<root>/<collection>/v000001/`` ... Every change writes a complete new version next to the current one;
 a version counts once its ``_SUCCESS`` marker exists (the job commit), so readers never see a half
-written version and a failed or retried job leaves the current version untouched. Documents are
+written version and a failed or retried job leaves the current version untouched. A writer claims the
+version after the one it read; only one can (see ``write_version``). Documents are
 rows; business columns may differ between documents (missing = null) and widen over versions.
 """
 
@@ -16,10 +17,13 @@ from pyspark.sql import types as T
 
 from trackmodel.functions.columns import SYSTEM_COLUMNS, doc_id_col, etag_col
 from trackmodel.functions.pointers import KEY
-from trackmodel.session import glob_parents, list_dirs
+from trackmodel.session import create_file, delete, glob_parents, list_dirs
 
 _VERSION = re.compile(r"^v(\d{6})$")
 
+#: Columns a batch or plan carries beside its documents.
+PLAN_COLUMNS = ("__def", "__plan_etag", "__plan_id")
+
 EMPTY_SCHEMA = T.StructType([
     T.StructField(KEY, T.StringType()),
     T.StructField("_id", T.StringType()),
@@ -30,7 +34,7 @@ EMPTY_SCHEMA = T.StructType([
 
 
 def business_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in SYSTEM_COLUMNS and not c.startswith("__")]
+    return [c for c in df.columns if c not in SYSTEM_COLUMNS and c not in PLAN_COLUMNS]
 
 
 def strip_system(df: DataFrame) -> DataFrame:
@@ -47,6 +51,14 @@ def with_system(df: DataFrame, collection: str, now: Column, key: str = KEY) ->
                      now.alias("_created"), now.alias("_updated"))
 
 
+#: A page is a top-k, and k grows with the page number; deeper reads go by key (``page_after``).
+MAX_PAGE_ROWS = 100_000
+
+
+class VersionConflict(RuntimeError):
+    """Another writer has taken the version that this write was to become."""
+
+
 class CollectionStore:
     def __init__(self, spark: SparkSession, root: str, key: str = KEY):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
@@ -83,6 +95,8 @@ class CollectionStore:
         """Page ``page`` (1-based) of ``max_results`` documents in key order (S6); a top-k per task, not a sort of all."""
         if page < 1 or max_results < 1:
             raise ValueError("page and max_results start at 1")
+        if page * max_results > MAX_PAGE_ROWS:
+            raise ValueError(f"pages end at document {MAX_PAGE_ROWS}; use page_after for deep reads")
         df = self.scan(collection, system)
         return df.orderBy(F.col(self.key)).offset((page - 1) * max_results).limit(max_results)
 
@@ -97,39 +111,68 @@ class CollectionStore:
         return df.orderBy(F.col(self.key)).limit(max_results)
 
     def lookup(self, collection: str, keys: DataFrame | list, by: str | None = None, system: bool = True) -> DataFrame:
-        """Documents whose key (or ``_id``, with ``by='_id'``) is among ``keys``.
+        """Documents whose key or ``_id`` is among ``keys``; ``by`` restricts to one of the two.
 
         A list becomes an ``IN`` filter that reaches the Parquet scan; a DataFrame of keys becomes a
         left-semi join, which AQE turns into a broadcast when the key set is small at run time.
         """
-        by = by or self.key
         df = self.scan(collection, system=True)
+        columns = [by] if by else [self.key, "_id"]
         if isinstance(keys, DataFrame):
             k = keys.select(F.col(keys.columns[0]).cast("string").alias("__k")).distinct()
-            out = df.join(k, F.col(by) == F.col("__k"), "left_semi")
+            found = [df.join(k, F.col(c) == F.col("__k"), "left_semi") for c in columns]
+            # a document found by its key is not returned again for its id
+            out = found[0] if len(found) == 1 else found[0].unionByName(
+                found[1].join(k, F.col(columns[0]) == F.col("__k"), "left_anti"))
         else:
-            out = df.filter(F.col(by).isin([str(x) for x in keys]))
+            among = [F.col(c).isin([str(x) for x in keys]) for c in columns]
+            out = df.filter(among[0] if len(among) == 1 else among[0] | among[1])
         return out if system else strip_system(out)
 
     # ---- writes ---------------------------------------------------------------------------------
-    def write_version(self, collection: str, df: DataFrame) -> int:
-        """Write ``df`` as the next version and return its number (never overwrites what is read).
+    def write_version(self, collection: str, df: DataFrame, base: int | None = None) -> int:
+        """Write ``df`` as the version after ``base`` and return its number (never overwrites what is read).
 
-        Numbers also skip folders of writes that never committed (no ``_SUCCESS``), so a retry after a
-        lost driver starts a fresh folder; readers ignore uncommitted folders.
+        ``base`` is the version ``df`` was made from (0: none; default: the current one). The next number is
+        claimed by creating its marker file, which only one writer can do; who comes second gets
+        :class:`VersionConflict` and applies again to the newer version, so no write is lost. A writer that
+        died between claim and commit leaves an uncommitted claim, which readers ignore and ``release`` removes.
         """
-        taken = [int(m.group(1)) for m in (_VERSION.match(n) for n in list_dirs(self.spark, f"{self.root}/{collection}"))
-                 if m]
-        v = max(taken, default=0) + 1
+        base = (self.current_version(collection) or 0) if base is None else base
+        v = base + 1
+        if (self.current_version(collection) or 0) != base or not create_file(self.spark, f"{self.path(collection, v)}.claim"):
+            raise VersionConflict(f"{collection}: version {v} is taken; apply again to the current version")
         w = df.write.mode("errorifexists")
         # Parquet bloom filters on the lookup columns: a keyed lookup (= or IN, pushed to the scan) skips
         # every row group that cannot hold the key, whatever order the documents were written in
         for c in (self.key, "_id"):
             if c in df.columns:
                 w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        w.parquet(self.path(collection, v))
+        try:
+            w.parquet(self.path(collection, v))
+        except Exception:
+            self.release(collection, v)
+            raise
         return v
 
+    def release(self, collection: str, version: int) -> None:
+        """Give up an uncommitted version: its files and its claim go; a committed one is left alone."""
+        if version not in self.versions(collection):
+            delete(self.spark, self.path(collection, version))
+            delete(self.spark, f"{self.path(collection, version)}.claim")
+
+    def vacuum(self, collection: str, keep: int = 2) -> list[int]:
+        """Delete all but the newest ``keep`` versions (1 at least); returns the deleted numbers."""
+        old = self.versions(collection)[:-max(1, keep)]
+        for v in old:
+            delete(self.spark, self.path(collection, v))
+            delete(self.spark, f"{self.path(collection, v)}.claim")
+        return old
+
+    def drop(self, collection: str) -> None:
+        """Delete a whole collection, all versions."""
+        delete(self.spark, f"{self.root}/{collection}")
+
     def initialize(self, collection: str, docs: DataFrame, now: Column | None = None) -> int:
         """Create a collection from documents without system attributes."""
         now = now if now is not None else F.current_timestamp()

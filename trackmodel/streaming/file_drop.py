@@ -1,14 +1,17 @@
 """Continuous import of provider files dropped into a folder, with Structured Streaming.
 
 Each micro-batch takes whole files (``maxFilesPerTrigger``) and is imported exactly like a one-off import
-(documents -> staged plan -> apply into the store) inside ``foreachBatch``. With one file per batch,
-time slices count from that file's own minimum, as for a single upload. A batch that is re-run after
+(documents -> staged plan -> apply into the store) inside ``foreachBatch``. Time slices
+count from the epoch unless the mapping's partition names another ``origin_ms``, so keys and content do not
+depend on which files share a batch; files that meet in one slice of one key belong in one batch. A batch that is re-run after
 a failure applies the same documents again, which only re-confirms them (unchanged ``_etag``), so the
 store converges to the same state. Progress is kept in ``checkpoint_location`` (a shared folder).
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,6 +44,9 @@ def file_drop_import(spark: SparkSession, mapping: dict | Mapping, folder: str,
     source needs a fixed schema); pass it explicitly for a folder that starts empty.
     """
     m = mapping if isinstance(mapping, Mapping) else parse_mapping(mapping, inputs)
+    for d in m.definitions():
+        if d.partition and d.partition.origin_ms is None:
+            d.partition = replace(d.partition, origin_ms=0)
     if schema is None:
         schema = read_source(spark, m.file, folder).schema
 
