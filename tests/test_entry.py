@@ -16,8 +16,9 @@ def test_registry_complete():
 def test_entry_runs(spark):
     df = entry.entry(spark)
     rows = df.collect()
-    assert df.columns == ["schema_identifier", "n_moments", "n_tuples"]
-    assert len(rows) > 0 and all(r["schema_identifier"].startswith("1__1h_") for r in rows)
+    assert df.columns == ["collection", "schema_identifier", "n_items", "n_tuples", "total"]
+    assert {r["collection"] for r in rows} == {"Feeds", "Users", "Kinds", "Activity"}
+    assert {r["schema_identifier"] for r in rows if r["collection"] == "Feeds"} == {"activity", "CREATE CREATED"}
 
 
 @pytest.mark.parametrize("name", ["ingest_flat", "nest_two_level", "upsert_merge", "sibling_unnest", "time_partition",

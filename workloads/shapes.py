@@ -41,12 +41,12 @@ def write(df: DataFrame, fmt: str, name: str, sf_dir: str, **options) -> str:
     return _WRITTEN[key]
 
 
-def nation_csv(spark: SparkSession, sf_dir: str) -> str:
-    return write(table(spark, sf_dir, "nation"), "csv", "nation-csv", sf_dir, header=True, sep=";")
+def customer_csv(spark: SparkSession, sf_dir: str) -> str:
+    return write(table(spark, sf_dir, "customer"), "csv", "customer-csv", sf_dir, header=True, sep=";")
 
 
-def nation_xml(spark: SparkSession, sf_dir: str) -> str:
-    return write(table(spark, sf_dir, "nation"), "xml", "nation-xml", sf_dir, rowTag="nation", rootTag="nations")
+def customer_xml(spark: SparkSession, sf_dir: str) -> str:
+    return write(table(spark, sf_dir, "customer"), "xml", "customer-xml", sf_dir, rowTag="customer", rootTag="customers")
 
 
 LINE_FIELDS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
@@ -115,17 +115,11 @@ def customer_orders_file(spark: SparkSession, sf_dir: str, via_struct: bool = Fa
 
 
 def events_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flat positional feed from ``events`` with provider-style column names."""
+    """A flat activity log from ``events``."""
     e = table(spark, sf_dir, "events")
-    return e.select(
-        epoch_ms("ts").alias("ts in ms"),
-        F.col("event_id").alias("event id"),
-        F.col("user_id").alias("sensor id"),
-        F.col("event_type").alias("group name"),
-        F.col("value").alias("x in m"),
-        F.get_json_object("props", "$.k").cast("int").alias("y in m"),
-        F.lit(None).cast("string").alias("metabolic power in W/kg"),
-    )
+    return e.select(epoch_ms("ts").alias("at ms"), F.col("event_id").alias("event no"), F.col("user_id").alias("user"),
+                    F.col("event_type").alias("kind"), F.col("value").alias("reading"),
+                    F.get_json_object("props", "$.k").cast("int").alias("step"))
 
 
 def events_csv(spark: SparkSession, sf_dir: str) -> str:
@@ -137,31 +131,21 @@ XML_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"
 XML_TS_WRITE = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
-def events_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ``Positions`` row per (user, hour): ``Metadata`` plus ``FrameSet`` per event type with ``Frame``s.
-
-    The hour bounds a row (a provider's position file covers a stretch of time), so a user holding a
-    third of all events is spread over as many rows as it has hours."""
-    e = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", "value",
-        F.date_format("ts", "yyyyMMdd").alias("day"),
-        F.date_format("ts", "HH").alias("hour"),
-        F.date_format("ts", XML_TS_WRITE).alias("t"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"))
-    frame = F.struct(F.col("event_id").alias("_N"), F.col("t").alias("_T"), F.col("value").alias("_X"),
-                     F.col("k").alias("_Y"))
-    fs = e.groupBy("user_id", "day", "hour", "event_type").agg(F.sort_array(F.collect_list(frame)).alias("Frame"))
-    fs = fs.select("user_id", "day", "hour", F.struct(
-        F.col("day").alias("_GameSection"),
-        F.concat(F.lit("M"), F.col("day")).alias("_MatchId"),
-        F.col("event_type").alias("_TeamId"),
-        F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("_PersonId"),
-        F.col("Frame")).alias("fs"))
-    pos = fs.groupBy("user_id", "day", "hour").agg(F.sort_array(F.collect_list("fs")).alias("FrameSet"))
-    return pos.select(F.struct(F.concat(F.lit("M"), F.col("day")).alias("_MatchId"),
-                               F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("_UserId")).alias("Metadata"),
-                      "FrameSet")
+def events_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ``Recording`` row per (user, hour): a ``Head``, and a ``Track`` of ``Point``s per event type.
+
+    The hour bounds a row, so a user holding a third of all events is spread over as many rows as it has hours."""
+    e = table(spark, sf_dir, "events")
+    point = F.struct(F.col("event_id").alias("_no"), epoch_ms("ts").alias("_ms"),
+                     F.date_format("ts", XML_TS_WRITE).alias("_at"), F.col("value").alias("_v"),
+                     F.get_json_object("props", "$.k").cast("int").alias("_k"))
+    e = e.select("user_id", "event_type", F.date_format("ts", "yyyyMMddHH").alias("hour"), point.alias("point"))
+    tracks = e.groupBy("user_id", "hour", "event_type").agg(F.sort_array(F.collect_list("point")).alias("Point"))
+    rows = tracks.groupBy("user_id", "hour").agg(F.sort_array(F.collect_list(
+        F.struct(F.col("event_type").alias("_kind"), "Point"))).alias("Track"))
+    return rows.select(F.struct(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("_user"),
+                                F.col("hour").alias("_hour")).alias("Head"), "Track")
 
 
 def events_xml(spark: SparkSession, sf_dir: str) -> str:
-    return write(events_positions(spark, sf_dir), "xml", "positions-xml", sf_dir, rowTag="Positions", rootTag="Feed")
+    return write(events_recordings(spark, sf_dir), "xml", "recordings-xml", sf_dir, rowTag="Recording", rootTag="Log")
