@@ -20,6 +20,7 @@ table. Other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from zlib import crc32
 
@@ -28,29 +29,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import array_bpe
 from .common import map_arrow, numbered, ranked, text_chunks, texts_of
 
 #: Nodes of the search, fillings tried at a node, and pieces that are tried as the first of three.
 NODES, WIDTH, FIRST = 60_000, 4, 48
-#: Ids of words a worker keeps; beyond that it starts anew.
-CACHE = 300_000
+#: Words, and parts of words, whose ids a worker keeps; beyond that it starts anew.
+CACHE = 400_000
+#: The tokenizer's pattern, the same for lower-case ASCII, and the first character beyond Latin.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+BEYOND_LATIN = "\u0250"
 
 Filling = tuple[int, ...]
 
 
 class WordIds:
-    """Ids of whole texts through the library's tokenizer; each distinct word is encoded once.
+    """Ids of whole texts as the library's tokenizer gives them; each distinct word is encoded once.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row.
-    Characters that Python alone counts as white space send the text to the tokenizer as it is.
+    Words of Latin characters, which its normal form leaves as they are, are lower-cased, split by its pattern
+    and merged many at a time; words with other characters or special strings go to the library. Characters
+    that Python alone counts as white space send the whole text there.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.bpe = Tokenizer.from_file(path), array_bpe(path)
+        self.split = regex.compile(PATTERN).findall
+        self.plain = re.compile(ASCII_PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -59,14 +71,35 @@ class WordIds:
                     for e in self.library.encode_batch_fast(texts[i:i + 2000], add_special_tokens=False)]
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        split, other = {}, []
+        for w in new:
+            if "<|" in w:
+                other.append(w)
+            elif w.isascii():
+                split[w] = self.plain(w.lower())
+            elif max(w) < BEYOND_LATIN:
+                split[w] = self.split(w.lower())
+            else:
+                other.append(w)
+        self.known.update(zip(other, self._encode(other)))
+        todo = list(set().union(*split.values()).difference(self.parts))
+        ids, n = self.bpe.encode([w.encode("utf-8") for w in todo])
+        flat, end = ids.astype("<u4").tobytes(), (np.cumsum(n) * 4).tolist()
+        self.parts.update(zip(todo, map(flat.__getitem__, map(slice, [0, *end[:-1]], end))))
+        get = self.parts.__getitem__
+        for w, p in split.items():
+            self.known[w] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         words = [[] if o else t.split() for t, o in zip(texts, odd)]
         new = set().union(*words)
         if len(self.known) + len(new) > CACHE:
             self.known = {}
-        new = list(new.difference(self.known))
-        self.known.update(zip(new, self._encode(new)))
+        if len(self.parts) > CACHE:
+            self.parts = {}
+        self._learn(list(new.difference(self.known)))
         get = self.known.__getitem__
         return [self._encode([t])[0] if o else b"".join(map(get, w)) for t, w, o in zip(texts, words, odd)]
 
