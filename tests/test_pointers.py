@@ -3,25 +3,25 @@ import pytest
 from trackmodel.functions.columns import parse_interval
 from trackmodel.functions.pointers import parse_pointer, urlify
 from trackmodel.plans.mapping import parse_mapping
-from tests.conftest import FLAT_MAPPING
+from tests.conftest import LOG_MAPPING
 
 
 def test_urlify_rule():
-    assert urlify("speed in m/s") == "speed_in_ms"
-    assert urlify("Metadata.PitchSize._X") == "MetadataPitchSize_X"
-    assert urlify("FrameSet/Frame/_S") == "FrameSetFrame_S"
-    assert urlify("metabolic power in W/kg") == "metabolic_power_in_Wkg"
+    assert urlify("flow in l/min") == "flow_in_lmin"
+    assert urlify("Place.Inner._lat") == "PlaceInner_lat"
+    assert urlify("Desk/Loan/_days") == "DeskLoan_days"
+    assert urlify("humid %") == "humid_"
 
 
 def test_pointer_forms():
-    p = parse_pointer("speed in m/s", ["speed in m/s"])
+    p = parse_pointer("flow in l/min", ["flow in l/min"])
     assert p.verbatim and p.explode == ()
     p = parse_pointer("a.b.c")
     assert p.explode == () and p.steps == ("a", "b", "c")
-    p = parse_pointer("events/home.players/playerid")
-    assert p.explode == ("events", "home.players") and p.steps == ("playerid",)
-    p = parse_pointer("events/moments/[5]")
-    assert p.explode == ("events", "moments") and p.steps == (5,)
+    p = parse_pointer("visits/tech.tools/tool")
+    assert p.explode == ("visits", "tech.tools") and p.steps == ("tool",)
+    p = parse_pointer("visits/log/[5]")
+    assert p.explode == ("visits", "log") and p.steps == (5,)
     p = parse_pointer("dshs#mapping_1")
     assert p.is_literal and p.literal == "1"
 
@@ -45,12 +45,12 @@ def test_interval_units():
 
 
 def test_mapping_parse_and_older_shape():
-    m = parse_mapping(FLAT_MAPPING)
-    assert set(m.collections) == {"Games", "Participants", "Teams", "GameSections"}
-    gs = m.collections["GameSections"][0]
-    assert gs.partition.width_ms == 300000
-    assert gs.nested.array.name == "participants"
-    assert [a.name for a in gs.nested.array.members][4] == "speed_in_ms"
+    m = parse_mapping(LOG_MAPPING)
+    assert set(m.collections) == {"Houses", "Probes", "Logs"}
+    logs = m.collections["Logs"][0]
+    assert logs.partition.width_ms == 300000
+    assert logs.nested.array.name == "values"
+    assert [a.name for a in logs.nested.array.members] == ["a_id", "temp", "humid_"]
     # Q15: a definition dict instead of a list is accepted
     older = {"name": "o", "file": {"format": "csv"}, "data": {"Teams": {"a": "collection", "schema_identifier": "x"}}}
     assert len(parse_mapping(older).collections["Teams"]) == 1
