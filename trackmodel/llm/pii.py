@@ -256,7 +256,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """Weights (labels x buckets) and moves (labels x labels), by AdaGrad on the log-likelihood; None without labels."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id"))
     rows = rows.filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text", "id"))
-    rows = rows.orderBy("h").limit(TRAIN_DOCS).select("text", "h")
+    last = rows.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
+    rows = rows.filter(F.col("h") <= F.lit(last)).select("text", "h")
 
     def cut(batches):
         for b in text_chunks(batches, "text"):
