@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
+from unicodedata import category
 from zlib import crc32
 
 import numpy as np
@@ -36,72 +37,60 @@ from .common import map_arrow, numbered, ranked, text_chunks, texts_of
 NODES, WIDTH, FIRST = 60_000, 4, 48
 #: Words, and parts of words, whose ids a worker keeps; beyond that it starts anew.
 CACHE = 400_000
-#: The tokenizer's pattern, the same for lower-case ASCII, and the first character beyond Latin.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
-BEYOND_LATIN = "\u0250"
+#: The tokenizer's pattern; {L} and {N} stand for letters and numbers up to Latin Extended.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
+ODD = re.compile("[\x1c-\x1f]").search
 
 Filling = tuple[int, ...]
 
 
 class WordIds:
-    """Ids of whole texts as the library's tokenizer gives them; each distinct word is encoded once.
+    """Ids of whole texts as the library's tokenizer gives them; each distinct part of a word is encoded once.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row.
-    Words of Latin characters, which its normal form leaves as they are, are lower-cased, split by its pattern
-    and merged many at a time; words with other characters or special strings go to the library. Characters
-    that Python alone counts as white space send the whole text there.
+    The tokenizer drops white space and never joins across it, so a text's ids are its parts' ids in a row.
+    Latin text, which the tokenizer's normal form leaves as it is, is lower-cased, split by its pattern and
+    merged many parts at a time. Words with other characters or special strings go to the library as they
+    are, and so do whole texts with characters that Python alone counts as white space.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.library, self.bpe = Tokenizer.from_file(path), array_bpe(path)
-        self.split = regex.compile(PATTERN).findall
-        self.plain = re.compile(ASCII_PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        kinds = {c: category(c)[0] for c in map(chr, range(0x310))}  # and the marks that lower-casing gives
+        letters, numbers = ("".join(re.escape(c) for c, k in kinds.items() if k == x) for x in "LN")
+        self.split = re.compile(PATTERN.replace("{L}", letters).replace("{N}", numbers)).findall
+        self.beyond = re.compile("[^\x00-\u024f]|<[|]").search
         self.parts: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 2000):
             out += [np.array(e.ids, "<u4").tobytes()
                     for e in self.library.encode_batch_fast(texts[i:i + 2000], add_special_tokens=False)]
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        split, other = {}, []
-        for w in new:
-            if "<|" in w:
-                other.append(w)
-            elif w.isascii():
-                split[w] = self.plain(w.lower())
-            elif max(w) < BEYOND_LATIN:
-                split[w] = self.split(w.lower())
-            else:
-                other.append(w)
-        self.known.update(zip(other, self._encode(other)))
-        todo = list(set().union(*split.values()).difference(self.parts))
+    def _parts(self, text: str) -> list[str]:
+        if not self.beyond(text):
+            return self.split(text.lower())
+        return [p for w in text.split() for p in ([w] if self.beyond(w) else self.split(w.lower()))]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        odd = [bool(ODD(t)) for t in texts]
+        parts = [[] if o else self._parts(t) for t, o in zip(texts, odd)]
+        new = set().union(*parts)
+        if len(self.parts) + len(new) > CACHE:
+            self.parts = {}
+        new.difference_update(self.parts)
+        other = [w for w in new if self.beyond(w)]
+        self.parts.update(zip(other, self._library(other)))
+        todo = list(new.difference(other))
         ids, n = self.bpe.encode([w.encode("utf-8") for w in todo])
         flat, end = ids.astype("<u4").tobytes(), (np.cumsum(n) * 4).tolist()
         self.parts.update(zip(todo, map(flat.__getitem__, map(slice, [0, *end[:-1]], end))))
         get = self.parts.__getitem__
-        for w, p in split.items():
-            self.known[w] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        words = [[] if o else t.split() for t, o in zip(texts, odd)]
-        new = set().union(*words)
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-        if len(self.parts) > CACHE:
-            self.parts = {}
-        self._learn(list(new.difference(self.known)))
-        get = self.known.__getitem__
-        return [self._encode([t])[0] if o else b"".join(map(get, w)) for t, w, o in zip(texts, words, odd)]
+        return [self._library([t])[0] if o else b"".join(map(get, p)) for t, p, o in zip(texts, parts, odd)]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
