@@ -91,7 +91,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
                                              ["lang", "bucket", "n"])
 
     total = map_arrow(rows, count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = total.toPandas()
+    got = total.toArrow()
     counts = np.zeros((len(langs), buckets + 1))
     counts[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     grams = counts[:, :buckets] + SMOOTHING
