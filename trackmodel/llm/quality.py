@@ -164,8 +164,8 @@ def _head(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         bound = r[0]
     if bound is None:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    got = table.filter(level >= bound).select("h", "lp").toPandas()
-    return got["h"].to_numpy(np.int64), got["lp"].to_numpy(np.int64)
+    got = table.filter(level >= bound).select("h", "lp").toArrow()
+    return got["h"].to_numpy(), got["lp"].to_numpy()
 
 
 def losses(docs: DataFrame, table: DataFrame, head_size: int = HEAD) -> DataFrame:
