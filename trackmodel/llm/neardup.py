@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _ship, fresh, join_hot, map_arrow, numbered, small_side, staged, text_chunks, texts_of, unstage, without
-from .shingles import digest, minima, shingle_sets
+from .shingles import digest, forget_words, minima, shingle_sets
 
 HASHES, ROWS, BANDS, BITS = 128, 4, 32, 4
 WORDS_PACKED = HASHES * BITS // 64
@@ -95,6 +95,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                  pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
                  pa.array(np.zeros(len(sets), np.int32))], ["id", "h", "n", "digest", "bands", "bits", "all"])
+        forget_words()  # workers live on; what a task has learned does not
 
     signed = map_arrow(docs, sign, f"id {kind}, h long, n long, digest binary, bands array<long>, bits array<long>, all int")
     rows = numbered(signed, "all", "signatures")
@@ -195,6 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
             sets = [s.view(np.int64) for s in shingle_sets(texts_of(b, "text"), width)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.list_(pa.int64()))], [
                 "row", "n", "bits", "label", "blocks", "block", "shingles"])
+        forget_words()
 
     sets = map_arrow(texts, cut, "row long, n long, bits array<long>, label long, blocks long, block long, shingles array<long>")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

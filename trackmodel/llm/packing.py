@@ -35,8 +35,8 @@ from .common import map_arrow, numbered, ranked, text_chunks, texts_of
 
 #: Nodes of the search, fillings tried at a node, and pieces that are tried as the first of three.
 NODES, WIDTH, FIRST = 60_000, 4, 48
-#: Words, and parts of words, whose ids a worker keeps; beyond that it starts anew.
-CACHE = 400_000
+#: Parts of words whose ids a task keeps; beyond that it starts anew.
+CACHE = 200_000
 #: The tokenizer's pattern; {L} and {N} stand for letters and numbers up to Latin Extended.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
 ODD = re.compile("[\x1c-\x1f]").search
@@ -124,6 +124,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int, separator: int, id_c
                 columns.append(pa.array(ids, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(
                 columns, ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        _WORD_IDS[tokenizer_path].parts = {}  # workers live on; what a task has learned does not
 
     return map_arrow(rows, cut, f"id {kind}, piece int, start long, length long, ids_crc32 long"
                      + ", ids array<long>" * with_ids)

@@ -79,7 +79,7 @@ class _Sums:
         good = np.bincount(code[np.repeat(trusted, n)], minlength=len(seen))
         self.parts.append((seen, grams, uses, good))
         self.size += len(seen)
-        if self.size > 1_500_000:
+        if self.size > 1_000_000:
             self.merge()
 
     def merge(self) -> None:

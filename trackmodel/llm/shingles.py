@@ -15,7 +15,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class _Words(dict):
     """Word -> 64-bit hash; starts anew beyond a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -25,6 +25,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+forget_words = _WORDS.clear
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

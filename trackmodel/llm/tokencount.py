@@ -23,8 +23,8 @@ from .common import map_arrow, text_chunks, texts_of
 #: The pre-token pattern of byte-level vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Counts of pre-tokens a worker keeps; beyond that it starts anew.
-CACHE = 400_000
+#: Counts of pre-tokens a task keeps; beyond that it starts anew.
+CACHE = 300_000
 
 
 class _Counter:
@@ -71,6 +71,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
             n_bytes = pc.cast(pc.fill_null(pc.binary_length(b.column("text")), 0), pa.int64())
             n_tokens = pa.array(counter(texts_of(b, "text")), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("id"), n_bytes, n_tokens], ["id", "n_bytes", "n_tokens"])
+        counter.known = {}  # workers live on; what a task has learned does not
 
     out = map_arrow(rows, tokens, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
