@@ -298,6 +298,17 @@ def test_broadcast_and_joined_scores_agree_and_junk_goes(spark, small):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.4
 
 
+def test_a_language_without_labels_is_judged_by_its_own_text(spark, small):
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    for gone in ("fr", None):
+        docs = small.withColumn("lang", F.when(F.col("lang") == "fr", gone).otherwise(F.col("lang")))
+        own = {r["doc_id"] for r in small.filter("lang = 'fr'").collect()}
+        ids = quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet").filter(~F.col("doc_id").isin(list(own))))
+        kept = {r["doc_id"]: r["kept"] for r in quality.classify(docs, ids).collect()}
+        good = [kept[i] for i in own if i in labels and labels[i]["quality"] == 1 and labels[i]["toxic"] == 0]
+        assert len(good) > 3 and np.mean(good) > 0.9
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 def test_word_ids_are_the_librarys():

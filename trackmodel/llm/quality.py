@@ -10,15 +10,17 @@ It is trained on trusted documents: labelled good, and never labelled bad or tox
 3. The ``HEAD`` most frequent n-grams at most (chosen by a count bound) are broadcast as hash and log
    probability; a task adds them up per document. Positions whose n-gram is not among them are sent out as
    (row, n-gram, count) and joined with the sharded table, so every position of every text is scored.
-4. Thresholds per language, from the trusted documents that were kept out of the counts (one in ``ASIDE`` by
-   hash of the id, so that they are as new to the model as the rest): upper quartile of mean log loss plus ``FENCE`` times its
-   distance from the lower quartile, plus ``SHORT`` nats shared by all characters of a text (short texts vary
-   more). A language with fewer than ``LEAST`` of them takes the threshold over all.
+4. Thresholds per language, from its own documents alone that the model has not counted: median of mean log
+   loss plus ``FENCE`` and a half times the spread (twice the distance from the lower quartile, so that junk in
+   up to half of the texts does not move it), plus ``SHORT`` nats shared by all characters of a text (short
+   texts vary more). In the quartiles each trusted document that was kept out of the counts (one in ``ASIDE`` by
+   hash of the id) weighs one, and all documents not counted together weigh ``PRIOR`` more: many trusted ones
+   settle them, without any the language's own text does, and no size switches.
 
 Log probabilities are fixed-point integers, so sums do not depend on partitioning. Null text is empty; an
-empty text has no score (null) and is kept, as is every text when no trusted document was kept out. Null ids are never
-trusted; a null language is a language of its own. Repeated rows are scored one by one. Other columns are
-not read.
+empty text has no score (null) and is kept; a language whose documents were all counted has no threshold (null)
+and is kept. Without trusted text all scores are alike and all texts are kept. Null ids are never trusted;
+a null language is a language of its own. Repeated rows are scored one by one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ ORDER = 5
 HEAD = 1_000_000
 #: Trusted ids that may be broadcast (a long each).
 IDS = 1_000_000
-FENCE, SHORT, LEAST = 4.0, 30.0, 20
+FENCE, SHORT, PRIOR = 4.0, 30.0, 20
 #: One trusted document in so many sets thresholds and is not counted.
 ASIDE = 5
 SCALE = 1 << 16
@@ -215,26 +217,25 @@ def losses(docs: DataFrame, table: DataFrame, head_size: int = HEAD) -> DataFram
         "lp", F.col("lp") + F.coalesce("more", F.lit(0))).drop("more", "row")
 
 
-def _thresholds(scored: DataFrame) -> tuple[dict[str, float], float | None]:
-    """Per language, and over all: upper quartile of the trusted loss plus the fence."""
-    got = scored.filter("role = 2 and n > 0").groupBy(
-        "lang", F.floor(F.col("loss") / BIN).cast("long").alias("bin")).count().collect()
-    sums: dict[str | None, dict[int, int]] = {}
-    for lang, b, n in got:
-        for key in (lang, None):
-            at = sums.setdefault(key, {})
-            at[b] = at.get(b, 0) + n
+def _thresholds(scored: DataFrame) -> dict[str, float]:
+    """Per language: median loss of its documents that were not counted, plus the fence."""
+    got = scored.filter("role <> 1 and n > 0").groupBy("lang", F.floor(F.col("loss") / BIN).cast("long").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("role") == 2, 1)).alias("trusted")).collect()
+    langs: dict[str, list[tuple[int, int, int]]] = {}
+    for lang, b, n, t in got:
+        langs.setdefault(lang, []).append((b, n, t))
     out = {}
-    for lang, bins in sums.items():
-        total, sofar, quartile = sum(bins.values()), 0, {}
-        for b in sorted(bins):
-            sofar += bins[b]
-            for q in (0.25, 0.75):
-                if sofar >= q * total and q not in quartile:
+    for lang, bins in langs.items():
+        each = PRIOR / sum(n for _, n, _ in bins)
+        total, sofar, quartile = PRIOR + sum(t for _, _, t in bins), 0.0, {}
+        for b, n, t in sorted(bins):
+            sofar += t + n * each
+            for q in (0.25, 0.5):
+                if sofar >= q * total - 1e-9 and q not in quartile:
                     quartile[q] = (b + 1) * BIN
-        if lang is None or total >= LEAST:
-            out[lang] = quartile[0.75] + FENCE * max(quartile[0.75] - quartile[0.25], 10 * BIN)
-    return {k: v for k, v in out.items() if k is not None}, out.get(None)
+        spread = 2 * (quartile[0.5] - quartile[0.25])
+        out[lang] = quartile[0.5] + spread / 2 + FENCE * max(spread, 10 * BIN)
+    return out
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -259,10 +260,10 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     unstage(grams)
     loss = F.when(F.col("n") > 0, -F.col("lp") / F.lit(float(SCALE)) / (F.col("n") + 1))
     scored = losses(base, lp, head_size).withColumn("loss", loss)
-    by_lang, over_all = _thresholds(scored)
-    limit: Column = F.lit(over_all).cast("double")
+    by_lang = _thresholds(scored)
+    limit: Column = F.lit(None).cast("double")
     if by_lang:
-        limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(by_lang.items()) for x in kv]), F.col("lang")), limit)
+        limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(by_lang.items()) for x in kv]), F.col("lang"))
     limit = limit + SHORT / (F.col("n") + 1)
     return scored.select(
         F.col("id").alias(id_col), F.exp("loss").alias("perplexity"), F.exp(limit).alias("threshold"),
