@@ -25,6 +25,26 @@ def test_file_drop_keeps_every_file(spark, local_dir, tmp, per_batch):
                     for h in (0, 1) for late, n in slices(t0, h).items()}
 
 
+def test_files_that_share_a_slice_add_up(spark, local_dir):
+    lines = log_lines(stamps=8)
+    whole = None
+    # cut within a slice, and within one moment: the moment at the cut has probes in both files
+    for per_batch in (2, 1):
+        folder = os.path.join(local_dir, f"drop{per_batch}")
+        os.makedirs(folder)
+        write_log(folder, "log0.csv", lines[:10])
+        write_log(folder, "log1.csv", lines[10:])
+        store = CollectionStore(spark, scratch_path(spark, "t"))
+        for _ in range(2):  # the second time all files are imported again: nothing changes
+            q = file_drop_import(spark, LOG_MAPPING, folder, store, scratch_path(spark, "stream-ckpt"), files_per_batch=per_batch)
+            q.awaitTermination(300)
+            assert q.exception() is None
+            logs = {r["schema_identifier"]: r.asDict(True) for r in store.scan("Logs").drop("_id", "_etag", "_created", "_updated").collect()}
+            whole = whole or logs
+            assert logs == whole
+    assert sum(len(m["values"]) for r in whole.values() for m in r["readings"]) == len(lines)
+
+
 def slices(t0, house):
     out = {}
     for t in range(4):

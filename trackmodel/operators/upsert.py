@@ -118,6 +118,44 @@ def plan_creates(incoming: DataFrame, collection: str) -> DataFrame:
                            *[F.col(c) for c in extra])
 
 
+def grow_arrays(plan: DataFrame, existing: DataFrame, arrays: list[tuple[str, str | None]], rows: Column,
+                key: str = KEY) -> DataFrame:
+    """``plan`` (staged: it is read repeatedly) whose updates among ``rows`` keep the stored elements of ``arrays``.
+
+    ``arrays`` holds (column, its inner tuple array if its elements are structs that have one, else None). The
+    result is the set union that nesting both sides' rows together would give: sorted, each element once, and
+    elements that differ in their inner tuples alone hold the tuples of both. Elements are exploded and grouped,
+    so a document of many elements costs what they are. Tuples are positional: a stored array whose ``_cols``
+    index is another one is replaced whole.
+    """
+    row = F.sha2(canonical_json([c for c in plan.columns if c not in ("collection", "op", PLAN_ID, PLAN_ETAG)]), 256)
+    plan = plan.withColumn("__r", F.when((F.col("op") == OP_UPDATE) & rows, row))
+    for name, inner in arrays:
+        if name not in existing.columns:
+            continue
+        dt = plan.schema[name].dataType
+        index = f"{inner or name}_cols"
+        new = plan.filter(F.col("__r").isNotNull()).dropDuplicates(["__r"])
+        stored = existing.select(q(key).alias("__ok"), conform(q(name), existing.schema[name].dataType, dt).alias("__old"),
+                                 *[q(c).alias("__oi") for c in [index] if c in existing.columns])
+        same = q(key) == F.col("__ok")
+        if index in plan.columns and index in existing.columns:
+            same = same & q(index).eqNullSafe(F.col("__oi"))
+        both = new.select("__r", F.explode(q(name)).alias("__e")).unionByName(
+            stored.join(new, same).select("__r", F.explode("__old").alias("__e")))
+        if inner:
+            fields = [f.name for f in dt.elementType.fields]
+            attrs = [f"__e{i}" for i, f in enumerate(fields) if f != inner]
+            both = both.select("__r", *[F.col("__e").getField(f).alias(f"__e{i}") for i, f in enumerate(fields) if f != inner],
+                               F.explode_outer(F.col("__e").getField(inner)).alias("__t"))
+            both = both.groupBy("__r", *attrs).agg(F.sort_array(F.collect_set("__t")).alias("__t")).select("__r", F.struct(
+                *[(F.col("__t") if f == inner else F.col(f"__e{i}")).alias(f) for i, f in enumerate(fields)]).alias("__e"))
+        grown = both.groupBy(F.col("__r").alias("__gr")).agg(F.sort_array(F.collect_set("__e")).alias("__g"))
+        plan = plan.join(grown, F.col("__r") == F.col("__gr"), "left").withColumn(
+            name, F.coalesce("__g", q(name))).drop("__gr", "__g")
+    return plan.drop("__r")
+
+
 def batch_duplicates(incoming: DataFrame, key: str = KEY) -> DataFrame:
     """Keys that occur more than once in one batch, with their count."""
     return incoming.groupBy(q(key)).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmodel.operators.report import import_counts, import_outcome, with_provenance
-from trackmodel.operators.upsert import OP_REJECT, REJECTED, apply_plan, plan_creates, plan_upsert
+from trackmodel.operators.upsert import DEF_COL, OP_REJECT, REJECTED, apply_plan, grow_arrays, plan_creates, plan_upsert
 from trackmodel.plans.extract import extract_collection, feature_constants, rejected_rows, split_rejected
 from trackmodel.plans.mapping import Mapping, parse_mapping
 from trackmodel.functions.pointers import KEY
@@ -72,12 +72,14 @@ def stage_plan(plan: DataFrame, path: str) -> DataFrame:
 def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | DataFrame, store: CollectionStore,
                 inputs: dict | None = None, stage_dir: str | None = None, provenance: dict | None = None,
                 sep: str = "__", outer: bool = False, stage_source: bool | None = None, schema=None,
-                sampling_ratio: float | None = None, multi_line: bool = False) -> ImportPlan:
+                sampling_ratio: float | None = None, multi_line: bool = False, grow_slices: bool = False) -> ImportPlan:
     """Validate an import: documents and upsert plan per collection, staged under ``stage_dir``.
 
     ``stage_source`` (default: when a text file feeds more than one pass) parses the provider file once
     into Parquet in the staging folder; every definition then reads only the columns it needs from it
     instead of parsing the whole text again, and a lost executor re-reads Parquet, not the text.
+    ``grow_slices``: nested arrays of a partitioned definition are added to those of a stored slice instead of
+    replacing them whole.
     """
     m = mapping if isinstance(mapping, Mapping) else parse_mapping(mapping, inputs)
     stage_dir = stage_dir or scratch_path(spark, f"staged-{m.name or 'import'}")
@@ -106,7 +108,14 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
             # the documents are computed once: the plan reads them twice (keys, then rows)
             d = stage_documents(d, f"{stage_dir}/{collection}__documents")
             ip.documents[collection] = d
-            plan = plan_upsert(d, store.scan(collection, version=base), collection)
+            stored = store.scan(collection, version=base)
+            plan = plan_upsert(d, stored, collection)
+            growing = [x for x in m.collections[collection] if grow_slices and x.partition and (x.nested or x.array)]
+            for i, x in enumerate(growing):
+                arrays = [(x.array.name, None)] if x.array else []
+                arrays += [(x.nested.name, x.nested.array.name if x.nested.array else None)] if x.nested else []
+                plan = stage_documents(plan, f"{stage_dir}/{collection}__growing/{i}")
+                plan = grow_arrays(plan, stored, arrays, F.col(DEF_COL) == x.index)
         ip.plans[collection] = stage_plan(plan, f"{stage_dir}/{collection}")
     return ip
 
@@ -135,7 +144,7 @@ def apply_import(spark: SparkSession, ip: ImportPlan, store: CollectionStore, no
     outs += [r.select(F.lit(c).alias("collection"), F.col(KEY), F.lit(OP_REJECT).alias("op"),
                       F.lit(REJECTED).alias("status"), F.lit(1).cast("long").alias("n")) for c, r in ip.rejected.items()]
     outcome = stage_documents(import_outcome(outs), f"{ip.stage_dir}/__outcome")
-    for name in ["__source", *[f"{c}__documents" for c in ip.plans]]:
+    for name in ["__source", *[f"{c}__{part}" for c in ip.plans for part in ("documents", "growing")]]:
         delete(spark, f"{ip.stage_dir}/{name}")
     return outcome
 

@@ -3,7 +3,9 @@
 Each micro-batch takes whole files (``maxFilesPerTrigger``) and is imported exactly like a one-off import
 (documents -> staged plan -> apply into the store) inside ``foreachBatch``. Time slices
 count from the epoch unless the mapping's partition names another ``origin_ms``, so keys and content do not
-depend on which files share a batch; files that meet in one slice of one key belong in one batch. A batch that is re-run after
+depend on which files share a batch. Files that meet in one slice of one key add up: the nested arrays of a
+stored slice keep their elements and gain the new ones, as if the files had been one. (Arrays of definitions
+without a partition are replaced whole, as in any merge.) A batch that is re-run after
 a failure applies the same documents again, which only re-confirms them (unchanged ``_etag``), so the
 store converges to the same state. Progress is kept in ``checkpoint_location`` (a shared folder).
 """
@@ -51,7 +53,8 @@ def file_drop_import(spark: SparkSession, mapping: dict | Mapping, folder: str,
         schema = read_source(spark, m.file, folder).schema
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        ip = plan_import(spark, m, batch, store, stage_dir=scratch_path(spark, f"stream-batch-{batch_id}"))
+        ip = plan_import(spark, m, batch, store, stage_dir=scratch_path(spark, f"stream-batch-{batch_id}"),
+                         grow_slices=True)
         apply_import(spark, ip, store)
 
     w = _stream(spark, m, folder, schema, files_per_batch).writeStream.foreachBatch(one_batch) \
