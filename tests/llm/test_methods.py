@@ -180,6 +180,18 @@ def test_model_adds_what_the_patterns_miss(spark, small):
     assert not any(naive_base(r["text"] or "") for r in clean)
 
 
+def test_training_finds_the_labels_among_many_numerals(spark):
+    plain = [(i, " and ".join(f"item {i * 1000 + k} of {k}.{i}" for k in range(400))) for i in range(60)]
+    phones = [(100 + i, f"call +1 ({200 + 7 * i}) 555-{1000 + 13 * i} or ask at desk {i}") for i in range(20)]
+    docs = spark.createDataFrame(plain + phones, "doc_id long, text string")
+    model = pii.train(docs)
+    assert model is not None
+    other = pii.train(docs.repartition(7))
+    assert all((a == b).all() for a, b in zip(model, other))
+    text = "ring (521) 555-6210 now, thanks; version 2.0 of file 17"
+    assert [text[a:b] for a, k, b in pii.all_spans(text, model)[1]] == ["(521) 555-6210"]
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 def sets_of(text):

@@ -7,10 +7,12 @@ personal data holds a digit or an ``@``, so text without either needs no lattice
 runs of such chunks are independent. Base spans are fixed: segments may not touch them, and the field adds
 what it finds beside them.
 
-The field is trained here, on ``TRAIN_REGIONS`` regions at most of the ``TRAIN_DOCS`` documents with the
-smallest hashes that hold a digit or an ``@`` (labels: the base spans, plus copies of phone regions without
-their country code, which the patterns cannot see). That bounded sample is all the driver holds; the
-weights, ``BUCKETS`` hashed features per type, are broadcast. All documents are searched, whole.
+The field is trained here, on regions of all documents (labels: the base spans, plus copies of phone regions
+without their country code, which the patterns cannot see): those with the smallest hashes, ``TRAIN_PLAIN``
+without a base span, ``TRAIN_KIND`` with one of each kind and as many copies, ``PER_DOC`` of each of these from a
+document at most and equal ones once. So there are labels whenever the patterns find anything that can be
+labelled. That bounded sample is all the driver holds; the weights, ``BUCKETS`` hashed features per type, are
+broadcast. All documents are searched, whole.
 
 Null text is empty; a document without spans has counts 0 and empty lists; repeated rows are searched one by
 one; an empty table gives an empty table and trains nothing (no weights: nothing is added). Offsets are code
@@ -20,7 +22,10 @@ points, ends exclusive. Other columns are not read.
 from __future__ import annotations
 
 import re
+from ast import literal_eval
+from bisect import insort
 from functools import lru_cache
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -28,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_chunks, texts_of
+from .common import map_arrow, staged, text_chunks, texts_of, unstage
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 MAX_TOKENS = 14
 BUCKETS = 1 << 13
-TRAIN_DOCS, TRAIN_REGIONS, EPOCHS = 1_500, 600, 4
+TRAIN_PLAIN, TRAIN_KIND, PER_DOC, EPOCHS = 300, 60, 2, 4
 #: A trained region is this many tokens long at most; longer ones are decoded but not learned from.
 TRAIN_TOKENS = 40
 
@@ -233,44 +238,82 @@ def _gold(tokens: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> d
     return out | {(i, i + 1): 0 for i in np.flatnonzero(free)}
 
 
-def examples(text: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[int, int, int]]]]:
-    """(text, tokens, spans) of the regions of a text; phone regions again without the country code."""
+def examples(text: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[int, int, int]], bool]]:
+    """(text, tokens, spans, False) of the regions of a text; phone regions again without the country code (True)."""
     out = []
-    spans = base_spans(text)
+    spans, at = base_spans(text), 0
+    held: list[tuple[int, int, int]] = []
     for tokens in regions(text):
         a, b = max(0, tokens[0][0] - 24), tokens[-1][1] + 2
-        own = [(s - a, k, e - a) for s, k, e in spans if s < tokens[-1][1] and e > tokens[0][0]]
+        while at < len(spans) and spans[at][0] < tokens[-1][1]:
+            held.append(spans[at])
+            at += 1
+        held = [x for x in held if x[2] > tokens[0][0]]
+        own = [(s - a, k, e - a) for s, k, e in held]
         piece = text[a:b]
-        out.append((piece, [(s - a, e - a) for s, e in tokens], own))
+        out.append((piece, [(s - a, e - a) for s, e in tokens], own, False))
         for s, k, e in own:
             code = re.match(r"\+[0-9]+[\x20.-]+(?=[(0-9])", piece[s:e])
             if k == 3 and code and len(own) == 1:
                 short = piece[:s] + piece[s + code.end():]
                 for t in regions(short):
                     if t[0][0] <= s < t[-1][1]:
-                        out.append((short, t, [(s, 3, e - code.end())]))
+                        out.append((short, t, [(s, 3, e - code.end())], True))
     return out
 
 
+class _Sample:
+    """Of each sort of region (0: plain, else kind + 1, or the number of labels for a copy) those with the smallest hashes."""
+
+    def __init__(self):
+        self.kept: list[list[tuple[int, str, str, str]]] = [[] for _ in range(len(LABELS) + 1)]
+
+    @staticmethod
+    def most(sort: int) -> int:
+        return TRAIN_KIND if sort else TRAIN_PLAIN
+
+    def add(self, text: str) -> None:
+        own: dict[int, list] = {}
+        for x, t, s, copy in examples(text):
+            h = int.from_bytes(blake2b(f"{t[0][0]},{t[-1][1]},{s},{x}".encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1
+            for sort in {len(LABELS)} if copy else {k + 1 for _, k, _ in s} or {0}:
+                have = self.kept[sort]
+                if len(have) < self.most(sort) or h < have[-1][0]:
+                    own.setdefault(sort, []).append((h, x, t, s))
+        for sort, found in own.items():
+            have, taken = self.kept[sort], 0
+            for h, x, t, s in sorted(found):
+                if taken == PER_DOC:
+                    break
+                if len(t) <= TRAIN_TOKENS and _gold(t, s):
+                    taken += 1
+                    row = (h, x, str(t), str(s))
+                    if row not in have:
+                        insort(have, row)
+                        del have[self.most(sort):]
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray] | None:
     """Weights (labels x buckets) and moves (labels x labels), by AdaGrad on the log-likelihood; None without labels."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id"))
-    rows = rows.filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text", "id"))
-    last = rows.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-    rows = rows.filter(F.col("h") <= F.lit(last)).select("text", "h")
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
 
     def cut(batches):
+        sample = _Sample()
         for b in text_chunks(batches, "text"):
-            out = [(x, h, str(t), str(s)) for text, h in zip(texts_of(b, "text"), b.column("h").to_pylist())
-                   for x, t, s in examples(text) if len(t) <= TRAIN_TOKENS and (g := _gold(t, s)) is not None and g]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(
-                (pa.string(), pa.int64(), pa.string(), pa.string()))], ["piece", "h", "tokens", "spans"])
-
-    from ast import literal_eval
-
-    picked = map_arrow(rows, cut, "piece string, h long, tokens string, spans string").orderBy(
-        "h", "piece", "tokens").limit(TRAIN_REGIONS).collect()
-    data = [(r[0], literal_eval(r[2]), literal_eval(r[3])) for r in picked]
+            for text in texts_of(b, "text"):
+                sample.add(text)
+        out = [(sort, *row) for sort, kept in enumerate(sample.kept) for row in kept]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(
+            (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["sort", "h", "piece", "tokens", "spans"])
+
+    names = ["h", "piece", "tokens", "spans"]
+    found = staged(map_arrow(rows, cut, "sort int, h long, piece string, tokens string, spans string"), "regions")
+    picked = set()
+    for sort in range(len(LABELS) + 1):
+        some = found.filter(F.col("sort") == sort).select(*names).distinct().orderBy(*names).limit(_Sample.most(sort))
+        picked.update(tuple(r) for r in some.collect())
+    unstage(found)
+    data = [(x, literal_eval(t), literal_eval(s)) for _, x, t, s in sorted(picked)]
     if not any(s for _, _, s in data):
         return None
     ready = [(Lattice(x, t), _gold(t, s)) for x, t, s in data]
