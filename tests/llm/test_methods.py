@@ -321,6 +321,17 @@ def test_a_language_without_labels_is_judged_by_its_own_text(spark, small):
         assert len(good) > 3 and np.mean(good) > 0.9
 
 
+def test_fence_keeps_clean_text_and_little_else(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    unlabelled = table.join(docs.filter("lang = 'es'").select("doc_id"), "doc_id", "left_anti")
+    kept = {r["doc_id"]: r["kept"] for r in quality.classify(docs, quality.trusted_ids(unlabelled)).collect()}
+    labels = {r["doc_id"]: r for r in table.collect() if r["doc_id"] in kept}
+    good = [kept[i] for i, r in labels.items() if r["quality"] == 1 and r["toxic"] == 0]
+    bad = [kept[i] for i, r in labels.items() if r["quality"] == 0]
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.04  # measured: 299 of 299, 1 of 58
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 def test_word_ids_are_the_librarys():
