@@ -7,7 +7,10 @@ documents - so the search runs on that histogram and plans sequences by pattern
 Search: the largest piece left is completed with undominated fillings (a filling is dominated when one of
 its pieces could be swapped for a larger one that is left and fits); a pattern is used as often as the
 counts allow; a branch ends when its waste can no longer beat the incumbent, which starts as best-fit
-decreasing. It stops at the lower bound ceil(tokens / size) or after ``NODES`` nodes; the incumbent holds.
+decreasing. It stops at the lower bound ceil(tokens / size), after ``NODES`` nodes or when no branch is left;
+the incumbent holds. The search is a beam, not exhaustive: a node tries ``WIDTH`` fillings at most, exact ones of
+three pieces start from the ``FIRST`` largest lengths, and smaller multiples of a pattern are not tried. So above
+the lower bound the number of sequences may be larger than need be; at the bound it is the fewest.
 
 Pieces are matched to the plan by their rank among the pieces of their length; ranks come from per-task
 counts, so a length that a third of all pieces share is not gathered anywhere. The plan that tasks read is
