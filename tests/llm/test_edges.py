@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import clash
-from trackmodel.llm import decontam, langid, neardup, packing, pii, quality, rules, sharding, tokencount
+from trackmodel.llm import (align, decontam, langid, licenses, neardup, packing, periodic, pii, quality, rules, sharding,
+                            tokencount)
 
-WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def bench(spark):
@@ -30,6 +31,9 @@ OPERATORS = {
     "rules": lambda s, d: rules.quality_rules(d),
     "langid": lambda s, d: langid.identify(d),
     "tokens": lambda s, d: tokencount.count_tokens(d, BYTE),
+    "periodic": lambda s, d: periodic.periodic_runs(d),
+    "align": lambda s, d: align.align_corpus(d, BYTE, PIECE),
+    "licenses": lambda s, d: licenses.scan_licenses(d),
 }
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, packing, pii, quality, rules, sharding, tokencount
+from . import (align, chat, decontam, langid, licenses, neardup, packing, periodic, pii, quality, rules, sharding,
+               tokencount)
 from .common import table
 
 
@@ -116,6 +117,43 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, doc_id = F.col("text"), F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(doc_id.cast("string")).alias("h"))
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    docs = docs.withColumn("a", F.when(n > 0, F.pmod(g, n)).cast("int"))
+    docs = docs.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.pmod(g, F.lit(8)))).cast("int"))
+    tail = F.transform(F.sequence(F.col("a"), n - 1), lambda i: F.get("w", F.col("a") + F.pmod(i - F.col("a"), F.col("p"))))
+    looped = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    found = periodic.periodic_runs(docs.select("doc_id", F.when(F.col("a").isNull(), text).otherwise(looped).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    top = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"),
+        top["period"].alias("period"), F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align_corpus(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"),
+                               tokenizer("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base, own = F.col("places")["label"], F.col("spans")["label"]
+    starts = F.col("places")["start"]
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"), "score")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -127,6 +165,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_license_scan": op13_license_scan,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
