@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import LOG_MAPPING, write_log
 from trackmodel.operators import upsert
-from trackmodel.plans.ingest import apply_import, ingest, plan_import
+from trackmodel.plans.ingest import apply_import, ingest, plan_import, stage_plan
+from trackmodel.session import scratch_path
 from trackmodel.sources.store import CollectionStore, VersionConflict
 
 SCHEMA = "schema_identifier string, name string, score int, info struct<a:int,b:string>"
@@ -172,3 +173,140 @@ def test_second_writer_is_refused_and_applies_again(spark, tmp):
     store.write_version("Teams", again, base + 1)
     assert {r["schema_identifier"]: r["name"] for r in store.scan("Teams").collect()} == {"1": "A", "2": "B"}
     assert store.lookup("Teams", ["1", store.scan("Teams").filter("name = 'B'").first()["_id"]]).count() == 2
+
+
+def test_widening_never_changes_a_stored_value(spark, tmp):
+    store = CollectionStore(spark, tmp)
+    big = 2 ** 53 + 1
+    store.initialize("C", spark.createDataFrame([("1", big, 1, [big]), ("2", 5, 2, [7])],
+                                                "schema_identifier string, x long, y long, z array<long>"))
+    before = {r["schema_identifier"]: r for r in store.scan("C").collect()}
+    inc = spark.createDataFrame([("3", 0.5, 0.5, None), ("4", 8.0, 2.5, [3.0]), ("2", 6.0, None, [0.25])],
+                                "schema_identifier string, x double, y double, z array<double>")
+    v, out = upsert.apply_plan(upsert.plan_upsert(inc, store.scan("C"), "C"), store.scan("C"), "C")
+    assert {r["schema_identifier"]: r["status"] for r in out.collect()} == {"3": "REJECTED", "4": "CREATED", "2": "REJECTED"}
+    assert {f.name: f.dataType.simpleString() for f in v.schema}["x"] == "bigint"
+    assert {f.name: f.dataType.simpleString() for f in v.schema}["y"] == "double"  # no stored value is lost by it
+    rows = {r["schema_identifier"]: r for r in v.collect()}
+    assert rows["1"]["x"] == big and rows["1"]["z"] == [big] and rows["4"]["x"] == 8 and rows["4"]["y"] == 2.5
+    assert all(rows[k]["_etag"] == before[k]["_etag"] for k in ("1", "2"))
+    v, st = upsert.replace_by_key(store.scan("C"), inc, "C", overwrite=True)
+    assert {r["schema_identifier"]: r["status"] for r in st.collect()} == {"3": "REJECTED", "4": "CREATED", "2": "REJECTED"}
+    # a long that no double has, into doubles; digits that no decimal type has room for; digits of text
+    store.initialize("D", spark.createDataFrame([("1", 0.5)], "schema_identifier string, x double"))
+    for value, kind, status in ((big, "long", "REJECTED"), (7, "long", "CREATED"), (str(big), "string", "REJECTED"), ("2.5", "string", "CREATED")):
+        inc = spark.createDataFrame([("9", value)], f"schema_identifier string, x {kind}")
+        v, out = upsert.apply_plan(upsert.plan_upsert(inc, store.scan("D"), "D"), store.scan("D"), "D")
+        assert [r["status"] for r in out.collect()] == [status], value
+        assert v.schema["x"].dataType.simpleString() == "double"
+    from decimal import Decimal
+
+    store.initialize("E", spark.createDataFrame([("1", Decimal(10 ** 29))], "schema_identifier string, x decimal(38,0)"))
+    inc = spark.createDataFrame([("2", Decimal("0.0000000001")), ("3", Decimal(4))], "schema_identifier string, x decimal(38,10)")
+    v, out = upsert.apply_plan(upsert.plan_upsert(inc, store.scan("E"), "E"), store.scan("E"), "E")
+    assert {r["schema_identifier"]: r["status"] for r in out.collect()} == {"2": "REJECTED", "3": "CREATED"}
+    assert {r["schema_identifier"]: r["x"] for r in v.collect()} == {"1": Decimal(10 ** 29), "3": Decimal(4)}
+
+
+def test_types_settle_again_when_a_plan_is_applied(spark, tmp):
+    store = CollectionStore(spark, tmp)
+    schema = "schema_identifier string, x long"
+    store.initialize("C", spark.createDataFrame([("1", 5)], schema))
+    inc = spark.createDataFrame([("2", 0.5), ("3", 2.0)], "schema_identifier string, x double")
+    plan, seen = upsert.observe_plan(upsert.plan_upsert(inc, store.scan("C"), "C"))
+    plan = stage_plan(plan, scratch_path(spark, "p"))
+    other = spark.createDataFrame([("7", 2 ** 53 + 1)], schema)
+    store.write_version("C", upsert.apply_plan(upsert.plan_upsert(other, store.scan("C"), "C"), store.scan("C"), "C")[0], 1)
+    v, outcome = upsert.apply_counted(plan, seen.get, store.scan("C"), "C")
+    store.write_version("C", v, 2)
+    assert sorted(outcome()) == [("CREATE", "CREATED", 1), ("CREATE", "REJECTED", 1)]
+    assert {r["schema_identifier"]: r["x"] for r in store.scan("C").collect()} == {"1": 5, "7": 2 ** 53 + 1, "3": 2}
+
+
+def test_counts_while_writing_equal_the_joined_outcome(spark, tmp):
+    store = _store(spark, tmp, [(str(i), "a", i, None) for i in range(6)])
+    inc = spark.createDataFrame([("1", "A", 1, None), ("2", "B", 2, None), ("2", "b", 2, None), ("8", "n", 8, None),
+                                 ("9", "m", 9, None), ("9", "l", 9, None)], SCHEMA)
+    stale, seen = upsert.observe_plan(upsert.plan_upsert(inc, store.scan("Teams"), "Teams"))
+    stale = stage_plan(stale, scratch_path(spark, "p"))
+    assert seen.get == {"CREATE": 3, "UPDATE": 3, "REJECT": 0}
+    for change in (upsert.delete_by_key(store.scan("Teams"), ["2"]),):
+        store.write_version("Teams", change)
+    other = spark.createDataFrame([("1", "X", 1, None), ("8", "taken", 8, None)], SCHEMA)
+    now = store.scan("Teams")
+    store.write_version("Teams", upsert.apply_plan(upsert.plan_upsert(other, now, "Teams"), now, "Teams")[0])
+    now = store.scan("Teams")
+    joined = upsert.apply_plan(stale, now, "Teams")[1].groupBy("op", "status").agg(F.sum("n")).collect()
+    v, outcome = upsert.apply_counted(stale, seen.get, now, "Teams")
+    store.write_version("Teams", v)
+    assert sorted(outcome()) == sorted(map(tuple, joined))
+    assert sorted(outcome()) == [("CREATE", "CONFLICT", 1), ("CREATE", "CREATED", 1), ("CREATE", "DUPLICATE", 1),
+                                 ("UPDATE", "CONFLICT", 2), ("UPDATE", "DUPLICATE", 1)]
+
+
+def test_pages_at_any_depth(spark, tmp, monkeypatch):
+    from trackmodel.sources import store as module
+
+    store = _store(spark, tmp, [(str(i), f"t{i}", i, None) for i in range(600)])
+    keys = sorted(str(i) for i in range(600))
+    page = lambda n: [r[0] for r in store.page("Teams", n, 10).select("schema_identifier").collect()]
+    monkeypatch.setattr(module, "MAX_TOP_ROWS", 100)
+    assert page(3) == keys[20:30] and page(31) == keys[300:310] and page(60) == keys[590:] and page(61) == []
+    tags = {r["schema_identifier"]: r["_etag"] for r in store.scan("Teams").collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.order("Teams")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {r["schema_identifier"]: r["_etag"] for r in store.scan("Teams").collect()} == tags
+    assert spark.read.parquet(store.path("Teams", 2) + ".ranks").count() > 1
+    for n in (1, 2, 30, 60):
+        assert page(n) == keys[10 * (n - 1):10 * n]
+        assert len(store.page("Teams", n, 10).inputFiles()) <= 2
+    assert page(61) == [] and store.page("None", 5).count() == 0
+    assert store.vacuum("Teams", 1) == [1] and page(60) == keys[590:]
+
+
+def test_a_dead_claim_expires_and_a_slow_writer_loses(spark, tmp):
+    store = _store(spark, tmp, [("1", "a", 1, None)])
+    docs = store.scan("Teams")
+    dead = store.claim("Teams", 1)
+    with pytest.raises(VersionConflict):  # a fresh claim is respected
+        store.write_version("Teams", docs, 1)
+    patient = CollectionStore(spark, tmp, claim_seconds=0)
+    assert patient.write_version("Teams", docs.withColumn("name", F.lit("later")), 1) == 2
+    # the first writer was only slow: it wrote, but its claim is no longer the last one
+    docs.withColumn("name", F.lit("slow")).write.parquet(dead.path)
+    with pytest.raises(VersionConflict):
+        dead.commit()
+    dead.give_up()
+    assert store.versions("Teams") == [1, 2] and store.scan("Teams").first()["name"] == "later"
+    # taken over, but the first one commits in time: the other is refused and nothing of it counts
+    first = store.claim("Teams", 2)
+    second = patient.claim("Teams", 2)
+    assert second.attempt == first.attempt + 1 and second.path != first.path
+    docs.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(second.path)
+    second.commit()
+    with pytest.raises(VersionConflict):
+        first.commit()
+    assert store.versions("Teams") == [1, 2, 3] and store.scan("Teams").first()["name"] == "a"
+    store.claim("Teams", 3)
+    store.release("Teams", 4)
+    assert store.write_version("Teams", docs, 3) == 4
+
+
+def test_first_failure_stops_the_rest(spark):
+    from trackmodel.session import together
+
+    assert together(spark, [lambda i=i: spark.range(i + 1).count() for i in range(12)], limit=3) == list(range(1, 13))
+    started = []
+
+    def work(i):
+        started.append(i)
+        if i == 1:
+            raise KeyError("one")
+        return spark.range(100).count()
+
+    with pytest.raises(KeyError, match="one"):
+        together(spark, [lambda i=i: work(i) for i in range(50)], limit=2)
+    assert len(started) < 50

@@ -8,26 +8,30 @@ Plan/apply contract
   ``op`` (CREATE/UPDATE), the merged business columns, and the ``_etag``/``_id`` it was planned against.
 * **merge**: incoming wins; structs merge field by field (recursively); arrays and scalars are replaced
   whole; a null incoming value counts as absent. Both sides are first rebuilt to their common type: a
-  struct gains fields, numbers widen, nothing is ever turned into text.
+  struct gains fields, numbers widen, nothing is ever turned into text. A widening that could change values (long
+  to double) is checked on the stored column first; where it would, the stored type holds and incoming values
+  that do not fit it are rejected. A document outside the batch never changes value or etag.
 * **apply** re-joins the plan to the *current* version: same etag -> merged row (new ``_etag`` and
   ``_updated`` only if the content changed, so re-running an import is idempotent); other etag, or a
   CREATE whose key appeared meanwhile -> ``CONFLICT`` and the stored row stays; an UPDATE whose
   document vanished -> ``CONFLICT``. Untouched rows are copied through. A key planned twice (one
-  batch, several definitions) is applied once: the first by (definition order, canonical JSON); the
+  batch, several definitions) is applied once: the first by (definition order, SHA-256 of the canonical JSON); the
   others get ``DUPLICATE``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackmodel.functions.columns import canonical_json, doc_id_col, etag_col
 from trackmodel.functions.pointers import KEY
-from trackmodel.functions.types import common_type, conform, lossy, overlay
+from trackmodel.functions.types import common_type, conform, exact, lossy, overlay
 from trackmodel.sources.store import business_columns
 
 # --- fixed values: plan operations and apply outcomes ---
@@ -53,16 +57,32 @@ def q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
+def settle(stored: DataFrame, old_types: dict[str, T.DataType], new_types: dict[str, T.DataType]) -> dict[str, T.DataType]:
+    """The type each column of both sides is rebuilt to.
+
+    Widenings that are exact by their types alone cost nothing. The others are tried on the stored columns in one
+    aggregate over just these columns; a column that would lose a value keeps its stored types.
+    """
+    out = {c: common_type(old_types[c], nt) for c, nt in new_types.items() if c in old_types}
+    doubt = [c for c, dt in out.items() if not exact(old_types[c], dt)]
+    if doubt:
+        lost = stored.agg(*[F.coalesce(F.max(lossy(q(c), old_types[c], out[c])), F.lit(False)).alias(f"c{i}")
+                            for i, c in enumerate(doubt)]).first()  # one row
+        out.update({c: common_type(old_types[c], new_types[c], strict=True) for c, x in zip(doubt, lost) if x})
+    return out
+
+
 def merge_columns(new_types: dict[str, T.DataType], old_types: dict[str, T.DataType],
-                  new_col, old_col) -> list[Column]:
+                  new_col, old_col, targets: dict[str, T.DataType] | None = None) -> list[Column]:
     """Merged business columns (union of both sides' names); ``new_col(name)``/``old_col(name)`` give the inputs.
 
-    Columns both sides have are rebuilt to their common type (:mod:`trackmodel.functions.types`) first.
+    Columns both sides have are rebuilt to their type in ``targets`` (:func:`settle`; default: the common type that
+    needs no check of values) first.
     """
     out = []
     for c, nt in new_types.items():
         if c in old_types:
-            dt = common_type(old_types[c], nt)
+            dt = targets[c] if targets else common_type(old_types[c], nt, strict=True)
             out.append(overlay(conform(new_col(c), nt, dt), conform(old_col(c), old_types[c], dt), dt).alias(c))
         else:
             out.append(new_col(c).alias(c))
@@ -72,15 +92,14 @@ def merge_columns(new_types: dict[str, T.DataType], old_types: dict[str, T.DataT
     return out
 
 
-def _choose(cond: Column, new: Column, nt: T.DataType, old: Column, ot: T.DataType) -> Column:
-    """``new`` where ``cond`` holds, else ``old``, both rebuilt to their common type."""
-    dt = common_type(ot, nt)
+def _choose(cond: Column, new: Column, nt: T.DataType, old: Column, ot: T.DataType, dt: T.DataType) -> Column:
+    """``new`` where ``cond`` holds, else ``old``, both rebuilt to ``dt``."""
     return F.when(cond, conform(new, nt, dt)).otherwise(conform(old, ot, dt))
 
 
-def _unfit(new_types: dict[str, T.DataType], old_types: dict[str, T.DataType], new_col) -> Column:
-    """Whether some incoming value does not fit the stored type of its column."""
-    parts = [lossy(new_col(c), nt, common_type(old_types[c], nt)) for c, nt in new_types.items() if c in old_types]
+def _unfit(new_types: dict[str, T.DataType], targets: dict[str, T.DataType], new_col) -> Column:
+    """Whether some incoming value does not fit the type that its column settles on."""
+    parts = [lossy(new_col(c), nt, targets[c]) for c, nt in new_types.items() if c in targets]
     return reduce(lambda a, b: a | b, parts, F.lit(False))
 
 
@@ -102,8 +121,10 @@ def plan_upsert(incoming: DataFrame, existing: DataFrame, collection: str, key:
                      *[q(c).alias(f"__o_{c}") for c in ob])
     extra = [DEF_COL] if DEF_COL in incoming.columns else []
     j = incoming.join(old, q(key) == F.col("__ok"), "left")
-    merged = merge_columns(_types(incoming, nb), _types(existing, ob), lambda c: q(c), lambda c: F.col(f"`__o_{c}`"))
-    unfit = _unfit(_types(incoming, nb), _types(existing, ob), lambda c: q(c))
+    new_types, old_types = _types(incoming, nb), _types(existing, ob)
+    targets = settle(existing, old_types, new_types)
+    merged = merge_columns(new_types, old_types, lambda c: q(c), lambda c: F.col(f"`__o_{c}`"), targets)
+    unfit = _unfit(new_types, targets, lambda c: q(c))
     op = F.when(unfit, F.lit(OP_REJECT)).when(F.col("__ok").isNull(), F.lit(OP_CREATE)).otherwise(F.lit(OP_UPDATE))
     return j.select(F.lit(collection).alias("collection"), op.alias("op"), *merged,
                     F.col(PLAN_ID), F.col(PLAN_ETAG), *[F.col(c) for c in extra])
@@ -200,23 +221,30 @@ def _stored_keys(current: DataFrame, keys: DataFrame, key: str, alias: str = "__
     return current.select(q(key).alias(alias)).join(k, F.col(alias) == F.col("__bk"), "left_semi")
 
 
-def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column | None = None,
-               key: str = KEY) -> tuple[DataFrame, DataFrame]:
-    """(new version of the collection, outcome ``(collection, key, op, status, n)``: n plan rows).
-
-    The version streams the current collection once through a left join with the (deduplicated) plan;
-    the outcome needs only the key and ``_etag`` columns of the collection, which is all its scan reads.
-    Pass a staged plan (:func:`trackmodel.plans.ingest.stage_plan`, as ``apply_import`` does): as a
-    Parquet scan its size is known when the query is planned, so a small batch is broadcast and the
-    collection is never shuffled for the join.
-    """
-    now = now if now is not None else F.current_timestamp()
+@dataclass
+class _Applied:
+    """A plan joined with the current version: what the new version and the outcome are made from."""
+    refused: DataFrame  # plan rows that are rejected
+    dups: DataFrame  # (key, op, n) of repeated keys
+    stored: DataFrame  # stored documents, changed ones in their new content; with ``__upd`` and ``__op``
+    missing: DataFrame  # plan rows whose key is not stored (any more)
+    new_rows: DataFrame  # the documents created from them
+    certain: bool  # no row can be rejected now that the plan has not rejected
+
+
+def _applied(plan: DataFrame, current: DataFrame, collection: str, now: Column, key: str, unique: bool) -> _Applied:
+    pb, cb = business_columns(plan.drop("collection", "op")), business_columns(current)
+    new_types, old_types = _types(plan, pb), _types(current, cb)
+    # types settle again: the collection may hold values now that it did not hold when the plan was made
+    targets = settle(current, old_types, new_types)
+    certain = all(exact(new_types[c], dt) for c, dt in targets.items())
+    unfit = F.col("op") == OP_REJECT
+    if not certain:
+        unfit = unfit | _unfit(new_types, targets, lambda c: q(c))
     plan = plan.filter(q(key).isNotNull())
-    refused = plan.filter(F.col("op") == OP_REJECT)
-    plan = plan.filter(F.col("op") != OP_REJECT)
-    one, dups = dedup_plan(plan, key)
-    pb = business_columns(one.drop("collection", "op"))
-    cb = business_columns(current)
+    refused = plan.filter(unfit)
+    plan = plan.filter(~unfit)
+    one, dups = (plan, None) if unique else dedup_plan(plan, key)
     pk = one.select(q(key).alias("__pk"), F.col("op").alias("__op"), F.col(PLAN_ETAG).alias("__pe"),
                     *[q(c).alias(f"__n_{c}") for c in pb])
     j = current.join(pk, q(key) == F.col("__pk"), "left")
@@ -225,43 +253,94 @@ def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column
 
     def val(c: str) -> Column:
         if c in pb and c in cb:
-            return _choose(is_update, F.col(f"`__n_{c}`"), one.schema[c].dataType, q(c), current.schema[c].dataType)
+            return _choose(is_update, F.col(f"`__n_{c}`"), new_types[c], q(c), old_types[c], targets[c])
         if c in pb:
             return F.when(is_update, F.col(f"`__n_{c}`"))
-        return F.when(is_update, F.lit(None).cast(current.schema[c].dataType)).otherwise(q(c))
+        return F.when(is_update, F.lit(None).cast(old_types[c])).otherwise(q(c))
 
     body = j.select(*[val(c).alias(c) for c in names], "_id", "_etag", "_created", "_updated",
-                    is_update.alias("__upd"))
+                    is_update.alias("__upd"), "__op")
     new_etag = etag_col(names)
     changed = F.col("__upd") & (new_etag != F.col("_etag"))
-    kept = body.select(*[q(c) for c in names], "_id",
-                       F.when(changed, new_etag).otherwise(F.col("_etag")).alias("_etag"), "_created",
-                       F.when(changed, now).otherwise(F.col("_updated")).alias("_updated"))
+    stored = body.select(*[q(c) for c in names], "_id",
+                         F.when(changed, new_etag).otherwise(F.col("_etag")).alias("_etag"), "_created",
+                         F.when(changed, now).otherwise(F.col("_updated")).alias("_updated"), "__upd", "__op")
     # plan rows whose key is not stored (any more): creates, or updates of a vanished document
     missing = one.join(_stored_keys(current, one, key), q(key) == F.col("__ck"), "left_anti")
     new_rows = missing.filter(F.col("op") == OP_CREATE).select(
         *[q(c) for c in pb], doc_id_col(collection, q(key)).alias("_id"), etag_col(pb).alias("_etag"),
         now.alias("_created"), now.alias("_updated"))
-    version = unite(kept, new_rows)
+    return _Applied(refused, dups, stored, missing, new_rows, certain)
+
+
+def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column | None = None,
+               key: str = KEY) -> tuple[DataFrame, DataFrame]:
+    """(new version of the collection, outcome ``(collection, key, op, status, n)``: n plan rows).
 
+    The version streams the current collection once through a left join with the (deduplicated) plan;
+    the outcome needs only the key and ``_etag`` columns of the collection, which is all its scan reads.
+    Pass a staged plan (:func:`trackmodel.plans.ingest.stage_plan`, as ``apply_import`` does): as a
+    Parquet scan its size is known when the query is planned, so a small batch is broadcast and the
+    collection is never shuffled for the join. :func:`apply_counted` gives the outcome's counts without joining again.
+    """
+    a = _applied(plan, current, collection, now if now is not None else F.current_timestamp(), key, False)
     lit_c = F.lit(collection).alias("collection")
     one_row = F.lit(1).cast("long").alias("n")
-    hit = j.filter(F.col("__pk").isNotNull()).select(
+    hit = a.stored.filter(F.col("__op").isNotNull()).select(
         lit_c, q(key), F.col("__op").alias("op"),
-        F.when(is_update, F.lit(UPDATED)).otherwise(F.lit(CONFLICT)).alias("status"), one_row)
-    miss = missing.select(lit_c, q(key), "op",
-                          F.when(F.col("op") == OP_CREATE, F.lit(CREATED)).otherwise(F.lit(CONFLICT)).alias("status"), one_row)
-    dup = dups.select(lit_c, q(key), "op", F.lit(DUPLICATE).alias("status"), "n")
-    bad = refused.select(lit_c, q(key), "op", F.lit(REJECTED).alias("status"), one_row)
-    return version, hit.unionByName(miss).unionByName(dup).unionByName(bad)
+        F.when(F.col("__upd"), F.lit(UPDATED)).otherwise(F.lit(CONFLICT)).alias("status"), one_row)
+    miss = a.missing.select(lit_c, q(key), "op",
+                            F.when(F.col("op") == OP_CREATE, F.lit(CREATED)).otherwise(F.lit(CONFLICT)).alias("status"), one_row)
+    dup = a.dups.select(lit_c, q(key), "op", F.lit(DUPLICATE).alias("status"), "n")
+    bad = a.refused.select(lit_c, q(key), "op", F.lit(REJECTED).alias("status"), one_row)
+    return unite(a.stored.drop("__upd", "__op"), a.new_rows), hit.unionByName(miss).unionByName(dup).unionByName(bad)
+
 
+def observe_plan(plan: DataFrame, key: str = KEY) -> tuple[DataFrame, Observation]:
+    """``plan`` that counts its rows with a key by ``op`` while it is written."""
+    seen = Observation()
+    ops = [F.count(F.when((F.col("op") == op) & q(key).isNotNull(), 1)).alias(op) for op in (OP_CREATE, OP_UPDATE, OP_REJECT)]
+    return plan.observe(seen, *ops), seen
 
-def unite(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Bag union by name; columns both have meet in their common type, missing ones are null."""
-    at, bt = _types(a, a.columns), _types(b, b.columns)
-    dts = {c: common_type(at[c], bt[c]) for c in at if c in bt}
-    return a.select(*[(conform(q(c), at[c], dts[c]) if c in dts else q(c)).alias(c) for c in at]).unionByName(
-        b.select(*[(conform(q(c), bt[c], dts[c]) if c in dts else q(c)).alias(c) for c in bt]), allowMissingColumns=True)
+
+def apply_counted(plan: DataFrame, planned: dict[str, int], current: DataFrame, collection: str, now: Column | None = None,
+                  key: str = KEY, unique: bool = False) -> tuple[DataFrame, Callable[[], list[tuple[str, str, int]]]]:
+    """(new version, its outcome as ``(op, status, n)`` once the version is written).
+
+    ``planned``: rows of the plan by ``op`` (:func:`observe_plan`). Everything else is counted while the version is
+    written, so neither collection nor plan is joined again. The counters sit in the writing stage, where a task
+    counts once however often it was tried. ``unique``: the plan is known to hold each key once.
+    """
+    now = now if now is not None else F.current_timestamp()
+    a = _applied(plan, current, collection, now, key, unique)
+    if not a.certain:  # a rare case: values that fitted when the plan was made, and no more
+        version, outcome = apply_plan(plan, current, collection, now, key)
+        return version, lambda: [tuple(r) for r in outcome.groupBy("op", "status").agg(F.sum("n")).collect()]  # a row per status
+    hits, made = Observation(), Observation()
+    met = F.col("__op").isNotNull() & ~F.coalesce(F.col("__upd"), F.lit(False))
+    stored = a.stored.observe(hits, F.count(F.when(F.col("__upd"), 1)).alias("updated"),
+                              F.count(F.when(met & (F.col("__op") == OP_CREATE), 1)).alias("known"))
+    new_rows = a.new_rows.observe(made, F.count(F.lit(1)).alias("created"))
+    again = {} if a.dups is None else {r[0]: r[1] for r in a.dups.groupBy("op").agg(F.sum("n")).collect()}  # a row per op
+
+    def outcome() -> list[tuple[str, str, int]]:
+        hit, new = hits.get, made.get
+        created, updated = new.get("created", 0), hit.get("updated", 0)
+        rows = [(OP_CREATE, CREATED, created), (OP_UPDATE, UPDATED, updated),
+                (OP_CREATE, CONFLICT, hit.get("known", 0)),
+                (OP_UPDATE, CONFLICT, planned.get(OP_UPDATE, 0) - again.get(OP_UPDATE, 0) - updated),
+                (OP_REJECT, REJECTED, planned.get(OP_REJECT, 0)),
+                *[(op, DUPLICATE, n) for op, n in again.items()]]
+        return [r for r in rows if r[2]]
+
+    return unite(stored.drop("__upd", "__op"), new_rows), outcome
+
+
+def unite(kept: DataFrame, new: DataFrame) -> DataFrame:
+    """Bag union by name, in the types of ``kept`` (every value of ``new`` fits them); missing columns are null."""
+    kt, nt = _types(kept, kept.columns), _types(new, new.columns)
+    return kept.unionByName(new.select(*[(conform(q(c), dt, kt[c]) if c in kt else q(c)).alias(c) for c, dt in nt.items()]),
+                            allowMissingColumns=True)
 
 
 def replace_by_key(current: DataFrame, docs: DataFrame, collection: str, overwrite: bool = False,
@@ -275,7 +354,8 @@ def replace_by_key(current: DataFrame, docs: DataFrame, collection: str, overwri
     now = now if now is not None else F.current_timestamp()
     nb = business_columns(docs)
     cb = business_columns(current)
-    unfit = _unfit(_types(docs, nb), _types(current, cb), lambda c: q(c))
+    targets = settle(current, _types(current, cb), _types(docs, nb))
+    unfit = _unfit(_types(docs, nb), targets, lambda c: q(c))
     valid = docs.filter(q(key).isNotNull() & ~unfit)
     one, _ = dedup_plan(valid.withColumn("op", F.lit(OP_CREATE)).withColumn("collection", F.lit(collection)), key)
     one = one.drop("op", "collection")
@@ -286,7 +366,7 @@ def replace_by_key(current: DataFrame, docs: DataFrame, collection: str, overwri
 
     def val(c: str) -> Column:
         if c in nb and c in cb:
-            return _choose(hit, F.col(f"`__n_{c}`"), docs.schema[c].dataType, q(c), current.schema[c].dataType)
+            return _choose(hit, F.col(f"`__n_{c}`"), docs.schema[c].dataType, q(c), current.schema[c].dataType, targets[c])
         if c in nb:
             return F.when(hit, F.col(f"`__n_{c}`"))
         return F.when(hit, F.lit(None).cast(current.schema[c].dataType)).otherwise(q(c))

@@ -11,7 +11,6 @@ _EXPORTS = {
     "ImportPlan": "trackmodel.plans.ingest",
     "apply_import": "trackmodel.plans.ingest",
     "extract_documents": "trackmodel.plans.ingest",
-    "ingest": "trackmodel.plans.ingest",
     "plan_import": "trackmodel.plans.ingest",
     "stage_plan": "trackmodel.plans.ingest",
     "Mapping": "trackmodel.plans.mapping",

@@ -11,7 +11,7 @@ Order of steps (one Spark plan per definition, straight from the source):
    is grouped by slice + outer attributes on its own and joined back on that key;
 6. nested collection: group by slice + outer attributes, collect sorted structs (``n_id`` first);
 7. ``<array>_cols`` name indexes at document level;
-8. key to string, slice suffix.
+8. key to string, slice suffix; with ``parts``, a key of too many rows becomes several documents.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from pyspark.sql import types as T
 from trackmodel.functions import pointers as P
 from trackmodel.functions.pointers import Pointer, parse_pointer
 from trackmodel.operators.nest import nest_array, nest_collection, q, with_cols_index
+from trackmodel.operators.parts import PART, PART_OF, PARTS, assign_parts, part_key
 from trackmodel.operators.timeparts import assign_partition, normalize_ts, partition_suffix
 from trackmodel.operators.unnest import pointer_column, unnest
 from trackmodel.plans.mapping import Definition
+from trackmodel.sources.files import FILE
 
 BUCKET = "__bucket"
 TS_MS = "__ts_ms"
@@ -99,7 +101,7 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
                        outer: bool = False) -> DataFrame:
     """Documents of one definition (null keys included; see :func:`split_rejected`).
 
-    Rows of a partitioned definition without a usable timestamp are in :func:`untimed_rows`, not here.
+    Rows of a partitioned definition without a usable timestamp are in :func:`rejected_records`, not here.
     """
     r = _Resolver(df, d, outer)
     u = r.df
@@ -136,6 +138,9 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
         nf = _null_free_keys(rows, g_outer)
         if nf is not None:
             rows, restore, g_outer = nf[0], g_outer, nf[1]
+    if d.part_rows:
+        rows = assign_parts(rows, g_outer, [n for n, _ in nat] or [n for n, _ in arr], d.part_rows)
+        g_outer = g_outer + [PART, PARTS]
     if not nested and not arr:
         # a flat collection: the documents are the distinct projected rows
         docs = rows.distinct()
@@ -173,6 +178,8 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
         out.append(q(nested.name))
     if d.partition:
         out.append(q(BUCKET))
+    if d.part_rows:
+        out += [q(PART), q(PARTS)]
     docs = docs.select(*out)
     if d.array:
         docs = with_cols_index(docs, d.array.name, [m.name for m in d.array.members])
@@ -184,23 +191,44 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
         docs = docs.withColumn(P.KEY, key).drop(BUCKET)
     else:
         docs = docs.withColumn(P.KEY, key)
+    if d.part_rows:
+        docs = docs.withColumn(PART_OF, q(P.KEY)).withColumn(P.KEY, part_key(q(P.KEY)))
     return docs
 
 
-def untimed_rows(df: DataFrame, d: Definition, time_format: str = "ms", outer: bool = False) -> DataFrame:
-    """``(key, reason)`` of every unnested row whose timestamp is missing or does not parse; flat, never nested."""
-    r = _Resolver(df, d, outer)
-    key = next(a.pointer for a in d.attrs if a.name == P.KEY)
-    rows = normalize_ts(r.df, r.col(d.partition.ts), time_format, out=TS_MS)
-    return rows.filter(F.col(TS_MS).isNull()).select(r.col(key).cast("string").alias(P.KEY), F.lit(NO_TIMESTAMP).alias(REASON))
+REJECT_COLUMNS = (P.KEY, REASON, "text", "file")
+
+
+def rejected_records(df: DataFrame, d: Definition, time_format: str = "ms", outer: bool = False) -> DataFrame:
+    """``(key, reason, text, file)`` of every record that has no key or no usable timestamp, each time it occurs.
+
+    Only the paths of the key and the timestamp are unnested. ``text`` is the record as JSON, or the array element
+    that holds the key or the timestamp. Taken from the source, before anything is made distinct or nested.
+    """
+    raw = {"key": next(a.pointer for a in d.attrs if a.name == P.KEY)}
+    if d.partition:
+        raw["ts"] = d.partition.ts
+    ptrs = {k: parse_pointer(v, tuple(df.columns)) for k, v in raw.items()}
+    paths = [p.explode for p in ptrs.values() if not p.is_literal and p.explode]
+    rows, alias = unnest(df, paths, outer=outer)
+    at = max(paths, key=len, default=())
+    own = [c for c in df.columns if c != FILE]
+    text = F.to_json(F.struct(alias[at]) if at else F.struct(*[q(c) for c in own]))
+    if at:
+        text = F.get_json_object(text, f"$.{alias[at]}")
+    col = {k: F.lit(p.literal) if p.is_literal else pointer_column(alias, p.explode, p.steps, p.verbatim) for k, p in ptrs.items()}
+    reason = F.when(col["key"].isNull(), NO_KEY)
+    if d.partition:
+        rows = normalize_ts(rows, col["ts"], time_format, out=TS_MS)
+        reason = F.when(F.col(TS_MS).isNull(), NO_TIMESTAMP).otherwise(reason)
+    file = F.col(FILE) if FILE in df.columns else F.lit(None).cast("string")
+    out = rows.select(col["key"].cast("string").alias(P.KEY), reason.alias(REASON), text.alias("text"), file.alias("file"))
+    return out.filter(F.col(REASON).isNotNull())
 
 
-def rejected_rows(docs: DataFrame, df: DataFrame, defs: list[Definition], time_format: str = "ms",
-                  outer: bool = False) -> DataFrame:
-    """``(key, reason)``: documents without a key, and rows without a usable timestamp."""
-    parts = [docs.filter(q(P.KEY).isNull()).select(q(P.KEY), F.lit(NO_KEY).alias(REASON))]
-    parts += [untimed_rows(df, d, time_format, outer) for d in defs if d.partition]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def rejected_rows(df: DataFrame, defs: list[Definition], time_format: str = "ms", outer: bool = False) -> DataFrame:
+    """``rejected_records`` of every definition of a collection."""
+    return reduce(lambda a, b: a.unionByName(b), [rejected_records(df, d, time_format, outer) for d in defs])
 
 
 def split_rejected(docs: DataFrame, key: str = P.KEY) -> tuple[DataFrame, DataFrame]:

@@ -1,27 +1,41 @@
 """End to end: provider file + mapping -> documents -> staged upsert plan -> applied store versions.
 
-``plan_import`` is the dry run (validate): it builds every collection's documents and plan lazily,
+``plan_import`` is the dry run (validate): it parses the source once, builds every collection's documents and plan,
 writes the plans to a staging folder in the shared checkpoint area (so lineage is cut and the confirm
 step reads exactly what was validated) and reports counts. ``apply_import`` (confirm) applies the
-staged plans against the *current* store versions with etag checks and writes new versions.
+staged plans against the *current* store versions with etag checks and writes new versions. Collections do not
+depend on each other, so both steps handle them at once; counts are taken while the plans and versions are written.
+
+Every record of a source ends in documents or in one reject with its reason, text and file: records that do not
+parse are rejected once per source (collection ``SOURCE``), records without a key or a usable timestamp once per
+definition that wanted one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackmodel.operators.report import import_counts, import_outcome, with_provenance
-from trackmodel.operators.upsert import DEF_COL, OP_REJECT, REJECTED, apply_plan, grow_arrays, plan_creates, plan_upsert
-from trackmodel.plans.extract import extract_collection, feature_constants, rejected_rows, split_rejected
-from trackmodel.plans.mapping import Mapping, parse_mapping
-from trackmodel.functions.pointers import KEY
-from trackmodel.session import delete, scratch_path
-from trackmodel.sources.files import read_source
+from trackmodel.operators.upsert import (DEF_COL, OP_REJECT, REJECTED, apply_counted, grow_arrays, observe_plan, plan_creates,
+                                         plan_upsert)
+from trackmodel.plans.extract import REASON, extract_collection, feature_constants, rejected_rows, split_rejected
+from trackmodel.plans.mapping import Definition, Mapping, parse_mapping
+from trackmodel.functions.pointers import KEY, parse_pointer
+from trackmodel.session import delete, scratch_path, together
+from trackmodel.sources.files import BROKEN, FILE, read_records, split_broken, whole
 from trackmodel.sources.store import CollectionStore, VersionConflict
+from trackmodel.sources.typed import leaf_types, retype, text_leaves
+
+#: The name under which rejects of the source itself are reported, beside the collections.
+SOURCE = "(source)"
+MALFORMED = "MALFORMED"
+BAD_VALUE = "BAD_VALUE"
 
 
 @dataclass
@@ -31,92 +45,175 @@ class ImportPlan:
     rejected: dict[str, DataFrame] = field(default_factory=dict)
     plans: dict[str, DataFrame] = field(default_factory=dict)
     stage_dir: str | None = None
+    planned: dict[str, dict[str, int]] = field(default_factory=dict)  # plan rows by op
+    left_out: dict[str, int] = field(default_factory=dict)  # rejects
+    unique: dict[str, bool] = field(default_factory=dict)  # whether a plan can hold a key once only
 
     def counts(self) -> DataFrame:
         return import_counts(list(self.plans.values()))
 
+    def rejects(self) -> DataFrame:
+        """``collection, schema_identifier, reason, text, file``: a row for each record that was left out."""
+        return reduce(lambda a, b: a.unionByName(b), [r.withColumn("collection", F.lit(c)) for c, r in self.rejected.items()])
+
     def rejected_counts(self) -> DataFrame:
-        """``(collection, reason, n)``: what was left out for want of a key or a usable timestamp."""
-        parts = [r.select(F.lit(c).alias("collection"), "reason") for c, r in self.rejected.items()]
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        return both.groupBy("collection", "reason").agg(F.count(F.lit(1)).alias("n"))
+        """``(collection, reason, n)``: how many records were left out, each time they occur."""
+        return self.rejects().groupBy("collection", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def extract_documents(source: DataFrame, mapping: Mapping, sep: str = "__", outer: bool = False,
                       tag: bool = True) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Documents, and rejects ``(key, reason)``, per collection, all lazy."""
+    """Documents, and rejects ``(key, reason, text, file)``, per collection, all lazy."""
     docs, rejects = {}, {}
     for collection, defs in mapping.collections.items():
         d = extract_collection(source, defs, mapping.file.timestamp_format, sep, outer, tag=tag)
-        rejects[collection] = rejected_rows(d, source, defs, mapping.file.timestamp_format, outer)
+        rejects[collection] = rejected_rows(source, defs, mapping.file.timestamp_format, outer)
         docs[collection], _ = split_rejected(feature_constants(d, mapping.features))
     return docs, rejects
 
 
-def stage_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Write extracted documents to the shared folder and read them back (lineage cut, computed once)."""
+def key_leaves(mapping: Mapping, columns: list[str]) -> set[str]:
+    """Leaf paths that document keys are taken from."""
+    out = set()
+    for d in mapping.definitions():
+        p = parse_pointer(next(a.pointer for a in d.attrs if a.name == KEY), tuple(columns))
+        if not p.is_literal:
+            out.add(".".join([*p.explode, *[s for s in p.steps if isinstance(s, str)]]))
+    return out
+
+
+def unique_keys(defs: list[Definition], source: DataFrame) -> bool:
+    """Whether no two documents of a collection can have the same key: one definition, which groups by nothing but a
+    key whose text form tells its values apart."""
+    ptrs = [(a.name, parse_pointer(a.pointer, tuple(source.columns))) for a in defs[0].attrs]
+    grouped = [n for n, p in ptrs if not p.is_literal]
+    if len(defs) > 1 or defs[0].part_rows or grouped not in ([], [KEY]):
+        return False
+    p = next(p for n, p in ptrs if n == KEY)
+    if p.is_literal:
+        return True
+    dt: T.DataType = source.schema
+    for s in [*[s for e in p.explode for s in e.split(".")], *p.steps]:
+        while isinstance(dt, T.ArrayType):
+            dt = dt.elementType
+        if isinstance(s, str) and isinstance(dt, T.StructType) and s in dt.names:
+            dt = dt[s].dataType
+    return isinstance(dt, (T.StringType, T.IntegralType))
+
+
+def stage_documents(docs: DataFrame, path: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write extracted documents to the shared folder and read them back (lineage cut, computed once).
+
+    ``spark``: the session to read them in (a micro-batch has one of its own; counts that are observed while
+    something is written are reported to the session of its frames alone).
+    """
     docs.write.mode("errorifexists").parquet(path)
     # the schema is the one just written: reading it back needs no footer-inference job
-    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+    return (spark or docs.sparkSession).read.schema(docs.schema).parquet(path)
 
 
-def stage_plan(plan: DataFrame, path: str) -> DataFrame:
+def stage_plan(plan: DataFrame, path: str, spark: SparkSession | None = None) -> DataFrame:
     """Write a plan to the shared folder (partitioned by ``op``) and read it back: the confirm step then
     applies exactly what was validated, and the lineage of the extraction is cut (K5)."""
     plan.write.mode("errorifexists").partitionBy("op").parquet(path)
-    return plan.sparkSession.read.schema(plan.schema).parquet(path)
+    return (spark or plan.sparkSession).read.schema(plan.schema).parquet(path)
+
+
+def open_records(spark: SparkSession, m: Mapping, records: DataFrame, stage_dir: str, stage_source: bool = True,
+                 infer_types: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(source, its rejects ``(key, reason, text, file)``) from :func:`trackmodel.sources.files.read_records`.
+
+    ``infer_types``: text leaves take the type of their values (default: of XML, and of CSV whose broken lines may
+    have spoilt Spark's own inference). Keys stay text; ``types`` of the mapping's ``file`` block come first, and a
+    record with a value that such a type cannot hold is rejected.
+    """
+    seen = Observation()
+    if stage_source:
+        counted = records.observe(seen, F.count(F.when(F.col(BROKEN).isNotNull(), 1)).alias("broken"))
+        records = stage_documents(counted, f"{stage_dir}/__source", spark)
+    else:
+        records = whole(records)
+    good, broken = split_broken(records)
+    left_out = broken.select(F.lit(None).cast("string").alias(KEY), F.lit(MALFORMED).alias(REASON), "text", "file")
+    if infer_types is None:
+        spoilt = seen.get["broken"] if stage_source else broken.limit(1).count()
+        infer_types = m.file.format == "xml" or (m.file.format == "csv" and spoilt > 0)
+    types = {p: T._parse_datatype_string(t) for p, t in m.file.types.items()}
+    if infer_types:
+        leaves = [p for p in text_leaves(good.drop(FILE).schema) if p not in types and p not in key_leaves(m, good.columns)]
+        types |= leaf_types(good, leaves)
+    types = {p: t for p, t in types.items() if p != FILE}
+    if types:
+        unfit = retype(good, types)[1]
+        own = [F.col(f"`{c}`") for c in good.columns if c != FILE]
+        left_out = left_out.unionByName(good.filter(unfit).select(
+            F.lit(None).cast("string").alias(KEY), F.lit(BAD_VALUE).alias(REASON), F.to_json(F.struct(*own)).alias("text"),
+            F.col(FILE).alias("file")))
+        # written again with its types: every definition then reads only the fields it needs
+        good = stage_documents(retype(good.filter(~unfit), types)[0], f"{stage_dir}/__typed", spark)
+    return good, left_out
 
 
 def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | DataFrame, store: CollectionStore,
                 inputs: dict | None = None, stage_dir: str | None = None, provenance: dict | None = None,
-                sep: str = "__", outer: bool = False, stage_source: bool | None = None, schema=None,
-                sampling_ratio: float | None = None, multi_line: bool = False, grow_slices: bool = False) -> ImportPlan:
+                sep: str = "__", outer: bool = False, stage_source: bool = True, schema=None,
+                sampling_ratio: float | None = None, multi_line: bool = False, grow_slices: bool = False,
+                infer_types: bool | None = None) -> ImportPlan:
     """Validate an import: documents and upsert plan per collection, staged under ``stage_dir``.
 
-    ``stage_source`` (default: when a text file feeds more than one pass) parses the provider file once
-    into Parquet in the staging folder; every definition then reads only the columns it needs from it
-    instead of parsing the whole text again, and a lost executor re-reads Parquet, not the text.
+    A provider file is parsed once into Parquet in the staging folder; every definition then reads only the columns
+    it needs from it instead of parsing the whole text again, and a lost executor re-reads Parquet, not the text.
+    ``stage_source=False`` parses it in every pass, with the same result. ``schema`` is taken as given: only the
+    mapping's ``types`` change it then, unless ``infer_types`` says so.
     ``grow_slices``: nested arrays of a partitioned definition are added to those of a stored slice instead of
     replacing them whole.
     """
     m = mapping if isinstance(mapping, Mapping) else parse_mapping(mapping, inputs)
     stage_dir = stage_dir or scratch_path(spark, f"staged-{m.name or 'import'}")
-    if isinstance(source, DataFrame):
-        df = source
-    else:
-        df = read_source(spark, m.file, source, schema, sampling_ratio, multi_line)
-        passes = len(m.definitions()) + sum(1 for d in m.definitions() if d.partition)
-        if stage_source if stage_source is not None else passes > 1:
-            df.write.mode("errorifexists").parquet(f"{stage_dir}/__source")
-            df = spark.read.schema(df.schema).parquet(f"{stage_dir}/__source")
+    df, left_out = source, []
+    if not isinstance(source, DataFrame):
+        df = read_records(spark, m.file, source, schema, sampling_ratio, multi_line)
+        infer_types = False if infer_types is None and schema is not None else infer_types
+    if BROKEN in df.columns:
+        df, own = open_records(spark, m, df, stage_dir, stage_source, infer_types)
+        left_out.append(own.withColumn("collection", F.lit(SOURCE)))
     docs, rejects = extract_documents(df, m, sep, outer)
-    tagged = [r.withColumn("collection", F.lit(c)) for c, r in rejects.items()]
-    left_out = stage_documents(reduce(lambda a, b: a.unionByName(b), tagged), f"{stage_dir}/__rejected")
-    ip = ImportPlan(m, stage_dir=stage_dir, rejected={
-        c: left_out.filter(F.col("collection") == c).drop("collection") for c in rejects})
-    for collection, d in docs.items():
+    left_out += [r.withColumn("collection", F.lit(c)) for c, r in rejects.items()]
+    ip = ImportPlan(m, stage_dir=stage_dir)
+
+    def rejected() -> tuple[DataFrame, dict[str, int]]:
+        seen, names = Observation(), [SOURCE, *docs]
+        rows = reduce(lambda a, b: a.unionByName(b), left_out).observe(
+            seen, *[F.count(F.when(F.col("collection") == c, 1)).alias(f"n{i}") for i, c in enumerate(names)])
+        return stage_documents(rows, f"{stage_dir}/__rejected", spark), {c: seen.get.get(f"n{i}", 0) for i, c in enumerate(names)}
+
+    def planned(collection: str, d: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
         if provenance:
             d = with_provenance(d, **provenance)
         base = store.current_version(collection)
         if base is None:
             # nothing stored yet: every document is a CREATE and the plan needs no join
-            ip.documents[collection] = d
             plan = plan_creates(d, collection)
         else:
             # the documents are computed once: the plan reads them twice (keys, then rows)
-            d = stage_documents(d, f"{stage_dir}/{collection}__documents")
-            ip.documents[collection] = d
+            d = stage_documents(d, f"{stage_dir}/{collection}__documents", spark)
             stored = store.scan(collection, version=base)
             plan = plan_upsert(d, stored, collection)
             growing = [x for x in m.collections[collection] if grow_slices and x.partition and (x.nested or x.array)]
             for i, x in enumerate(growing):
                 arrays = [(x.array.name, None)] if x.array else []
                 arrays += [(x.nested.name, x.nested.array.name if x.nested.array else None)] if x.nested else []
-                plan = stage_documents(plan, f"{stage_dir}/{collection}__growing/{i}")
+                plan = stage_documents(plan, f"{stage_dir}/{collection}__growing/{i}", spark)
                 plan = grow_arrays(plan, stored, arrays, F.col(DEF_COL) == x.index)
-        ip.plans[collection] = stage_plan(plan, f"{stage_dir}/{collection}")
+        plan, seen = observe_plan(plan)
+        return d, stage_plan(plan, f"{stage_dir}/{collection}", spark), seen.get
+
+    tasks: list[Callable] = [lambda c=c, d=d: planned(c, d) for c, d in docs.items()]
+    *made, (rows, ip.left_out) = together(spark, [*tasks, rejected])
+    for c, (d, plan, counts) in zip(docs, made):
+        ip.documents[c], ip.plans[c], ip.planned[c] = d, plan, counts
+    ip.rejected = {c: rows.filter(F.col("collection") == c).drop("collection") for c in ip.left_out}
+    ip.unique = {c: unique_keys(defs, df) for c, defs in m.collections.items()}
     return ip
 
 
@@ -126,25 +223,29 @@ def apply_import(spark: SparkSession, ip: ImportPlan, store: CollectionStore, no
     Each version claims the number after the one it was made from; when another writer was faster, the plan
     is applied again to the newer version, where documents changed meanwhile come out as ``CONFLICT``.
     The outcome (with what was rejected before planning, as ``REJECTED``) is stored and read back; then the
-    staged source and documents are deleted. The plans stay, as the record of what was applied.
+    staged source and documents are deleted. The plans and rejects stay, as the record of what was done. When a
+    collection fails the others are stopped; versions that were written stay, and the import can be applied again.
     """
     now = now if now is not None else F.current_timestamp()
-    outs = []
-    for collection, plan in ip.plans.items():
+
+    def apply(collection: str, plan: DataFrame) -> list[tuple[str, str, int]]:
         while True:
             base = store.current_version(collection)
-            version, outcome = apply_plan(plan, store.scan(collection, version=base), collection, now)
+            version, outcome = apply_counted(plan, ip.planned[collection], store.scan(collection, version=base), collection,
+                                             now, unique=ip.unique.get(collection, False))
             try:
                 store.write_version(collection, version, base or 0)
-                break
+                return outcome()
             except VersionConflict:
                 if store.current_version(collection) == base:
                     raise  # claimed by a writer that has not finished
-        outs.append(outcome)
-    outs += [r.select(F.lit(c).alias("collection"), F.col(KEY), F.lit(OP_REJECT).alias("op"),
-                      F.lit(REJECTED).alias("status"), F.lit(1).cast("long").alias("n")) for c, r in ip.rejected.items()]
-    outcome = stage_documents(import_outcome(outs), f"{ip.stage_dir}/__outcome")
-    for name in ["__source", *[f"{c}__{part}" for c in ip.plans for part in ("documents", "growing")]]:
+
+    done = together(spark, [lambda c=c, p=p: apply(c, p) for c, p in ip.plans.items()])
+    rows = [(c, op, status, n) for c, out in zip(ip.plans, done) for op, status, n in out]
+    rows += [(c, OP_REJECT, REJECTED, n) for c, n in ip.left_out.items() if n]
+    grouped = spark.createDataFrame(rows, "collection string, op string, status string, n long").coalesce(1)
+    outcome = stage_documents(import_outcome(grouped), f"{ip.stage_dir}/__outcome", spark)
+    for name in ["__source", "__typed", *[f"{c}__{part}" for c in ip.plans for part in ("documents", "growing")]]:
         delete(spark, f"{ip.stage_dir}/{name}")
     return outcome
 

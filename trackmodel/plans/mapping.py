@@ -17,6 +17,12 @@ from trackmodel.functions.columns import MS_FORMAT, parse_interval
 FORMATS = ("csv", "json", "xml")
 # --- end of fixed values ---
 
+#: Setting of a definition that splits documents of very many rows: ``"parts": {"rows": 50000}``.
+PARTS = "parts"
+
+#: Types a mapping may give a leaf of its source.
+LEAF_TYPES = ("string", "long", "double", "boolean")
+
 
 @dataclass
 class Attr:
@@ -53,6 +59,7 @@ class Definition:
     array: ArraySpec | None = None
     nested: NestedSpec | None = None
     partition: Partition | None = None
+    part_rows: int | None = None  # rows of one key beyond which its document is split into parts
 
     def pointers(self) -> list[str]:
         out = [a.pointer for a in self.attrs]
@@ -75,6 +82,7 @@ class FileSpec:
     row_tag: str | None = None
     value_tag: str | None = None
     timestamp_format: str = MS_FORMAT
+    types: dict[str, str] = field(default_factory=dict)  # leaf path -> type, in place of what the values suggest
 
 
 @dataclass
@@ -94,6 +102,13 @@ def _truthy(v) -> bool:
     return str(v).strip().lower() in ("true", "1", "yes")
 
 
+def _leaf_types(types: dict) -> dict[str, str]:
+    unknown = sorted(f"{p}: {t}" for p, t in types.items() if t not in LEAF_TYPES)
+    if unknown:
+        raise ValueError(f"unknown leaf types {unknown}; known: {LEAF_TYPES}")
+    return dict(types)
+
+
 def parse_file_spec(spec: dict) -> FileSpec:
     fmt = str(spec.get("format", "")).lower()
     if fmt not in FORMATS:
@@ -107,6 +122,7 @@ def parse_file_spec(spec: dict) -> FileSpec:
         row_tag=spec.get("rowTag"),
         value_tag=spec.get("valueTag"),
         timestamp_format=spec.get("timestamp_format", MS_FORMAT),
+        types=_leaf_types(spec.get("types", {})),
     )
 
 
@@ -131,11 +147,16 @@ class _Inputs:
         return raw
 
 
+def _is_parts(name: str, body) -> bool:
+    """A ``parts`` setting, not a nested definition of that name."""
+    return name == PARTS and isinstance(body, dict) and "a" not in body
+
+
 def _attrs(body: dict, collection: str, inputs: _Inputs, skip=()) -> tuple[list[Attr], dict[str, dict]]:
     attrs: list[Attr] = []
     dicts: dict[str, dict] = {}
     for k, v in body.items():
-        if k in ("a", P.PARTITION) or k in skip:
+        if k in ("a", P.PARTITION) or k in skip or _is_parts(k, v):
             continue
         if k == P.ADDITIONAL_FIELDS:
             if not isinstance(v, list):
@@ -192,6 +213,13 @@ def parse_definition(collection: str, body: dict, index: int = 0, inputs: dict |
     if part is not None:
         _, _, width = parse_interval(part["interval"])
         d.partition = Partition(part["interval"], part["ts_field"], width, part.get("origin_ms"))
+    if _is_parts(PARTS, body.get(PARTS)):
+        rows = body[PARTS].get("rows")
+        if not isinstance(rows, int) or rows < 1:
+            raise ValueError(f"{collection}: parts.rows must be a positive number, got {rows!r}")
+        if bool(d.nested) == bool(d.array):
+            raise ValueError(f"{collection}: parts need one nested collection or one nested array")
+        d.part_rows = rows
     return d
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 _SCRATCH = "trackmodel-scratch"
@@ -22,6 +26,7 @@ def get_spark(master: str | None = None, app: str = "trackmodel", shuffle_partit
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.scheduler.mode": "FAIR",  # jobs submitted together share the executors
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -83,15 +88,79 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{_SCRATCH}/{uuid.uuid4().hex}/{name}"
 
 
+def together(spark: SparkSession, tasks: list[Callable], limit: int = 8) -> list:
+    """Run independent tasks at once, ``limit`` at most; their results in the order of ``tasks``.
+
+    Every task submits its own Spark jobs (each thread in a scheduler pool of its own). The first failure cancels the
+    jobs of the others, keeps waiting tasks from starting, and is raised.
+    """
+    if len(tasks) < 2:
+        return [t() for t in tasks]
+    sc, tag = spark.sparkContext, f"together-{uuid.uuid4().hex}"
+    results: list = [None] * len(tasks)
+    waiting, failed, lock = list(enumerate(tasks)), [], threading.Lock()
+
+    def work(pool: str) -> None:
+        sc.addJobTag(tag)
+        sc.setLocalProperty("spark.scheduler.pool", pool)
+        while True:
+            with lock:
+                if failed or not waiting:
+                    return
+                i, task = waiting.pop(0)
+            try:
+                results[i] = task()
+            except BaseException as e:  # handed to the caller below
+                with lock:
+                    failed.append(e)
+                sc.cancelJobsWithTag(tag)
+                return
+
+    threads = [InheritableThread(target=work, args=(f"{tag}-{k}",)) for k in range(min(limit, len(tasks)))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if failed:
+        raise failed[0]
+    return results
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def create_file(spark: SparkSession, path: str) -> bool:
-    """Create an empty file; False when it is there already. Only one caller succeeds."""
+def create_file(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Create a file that holds ``text``; False when it is there already. Only one caller succeeds."""
     fs, p = _fs(spark, path)
-    return bool(fs.createNewFile(p))
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if fs.exists(p):
+            return False
+        raise e
+    out.write(text.encode("utf-8"))
+    out.close()
+    return True
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file (None: no such file)."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    source = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils
+    stream = fs.open(p)
+    data = bytes(source.readFullyToByteArray(stream))
+    stream.close()
+    return data.decode("utf-8")
+
+
+def file_times(spark: SparkSession, pattern: str) -> dict[str, int]:
+    """Names of the files that match ``pattern``, with the file system's time of their last change (epoch ms)."""
+    fs, p = _fs(spark, pattern)
+    return {st.getPath().getName(): st.getModificationTime() for st in fs.globStatus(p) or []}
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -118,4 +187,4 @@ def glob_parents(spark: SparkSession, pattern: str) -> list[str]:
     return [] if found is None else [st.getPath().getParent().getName() for st in found]
 
 
-__all__ = ["get_spark", "scale_conf", "shared_dir", "scratch_path", "create_file", "delete", "list_dirs", "glob_parents"]
+__all__ = ["get_spark", "scale_conf", "shared_dir", "scratch_path", "together", "create_file", "read_file", "file_times", "delete", "list_dirs", "glob_parents"]

@@ -1,25 +1,38 @@
 """Collection store: one versioned Parquet folder per collection under a shared root.
 
 ``<root>/<collection>/v000001/`` ... Every change writes a complete new version next to the current one;
-a version counts once its ``_SUCCESS`` marker exists (the job commit), so readers never see a half
-written version and a failed or retried job leaves the current version untouched. A writer claims the
-version after the one it read; only one can (see ``write_version``). Documents are
-rows; business columns may differ between documents (missing = null) and widen over versions.
+a version counts once its ``_SUCCESS`` marker exists, so readers never see a half written version and a failed or
+retried job leaves the current version untouched. Documents are rows; business columns may differ between
+documents (missing = null) and widen over versions.
+
+A writer claims the version after the one it read with a marker file that names its owner; only one can. A claim
+whose file has not changed for ``claim_seconds`` may be taken over: the next attempt (``v000002-a2``) writes a folder
+of its own. Before a writer commits it checks that its claim is still the last one and its own, and that no other
+attempt has committed; else nothing of it counts and it gets :class:`VersionConflict`. So a writer that died blocks a
+collection for a while only, and one that was merely slow cannot overwrite who came after it.
+
+A version written in key order has a rank directory beside it (``v000003.ranks``: file, first key, rows, rows
+before it), so any page is read from the files that hold it.
 """
 
 from __future__ import annotations
 
 import re
+import time
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackmodel.functions.columns import SYSTEM_COLUMNS, doc_id_col, etag_col
 from trackmodel.functions.pointers import KEY
-from trackmodel.session import create_file, delete, glob_parents, list_dirs
+from trackmodel.session import create_file, delete, file_times, glob_parents, list_dirs, read_file
 
-_VERSION = re.compile(r"^v(\d{6})$")
+_VERSION = re.compile(r"^v(\d{6})(?:-a(\d+))?$")
+_CLAIM = re.compile(r"^v(\d{6})(?:-a(\d+))?\.claim$")
+#: What may lie beside a version's folder.
+_BESIDE = (".ranks", ".keys", ".keys.ranks")
 
 #: Columns a batch or plan carries beside its documents.
 PLAN_COLUMNS = ("__def", "__plan_etag", "__plan_id")
@@ -51,8 +64,10 @@ def with_system(df: DataFrame, collection: str, now: Column, key: str = KEY) ->
                      now.alias("_created"), now.alias("_updated"))
 
 
-#: A page is a top-k, and k grows with the page number; deeper reads go by key (``page_after``).
-MAX_PAGE_ROWS = 100_000
+#: Up to here a page of a version without a rank directory is a top-k, whose k grows with the page number.
+MAX_TOP_ROWS = 100_000
+#: Seconds after which the claim of a writer that has not committed may be taken over.
+CLAIM_SECONDS = 6 * 3600
 
 
 class VersionConflict(RuntimeError):
@@ -60,17 +75,24 @@ class VersionConflict(RuntimeError):
 
 
 class CollectionStore:
-    def __init__(self, spark: SparkSession, root: str, key: str = KEY):
-        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+    def __init__(self, spark: SparkSession, root: str, key: str = KEY, claim_seconds: float = CLAIM_SECONDS):
+        self.spark, self.root, self.key, self.claim_seconds = spark, root.rstrip("/"), key, claim_seconds
 
     # ---- versions -------------------------------------------------------------------------------
+    def _folder(self, collection: str, version: int, attempt: int = 1) -> str:
+        return f"{self.root}/{collection}/v{version:06d}" + (f"-a{attempt}" if attempt > 1 else "")
+
+    def _committed(self, collection: str) -> dict[int, int]:
+        """Committed versions and the attempt that made each (one glob for every ``_SUCCESS`` marker)."""
+        names = glob_parents(self.spark, f"{self.root}/{collection}/v*/_SUCCESS")
+        found = sorted((int(m.group(1)), int(m.group(2) or 1)) for m in map(_VERSION.match, names) if m)
+        return dict(found)
+
     def path(self, collection: str, version: int) -> str:
-        return f"{self.root}/{collection}/v{version:06d}"
+        return self._folder(collection, version, self._committed(collection).get(version, 1))
 
     def versions(self, collection: str) -> list[int]:
-        """Committed versions (one glob for every ``_SUCCESS`` marker of the collection)."""
-        names = glob_parents(self.spark, f"{self.root}/{collection}/v*/_SUCCESS")
-        return sorted(int(m.group(1)) for m in (_VERSION.match(n) for n in names) if m)
+        return sorted(self._committed(collection))
 
     def current_version(self, collection: str) -> int | None:
         v = self.versions(collection)
@@ -92,13 +114,56 @@ class CollectionStore:
         return df if system else strip_system(df)
 
     def page(self, collection: str, page: int, max_results: int = 25, system: bool = True) -> DataFrame:
-        """Page ``page`` (1-based) of ``max_results`` documents in key order (S6); a top-k per task, not a sort of all."""
+        """Page ``page`` (1-based) of ``max_results`` documents in key order (S6), at any depth.
+
+        A version with a rank directory is read from the files that hold the page, two at most unless they hold
+        fewer rows than a page. Without one, early pages are a top-k per task; for deeper ones the keys alone are
+        ranked once per version (range partitioned, kept beside it), and the page's documents are looked up.
+        """
         if page < 1 or max_results < 1:
             raise ValueError("page and max_results start at 1")
-        if page * max_results > MAX_PAGE_ROWS:
-            raise ValueError(f"pages end at document {MAX_PAGE_ROWS}; use page_after for deep reads")
-        df = self.scan(collection, system)
-        return df.orderBy(F.col(self.key)).offset((page - 1) * max_results).limit(max_results)
+        first = (page - 1) * max_results
+        v = self.current_version(collection)
+        if v is None:
+            return self.scan(collection, system).limit(0)
+        base = self.path(collection, v)
+        if self._exists(f"{base}.ranks"):
+            rows = self._ranked(base, first, max_results)
+            return rows if system else strip_system(rows)
+        df = self.scan(collection, system, v)
+        if first + max_results <= MAX_TOP_ROWS:
+            return df.orderBy(F.col(self.key)).offset(first).limit(max_results)
+        if not self._exists(f"{base}.keys.ranks"):
+            self._write_ordered(df.select(self.key), f"{base}.keys")
+            self._write_ranks(f"{base}.keys")
+        keys = self._ranked(f"{base}.keys", first, max_results)
+        among = [r[0] for r in keys.collect()]  # one page of keys
+        return df.filter(F.col(self.key).isin(among)).orderBy(F.col(self.key))
+
+    def _exists(self, path: str) -> bool:
+        return bool(glob_parents(self.spark, f"{path}/_SUCCESS"))
+
+    def _write_ordered(self, df: DataFrame, path: str) -> None:
+        df.repartitionByRange(F.col(self.key)).sortWithinPartitions(self.key).write.mode("overwrite").parquet(path)
+
+    def _write_ranks(self, path: str) -> None:
+        """The rank directory of a folder written in key order: a row per file."""
+        per_file = self.spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.min(self.key).alias("first_key"), F.count(F.lit(1)).alias("rows"))
+        before = Window.orderBy(F.col("first_key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        per_file.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long"))).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}.ranks")
+
+    def _ranked(self, path: str, first: int, count: int) -> DataFrame:
+        """Rows ``first`` to ``first + count`` in key order, from the files that hold them."""
+        whole = self.spark.read.parquet(path)
+        holds = self.spark.read.parquet(f"{path}.ranks").filter(
+            (F.col("start") < first + count) & (F.col("start") + F.col("rows") > first)).orderBy("start")
+        files = holds.select("file", "start").collect()  # the files of one page
+        if not files:
+            return whole.limit(0)
+        rows = self.spark.read.schema(whole.schema).parquet(*[f["file"] for f in files])
+        return rows.orderBy(F.col(self.key)).offset(first - files[0]["start"]).limit(count)
 
     def page_after(self, collection: str, after: str | None, max_results: int = 25, system: bool = True) -> DataFrame:
         """Keyset paging: the next ``max_results`` documents with a key greater than ``after``.
@@ -130,43 +195,75 @@ class CollectionStore:
         return out if system else strip_system(out)
 
     # ---- writes ---------------------------------------------------------------------------------
-    def write_version(self, collection: str, df: DataFrame, base: int | None = None) -> int:
+    def _attempts(self, collection: str, version: int) -> dict[int, int]:
+        """Attempts that claim a version, with the time of each claim."""
+        found = file_times(self.spark, f"{self._folder(collection, version)}*.claim")
+        return {int(m.group(2) or 1): t for m, t in ((_CLAIM.match(n), t) for n, t in found.items())
+                if m and int(m.group(1)) == version}
+
+    def claim(self, collection: str, base: int) -> "Claim":
+        """The right to write the version after ``base``; :class:`VersionConflict` when somebody else has it."""
+        version, owner = base + 1, f"{self.spark.sparkContext.applicationId} {uuid.uuid4().hex}"
+        taken = VersionConflict(f"{collection}: version {version} is taken; apply again to the current version")
+        if (self.current_version(collection) or 0) != base:
+            raise taken
+        made = self._attempts(collection, version)
+        last = max(made, default=0)
+        if last and time.time() - made[last] / 1000 < self.claim_seconds:
+            raise taken
+        path = self._folder(collection, version, last + 1)
+        if not create_file(self.spark, f"{path}.claim", owner):
+            raise taken
+        return Claim(self, collection, version, last + 1, owner)
+
+    def write_version(self, collection: str, df: DataFrame, base: int | None = None, ordered: bool = False) -> int:
         """Write ``df`` as the version after ``base`` and return its number (never overwrites what is read).
 
-        ``base`` is the version ``df`` was made from (0: none; default: the current one). The next number is
-        claimed by creating its marker file, which only one writer can do; who comes second gets
-        :class:`VersionConflict` and applies again to the newer version, so no write is lost. A writer that
-        died between claim and commit leaves an uncommitted claim, which readers ignore and ``release`` removes.
+        ``base`` is the version ``df`` was made from (0: none; default: the current one). Who comes second gets
+        :class:`VersionConflict` and applies again to the newer version, so no write is lost. ``ordered``: in key
+        order, with a rank directory for :meth:`page`.
         """
         base = (self.current_version(collection) or 0) if base is None else base
-        v = base + 1
-        if (self.current_version(collection) or 0) != base or not create_file(self.spark, f"{self.path(collection, v)}.claim"):
-            raise VersionConflict(f"{collection}: version {v} is taken; apply again to the current version")
-        w = df.write.mode("errorifexists")
+        claim = self.claim(collection, base)
+        if ordered:
+            df = df.repartitionByRange(F.col(self.key)).sortWithinPartitions(self.key)
+        # the marker is set below, after the claim has been checked
+        w = df.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         # Parquet bloom filters on the lookup columns: a keyed lookup (= or IN, pushed to the scan) skips
         # every row group that cannot hold the key, whatever order the documents were written in
         for c in (self.key, "_id"):
             if c in df.columns:
                 w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
         try:
-            w.parquet(self.path(collection, v))
+            w.parquet(claim.path)
+            if ordered:
+                self._write_ranks(claim.path)
+            claim.commit()
         except Exception:
-            self.release(collection, v)
+            claim.give_up()
             raise
-        return v
+        return claim.version
+
+    def order(self, collection: str) -> int:
+        """Write the current version again in key order, with its rank directory; documents and tags do not change."""
+        return self.write_version(collection, self.scan(collection), self.current_version(collection), ordered=True)
 
     def release(self, collection: str, version: int) -> None:
-        """Give up an uncommitted version: its files and its claim go; a committed one is left alone."""
+        """Give up an uncommitted version at once: all its attempts and claims go; a committed one is left alone."""
         if version not in self.versions(collection):
-            delete(self.spark, self.path(collection, version))
-            delete(self.spark, f"{self.path(collection, version)}.claim")
+            for attempt in self._attempts(collection, version):
+                self._remove(self._folder(collection, version, attempt))
+
+    def _remove(self, folder: str) -> None:
+        for path in [folder, f"{folder}.claim", *[folder + b for b in _BESIDE]]:
+            delete(self.spark, path)
 
     def vacuum(self, collection: str, keep: int = 2) -> list[int]:
         """Delete all but the newest ``keep`` versions (1 at least); returns the deleted numbers."""
         old = self.versions(collection)[:-max(1, keep)]
         for v in old:
-            delete(self.spark, self.path(collection, v))
-            delete(self.spark, f"{self.path(collection, v)}.claim")
+            for attempt in {1, *self._attempts(collection, v), self._committed(collection).get(v, 1)}:
+                self._remove(self._folder(collection, v, attempt))
         return old
 
     def drop(self, collection: str) -> None:
@@ -177,3 +274,28 @@ class CollectionStore:
         """Create a collection from documents without system attributes."""
         now = now if now is not None else F.current_timestamp()
         return self.write_version(collection, with_system(docs, collection, now, self.key))
+
+
+class Claim:
+    """One attempt at a version: its folder counts once committed."""
+
+    def __init__(self, store: CollectionStore, collection: str, version: int, attempt: int, owner: str):
+        self.store, self.collection, self.version, self.attempt, self.owner = store, collection, version, attempt, owner
+        self.path = store._folder(collection, version, attempt)
+
+    def holds(self) -> bool:
+        """Whether this is still the last claim, its owner's, on a version that nobody has committed."""
+        s = self.store
+        return (max(s._attempts(self.collection, self.version), default=0) == self.attempt
+                and read_file(s.spark, f"{self.path}.claim") == self.owner
+                and self.version not in s._committed(self.collection))
+
+    def commit(self) -> None:
+        if not self.holds():
+            raise VersionConflict(f"{self.collection}: version {self.version} went to another writer; apply again")
+        create_file(self.store.spark, f"{self.path}/_SUCCESS")
+
+    def give_up(self) -> None:
+        """Remove what this attempt wrote, and its claim if it is still its own."""
+        if read_file(self.store.spark, f"{self.path}.claim") == self.owner:
+            self.store._remove(self.path)

@@ -7,7 +7,8 @@ depend on which files share a batch. Files that meet in one slice of one key add
 stored slice keep their elements and gain the new ones, as if the files had been one. (Arrays of definitions
 without a partition are replaced whole, as in any merge.) A batch that is re-run after
 a failure applies the same documents again, which only re-confirms them (unchanged ``_etag``), so the
-store converges to the same state. Progress is kept in ``checkpoint_location`` (a shared folder).
+store converges to the same state. Records that do not parse are rejected with their text and file, as in a one-off
+import. Progress is kept in ``checkpoint_location`` (a shared folder).
 """
 
 from __future__ import annotations
@@ -20,23 +21,10 @@ from pyspark.sql.streaming import StreamingQuery
 from trackmodel.plans.ingest import apply_import, plan_import
 from trackmodel.plans.mapping import Mapping, parse_mapping
 from trackmodel.session import scratch_path
-from trackmodel.sources.files import read_source
+from trackmodel.sources.files import read_records, read_source
 from trackmodel.sources.store import CollectionStore
 
 
-def _stream(spark: SparkSession, m: Mapping, folder: str, schema, files_per_batch: int) -> DataFrame:
-    spec = m.file
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if spec.format == "csv":
-        return r.option("header", spec.header).option("sep", spec.delimiter).csv(folder)
-    if spec.format == "json":
-        return r.json(folder)
-    r = r.format("xml").option("rowTag", spec.row_tag)
-    if spec.value_tag:
-        r = r.option("valueTag", spec.value_tag)
-    return r.load(folder)
-
-
 def file_drop_import(spark: SparkSession, mapping: dict | Mapping, folder: str, store: CollectionStore,
                      checkpoint_location: str, inputs: dict | None = None, schema=None, files_per_batch: int = 1,
                      available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
@@ -49,16 +37,17 @@ def file_drop_import(spark: SparkSession, mapping: dict | Mapping, folder: str,
     for d in m.definitions():
         if d.partition and d.partition.origin_ms is None:
             d.partition = replace(d.partition, origin_ms=0)
+    infer_types = None if schema is None else False
     if schema is None:
         schema = read_source(spark, m.file, folder).schema
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         ip = plan_import(spark, m, batch, store, stage_dir=scratch_path(spark, f"stream-batch-{batch_id}"),
-                         grow_slices=True)
+                         grow_slices=True, infer_types=infer_types)
         apply_import(spark, ip, store)
 
-    w = _stream(spark, m, folder, schema, files_per_batch).writeStream.foreachBatch(one_batch) \
-        .option("checkpointLocation", checkpoint_location)
+    files = read_records(spark, m.file, folder, schema, stream=True, maxFilesPerTrigger=files_per_batch)
+    w = files.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint_location)
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:

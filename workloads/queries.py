@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trackmodel.functions.columns import urlify_col
 from trackmodel.functions.pointers import KEY
 from trackmodel.operators import nest, timeparts, unnest, upsert
+from trackmodel.operators.parts import part_members
 from trackmodel.operators.report import import_counts, import_outcome, with_provenance
 from trackmodel.plans.extract import extract_definition, rejected_rows, union_definitions
 from trackmodel.plans.ingest import ingest, stage_plan
@@ -155,6 +156,19 @@ def collection_page_after(spark, sf):
     return _participants_store(spark, sf).page_after("Participants", "1049", 25).select(KEY, "name")
 
 
+@query("page_by_rank", """
+SELECT CAST(o_orderkey AS VARCHAR) AS schema_identifier, o_orderstatus AS status
+FROM orders ORDER BY CAST(o_orderkey AS VARCHAR) LIMIT 25 OFFSET 1000
+""")
+def page_by_rank(spark, sf):
+    """Page 41 of a collection written in key order, read through its rank directory."""
+    store = CollectionStore(spark, scratch_path(spark, "store"))
+    o = table(spark, sf, "orders")
+    store.initialize("Orders", o.select(F.col("o_orderkey").cast("string").alias(KEY), F.col("o_orderstatus").alias("status")))
+    store.order("Orders")
+    return store.page("Orders", 41, 25).select(KEY, "status")
+
+
 @query("lookup_by_key", f"""
 SELECT CAST(c_custkey AS VARCHAR) AS schema_identifier, c_name AS name, {_ID_SQL} AS _id
 FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
@@ -286,7 +300,7 @@ def rejected_rows_q(spark, sf):
     e = e.select(F.nullif(F.col("user_id"), F.lit(0)).alias("uid"), "event_id",
                  F.when(F.col("event_id") % 7 == 0, "no time").otherwise(shapes.epoch_ms("ts").cast("string")).alias("at"))
     one = d({KEY: "uid", "event": "event_id", "partition": {"interval": "24h", "ts_field": "at"}})
-    rejected = rejected_rows(extract_definition(e, one), e, [one])
+    rejected = rejected_rows(e, [one])
     return rejected.groupBy(KEY, "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -923,8 +937,116 @@ def to_documents(spark, sf):
     return back.select(KEY, "d.c_custkey", "d.c_name", "d.c_nationkey", F.length("d.c_name").cast("long").alias("name_len"))
 
 
+@query("merge_wide_numbers", """
+WITH c AS (SELECT c_custkey, c_nationkey + 0.5 AS small, c_custkey % 2 = 0 AS bad FROM customer)
+SELECT CAST(COALESCE(s_suppkey, c_custkey) AS VARCHAR) AS schema_identifier,
+       CASE WHEN c_custkey IS NOT NULL AND NOT bad THEN 3 ELSE 9007199254740992 + s_suppkey END AS big,
+       CASE WHEN c_custkey IS NOT NULL AND NOT bad THEN CAST(small AS DOUBLE) ELSE CAST(s_nationkey AS DOUBLE) END AS small,
+       CASE WHEN c_custkey IS NULL THEN 'kept' WHEN bad THEN 'REJECTED' WHEN s_suppkey IS NULL THEN 'CREATED' ELSE 'UPDATED' END AS status,
+       s_suppkey IS NOT NULL AND (c_custkey IS NULL OR bad) AS same_tag
+FROM supplier FULL OUTER JOIN c ON s_suppkey = c_custkey
+WHERE s_suppkey IS NOT NULL OR NOT bad
+""")
+def merge_wide_numbers(spark, sf):
+    """Doubles meet stored longs. ``big`` holds longs that no double has, so it stays long and a fraction is rejected;
+    ``small`` widens. Documents outside the batch keep value and tag."""
+    store = CollectionStore(spark, scratch_path(spark, "store"))
+    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
+    store.initialize("Wide", s.select(F.col("s_suppkey").cast("string").alias(KEY), (F.lit(9007199254740992) + long("s_suppkey")).alias("big"),
+                                      long("s_nationkey").alias("small")))
+    batch = c.select(F.col("c_custkey").cast("string").alias(KEY), F.when(F.col("c_custkey") % 2 == 0, 0.5).otherwise(3.0).alias("big"),
+                     (F.col("c_nationkey") + F.lit(0.5)).cast("double").alias("small"))
+    stored = store.scan("Wide")
+    version, outcome = upsert.apply_plan(upsert.plan_upsert(batch, stored, "Wide"), stored, "Wide")
+    now = store.scan("Wide", version=store.write_version("Wide", version, 1))
+    tags = stored.select(F.col(KEY).alias("k"), F.col("_etag").alias("before"))
+    out = now.join(tags, F.col(KEY) == F.col("k"), "left").join(outcome.select(KEY, "status"), KEY, "left")
+    return out.select(KEY, "big", "small", F.coalesce("status", F.lit("kept")).alias("status"),
+                      F.coalesce(F.col("before") == F.col("_etag"), F.lit(False)).alias("same_tag"))
+
+
+@query("nest_parts", f"""
+SELECT event_type AS part_of, count(*) AS n_members, CAST(sum(event_id) AS BIGINT) AS id_sum, TRUE AS bounded FROM events GROUP BY event_type
+UNION ALL SELECT 'all', count(*), CAST(sum(event_id) AS BIGINT), TRUE FROM events
+""")
+def nest_parts(spark, sf):
+    """Events nested under a constant key and under a few hot ones, split into parts of about 400 rows and united."""
+    out = []
+    for key in ("dshs#mapping_all", "event_type"):
+        one = d({KEY: key, "samples": {"a": "nested_collection", "n_id": "event_id", "reading": "value"}, "parts": {"rows": 400}})
+        docs = extract_definition(table(spark, sf, "events"), one)
+        whole = part_members(docs, "samples").groupBy("part_of").agg(
+            F.count(F.lit(1)).alias("n_members"), F.sum("member.n_id").cast("long").alias("id_sum"))
+        size = docs.groupBy(F.col("part_of").alias("of")).agg((F.max(F.size("samples")) <= 800).alias("bounded"))
+        out.append(whole.join(size, F.col("part_of") == F.col("of")).drop("of"))
+    return union_definitions(out)
+
+
 # ---------------------------------------------------------------- E: whole imports
 
+BROKEN_MAPPING = {
+    "name": "broken_feed",
+    "file": {"format": "csv", "delimiter": ";", "header": "True", "timestamp_format": "ms"},
+    "data": {"Items": [{"a": "collection", KEY: "id", "x": "x"}],
+             "Names": [{"a": "collection", KEY: "name"}],
+             "Feeds": [{"a": "collection", KEY: "dshs#mapping_broken"}]},
+}
+
+
+def _broken_sql(variant: str, case: str, bad: str, keyless: str, more: str) -> str:
+    return f"""
+SELECT '{variant}' AS variant, '(source)' AS collection, 'MALFORMED' AS reason, {bad} AS text, count(*) AS n
+FROM customer WHERE {case} GROUP BY ALL
+UNION ALL SELECT '{variant}', 'Items', 'NO_KEY', {keyless}, count(*) FROM customer WHERE c_custkey % 7 = 5 GROUP BY ALL
+UNION ALL SELECT '{variant}', 'Items', 'stored', NULL, count(*) FROM customer WHERE NOT ({case}) AND c_custkey % 7 <> 5
+{more}"""
+
+
+_BROKEN_JSON = ("c_custkey % 7 IN (3, 4)", """CASE WHEN c_custkey % 7 = 3 THEN '{"id":"' || c_custkey || '","x' ELSE '{"id":' END""",
+                """'{"x":0}'""")
+_BROKEN_CSV = ("c_custkey % 7 IN (3, 4, 6)", """CASE c_custkey % 7 WHEN 3 THEN c_custkey || ';1;n;extra' WHEN 4 THEN c_custkey || ';1'
+  ELSE '"' || c_custkey || ';1;n' END""", """'{"x":' || c_nationkey || ',"name":"' || c_name || '"}'""")
+_JSON_MORE = """UNION ALL SELECT '{v}', 'Names', 'NO_KEY', '{{"x":0}}', count(*) FROM customer WHERE c_custkey % 7 = 5
+UNION ALL SELECT '{v}', 'Names', 'stored', NULL, count(*) FROM customer WHERE c_custkey % 7 NOT IN (3, 4, 5)
+UNION ALL SELECT '{v}', 'Feeds', 'stored', NULL, 1"""
+_CSV_MORE = """UNION ALL SELECT '{v}', 'Names', 'stored', NULL, count(*) FROM customer WHERE c_custkey % 7 NOT IN (3, 4, 6)
+UNION ALL SELECT '{v}', 'Feeds', 'stored', NULL, 1"""
+
+
+@query("rejected_records", " UNION ALL ".join(
+    _broken_sql(f"{fmt} {how}", *parts, "" if how == "one" else more.format(v=f"{fmt} {how}"))
+    for fmt, parts, more in (("json", _BROKEN_JSON, _JSON_MORE), ("csv", _BROKEN_CSV, _CSV_MORE))
+    for how in ("one", "three", "unstaged")))
+def rejected_records(spark, sf):
+    """Feeds with planted broken lines: every line is a document or one reject with its text and file, whether one
+    definition reads the feed or three, and whether the feed is staged or parsed in every pass."""
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("k"), F.col("c_nationkey").cast("string").alias("x"),
+                                            "c_name")
+    rest = F.col("c_custkey") % 7
+    json = F.when(rest == 3, F.format_string('{"id":"%s","x', "k")).when(rest == 4, '{"id":').when(rest == 5, '{"x":0}').otherwise(
+        F.format_string('{"id":"%s","x":%s,"name":"%s"}', "k", "x", "c_name"))
+    csv = F.when(rest == 3, F.concat("k", F.lit(";1;n;extra"))).when(rest == 4, F.concat("k", F.lit(";1"))).when(
+        rest == 5, F.concat(F.lit(";"), "x", F.lit(";"), "c_name")).when(rest == 6, F.concat(F.lit('"'), "k", F.lit(";1;n"))).otherwise(
+        F.concat_ws(";", "k", "x", "c_name"))
+    head = spark.range(1).select(F.lit("id;x;name").alias("value"))
+    # one file, so that its first line is the header
+    paths = {"json": shapes.write(c.select(json.alias("value")), "text", "broken-json", sf),
+             "csv": shapes.write(head.unionByName(c.select(csv.alias("value"))).coalesce(1), "text", "broken-csv", sf)}
+    out = []
+    for fmt, path in paths.items():
+        for how in ("one", "three", "unstaged"):
+            data = {k: v for k, v in BROKEN_MAPPING["data"].items() if k == "Items" or how != "one"}
+            mapping = dict(BROKEN_MAPPING, file=dict(BROKEN_MAPPING["file"], format=fmt), data=data)
+            store = CollectionStore(spark, scratch_path(spark, "store"))
+            ip, outcome = ingest(spark, mapping, path, store, stage_source=how != "unstaged")
+            none = F.lit(None).cast("string")
+            left = ip.rejects().filter(F.col("file").contains(f"broken-{fmt}"))
+            rows = left.groupBy("collection", "reason", "text").agg(F.count(F.lit(1)).alias("n")).unionByName(
+                outcome.filter("status = 'CREATED'").select("collection", F.lit("stored").alias("reason"), none.alias("text"), "n"))
+            out.append(rows.withColumn("variant", F.lit(f"{fmt} {how}")))
+    return union_definitions(out)
+
+
 EVENTS_MAPPING = {
     "name": "activity_log",
     "file": {"format": "csv", "delimiter": ";", "header": "True", "timestamp_format": "ms"},
@@ -1120,3 +1242,34 @@ def import_two_formats(spark, sf):
     _, outcome = ingest(spark, RECORDINGS_MAPPING, shapes.events_xml(spark, sf), store)
     kind = store.scan("Activity").schema["samples"].dataType.simpleString()
     return import_rows(store, outcome, ACTIVITY).withColumn("samples_type", F.lit(kind))
+
+
+@query("import_xml_first", f"""WITH {_activity_sql("", "activity")},
+x AS (WITH {_activity_sql("U", "recordings")} SELECT * FROM docs)
+SELECT {_IMPORT}, 'array<struct<n_id:bigint,readings:array<array<double>>>>' AS samples_type, CAST(0 AS BIGINT) AS differing
+FROM (SELECT * FROM docs UNION SELECT * FROM x)
+""")
+def import_xml_first(spark, sf):
+    """An XML log, then a CSV log, and the other way round: same schema, same documents, numbers as numbers."""
+    feeds = [(RECORDINGS_MAPPING, shapes.events_xml(spark, sf)), (EVENTS_MAPPING, shapes.events_csv(spark, sf))]
+    stores = []
+    for order in (feeds, feeds[::-1]):
+        stores.append(CollectionStore(spark, scratch_path(spark, "store")))
+        for mapping, path in order:
+            ingest(spark, mapping, path, stores[-1])
+    one, two = stores
+    kind = one.scan("Activity").schema["samples"].dataType.simpleString()
+    differing = []
+    for c in one.collections():
+        a, b = one.scan(c, system=False), two.scan(c, system=False)
+        if {f.name: f.dataType.simpleString() for f in a.schema} != {f.name: f.dataType.simpleString() for f in b.schema}:
+            raise AssertionError(f"{c}: {a.schema.simpleString()} and {b.schema.simpleString()}")
+        b = b.select(*a.columns)
+        differing.append(a.exceptAll(b).unionByName(b.exceptAll(a)))
+    none = spark.createDataFrame([], "collection string, op string, status string, n long")
+    counts = [x.select(F.lit(1).alias("one")) for x in differing]
+    total = counts[0]
+    for x in counts[1:]:
+        total = total.unionByName(x)
+    return import_rows(one, none, ACTIVITY).withColumns({
+        "samples_type": F.lit(kind), "differing": total.select(F.count(F.lit(1))).scalar()})
