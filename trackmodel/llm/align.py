@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import map_arrow, staged, text_chunks, texts_of, unstage
+from .common import kept_by_worker, map_arrow, staged, text_chunks, texts_of, unstage
 from .tokencount import PATTERN
 
 #: Pairs that may be broadcast with their counts, 16 bytes each.
@@ -144,6 +144,7 @@ class Aligner:
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
+kept_by_worker(_ALIGNERS.clear)
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:

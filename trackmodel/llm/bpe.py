@@ -7,8 +7,11 @@ import json
 import numpy as np
 import pandas as pd
 
+from .common import kept_by_worker
+
 _NONE = np.iinfo(np.int32).max
 _LOADED: dict[str, "ArrayBpe"] = {}
+kept_by_worker(_LOADED.clear)
 
 
 def byte_symbols() -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -24,15 +26,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where the folder is visible to them (else use --py-files)."""
+    """Let Python workers import this package where the folder is visible to them (else use --py-files).
+
+    Arrow's memory comes from the C library there, which gives freed memory back (:func:`release_memory`).
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), ROOT]))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+
+
+#: How to drop what a worker keeps between the tasks of one operator (tables of a tokenizer, say).
+_FORGET: list[Callable[[], object]] = []
+_busy_with: list[str] = []
+
+
+def kept_by_worker(forget: Callable[[], object]) -> None:
+    """Register what to call when a worker goes on to another operator's tasks."""
+    _FORGET.append(forget)
+
+
+def release_memory() -> None:
+    """Give memory that a task has freed back to the system: workers live on, and their sizes would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _c_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc: nothing to trim
+        return None
+
+
+_TRIM = _c_trim()
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers keep nothing of an earlier operator and give back what a task has freed."""
     _ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    owner = fn.__module__
+
+    def task(batches):
+        if owner != __name__ and _busy_with != [owner]:  # helpers of this module belong to whoever calls them
+            for forget in _FORGET:
+                forget()
+            _busy_with[:] = [owner]
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(task, schema)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

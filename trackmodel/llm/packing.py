@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import array_bpe
-from .common import map_arrow, numbered, ranked, text_chunks, texts_of
+from .common import kept_by_worker, map_arrow, numbered, ranked, text_chunks, texts_of
 
 #: Nodes of the search, fillings tried at a node, and pieces that are tried as the first of three.
 NODES, WIDTH, FIRST = 60_000, 4, 48
@@ -97,6 +97,7 @@ class WordIds:
 
 
 _WORD_IDS: dict[str, WordIds] = {}
+kept_by_worker(_WORD_IDS.clear)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int, separator: int, id_col: str, text_col: str,

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, staged, text_chunks, texts_of, unstage
+from .common import kept_by_worker, map_arrow, staged, text_chunks, texts_of, unstage
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -119,6 +119,9 @@ def _slot(feature: str) -> int:
     return crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+kept_by_worker(_slot.cache_clear)
+
+
 def _shape(s: str) -> str:
     return re.sub(r"[^\W\d_]+", "A", re.sub("[0-9]+", "0", s))[:24]
 

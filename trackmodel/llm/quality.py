@@ -42,6 +42,8 @@ FENCE, SHORT, PRIOR = 2.5, 20.0, 20
 #: One trusted document in so many sets thresholds and is not counted.
 ASIDE = 5
 SCALE = 1 << 16
+#: A task merges its n-grams when so many have come in, and as many again as it holds.
+MERGE = 200_000
 #: Resolution of the quantiles, in nats per character.
 BIN = 1e-3
 _PAD = "\n" * (ORDER - 1)
@@ -69,7 +71,7 @@ class _Sums:
     """Distinct n-grams of a task with their counts; memory follows the distinct ones."""
 
     def __init__(self):
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.least = [], 0, 0
 
     def add(self, flat: np.ndarray, h: np.ndarray, n: np.ndarray, trusted: np.ndarray) -> None:
         code, seen = pd.factorize(h)
@@ -82,7 +84,7 @@ class _Sums:
         good = np.bincount(code[np.repeat(trusted, n)], minlength=len(seen))
         self.parts.append((seen, grams, uses, good))
         self.size += len(seen)
-        if self.size > 1_000_000:
+        if self.size > MERGE + 2 * self.least:
             self.merge()
 
     def merge(self) -> None:
@@ -92,6 +94,7 @@ class _Sums:
         first[code[::-1]] = np.arange(len(code))[::-1]
         sums = [np.bincount(code, x, len(seen)).astype(np.int64) for x in (uses, good)]
         self.parts, self.size = [(seen, grams[first], *sums)], len(seen)
+        self.least = len(seen)
 
 
 def _count(docs: DataFrame) -> DataFrame:
@@ -212,6 +215,7 @@ def losses(docs: DataFrame, table: DataFrame, head_size: int = HEAD) -> DataFram
     names = ["row", "id", "h", "lang", "role", "n", "lp", "gram", "k"]
     out = staged(map_arrow(docs, score, f"row long, id {kind}, h long, lang string, role int, n long, lp long, "
                                         "gram string, k long"), "scores")
+    shared.unpersist()  # the scores are written: no task reads the table any more
     rest = out.filter("gram is not null").select("row", "gram", "k").join(table.select("gram", F.col("lp").alias("g_lp")), "gram")
     rest = rest.groupBy("row").agg(F.sum(F.col("k") * F.col("g_lp")).alias("more"))
     return out.filter("gram is null").drop("gram", "k").join(rest, "row", "left").withColumn(

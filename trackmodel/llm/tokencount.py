@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import array_bpe
-from .common import map_arrow, text_chunks, texts_of
+from .common import kept_by_worker, map_arrow, text_chunks, texts_of
 
 #: The pre-token pattern of byte-level vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,6 +55,7 @@ class _Counter:
 
 
 _COUNTERS: dict[str, _Counter] = {}
+kept_by_worker(_COUNTERS.clear)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id",
