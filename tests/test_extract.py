@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tests.conftest import LOG_MAPPING, write_log
+from tests.conftest import LOG_MAPPING, n_points, write_log
 from trackmodel.operators import timeparts
 from trackmodel.operators.nest import expand_collection, expand_tuples, to_documents
 from trackmodel.plans.extract import extract_definition, split_rejected
@@ -23,29 +23,29 @@ def test_flat_feed_documents(spark, log_file):
     assert sorted(r["schema_identifier"] for r in docs["Houses"].collect()) == ["H0", "H1"]
     assert docs["Probes"].count() == 6 and all(r.count() == 0 for r in rejects.values())
     logs = {r["schema_identifier"]: r for r in docs["Logs"].collect()}
-    assert set(logs) == {f"H{h}__5m_{k}" for h in (0, 1) for k in (1, 2)}  # 20 x 30 s from the minimum
-    readings = [m for r in logs.values() for m in r["readings"]]
-    assert all(m["unit"] == "celsius" for m in readings)  # Q5: nested literals are kept
+    assert set(logs) == {f"H{h}__240s_{k}" for h in (0, 1) for k in (1, 2, 3)}  # 20 x 30 s from the minimum
+    curves = [m for r in logs.values() for m in r["probes"]]
+    assert all(m["unit"] == "celsius" for m in curves)  # Q5: nested literals are kept
     for r in logs.values():
-        stamps = [m["n_id"] for m in r["readings"]]
-        assert stamps == sorted(stamps)  # Q20: deterministic order
-        assert r["values_cols"] == ["a_id", "temp", "humid_"]
-    assert sum(len(m["values"]) for m in readings) == src.count()
-    assert isinstance(readings[0]["values"][0][0], float)
+        ids = [m["n_id"] for m in r["probes"]]
+        assert ids == sorted(ids)  # Q20: deterministic order
+        assert r["points_cols"] == ["temp", "a_id", "humid_"] or r["points_cols"] == ["temp", "humid_", "a_id"]
+    assert sum(map(n_points, logs.values())) == src.count()
+    assert isinstance(curves[0]["points"][0][0], float)
 
 
 def test_round_trip_equals_distinct_source(spark, log_file):
     src, docs, _ = _docs(spark, log_file)
     logs = docs["Logs"]
-    members = logs.select("values_cols").first()[0]
-    rows = expand_tuples(expand_collection(logs, "readings", keep=[]), "values", members, keep=["n_id"])
-    got = rows.select(F.col("n_id").cast("long"), F.col("a_id").cast("int"), F.col("temp").cast("double"))
+    members = logs.select("points_cols").first()[0]
+    rows = expand_tuples(expand_collection(logs, "probes", keep=[]), "points", members, keep=["n_id"])
+    got = rows.select(F.col("a_id").cast("long"), F.col("n_id").cast("int"), F.col("temp").cast("double"))
     want = src.select("stamp", "probe", "temp").distinct()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
 def _line(stamp, probe, house="H0"):
-    return f"{stamp};{house};B0;{probe};1.5;40;"
+    return f"{stamp}|{house}|B0|{probe}|1.5|40|"
 
 
 def test_partition_keeps_the_tail(spark, local_dir):
@@ -55,7 +55,7 @@ def test_partition_keeps_the_tail(spark, local_dir):
     _, docs, _ = _docs(spark, path, dict(LOG_MAPPING, data={"Logs": [body]}))
     keys = sorted(r[0] for r in docs["Logs"].select("schema_identifier").collect())
     assert keys == ["H0__2s_1", "H0__2s_2", "H0__2s_3"]
-    assert docs["Logs"].select(F.sum(F.size("readings"))).first()[0] == 5
+    assert sum(map(n_points, docs["Logs"].collect())) == 5
     ms = spark.range(5).select((F.col("id") * 1000).alias("ms"))  # Q1: the legacy loop lost the row at the maximum
     assert timeparts.assign_partition(ms, "ms", 2000, tail="drop").count() == 4
 
@@ -64,7 +64,7 @@ def test_rows_without_a_usable_time_are_rejected(spark, local_dir):
     lines = [_line(1000, 1), _line("soon", 2), _line("", 3), _line(2000, 4, house="")]
     path = write_log(local_dir, "bad.csv", lines)
     _, docs, rejects = _docs(spark, path)
-    assert docs["Logs"].select(F.sum(F.size("readings"))).first()[0] == 1
+    assert sum(map(n_points, docs["Logs"].collect())) == 1
     got = sorted((r["schema_identifier"] or "", r["reason"]) for r in rejects["Logs"].collect())
     assert got == [("", "NO_KEY"), ("H0", "NO_TIMESTAMP"), ("H0", "NO_TIMESTAMP")]
     # a pattern that fits no row: every row is reported, none is lost
@@ -76,7 +76,7 @@ def test_rows_without_a_usable_time_are_rejected(spark, local_dir):
 def test_duplicates_collapse_and_rejects(spark, local_dir):
     lines = [_line(1000, 1), _line(1000, 1), _line(1000, 2), _line(2000, "")]
     _, docs, rejects = _docs(spark, write_log(local_dir, "dups.csv", lines))
-    assert sum(len(m["values"]) for m in docs["Logs"].first()["readings"]) == 3  # Q23: exact duplicates collapse
+    assert n_points(docs["Logs"].first()) == 3  # Q23: exact duplicates collapse
     assert rejects["Probes"].count() == 1  # Q17: a row without key is rejected, not imported
     assert docs["Probes"].count() == 2
 
@@ -87,7 +87,7 @@ def test_outer_array_with_nested_collection(spark, log_file):
                                     "fitted": {"a": "nested_array", "a_id": "probe", "bed": "bed"},
                                     "times": {"a": "nested_collection", "n_id": "stamp",
                                               "seen": {"a": "nested_array", "a_id": "probe"}}})
-    src = read_source(spark, {"format": "csv", "delimiter": ";", "header": "True"}, log_file)
+    src = read_source(spark, {"format": "csv", "delimiter": "|", "header": "True"}, log_file)
     docs = extract_definition(src, d).orderBy("schema_identifier").collect()
     assert len(docs) == 2
     assert docs[0]["fitted_cols"] == ["a_id", "bed"] and docs[0]["seen_cols"] == ["a_id"]

@@ -102,7 +102,7 @@ def test_end_to_end_ingest_twice(spark, tmp, log_file):
     store = CollectionStore(spark, tmp)
     ip, outcome = ingest(spark, LOG_MAPPING, log_file, store)
     counts = {(r["collection"], r["op"]): r["n"] for r in ip.counts().collect()}
-    assert counts == {("Houses", "CREATE"): 2, ("Probes", "CREATE"): 6, ("Logs", "CREATE"): 4}
+    assert counts == {("Houses", "CREATE"): 2, ("Probes", "CREATE"): 6, ("Logs", "CREATE"): 6}
     assert {r["status"] for r in outcome.collect()} == {"CREATED"}
     assert ip.rejected_counts().count() == 0
     etags = {r["schema_identifier"]: r["_etag"] for r in store.scan("Logs").collect()}
@@ -118,7 +118,7 @@ def test_end_to_end_ingest_twice(spark, tmp, log_file):
 
 
 def test_outcome_counts_rejects(spark, tmp, local_dir):
-    path = write_log(local_dir, "bad.csv", ["1000;H0;B0;1;1.5;40;", "soon;H0;B0;2;1.5;40;", ";;B0;;1.5;40;"])
+    path = write_log(local_dir, "bad.csv", ["1000|H0|B0|1|1.5|40|", "soon|H0|B0|2|1.5|40|", "||B0||1.5|40|"])
     _, outcome = ingest(spark, LOG_MAPPING, path, CollectionStore(spark, tmp))
     got = {(r["collection"], r["status"]): r["n"] for r in outcome.collect()}
     assert got == {("Houses", "CREATED"): 1, ("Houses", "REJECTED"): 1, ("Probes", "CREATED"): 2, ("Probes", "REJECTED"): 1,

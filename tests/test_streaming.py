@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from tests.conftest import LOG_MAPPING, log_lines, write_log
+from tests.conftest import LOG_MAPPING, log_lines, n_points, write_log
 from trackmodel.session import scratch_path
 from trackmodel.sources.store import CollectionStore
 from trackmodel.streaming import file_drop_import
@@ -19,9 +19,9 @@ def test_file_drop_keeps_every_file(spark, local_dir, tmp, per_batch):
     q.awaitTermination(300)
     assert q.exception() is None
     assert store.scan("Houses").count() == 2
-    logs = {r["schema_identifier"]: len(r["readings"]) for r in store.scan("Logs").collect()}
+    logs = {r["schema_identifier"]: n_points(r) for r in store.scan("Logs").collect()}
     # slices count from the epoch: both files' documents stand side by side however they were batched
-    assert logs == {f"H{h}__5m_{t0 // 300_000 + 1 + late}": n for t0 in (1700000000000, 1710000000000)
+    assert logs == {f"H{h}__240s_{t0 // 240_000 + 1 + late}": n for t0 in (1700000000000, 1710000000000)
                     for h in (0, 1) for late, n in slices(t0, h).items()}
 
 
@@ -42,13 +42,14 @@ def test_files_that_share_a_slice_add_up(spark, local_dir):
             logs = {r["schema_identifier"]: r.asDict(True) for r in store.scan("Logs").drop("_id", "_etag", "_created", "_updated").collect()}
             whole = whole or logs
             assert logs == whole
-    assert sum(len(m["values"]) for r in whole.values() for m in r["readings"]) == len(lines)
+    assert sum(map(n_points, whole.values())) == len(lines)
 
 
 def slices(t0, house):
     out = {}
-    for t in range(4):
-        if any((t + p) % 4 for p in range(6) if p % 2 == house):
-            k = (t0 + 30_000 * t) // 300_000 - t0 // 300_000
+    for line in log_lines(stamps=4, t0=t0):
+        stamp, own = line.split("|")[:2]
+        if own == f"H{house}":
+            k = int(stamp) // 240_000 - t0 // 240_000
             out[k] = out.get(k, 0) + 1
     return out

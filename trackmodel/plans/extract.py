@@ -30,6 +30,7 @@ from trackmodel.operators.timeparts import assign_partition, normalize_ts, parti
 from trackmodel.operators.unnest import pointer_column, unnest
 from trackmodel.plans.mapping import Definition
 from trackmodel.sources.files import FILE
+from trackmodel.sources.variant import leaf_path, variant_value
 
 BUCKET = "__bucket"
 TS_MS = "__ts_ms"
@@ -45,12 +46,21 @@ class _Resolver:
         self.ptrs: dict[str, Pointer] = {raw: parse_pointer(raw, cols) for raw in d.pointers()}
         paths = [p.explode for p in self.ptrs.values() if not p.is_literal and p.explode]
         self.df, self.alias = unnest(df, paths, outer=outer)
+        self.types = d.types
 
     def col(self, raw: str) -> Column:
-        p = self.ptrs[raw]
-        if p.is_literal:
-            return F.lit(p.literal)
-        return pointer_column(self.alias, p.explode, p.steps, p.verbatim)
+        return _resolve(self.df, self.alias, self.ptrs[raw], self.types)
+
+
+def _resolve(df: DataFrame, alias: dict, p: Pointer, types: dict[str, str]) -> Column:
+    """The column of a pointer over unnested ``df``; a VARIANT becomes the type that ``types`` names, else text."""
+    if p.is_literal:
+        return F.lit(p.literal)
+    cut = next((i + 1 for i, s in enumerate(p.steps) if isinstance(s, int)), len(p.steps))
+    c = pointer_column(alias, p.explode, p.steps[:cut], p.verbatim)
+    if isinstance(df.select(c.alias("_")).schema["_"].dataType, T.VariantType):
+        return variant_value(c, p.steps[cut:], types.get(leaf_path(p), "string"))
+    return pointer_column(alias, p.explode, p.steps, p.verbatim)
 
 
 def _filler(dt: T.DataType) -> Column | None:
@@ -216,7 +226,7 @@ def rejected_records(df: DataFrame, d: Definition, time_format: str = "ms", oute
     text = F.to_json(F.struct(alias[at]) if at else F.struct(*[q(c) for c in own]))
     if at:
         text = F.get_json_object(text, f"$.{alias[at]}")
-    col = {k: F.lit(p.literal) if p.is_literal else pointer_column(alias, p.explode, p.steps, p.verbatim) for k, p in ptrs.items()}
+    col = {k: _resolve(rows, alias, p, d.types) for k, p in ptrs.items()}
     reason = F.when(col["key"].isNull(), NO_KEY)
     if d.partition:
         rows = normalize_ts(rows, col["ts"], time_format, out=TS_MS)

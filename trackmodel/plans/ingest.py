@@ -31,6 +31,7 @@ from trackmodel.session import delete, scratch_path, together
 from trackmodel.sources.files import BROKEN, FILE, read_records, split_broken, whole
 from trackmodel.sources.store import CollectionStore, VersionConflict
 from trackmodel.sources.typed import leaf_types, retype, text_leaves
+from trackmodel.sources.variant import read_variant, unfit_values
 
 #: The name under which rejects of the source itself are reported, beside the collections.
 SOURCE = "(source)"
@@ -138,22 +139,29 @@ def open_records(spark: SparkSession, m: Mapping, records: DataFrame, stage_dir:
     if infer_types is None:
         spoilt = seen.get["broken"] if stage_source else broken.limit(1).count()
         infer_types = m.file.format == "xml" or (m.file.format == "csv" and spoilt > 0)
-    types = {p: T._parse_datatype_string(t) for p, t in m.file.types.items()}
+    types = {} if m.file.variant else {p: T._parse_datatype_string(t) for p, t in m.file.types.items()}
+    if m.file.variant and m.file.types:
+        unfit = unfit_values(good, [p for d in m.definitions() for p in d.pointers()], m.file.types)
+        left_out = left_out.unionByName(_bad_values(good, unfit))
+        good = good.filter(~unfit)
     if infer_types:
         leaves = [p for p in text_leaves(good.drop(FILE).schema) if p not in types and p not in key_leaves(m, good.columns)]
         types |= leaf_types(good, leaves)
     types = {p: t for p, t in types.items() if p != FILE}
     if types:
         unfit = retype(good, types)[1]
-        own = [F.col(f"`{c}`") for c in good.columns if c != FILE]
-        left_out = left_out.unionByName(good.filter(unfit).select(
-            F.lit(None).cast("string").alias(KEY), F.lit(BAD_VALUE).alias(REASON), F.to_json(F.struct(*own)).alias("text"),
-            F.col(FILE).alias("file")))
+        left_out = left_out.unionByName(_bad_values(good, unfit))
         # written again with its types: every definition then reads only the fields it needs
         good = stage_documents(retype(good.filter(~unfit), types)[0], f"{stage_dir}/__typed", spark)
     return good, left_out
 
 
+def _bad_values(records: DataFrame, unfit: Column) -> DataFrame:
+    own = [F.col(f"`{c}`") for c in records.columns if c != FILE]
+    return records.filter(unfit).select(F.lit(None).cast("string").alias(KEY), F.lit(BAD_VALUE).alias(REASON),
+                                        F.to_json(F.struct(*own)).alias("text"), F.col(FILE).alias("file"))
+
+
 def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | DataFrame, store: CollectionStore,
                 inputs: dict | None = None, stage_dir: str | None = None, provenance: dict | None = None,
                 sep: str = "__", outer: bool = False, stage_source: bool = True, schema=None,
@@ -172,8 +180,11 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
     stage_dir = stage_dir or scratch_path(spark, f"staged-{m.name or 'import'}")
     df, left_out = source, []
     if not isinstance(source, DataFrame):
-        df = read_records(spark, m.file, source, schema, sampling_ratio, multi_line)
-        infer_types = False if infer_types is None and schema is not None else infer_types
+        if m.file.variant:
+            df = read_variant(spark, source, [p for d in m.definitions() for p in d.pointers()])
+        else:
+            df = read_records(spark, m.file, source, schema, sampling_ratio, multi_line)
+        infer_types = False if infer_types is None and (m.file.variant or schema is not None) else infer_types
     if BROKEN in df.columns:
         df, own = open_records(spark, m, df, stage_dir, stage_source, infer_types)
         left_out.append(own.withColumn("collection", F.lit(SOURCE)))

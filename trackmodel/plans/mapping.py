@@ -21,7 +21,7 @@ FORMATS = ("csv", "json", "xml")
 PARTS = "parts"
 
 #: Types a mapping may give a leaf of its source.
-LEAF_TYPES = ("string", "long", "double", "boolean")
+LEAF_TYPES = ("string", "long", "double", "boolean", "array<double>", "array<array<double>>")
 
 
 @dataclass
@@ -59,6 +59,7 @@ class Definition:
     array: ArraySpec | None = None
     nested: NestedSpec | None = None
     partition: Partition | None = None
+    types: dict[str, str] = field(default_factory=dict)  # of the mapping's file: leaf path -> type
     part_rows: int | None = None  # rows of one key beyond which its document is split into parts
 
     def pointers(self) -> list[str]:
@@ -83,6 +84,7 @@ class FileSpec:
     value_tag: str | None = None
     timestamp_format: str = MS_FORMAT
     types: dict[str, str] = field(default_factory=dict)  # leaf path -> type, in place of what the values suggest
+    variant: bool = False  # JSON lines read as VARIANT: no inference, mixed arrays keep their types
 
 
 @dataclass
@@ -115,6 +117,8 @@ def parse_file_spec(spec: dict) -> FileSpec:
         raise ValueError(f"unknown source format {spec.get('format')!r}; known: {FORMATS}")
     if fmt == "xml" and not spec.get("rowTag"):
         raise ValueError("an xml source needs file.rowTag")
+    if fmt != "json" and _truthy(spec.get("variant", False)):
+        raise ValueError("only a json source can be read as variant")
     return FileSpec(
         format=fmt,
         delimiter=spec.get("delimiter", ","),
@@ -123,6 +127,7 @@ def parse_file_spec(spec: dict) -> FileSpec:
         value_tag=spec.get("valueTag"),
         timestamp_format=spec.get("timestamp_format", MS_FORMAT),
         types=_leaf_types(spec.get("types", {})),
+        variant=_truthy(spec.get("variant", False)),
     )
 
 
@@ -243,6 +248,8 @@ def parse_mapping(mapping: dict | str, inputs: dict | None = None) -> Mapping:
                 index += 1
             else:
                 raise ValueError(f"{name}: unknown definition kind {kind!r}")
+    for d in m.definitions():
+        d.types = m.file.types
     if inp.missing:
         raise ValueError(f"missing inputs: {', '.join(inp.missing)}")
     return m

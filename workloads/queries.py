@@ -20,9 +20,10 @@ from trackmodel.plans.extract import extract_definition, rejected_rows, union_de
 from trackmodel.plans.ingest import ingest, stage_plan
 from trackmodel.plans.mapping import parse_definition, parse_mapping
 from trackmodel.session import scratch_path
-from trackmodel.sources.files import read_source
+from trackmodel.sources.files import read_source, split_broken
 from trackmodel.sources.schema import describe_schema
 from trackmodel.sources.store import CollectionStore, VersionConflict, strip_system
+from trackmodel.sources.variant import read_variant
 from workloads import shapes
 from workloads.shapes import table
 
@@ -78,6 +79,31 @@ def scan_json(spark, sf):
                     line.l_quantity.alias("l_quantity"))
 
 
+VARIANT_MAPPING = {
+    "name": "line_logs",
+    "file": {"format": "json", "variant": "True", "timestamp_format": "ms",
+             "types": {"log.[0]": "long", "log.[2].[0].[0]": "double", "log.[2].[0].[1]": "long"}},
+    "data": {"Lines": [{"a": "collection", KEY: "order", "line": "log/[0]", "flag": "log/[1]", "qty": "log/[2].[0].[0]",
+                        "part": "log/[2].[0].[1]"}]},
+}
+
+
+@query("scan_json_variant", """
+SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS schema_identifier, CAST(l_linenumber AS BIGINT) AS line, l_returnflag AS flag,
+       l_quantity AS qty, l_partkey AS part FROM lineitem
+""")
+def scan_json_variant(spark, sf):
+    """Lines whose log entries mix a number, a text and a nested list: ``[no, "flag", [[qty, part]]]``, read as VARIANT."""
+    entry = F.format_string('[%d,"%s",[[%s,%d]]]', "l_linenumber", "l_returnflag", F.col("l_quantity").cast("string"), "l_partkey")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(entry)).alias("log"))
+    text = F.format_string('{"order":%d,"log":[%s]}', "l_orderkey", F.array_join("log", ","))
+    path = shapes.write(lines.select(text.alias("value")), "text", "line-logs", sf)
+    m = parse_mapping(VARIANT_MAPPING)
+    one = m.collections["Lines"][0]
+    good, _ = split_broken(read_variant(spark, path, one.pointers()))
+    return extract_definition(good, one)
+
+
 @query("scan_xml", """
 SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer
 """)
