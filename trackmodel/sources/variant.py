@@ -94,8 +94,8 @@ def unfit_values(df: DataFrame, pointers: list[str], types: dict[str, str]) -> C
             else:
                 c, dt = (F.col(f"`{s}`") if c is None else c.getField(s)), dt[s].dataType
         if steps and isinstance(dt, T.ArrayType):
-            first, dt = steps.pop(0), dt.elementType
-            c = F.transform(c, lambda x, i=first: F.get(x, F.lit(i))) if many else F.get(c, F.lit(first))
+            first, dt = F.lit(steps.pop(0)), dt.elementType
+            c = F.transform(c, lambda x: F.get(x, first)) if many else F.get(c, first)
         if not isinstance(dt, T.VariantType):
             continue
         kind, rest = types[leaf_path(p)], tuple(steps)
