@@ -53,6 +53,20 @@ def pointer_schema(pointers: list[str]) -> T.StructType:
     return out if isinstance(out, T.StructType) else T.StructType([])
 
 
+def _misshapen(v: Column, typed: Column, dt: T.DataType) -> Column:
+    """Whether some part of a VARIANT is there but not built as ``dt`` says (and so is null in ``typed``)."""
+    if isinstance(dt, T.VariantType):
+        return F.lit(False)
+    there = F.coalesce(v.isNotNull() & ~F.is_variant_null(v), F.lit(False))
+    if isinstance(dt, T.StructType):
+        parts = [_misshapen(variant_value(v, (f.name,), "variant"), typed.getField(f.name), f.dataType) for f in dt.fields]
+        inside = reduce(lambda a, b: a | b, parts, F.lit(False))
+    else:
+        each = F.zip_with(F.try_variant_get(v, "$", "array<variant>"), typed, lambda a, b: _misshapen(a, b, dt.elementType))
+        inside = F.coalesce(F.exists(each, lambda x: x), F.lit(False))
+    return there & (typed.isNull() | inside)
+
+
 def read_variant(spark: SparkSession, path: str | list[str], pointers: list[str]) -> DataFrame:
     """Records of JSON lines with the fields that ``pointers`` need, ``BROKEN`` and ``FILE`` (see ``read_records``).
 
@@ -60,10 +74,11 @@ def read_variant(spark: SparkSession, path: str | list[str], pointers: list[str]
     """
     schema = pointer_schema(pointers)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias(FILE)).filter(F.trim("value") != "")
-    record = F.try_variant_get(F.try_parse_json("value"), "$", schema.simpleString())
-    rows = lines.select(record.alias("__r"), "value", FILE)
+    rows = lines.select(F.try_parse_json("value").alias("__v"), "value", FILE)
+    rows = rows.withColumn("__r", F.try_variant_get("__v", "$", schema.simpleString()))
+    bad = F.col("__r").isNull() | _misshapen(F.col("__v"), F.col("__r"), schema)
     return rows.select(*[F.col("__r").getField(f.name).alias(f.name) for f in schema.fields],
-                       F.when(F.col("__r").isNull(), F.col("value")).alias(BROKEN), FILE)
+                       F.when(bad, F.col("value")).alias(BROKEN), FILE)
 
 
 def variant_value(c: Column, steps: tuple, kind: str) -> Column:
