@@ -3,16 +3,20 @@
 Patterns give the base spans. The field scores whole candidate segments (runs of tokens, ``MAX_TOKENS`` at
 most for a personal-data segment) with features of the segment as a whole - shape, digits, checksum, what
 stands next to it - and dynamic programming chooses segment boundaries and types together. A segment of
-personal data holds a digit or an ``@``, so text without either needs no lattice, and lattices of separate
-runs of such chunks are independent. Base spans are fixed: segments may not touch them, and the field adds
+personal data holds a digit or an ``@`` in each of its chunks but for punctuation between them and the chunks next
+to a free-standing ``@``, so text without either needs no lattice, and such regions are decoded one by one. Base spans are fixed: segments may not touch them, and the field adds
 what it finds beside them.
 
-The field is trained here, on regions of all documents (labels: the base spans, plus copies of phone regions
-without their country code, which the patterns cannot see): those with the smallest hashes, ``TRAIN_PLAIN``
-without a base span, ``TRAIN_KIND`` with one of each kind and as many copies, ``PER_DOC`` of each of these from a
+The field is trained here, on regions of all documents but one in ``HELD_OUT``. Labels: the base spans, and copies
+of them in forms that the patterns cannot see, which are what the field is for: phones without country code, dotted,
+spaced or as digits after a cue word, mail addresses with blanks around the ``@``, card numbers with other
+separators, spaced addresses. Copies that are no personal data teach where to stop: broken checksums, address parts
+beyond 255, other groupings, bare numbers. Of each sort of region those with the smallest hashes are used: ``TRAIN_PLAIN``
+without a span, ``TRAIN_KIND`` of every other sort (twice as many negative copies), ``PER_DOC`` from a
 document at most and equal ones once. So there are labels whenever the patterns find anything that can be
-labelled. That bounded sample is all the driver holds; the weights, ``BUCKETS`` hashed features per type, are
-broadcast. All documents are searched, whole.
+labelled. That bounded sample is all the driver holds (a region is ``TRAIN_CHARS`` characters at most); the weights,
+``BUCKETS`` hashed features per type, are broadcast. All documents are searched, whole. :func:`evaluate` counts hits
+and errors per kind on the held-out documents.
 
 Null text is empty; a document without spans has counts 0 and empty lists; repeated rows are searched one by
 one; an empty table gives an empty table and trains nothing (no weights: nothing is added). Offsets are code
@@ -39,9 +43,13 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 MAX_TOKENS = 14
 BUCKETS = 1 << 13
-TRAIN_PLAIN, TRAIN_KIND, PER_DOC, EPOCHS = 300, 60, 2, 4
-#: A trained region is this many tokens long at most; longer ones are decoded but not learned from.
-TRAIN_TOKENS = 40
+TRAIN_PLAIN, TRAIN_KIND, PER_DOC, EPOCHS, COPIES = 300, 60, 3, 4, 3
+#: A trained region is this many tokens and characters long at most; longer ones are decoded but not learned from.
+TRAIN_TOKENS, TRAIN_CHARS = 40, 400
+#: One document in so many, by hash of its text, is kept out of the training.
+HELD_OUT = 5
+#: Sorts of training regions: plain, base spans by kind, copies by kind, copies that are none.
+N_SORTS = 2 * len(KINDS) + 2
 
 SEED = re.compile("[0-9@]")
 CHUNK = re.compile(r"\S+")
@@ -100,18 +108,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+#: What may stand between two chunks of one region: a few blanks, with one piece of punctuation among them.
+_BETWEEN = re.compile(r"[^\S\n]{1,3}(?:[^\w\s@]{1,2}[^\S\n]{1,3})?")
+
+
 def regions(text: str) -> list[list[tuple[int, int]]]:
-    """Token lists of the runs of chunks, one blank apart, that hold a digit or an ``@``."""
-    out: list[list[tuple[int, int]]] = []
-    last = -2
+    """Token lists of the runs of chunks that hold a digit or an ``@``, or stand next to a free end of an ``@``."""
+    bounds: list[list[int]] = []
+    last, wanted = None, False  # the chunk before, and whether it ends with an @
     for m in CHUNK.finditer(text):
-        if not SEED.search(m.group()):
-            continue
-        if m.start() != last + 1:
-            out.append([])
-        out[-1] += [t.span() for t in TOKEN.finditer(text, m.start(), m.end())]
-        last = m.end()
-    return out
+        a, b = m.span()
+        seed = SEED.search(text, a, b)
+        if seed or wanted:
+            if seed and text[a] == "@" and last and last[1] + 3 >= a and (not bounds or bounds[-1][1] < last[1]):
+                a = last[0]
+            if bounds and a <= bounds[-1][1]:
+                bounds[-1][1] = b
+            elif bounds and (gap := _BETWEEN.match(text, bounds[-1][1])) and gap.end() == a:
+                bounds[-1][1] = b
+            else:
+                bounds.append([a, b])
+        wanted = bool(seed) and text[b - 1] == "@"
+        last = m.span()
+    return [[t.span() for t in TOKEN.finditer(text, a, b)] for a, b in bounds]
 
 
 @lru_cache(1 << 16)
@@ -130,15 +149,22 @@ def segment_features(text: str, start: int, end: int) -> list[int]:
     s = text[start:end]
     digits = _only_digits(s)
     n = len(digits)
-    parts = s.split(".")
-    dotted = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    parts = [p.strip() for p in s.split(".")]
+    four = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
+    dotted = f"{four},{four and all(len(p) <= 3 and int(p) <= 255 for p in parts)}"
     before, after = text[max(0, start - 1):start], text[end:end + 1]
     word = re.search(r"(\S*)\s?$", text[max(0, start - 24):start]).group(1).lower()
     return [_slot(f) for f in (
         "bias", f"shape={_shape(s)}", f"digits={min(n, 20)}", f"first={_shape(s[:1])}", f"last={_shape(s[-1:])}",
         f"luhn={14 <= n <= 19 and luhn(digits)}", f"dotted={dotted}", f"at={s.count('@')}",
         f"runs={'-'.join(str(len(r)) for r in re.findall('[0-9]+', s))[:16]}", f"prev={word[-12:]}",
-        f"cut={before.isalnum()},{after.isalnum()}", f"letters={any(map(str.isalpha, s))},{n > 0}")]
+        f"cut={before.isalnum()},{after.isalnum()}", f"cue={word.strip('.:') in CUE_WORDS},{n}", f"card={n >= 14},{luhn(digits)}",
+        f"on={bool(re.match('[ .-]{0,3}[0-9]', text[end:end + 4]))},{bool(re.search('[0-9][ .-]{0,3}$', text[max(0, start - 4):start]))}", f"letters={any(map(str.isalpha, s))},{n > 0}")]
+
+
+#: Words that announce a phone number in copies, and what a segment's feature takes for one.
+CUES = ("phone:", "tel:", "call", "Phone", "tel.", "mobile:")
+CUE_WORDS = frozenset(c.strip(".:").lower() for c in CUES)
 
 
 class Lattice:
@@ -241,8 +267,42 @@ def _gold(tokens: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> d
     return out | {(i, i + 1): 0 for i in np.flatnonzero(free)}
 
 
-def examples(text: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[int, int, int]], bool]]:
-    """(text, tokens, spans, False) of the regions of a text; phone regions again without the country code (True)."""
+def _groups(digits: str, parts: list[str]) -> list[str]:
+    return parts if len(parts) > 1 else [digits[:3], digits[3:6], digits[6:]]
+
+
+def copies(kind: int, s: str) -> list[tuple[str, bool, bool]]:
+    """Other forms of a base span: (text, whether it still is personal data, whether a cue word goes before it)."""
+    digits = _only_digits(s)
+    if KINDS[kind] == "email":
+        local, domain = s.rsplit("@", 1)
+        return [(f"{local} @ {domain}", True, False), (f"{local} @{domain}", True, False), (f"{local}@ {domain}", True, False)]
+    if KINDS[kind] == "ip":
+        parts = s.split(".")
+        wrong = [*parts[:3], str(256 + crc32(s.encode()) % 744)]
+        return [(" . ".join(parts), True, False), (". ".join(parts), True, False), (".".join(wrong), False, False), (" . ".join(wrong), False, False)]
+    if KINDS[kind] == "card":
+        four = [digits[i:i + 4] for i in range(0, len(digits), 4)]
+        wrong = digits[:-1] + str((int(digits[-1]) + 1 + crc32(s.encode()) % 8) % 10)
+        bad = [wrong[i:i + 4] for i in range(0, len(wrong), 4)]
+        return [(sep.join(four), True, False) for sep in (".", "  ", " - ")] + [
+            (sep.join(bad), False, False) for sep in (" ", ".", "", "-")]
+    code = re.match(r"\+[0-9]+[\x20.-]+(?=[(0-9])", s)
+    if not code:
+        return []
+    own = s[code.end():]
+    d = _only_digits(own)
+    if len(d) < 7:
+        return []
+    g = _groups(d, re.findall("[0-9]+", own))
+    return [(own, True, False), (".".join(g), True, False), (" - ".join(g), True, False), ("-".join(g), True, False),
+            (f"({g[0]})  {'-'.join(g[1:])}", True, False), (f"({g[0]}) {'-'.join(g[1:])}", True, False), (d, True, True), (d, True, True),
+            (f"{d[:3]}-{d[3:5]}-{d[5:9]}", False, False), (d, False, False), (f"{d[:4]}-{d[4:6]}-{d[6:8]}", False, False)]
+
+
+def examples(text: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[int, int, int]], int]]:
+    """(text, tokens, spans, sort) of the regions of a text, and of ``COPIES`` copies that are personal data and as many
+    that are none, if there are, of each region with one span."""
     out = []
     spans, at = base_spans(text), 0
     held: list[tuple[int, int, int]] = []
@@ -254,41 +314,54 @@ def examples(text: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[int
         held = [x for x in held if x[2] > tokens[0][0]]
         own = [(s - a, k, e - a) for s, k, e in held]
         piece = text[a:b]
-        out.append((piece, [(s - a, e - a) for s, e in tokens], own, False))
-        for s, k, e in own:
-            code = re.match(r"\+[0-9]+[\x20.-]+(?=[(0-9])", piece[s:e])
-            if k == 3 and code and len(own) == 1:
-                short = piece[:s] + piece[s + code.end():]
-                for t in regions(short):
-                    if t[0][0] <= s < t[-1][1]:
-                        out.append((short, t, [(s, 3, e - code.end())], True))
+        here = [(s - a, e - a) for s, e in tokens]
+        for sort in {k + 1 for _, k, _ in own} or {0}:
+            out.append((piece, here, own, sort))
+        if len(own) != 1 or len(tokens) > TRAIN_TOKENS:
+            continue
+        (s, k, e), = own
+        forms = copies(k, piece[s:e])
+        h = crc32(piece.encode("utf-8", "surrogatepass"))
+        for true in (True, False):
+            some = [f for f in forms if f[1] == true]
+            for n in range(min(COPIES, len(some))):
+                form, _, cue = some[(h + n) % len(some)]
+                before = f"{CUES[h // 16 % len(CUES)]} " if cue else piece[:s]
+                copy = before + form + ("." if (h // 128 + n) % 3 == 0 else "") + piece[e:]  # often at the end of a sentence
+                lo, hi = len(before), len(before) + len(form)
+                if any(x < hi and z > lo for x, _, z in base_spans(copy)):
+                    continue  # the patterns see it after all
+                for t in regions(copy):
+                    if t[0][0] <= lo and hi <= t[-1][1]:
+                        out.append((copy, t, [(lo, k, hi)] if true else [], len(KINDS) + 1 + k if true else N_SORTS - 1))
     return out
 
 
 class _Sample:
-    """Of each sort of region (0: plain, else kind + 1, or the number of labels for a copy) those with the smallest hashes."""
+    """Of each sort of region those with the smallest hashes."""
 
     def __init__(self):
-        self.kept: list[list[tuple[int, str, str, str]]] = [[] for _ in range(len(LABELS) + 1)]
+        self.kept: list[list[tuple[int, str, str, str]]] = [[] for _ in range(N_SORTS)]
 
     @staticmethod
     def most(sort: int) -> int:
-        return TRAIN_KIND if sort else TRAIN_PLAIN
+        return TRAIN_PLAIN if sort == 0 else TRAIN_KIND * (2 if sort == N_SORTS - 1 else 1)
 
     def add(self, text: str) -> None:
         own: dict[int, list] = {}
-        for x, t, s, copy in examples(text):
+        for x, t, s, sort in examples(text):
+            if len(t) > TRAIN_TOKENS or len(x) > TRAIN_CHARS:
+                continue
             h = int.from_bytes(blake2b(f"{t[0][0]},{t[-1][1]},{s},{x}".encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1
-            for sort in {len(LABELS)} if copy else {k + 1 for _, k, _ in s} or {0}:
-                have = self.kept[sort]
-                if len(have) < self.most(sort) or h < have[-1][0]:
-                    own.setdefault(sort, []).append((h, x, t, s))
+            have = self.kept[sort]
+            if len(have) < self.most(sort) or h < have[-1][0]:
+                own.setdefault(sort, []).append((h, x, t, s))
         for sort, found in own.items():
             have, taken = self.kept[sort], 0
             for h, x, t, s in sorted(found):
                 if taken == PER_DOC:
                     break
-                if len(t) <= TRAIN_TOKENS and _gold(t, s):
+                if _gold(t, s):
                     taken += 1
                     row = (h, x, str(t), str(s))
                     if row not in have:
@@ -296,9 +369,35 @@ class _Sample:
                         del have[self.most(sort):]
 
 
+def _held_out(text):
+    return F.pmod(F.xxhash64(text, F.lit("held out")), F.lit(HELD_OUT)) == 0
+
+
+def fit(data: list[tuple[str, list, list]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (labels x buckets) and moves (labels x labels), by AdaGrad on the log-likelihood of (text, tokens, spans)."""
+    ready = [(Lattice(x, t), _gold(t, s)) for x, t, s in data]
+    weights, moves = np.zeros((len(LABELS), BUCKETS)), np.zeros((len(LABELS),) * 2)
+    weights[1:, _slot("bias")] = -2.0
+    w2, m2 = np.full_like(weights, 1e-2), np.full_like(moves, 1e-2)
+    for epoch in range(EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(ready)):
+            lattice, gold = ready[k]
+            expect, pair = _gradient(lattice, gold, weights, moves)
+            used, at = np.unique(lattice.feats, return_inverse=True)
+            grad = np.zeros((len(LABELS), len(used)))
+            for y in range(len(LABELS)):
+                grad[y] = np.bincount(at.ravel(), np.repeat(expect[:, y], lattice.feats.shape[1]), len(used))
+            w2[:, used] += grad * grad
+            m2 += pair * pair
+            weights[:, used] -= 0.3 * grad / np.sqrt(w2[:, used])
+            moves -= 0.3 * pair / np.sqrt(m2)
+    return weights, moves
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights (labels x buckets) and moves (labels x labels), by AdaGrad on the log-likelihood; None without labels."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    """Weights and moves of the field, from the documents that are not held out; None without labels."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).filter(
+        F.col("text").rlike("[0-9@]") & ~_held_out(F.col("text")))
 
     def cut(batches):
         sample = _Sample()
@@ -312,28 +411,52 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     names = ["h", "piece", "tokens", "spans"]
     found = staged(map_arrow(rows, cut, "sort int, h long, piece string, tokens string, spans string"), "regions")
     picked = set()
-    for sort in range(len(LABELS) + 1):
+    for sort in range(N_SORTS):
         some = found.filter(F.col("sort") == sort).select(*names).distinct().orderBy(*names).limit(_Sample.most(sort))
         picked.update(tuple(r) for r in some.collect())
     unstage(found)
     data = [(x, literal_eval(t), literal_eval(s)) for _, x, t, s in sorted(picked)]
     if not any(s for _, _, s in data):
         return None
-    ready = [(Lattice(x, t), _gold(t, s)) for x, t, s in data]
-    weights, moves = np.zeros((len(LABELS), BUCKETS)), np.zeros((len(LABELS),) * 2)
-    weights[1:, _slot("bias")] = -2.0
-    w2, m2 = np.full_like(weights, 1e-2), np.full_like(moves, 1e-2)
-    for _ in range(EPOCHS):
-        for lattice, gold in ready:
-            expect, pair = _gradient(lattice, gold, weights, moves)
-            grad = np.zeros_like(weights)
-            for y in range(len(LABELS)):
-                np.add.at(grad[y], lattice.feats, np.repeat(expect[:, y:y + 1], lattice.feats.shape[1], 1))
-            w2 += grad * grad
-            m2 += pair * pair
-            weights -= 0.3 * grad / np.sqrt(w2)
-            moves -= 0.3 * pair / np.sqrt(m2)
-    return weights, moves
+    return fit(data)
+
+
+def judged(text: str, model: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """Per kind (number, hits, wrong ones, missed ones) of the field on the plain regions and copies of a text.
+
+    A span that is none of the labels, but that the patterns take when it stands alone (they take the longest match and
+    do not try again: two card numbers in a row are none to them), is neither a hit nor wrong.
+    """
+    out = [[k, 0, 0, 0] for k in range(len(KINDS))]
+    for x, t, s, sort in examples(text):
+        if 0 < sort <= len(KINDS):
+            continue
+        want = set(s)
+        got = {(t[i][0], y - 1, t[j - 1][1]) for i, j, y in decode(Lattice(x, t), *model)}
+        for _, k, _ in want & got:
+            out[k][1] += 1
+        for a, k, b in got - want:
+            out[k][2] += base_spans(x[a:b]) != [(0, k, b - a)]
+        for _, k, _ in want - got:
+            out[k][3] += 1
+    return [tuple(r) for r in out]
+
+
+def evaluate(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
+    """``kind, hits, wrong, missed`` of added spans on held-out documents: copies of base spans, and all plain regions."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).filter(
+        F.col("text").rlike("[0-9@]") & _held_out(F.col("text")))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches):
+        total = np.zeros((len(KINDS), 3), np.int64)
+        for b in text_chunks(batches, "text"):
+            for text in texts_of(b, "text"):
+                total += np.array(judged(text, shared.value))[:, 1:]
+        yield pa.RecordBatch.from_arrays([pa.array(KINDS), *[pa.array(c) for c in total.T]], ["kind", "hits", "wrong", "missed"])
+
+    out = map_arrow(rows, count, "kind string, hits long, wrong long, missed long")
+    return out.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("hits", "wrong", "missed")])
 
 
 def all_spans(text: str, model: tuple[np.ndarray, np.ndarray] | None) -> tuple[list, list]:
