@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -65,10 +66,10 @@ def _c_trim():
 _TRIM = _c_trim()
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema: str, owner: str | None = None) -> DataFrame:
     """``mapInArrow`` whose workers keep nothing of an earlier operator and give back what a task has freed."""
     _ship(df.sparkSession)
-    owner = fn.__module__
+    owner = owner or fn.__module__
 
     def task(batches):
         if owner != __name__ and _busy_with != [owner]:  # helpers of this module belong to whoever calls them
@@ -133,19 +134,21 @@ def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
     return [t or "" for t in batch.column(text).to_pylist()]
 
 
-def numbered(df: DataFrame, group: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, group: str, name: str, fn: Callable | None = None, schema: str | None = None) -> DataFrame:
     """Stage ``df`` with ``part`` (task) and ``local`` (place among the task's rows of ``group``, from 0).
 
-    Together with ``group`` they name a row for good: later reads see what the task committed.
+    Together with ``group`` they name a row for good: later reads see what the task committed. ``fn`` (as of
+    :func:`map_arrow`, with the ``schema`` of its rows) makes the rows from those of ``df`` in the same worker.
     """
-    columns = df.columns
+    fields = (df.schema if fn is None else T._parse_datatype_string(schema)).fields
+    columns = [f.name for f in fields]
     at = columns.index(group)
 
     def count(batches):
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), {}
-        for b in batches:
+        for b in batches if fn is None else fn(batches):
             if not b.num_rows:
                 continue
             code = b.column(at).dictionary_encode()
@@ -163,8 +166,8 @@ def numbered(df: DataFrame, group: str, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(np.full(len(ids), part, np.int32)), pa.array(local)], [*columns, "part", "local"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return staged(map_arrow(df, count, f"{schema}, part int, local long"), name)
+    shown = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return staged(map_arrow(df, count, f"{shown}, part int, local long", fn and fn.__module__), name)
 
 
 def ranked(df: DataFrame, group: str) -> DataFrame:

@@ -97,8 +97,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                  pa.array(np.zeros(len(sets), np.int32))], ["id", "h", "n", "digest", "bands", "bits", "all"])
         forget_words()  # workers live on; what a task has learned does not
 
-    signed = map_arrow(docs, sign, f"id {kind}, h long, n long, digest binary, bands array<long>, bits array<long>, all int")
-    rows = numbered(signed, "all", "signatures")
+    rows = numbered(docs, "all", "signatures", sign,
+                    f"id {kind}, h long, n long, digest binary, bands array<long>, bits array<long>, all int")
     out = rows.withColumn("row", F.shiftleft(F.col("part").cast("long"), 40) + F.col("local")).drop("all", "part", "local")
     return out
 

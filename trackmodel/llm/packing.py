@@ -102,6 +102,7 @@ kept_by_worker(_WORD_IDS.clear)
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int, separator: int, id_col: str, text_col: str,
            with_ids: bool) -> DataFrame:
+    """Staged pieces of all documents, numbered among those of their length in a task."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     end = np.array([separator], "<u4").tobytes()
@@ -130,8 +131,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int, separator: int, id_c
                 columns, ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
         _WORD_IDS[tokenizer_path].parts = {}  # workers live on; what a task has learned does not
 
-    return map_arrow(rows, cut, f"id {kind}, piece int, start long, length long, ids_crc32 long"
-                     + ", ids array<long>" * with_ids)
+    return numbered(rows, "length", "pieces", cut, f"id {kind}, piece int, start long, length long, ids_crc32 long"
+                    + ", ids array<long>" * with_ids)
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[Filling, int]]:
@@ -280,7 +281,7 @@ def places(patterns: list[tuple[Filling, int]]) -> dict[str, np.ndarray]:
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: int = 0, id_col: str = "doc_id",
          text_col: str = "text", with_ids: bool = False, nodes: int = NODES) -> DataFrame:
     """``id_col, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``), a row per piece."""
-    cut = numbered(pieces(docs, tokenizer_path, size, separator, id_col, text_col, with_ids), "length", "pieces")
+    cut = pieces(docs, tokenizer_path, size, separator, id_col, text_col, with_ids)
     counts = np.zeros(size + 1, np.int64)
     for r in cut.groupBy("length").count().collect():
         counts[r[0]] = r[1]
