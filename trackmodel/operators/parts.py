@@ -24,11 +24,16 @@ def q(name: str) -> Column:
 
 
 def assign_parts(rows: DataFrame, keys: list[str], members: list[str], part_rows: int) -> DataFrame:
-    """Add ``part`` and ``parts`` to ``rows``: by a hash of ``members`` within each group of ``keys``.
+    """Add ``part`` and ``parts`` to ``rows``: by a hash of ``members`` within each group of ``keys`` (none: all rows
+    are one group, whose number of parts is one scalar).
 
     Counts combine in every task before they meet. Only keys with several parts are looked up, by broadcast where
     there are few of them, so the rows of a hot key stay where they are.
     """
+    if not keys:
+        parts = rows.select(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(part_rows)), F.lit(1)).cast("int")).scalar()
+        part = F.pmod(F.xxhash64(*[q(m) for m in members]), F.col(PARTS)).cast("int")
+        return rows.withColumn(PARTS, parts).withColumn(PART, part)
     many = rows.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > part_rows)
     many = many.select(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)],
                        F.ceil(F.col("__rows") / F.lit(part_rows)).cast("int").alias("__parts"))

@@ -149,7 +149,7 @@ def extract_definition(df: DataFrame, d: Definition, time_format: str = "ms", se
         if nf is not None:
             rows, restore, g_outer = nf[0], g_outer, nf[1]
     if d.part_rows:
-        rows = assign_parts(rows, g_outer, [n for n, _ in nat] or [n for n, _ in arr], d.part_rows)
+        rows = assign_parts(rows, [c for c in g_outer if c != "__g"], [n for n, _ in nat] or [n for n, _ in arr], d.part_rows)
         g_outer = g_outer + [PART, PARTS]
     if not nested and not arr:
         # a flat collection: the documents are the distinct projected rows

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from trackmodel.functions.columns import urlify_col
 from trackmodel.functions.pointers import KEY
 from trackmodel.operators import nest, timeparts, unnest, upsert
-from trackmodel.operators.parts import part_members
 from trackmodel.operators.report import import_counts, import_outcome, with_provenance
 from trackmodel.plans.extract import extract_definition, rejected_rows, union_definitions
 from trackmodel.plans.ingest import ingest, stage_plan
@@ -1001,10 +1000,9 @@ def nest_parts(spark, sf):
     for key in ("dshs#mapping_all", "event_type"):
         one = d({KEY: key, "samples": {"a": "nested_collection", "n_id": "event_id", "reading": "value"}, "parts": {"rows": 400}})
         docs = extract_definition(table(spark, sf, "events"), one)
-        whole = part_members(docs, "samples").groupBy("part_of").agg(
-            F.count(F.lit(1)).alias("n_members"), F.sum("member.n_id").cast("long").alias("id_sum"))
-        size = docs.groupBy(F.col("part_of").alias("of")).agg((F.max(F.size("samples")) <= 800).alias("bounded"))
-        out.append(whole.join(size, F.col("part_of") == F.col("of")).drop("of"))
+        ids_of = F.aggregate("samples", F.lit(0).cast("long"), lambda acc, x: acc + x.n_id)
+        out.append(docs.groupBy("part_of").agg(long(F.sum(F.size("samples"))).alias("n_members"), long(F.sum(ids_of)).alias("id_sum"),
+                                               (F.max(F.size("samples")) <= 800).alias("bounded")))
     return union_definitions(out)
 
 
