@@ -67,13 +67,19 @@ def _blank(v: Column) -> Column:
     return v.isNull() | (F.trim(v) == "")
 
 
+def _like(v: Column, pattern: str) -> Column:
+    """``v`` where it looks like ``pattern``: only such text is tried as a number, for each failed try costs an exception."""
+    return F.when(v.rlike(pattern), v)
+
+
 def _as_long(v: Column) -> Column:
-    return v.rlike(_LONG) & v.try_cast("long").isNotNull()
+    return _like(v, _LONG).try_cast("long").isNotNull()
 
 
 def _as_double(v: Column) -> Column:
-    finite = F.abs(v.try_cast("double")) <= F.lit(1.7976931348623157e308)
-    return v.rlike(_DOUBLE) & finite & ~lossy(v, T.StringType(), T.DoubleType())
+    v = _like(v, _DOUBLE)
+    finite = F.coalesce(F.abs(v.try_cast("double")) <= F.lit(1.7976931348623157e308), F.lit(False))
+    return finite & ~lossy(v, T.StringType(), T.DoubleType())
 
 
 def _as_boolean(v: Column) -> Column:
@@ -90,15 +96,18 @@ def leaf_types(df: DataFrame, leaves: list[str]) -> dict[str, T.DataType]:
     kind = F.when(_as_long(v), F.lit("long")).when(_as_double(v), F.lit("double")).when(
         _as_boolean(v), F.lit("boolean")).otherwise(F.lit("text"))
     # a whole number that no double has
-    wide = (F.col("kind") == "long") & lossy(v.try_cast("long"), T.LongType(), T.DoubleType())
-    seen = values.withColumn("kind", kind).groupBy("leaf").agg(F.collect_set("kind").alias("kinds"), F.max(wide).alias("wide"))
+    wide = (F.col("kind") == "long") & lossy(_like(v, _LONG).try_cast("long"), T.LongType(), T.DoubleType())
+    # a flag per kind, not a set of them: plain columns, which hash aggregation keeps without objects
+    names = ("long", "double", "boolean", "text")
+    seen = values.withColumn("kind", kind).groupBy("leaf").agg(*[F.max(F.col("kind") == k).alias(k) for k in names], F.max(wide).alias("wide"))
     out: dict[str, T.DataType] = {}
-    for leaf, kinds, beyond in seen.collect():  # a row per leaf
-        if set(kinds) == {"long"}:
+    for leaf, *flags, beyond in seen.collect():  # a row per leaf
+        kinds = {k for k, there in zip(names, flags) if there}
+        if kinds == {"long"}:
             out[leaves[leaf]] = T.LongType()
-        elif set(kinds) == {"boolean"}:
+        elif kinds == {"boolean"}:
             out[leaves[leaf]] = T.BooleanType()
-        elif set(kinds) <= {"long", "double"} and not beyond:
+        elif kinds <= {"long", "double"} and not beyond:
             out[leaves[leaf]] = T.DoubleType()
     return out
 
