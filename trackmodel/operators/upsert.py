@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from trackmodel.functions.columns import canonical_json, doc_id_col, etag_col
 from trackmodel.functions.pointers import KEY
 from trackmodel.functions.types import common_type, conform, exact, lossy, overlay
+from trackmodel.session import COMPRESSION, scratch_path
 from trackmodel.sources.store import business_columns
 
 # --- fixed values: plan operations and apply outcomes ---
@@ -189,21 +190,24 @@ MAX_BROADCAST_KEYS = 100_000
 def dedup_plan(plan: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
     """(one plan row per key, ``(key, op, n)``: how many further rows a repeated key has).
 
-    The winner is the least (definition order, canonical JSON). Repeated keys are found on key, order and
-    a hash of the JSON alone; documents themselves are only touched for keys that do repeat, so a batch
-    without repeats is passed through unshuffled. A key repeated a million times meets as per-task minima.
+    The winner is the least (definition order, canonical JSON). Repeated keys are found on the key column
+    alone; documents are only read and hashed for keys that do repeat, so a batch without repeats is passed
+    through unshuffled. A key repeated a million times meets as per-task minima.
     """
     biz = business_columns(plan.drop("collection", "op"))
     order = F.struct((q(DEF_COL) if DEF_COL in plan.columns else F.lit(0)).alias("d"),
                      F.sha2(canonical_json(biz), 256).alias("j"))
-    slim = plan.select(q(key).alias("__rk"), order.alias("__ro"), F.col("op").alias("__rop"))
+    twice = batch_duplicates(plan, key).select(q(key).alias("__tk"))
+    found = twice.limit(MAX_BROADCAST_KEYS + 1).count()
+    if not found:
+        none = plan.select(q(key), "op", F.lit(0).cast("long").alias("n")).where(F.lit(False))
+        return plan, none
+    few = found <= MAX_BROADCAST_KEYS
+    slim = plan.join(F.broadcast(twice) if few else twice, q(key).eqNullSafe(F.col("__tk")), "left_semi").select(
+        q(key).alias("__rk"), order.alias("__ro"), F.col("op").alias("__rop"))
     again = slim.groupBy("__rk").agg(F.min(F.struct("__ro", "__rop")).alias("__w"), F.count(F.lit(1)).alias("__n"))
-    again = again.filter(F.col("__n") > 1)
-    found = again.limit(MAX_BROADCAST_KEYS + 1).count()
     dups = again.select(F.col("__rk").alias(key), F.col("__w.__rop").alias("op"), (F.col("__n") - 1).alias("n"))
-    if not found:
-        return plan, dups
-    keys = F.broadcast(again) if found <= MAX_BROADCAST_KEYS else again
+    keys = F.broadcast(again) if few else again
     once = plan.join(keys.select("__rk"), q(key) == F.col("__rk"), "left_anti")
     best = plan.join(keys.select("__rk", F.col("__w.__ro").alias("__ro")), (q(key) == F.col("__rk")) & (
         order == F.col("__ro"))).select(*[q(c) for c in plan.columns])
@@ -232,7 +236,10 @@ class _Applied:
     certain: bool  # no row can be rejected now that the plan has not rejected
 
 
-def _applied(plan: DataFrame, current: DataFrame, collection: str, now: Column, key: str, unique: bool) -> _Applied:
+def _applied(plan: DataFrame, current: DataFrame, collection: str, now: Column, key: str, unique: bool,
+             creates: bool = True, only_creates: bool = False) -> _Applied:
+    """``creates``: whether the plan may hold a CREATE. ``only_creates``: it is known to hold no UPDATE, and to have
+    been made against ``current`` itself, so none of its keys is stored."""
     pb, cb = business_columns(plan.drop("collection", "op")), business_columns(current)
     new_types, old_types = _types(plan, pb), _types(current, cb)
     # types settle again: the collection may hold values now that it did not hold when the plan was made
@@ -247,6 +254,8 @@ def _applied(plan: DataFrame, current: DataFrame, collection: str, now: Column,
     one, dups = (plan, None) if unique else dedup_plan(plan, key)
     pk = one.select(q(key).alias("__pk"), F.col("op").alias("__op"), F.col(PLAN_ETAG).alias("__pe"),
                     *[q(c).alias(f"__n_{c}") for c in pb])
+    if only_creates:  # no stored row meets the plan
+        pk = pk.where(F.lit(False))
     j = current.join(pk, q(key) == F.col("__pk"), "left")
     is_update = (F.col("__op") == OP_UPDATE) & (F.col("_etag") == F.col("__pe"))
     names = list(dict.fromkeys(cb + pb))
@@ -266,7 +275,12 @@ def _applied(plan: DataFrame, current: DataFrame, collection: str, now: Column,
                          F.when(changed, new_etag).otherwise(F.col("_etag")).alias("_etag"), "_created",
                          F.when(changed, now).otherwise(F.col("_updated")).alias("_updated"), "__upd", "__op")
     # plan rows whose key is not stored (any more): creates, or updates of a vanished document
-    missing = one.join(_stored_keys(current, one, key), q(key) == F.col("__ck"), "left_anti")
+    if only_creates:
+        missing = one
+    else:
+        missing = one.join(_stored_keys(current, one, key), q(key) == F.col("__ck"), "left_anti")
+    if not creates:  # an empty branch, which the optimizer drops
+        missing = missing.where(F.lit(False))
     new_rows = missing.filter(F.col("op") == OP_CREATE).select(
         *[q(c) for c in pb], doc_id_col(collection, q(key)).alias("_id"), etag_col(pb).alias("_etag"),
         now.alias("_created"), now.alias("_updated"))
@@ -279,10 +293,11 @@ def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column
 
     The version streams the current collection once through a left join with the (deduplicated) plan;
     the outcome needs only the key and ``_etag`` columns of the collection, which is all its scan reads.
-    Pass a staged plan (:func:`trackmodel.plans.ingest.stage_plan`, as ``apply_import`` does): as a
+    The plan is staged first, for it is read many times: its joins run once, and as a
     Parquet scan its size is known when the query is planned, so a small batch is broadcast and the
     collection is never shuffled for the join. :func:`apply_counted` gives the outcome's counts without joining again.
     """
+    plan = _staged(plan)
     a = _applied(plan, current, collection, now if now is not None else F.current_timestamp(), key, False)
     lit_c = F.lit(collection).alias("collection")
     one_row = F.lit(1).cast("long").alias("n")
@@ -296,6 +311,12 @@ def apply_plan(plan: DataFrame, current: DataFrame, collection: str, now: Column
     return unite(a.stored.drop("__upd", "__op"), a.new_rows), hit.unionByName(miss).unionByName(dup).unionByName(bad)
 
 
+def _staged(plan: DataFrame) -> DataFrame:
+    path = scratch_path(plan.sparkSession, "plan")
+    plan.write.option("compression", COMPRESSION).partitionBy("op").parquet(path)
+    return plan.sparkSession.read.schema(plan.schema).parquet(path)
+
+
 def observe_plan(plan: DataFrame, key: str = KEY) -> tuple[DataFrame, Observation]:
     """``plan`` that counts its rows with a key by ``op`` while it is written."""
     seen = Observation()
@@ -304,15 +325,18 @@ def observe_plan(plan: DataFrame, key: str = KEY) -> tuple[DataFrame, Observatio
 
 
 def apply_counted(plan: DataFrame, planned: dict[str, int], current: DataFrame, collection: str, now: Column | None = None,
-                  key: str = KEY, unique: bool = False) -> tuple[DataFrame, Callable[[], list[tuple[str, str, int]]]]:
+                  key: str = KEY, unique: bool = False, same_base: bool = False) -> tuple[DataFrame, Callable[[], list[tuple[str, str, int]]]]:
     """(new version, its outcome as ``(op, status, n)`` once the version is written).
 
     ``planned``: rows of the plan by ``op`` (:func:`observe_plan`). Everything else is counted while the version is
     written, so neither collection nor plan is joined again. The counters sit in the writing stage, where a task
-    counts once however often it was tried. ``unique``: the plan is known to hold each key once.
+    counts once however often it was tried. ``unique``: the plan is known to hold each key once. ``same_base``:
+    ``current`` is the very version that the plan was made against; a plan of creates alone then needs no join.
     """
     now = now if now is not None else F.current_timestamp()
-    a = _applied(plan, current, collection, now, key, unique)
+    creates = bool(planned.get(OP_CREATE, 0))
+    only = same_base and creates and not planned.get(OP_UPDATE, 0)
+    a = _applied(plan, current, collection, now, key, unique, creates, only)
     if not a.certain:  # a rare case: values that fitted when the plan was made, and no more
         version, outcome = apply_plan(plan, current, collection, now, key)
         return version, lambda: [tuple(r) for r in outcome.groupBy("op", "status").agg(F.sum("n")).collect()]  # a row per status

@@ -27,7 +27,7 @@ from trackmodel.operators.upsert import (DEF_COL, OP_REJECT, REJECTED, apply_cou
 from trackmodel.plans.extract import REASON, extract_collection, feature_constants, rejected_rows, split_rejected
 from trackmodel.plans.mapping import Definition, Mapping, parse_mapping
 from trackmodel.functions.pointers import KEY, parse_pointer
-from trackmodel.session import delete, scratch_path, together
+from trackmodel.session import COMPRESSION, delete, scratch_path, together
 from trackmodel.sources.files import BROKEN, FILE, read_records, split_broken, whole
 from trackmodel.sources.store import CollectionStore, VersionConflict
 from trackmodel.sources.typed import leaf_types, retype, text_leaves
@@ -49,6 +49,7 @@ class ImportPlan:
     planned: dict[str, dict[str, int]] = field(default_factory=dict)  # plan rows by op
     left_out: dict[str, int] = field(default_factory=dict)  # rejects
     unique: dict[str, bool] = field(default_factory=dict)  # whether a plan can hold a key once only
+    base: dict[str, int | None] = field(default_factory=dict)  # the version a plan was made against
 
     def counts(self) -> DataFrame:
         return import_counts(list(self.plans.values()))
@@ -108,7 +109,7 @@ def stage_documents(docs: DataFrame, path: str, spark: SparkSession | None = Non
     ``spark``: the session to read them in (a micro-batch has one of its own; counts that are observed while
     something is written are reported to the session of its frames alone).
     """
-    docs.write.mode("errorifexists").parquet(path)
+    docs.write.mode("errorifexists").option("compression", COMPRESSION).parquet(path)
     # the schema is the one just written: reading it back needs no footer-inference job
     return (spark or docs.sparkSession).read.schema(docs.schema).parquet(path)
 
@@ -116,7 +117,7 @@ def stage_documents(docs: DataFrame, path: str, spark: SparkSession | None = Non
 def stage_plan(plan: DataFrame, path: str, spark: SparkSession | None = None) -> DataFrame:
     """Write a plan to the shared folder (partitioned by ``op``) and read it back: the confirm step then
     applies exactly what was validated, and the lineage of the extraction is cut (K5)."""
-    plan.write.mode("errorifexists").partitionBy("op").parquet(path)
+    plan.write.mode("errorifexists").option("compression", COMPRESSION).partitionBy("op").parquet(path)
     return (spark or plan.sparkSession).read.schema(plan.schema).parquet(path)
 
 
@@ -149,10 +150,14 @@ def open_records(spark: SparkSession, m: Mapping, records: DataFrame, stage_dir:
         types |= leaf_types(good, leaves)
     types = {p: t for p, t in types.items() if p != FILE}
     if types:
-        unfit = retype(good, types)[1]
-        left_out = left_out.unionByName(_bad_values(good, unfit))
+        asked = {p: t for p, t in types.items() if p in m.file.types}
+        fit = good
+        if asked:  # a type that was found from the values holds them all
+            unfit = retype(good, asked)[1]
+            left_out = left_out.unionByName(_bad_values(good, unfit))
+            fit = good.filter(~unfit)
         # written again with its types: every definition then reads only the fields it needs
-        good = stage_documents(retype(good.filter(~unfit), types)[0], f"{stage_dir}/__typed", spark)
+        good = stage_documents(retype(fit, types)[0], f"{stage_dir}/__typed", spark)
     return good, left_out
 
 
@@ -198,7 +203,7 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
             seen, *[F.count(F.when(F.col("collection") == c, 1)).alias(f"n{i}") for i, c in enumerate(names)])
         return stage_documents(rows, f"{stage_dir}/__rejected", spark), {c: seen.get.get(f"n{i}", 0) for i, c in enumerate(names)}
 
-    def planned(collection: str, d: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    def planned(collection: str, d: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int], int | None]:
         if provenance:
             d = with_provenance(d, **provenance)
         base = store.current_version(collection)
@@ -217,12 +222,12 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
                 plan = stage_documents(plan, f"{stage_dir}/{collection}__growing/{i}", spark)
                 plan = grow_arrays(plan, stored, arrays, F.col(DEF_COL) == x.index)
         plan, seen = observe_plan(plan)
-        return d, stage_plan(plan, f"{stage_dir}/{collection}", spark), seen.get
+        return d, stage_plan(plan, f"{stage_dir}/{collection}", spark), seen.get, base
 
     tasks: list[Callable] = [lambda c=c, d=d: planned(c, d) for c, d in docs.items()]
     *made, (rows, ip.left_out) = together(spark, [*tasks, rejected])
-    for c, (d, plan, counts) in zip(docs, made):
-        ip.documents[c], ip.plans[c], ip.planned[c] = d, plan, counts
+    for c, (d, plan, counts, base) in zip(docs, made):
+        ip.documents[c], ip.plans[c], ip.planned[c], ip.base[c] = d, plan, counts, base
     ip.rejected = {c: rows.filter(F.col("collection") == c).drop("collection") for c in ip.left_out}
     ip.unique = {c: unique_keys(defs, df) for c, defs in m.collections.items()}
     return ip
@@ -243,7 +248,8 @@ def apply_import(spark: SparkSession, ip: ImportPlan, store: CollectionStore, no
         while True:
             base = store.current_version(collection)
             version, outcome = apply_counted(plan, ip.planned[collection], store.scan(collection, version=base), collection,
-                                             now, unique=ip.unique.get(collection, False))
+                                             now, unique=ip.unique.get(collection, False),
+                                             same_base=base is not None and ip.base.get(collection) == base)
             try:
                 store.write_version(collection, version, base or 0)
                 return outcome()

@@ -11,6 +11,8 @@ from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 _SCRATCH = "trackmodel-scratch"
+#: Of the Parquet that stores and staging folders hold: version tags and ids are hex digits, which take half the space so.
+COMPRESSION = "zstd"
 
 
 def get_spark(master: str | None = None, app: str = "trackmodel", shuffle_partitions: int | None = None,

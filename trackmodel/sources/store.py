@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from trackmodel.functions.columns import SYSTEM_COLUMNS, doc_id_col, etag_col
 from trackmodel.functions.pointers import KEY
-from trackmodel.session import create_file, delete, file_times, glob_parents, list_dirs, read_file
+from trackmodel.session import COMPRESSION, create_file, delete, file_times, glob_parents, list_dirs, read_file
 
 _VERSION = re.compile(r"^v(\d{6})(?:-a(\d+))?$")
 _CLAIM = re.compile(r"^v(\d{6})(?:-a(\d+))?\.claim$")
@@ -228,7 +228,8 @@ class CollectionStore:
         if ordered:
             df = df.repartitionByRange(F.col(self.key)).sortWithinPartitions(self.key)
         # the marker is set below, after the claim has been checked
-        w = df.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+        w = df.write.mode("errorifexists").options(compression=COMPRESSION).option(
+            "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         # Parquet bloom filters on the lookup columns: a keyed lookup (= or IN, pushed to the scan) skips
         # every row group that cannot hold the key, whatever order the documents were written in
         for c in (self.key, "_id"):

@@ -1288,12 +1288,10 @@ def import_xml_first(spark, sf):
         a, b = one.scan(c, system=False), two.scan(c, system=False)
         if {f.name: f.dataType.simpleString() for f in a.schema} != {f.name: f.dataType.simpleString() for f in b.schema}:
             raise AssertionError(f"{c}: {a.schema.simpleString()} and {b.schema.simpleString()}")
-        b = b.select(*a.columns)
-        differing.append(a.exceptAll(b).unionByName(b.exceptAll(a)))
+        # rows of one that the other does not have, both ways, each time they occur
+        both = a.withColumn("__side", F.lit(1)).unionByName(b.withColumn("__side", F.lit(-1)))
+        differing.append(both.groupBy(*a.columns).agg(F.abs(F.sum("__side")).alias("n")).select("n"))
     none = spark.createDataFrame([], "collection string, op string, status string, n long")
-    counts = [x.select(F.lit(1).alias("one")) for x in differing]
-    total = counts[0]
-    for x in counts[1:]:
-        total = total.unionByName(x)
+    total = union_definitions(differing)
     return import_rows(one, none, ACTIVITY).withColumns({
-        "samples_type": F.lit(kind), "differing": total.select(F.count(F.lit(1))).scalar()})
+        "samples_type": F.lit(kind), "differing": total.select(F.coalesce(F.sum("n"), F.lit(0).cast("long"))).scalar()})

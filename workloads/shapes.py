@@ -60,9 +60,8 @@ def orders_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     line = F.struct(*[F.col(c) for c in LINE_FIELDS])
-    per_order = li.groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(line)).alias("lines"),
-        F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == "R", line))).alias("returns"))
+    per_order = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    per_order = per_order.withColumn("returns", F.filter("lines", lambda x: x.l_returnflag == "R"))  # sorted as they are
     o = table(spark, sf_dir, "orders")
     return o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left").select(
         "o_orderkey",
@@ -77,7 +76,7 @@ def orders_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_json(spark: SparkSession, sf_dir: str) -> str:
-    return write(orders_nested(spark, sf_dir), "json", "orders-json", sf_dir)
+    return write(orders_nested(spark, sf_dir), "json", "orders-json", sf_dir, compression="lz4")
 
 
 def orders_file(spark: SparkSession, sf_dir: str) -> DataFrame:
