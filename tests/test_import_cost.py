@@ -42,7 +42,7 @@ def test_creates_alone_against_their_own_base_need_no_join(spark, tmp):
     plan.write.parquet(path)
     plan = spark.read.parquet(path)
     one = plan.filter("x = 2")
-    version, outcome = upsert.apply_counted(one, {"CREATE": 1}, stored, "P", unique=True, same_base=True)
+    version, outcome = upsert.apply_counted(one, {"CREATE": 1, "UPDATE": 0}, stored, "P", unique=True, same_base=True)
     assert "Join" not in version._jdf.queryExecution().optimizedPlan().toString()
     store.write_version("P", version, 1)
     assert outcome() == [("CREATE", "CREATED", 1)]
@@ -52,7 +52,7 @@ def test_creates_alone_against_their_own_base_need_no_join(spark, tmp):
     store.write_version("P", version, 2)
     assert outcome() == [("CREATE", "CONFLICT", 1)]
     # repeated keys are applied once, joined or not
-    version, outcome = upsert.apply_counted(plan, {"CREATE": 2}, stored, "P", same_base=True)
+    version, outcome = upsert.apply_counted(plan, {"CREATE": 2, "UPDATE": 0}, stored, "P", same_base=True)
     assert sorted(r[0] for r in version.collect()) == ["a", "b"]
 
 

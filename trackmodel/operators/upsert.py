@@ -334,8 +334,8 @@ def apply_counted(plan: DataFrame, planned: dict[str, int], current: DataFrame,
     ``current`` is the very version that the plan was made against; a plan of creates alone then needs no join.
     """
     now = now if now is not None else F.current_timestamp()
-    creates = bool(planned.get(OP_CREATE, 0))
-    only = same_base and creates and not planned.get(OP_UPDATE, 0)
+    creates = planned.get(OP_CREATE) != 0  # not counted: there may be some
+    only = same_base and creates and planned.get(OP_UPDATE) == 0
     a = _applied(plan, current, collection, now, key, unique, creates, only)
     if not a.certain:  # a rare case: values that fitted when the plan was made, and no more
         version, outcome = apply_plan(plan, current, collection, now, key)
