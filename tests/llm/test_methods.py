@@ -302,6 +302,47 @@ def test_components_of_chains_and_stars(spark):
         **{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 300: 300, 301: 300}
 
 
+def count_staged(monkeypatch):
+    """Rows of each table that ``neardup`` stages from now on, by its name."""
+    rows, stage = {}, neardup.staged
+
+    def counted(df, name):
+        out = stage(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counted)
+    return rows
+
+
+def test_edges_of_a_group_are_joined_once(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = [(rng.randrange(40), i) for i in range(40, 400) for _ in range(8)] + [(7, 7), (500, 500), (998, 999), (999, 998)]
+    rows = count_staged(monkeypatch)
+    got = neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    ends = {x for e in edges for x in e}
+    assert {r["node"]: r["label"] for r in got} == {i: i if i in (500, 998) else 998 if i == 999 else 0 for i in ends}
+    assert sum(rows["edges"]) < 1.5 * len({frozenset(e) for e in edges})
+
+
+def test_links_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    words = [f"w{i}" for i in range(120)]
+    docs = [(i, " ".join([*words[:-1], f"end{i}"])) for i in range(96)]
+    rows = count_staged(monkeypatch)
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == len(docs)
+    assert sum(rows["links"]) <= 2 * len(docs)
+
+
+def test_parts_of_blocks_meet_across_blocks(spark, monkeypatch):
+    """A chain: each text is near the next alone, and its neighbours mostly are in other blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    docs = [(i, " ".join(f"w{j}" for j in range(10 * i, 10 * i + 160))) for i in range(20)]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == len(docs)
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------
 
 def test_probabilities_sum_to_one_and_follow_the_recursion(spark):

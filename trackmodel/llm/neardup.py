@@ -5,9 +5,10 @@
 2. Texts with equal sets are one class; one representative of a class goes on, so copies cost nothing more.
 3. Representatives that share a band key are candidates. Each bucket links its members to its smallest one
    (as many rows as members, never pairs); connected components of these links are candidate clusters.
-4. A cluster is cut into blocks of bounded size, and each pair of blocks is one task's group: similarities
-   estimated from matching bits, corrected for chance matches, drop clear misses; the rest is confirmed on
-   the full sets. Only links that join something are returned, so a group of m texts returns less than m rows.
+4. A cluster is cut into blocks of bounded size, and each block, then each pair of blocks, is one task's group:
+   similarities estimated from matching bits, corrected for chance matches, drop clear misses; the rest is
+   confirmed on the full sets. A block returns only links that join something, a pair of blocks only links that
+   join parts which their blocks have left apart: a group of m near copies returns about m rows, not m for each block.
 5. Connected components of the links; every document gets the smallest id of its component. Sets shared by
    over a thousandth of the documents are joined back by broadcast, the others by a shuffle.
 
@@ -103,29 +104,54 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, label`` (smallest node reachable) of the nodes of ``edges`` (a, b); labels halve their distance
-    each round: the least label of the neighbours, then the label of the label."""
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    state = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("label")), "labels")
+def _ends(up: DataFrame) -> DataFrame:
+    """``node, label`` (smaller than the node, or itself), each label followed to its end; four steps a round."""
+    further = lambda t: t.select(F.col("node").alias("label"), F.col("label").alias("far"))
     while True:
-        near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("label").alias("near"))
-        hop = state.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = hop.join(state.select(F.col("node").alias("label"), F.col("label").alias("far")), "label")
-        new = staged(jump.select("node", "old", F.least("label", "far").alias("label")), "labels")
+        two = up.join(further(up), "label").select("node", F.col("far").alias("label"))
+        new = staged(two.join(further(two), "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")),
+                     "labels")
         changed = new.filter("label <> old").limit(1).count()
-        unstage(state)
-        state = new.select("node", "label")
-        state._staged_path = new._staged_path
+        unstage(up)
+        up = new.select("node", "label")
+        up._staged_path = new._staged_path
         if not changed:
-            unstage(both)
+            return up
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label`` (smallest node reachable) of the nodes of ``edges`` (a, b).
+
+    Each round takes a node to its least neighbour, and on to where that leads; the next round has only the
+    distinct edges between those ends, of which two rounds leave at most half. So the edges of a group are joined
+    once or twice, not in each round.
+    """
+    undirected = lambda e: e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left, state = staged(undirected(edges), "edges"), None
+    while True:
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = _ends(staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
+            "node", F.least("node", "m").alias("label")), "labels"))
+        at = lambda c: ends.select(F.col("node").alias(c), F.col("label").alias(f"{c}_end"))
+        rest = left.join(at("a"), "a").join(at("b"), "b").filter("a_end <> b_end")
+        rest = staged(undirected(rest.select(F.col("a_end").alias("a"), F.col("b_end").alias("b"))), "edges")
+        unstage(left)
+        if state is None:
+            state = ends
+        else:
+            new = staged(state.join(at("label"), "label", "left").select("node", F.coalesce("label_end", "label").alias("label")),
+                         "labels")
+            unstage(state)
+            unstage(ends)
+            state = new
+        left = rest
+        if not left.limit(1).count():
+            unstage(left)
             return state
 
 
 def _link_block(percent: int, width: int):
-    """Confirmed links within one block, or between two blocks, that join something: rows (a, b)."""
+    """Confirmed links within one block, or between two blocks, that join parts not joined before: rows (a, b)."""
     least = cut_off(percent)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +163,7 @@ def _link_block(percent: int, width: int):
         ids = np.unique(np.concatenate(list(g["shingles"])), return_inverse=True)[1]
         end = np.cumsum(n)
         inside = np.zeros(int(ids.max()) + 1, bool)
-        parent = np.arange(len(g))
+        parent = np.unique(g["part"], return_inverse=True)[1]
         out = []
         for i in range(len(g) - 1):
             later = np.arange(i + 1, len(g))
@@ -181,32 +207,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     stars = places.join(buckets, "key").filter("row <> pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct()
     clusters = components(stars)
 
-    # The members' full sets, from their texts; blocks of bounded size; pairs of blocks.
+    # The members' full sets, from their texts; blocks of bounded size, linked within; then pairs of blocks.
     members = reps.join(clusters.withColumnRenamed("node", "row"), "row").select("row", "id", "h", "n", "bits", "label")
     sizes = members.groupBy("label").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     members = staged(members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))), "members")
-    known = small_side(members.select(F.col("id").alias("m_id"), F.col("h").alias("m_h"), "row", "n", "bits", "label", "blocks",
-                                      "block"), BROADCAST_ROWS)
-    texts = base.join(known, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h"))).select(
-        "text", "row", "n", "bits", "label", "blocks", "block")
+    kept = ["row", "n", "bits", "label", "blocks", "block", "part"]
 
     def cut(batches):
         for b in text_chunks(batches, "text"):
             sets = [s.view(np.int64) for s in shingle_sets(texts_of(b, "text"), width)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.list_(pa.int64()))], [
-                "row", "n", "bits", "label", "blocks", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.list_(pa.int64()))], [*kept, "shingles"])
         forget_words()
 
-    sets = map_arrow(texts, cut, "row long, n long, bits array<long>, label long, blocks long, block long, shingles array<long>")
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block",
-                         "row", "n", "bits", "shingles")
-    _ship(docs.sparkSession)
-    links = staged(pairs.groupBy("label", "lo", "hi").applyInPandas(_link_block(percent, width), "a long, b long"), "links")
-
-    # Components of confirmed links, their smallest id, and back to the documents of each class.
-    found = components(links)
+    def link(some: DataFrame, other) -> DataFrame:
+        """Links of ``some`` members: their block with the block, or each of the blocks, ``other``."""
+        known = small_side(some.select(F.col("id").alias("m_id"), F.col("h").alias("m_h"), *kept), BROADCAST_ROWS)
+        texts = base.join(known, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h"))).select("text", *kept)
+        sets = map_arrow(texts, cut, "row long, n long, bits array<long>, label long, blocks long, block long, part long, "
+                                     "shingles array<long>")
+        pairs = sets.withColumn("other", other).select("label", F.least("block", "other").alias("lo"), F.greatest(
+            "block", "other").alias("hi"), "block", "part", "row", "n", "bits", "shingles")
+        _ship(docs.sparkSession)
+        return staged(pairs.groupBy("label", "lo", "hi").applyInPandas(_link_block(percent, width), "a long, b long"), "links")
+
+    found = components(link(members.withColumn("part", F.col("row")), F.col("block")))
+    several = members.filter("blocks > 1")
+    if several.limit(1).count():  # what a block has joined is one part: pairs of blocks return fewer links than parts
+        several = several.join(found.select(F.col("node").alias("row"), F.col("label").alias("part")), "row", "left")
+        blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        across = link(several.withColumn("part", F.coalesce("part", "row")), F.explode(F.filter(blocks, lambda x: x != F.col("block"))))
+        found = components(across.union(found.select("node", "label")))
+
+    # The components' smallest id, and back to the documents of each class.
     named = classes.join(found, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("first").alias("component"))
     by_set = staged(named.select(F.col("digest").alias("d"), "label", "copies").join(least, "label").select(
