@@ -21,6 +21,11 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: UTF-8 bytes of text a task turns into Python or numpy objects at once (a longer single text is one chunk).
 CHUNK_BYTES = 1 << 20
 
+#: Bytes of rows that an executor hands to a Python worker at once. Spark goes by 10,000 rows or 64 MB, which the
+#: executor's buffers (doubled as they grow, kept when freed) and the worker both hold beside their own memory.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,13 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _ship(spark: SparkSession) -> None:
     """Let Python workers import this package where the folder is visible to them (else use --py-files).
 
-    Arrow's memory comes from the C library there, which gives freed memory back (:func:`release_memory`).
+    Arrow's memory comes from the C library there, which gives freed memory back (:func:`release_memory`). Batches
+    sent to workers are bounded in bytes, unless the session has its own bound.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), ROOT]))
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     env.setdefault("MALLOC_ARENA_MAX", "2")
+    if _BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 #: How to drop what a worker keeps between the tasks of one operator (tables of a tokenizer, say).

@@ -42,8 +42,10 @@ FENCE, SHORT, PRIOR = 2.5, 20.0, 20
 #: One trusted document in so many sets thresholds and is not counted.
 ASIDE = 5
 SCALE = 1 << 16
-#: A task merges its n-grams when so many have come in, and as many again as it holds.
+#: A task merges its n-grams when so many have come in, and as many as it holds.
 MERGE = 200_000
+#: UTF-8 bytes of text a task turns into n-grams at once: each byte takes some 50 bytes of arrays.
+CHUNK = 1 << 19
 #: Resolution of the quantiles, in nats per character.
 BIN = 1e-3
 _PAD = "\n" * (ORDER - 1)
@@ -84,7 +86,7 @@ class _Sums:
         good = np.bincount(code[np.repeat(trusted, n)], minlength=len(seen))
         self.parts.append((seen, grams, uses, good))
         self.size += len(seen)
-        if self.size > MERGE + 2 * self.least:
+        if self.size > self.least + max(MERGE, self.least):
             self.merge()
 
     def merge(self) -> None:
@@ -101,7 +103,7 @@ def _count(docs: DataFrame) -> DataFrame:
     """``gram, h, uses, c``: all n-grams of all texts, their uses, and their uses in trusted text."""
     def count(batches):
         sums = _Sums()
-        for b in text_chunks(batches, "text"):
+        for b in text_chunks(batches, "text", CHUNK):
             flat, h, n = _codes(texts_of(b, "text"))
             sums.add(flat, h, n, np.array(b.column("role").to_pylist()) == 1)
         if not sums.parts:
@@ -185,7 +187,7 @@ def losses(docs: DataFrame, table: DataFrame, head_size: int = HEAD) -> DataFram
         keys, values = shared.value
         index = pd.Index(keys)
         row = TaskContext.get().partitionId() << 40
-        for b in text_chunks(batches, "text"):
+        for b in text_chunks(batches, "text", CHUNK):
             flat, h, n = _codes(texts_of(b, "text"))
             at = index.get_indexer(h) if len(keys) else np.full(len(h), -1)
             known = at >= 0
