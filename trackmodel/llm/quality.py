@@ -45,7 +45,7 @@ SCALE = 1 << 16
 #: A task merges its n-grams when so many have come in, and as many as it holds.
 MERGE = 200_000
 #: UTF-8 bytes of text a task turns into n-grams at once: each byte takes some 50 bytes of arrays.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Resolution of the quantiles, in nats per character.
 BIN = 1e-3
 _PAD = "\n" * (ORDER - 1)
@@ -90,12 +90,14 @@ class _Sums:
             self.merge()
 
     def merge(self) -> None:
-        seen, grams, uses, good = (np.concatenate(x) for x in zip(*self.parts))
-        code, seen = pd.factorize(seen)
+        columns, self.parts = [list(x) for x in zip(*self.parts)][::-1], []
+        joined = lambda: np.concatenate(columns.pop())  # noqa: E731  a column's parts go as it is joined
+        code, seen = pd.factorize(joined())
         first = np.empty(len(seen), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        sums = [np.bincount(code, x, len(seen)).astype(np.int64) for x in (uses, good)]
-        self.parts, self.size = [(seen, grams[first], *sums)], len(seen)
+        grams = joined()[first]
+        sums = [np.bincount(code, joined(), len(seen)).astype(np.int64) for _ in range(2)]
+        self.parts, self.size = [(seen, grams, *sums)], len(seen)
         self.least = len(seen)
 
 
