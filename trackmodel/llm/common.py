@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,11 @@ CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Rows that a scan decodes at once under :func:`small_scans`. Spark's 4,096 whole texts make arrays of tens of MB in
+#: each task, which the executor's heap grows by although they are garbage soon after.
+SCAN_ROWS = 256
+_SCAN_CONF = "spark.sql.parquet.columnarReaderBatchSize"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,6 +52,19 @@ def _ship(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
+@contextmanager
+def small_scans(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside decode ``SCAN_ROWS`` rows of Parquet at once, unless the session has its own number."""
+    own = _SCAN_CONF in spark.conf.getAll
+    if not own:
+        spark.conf.set(_SCAN_CONF, str(SCAN_ROWS))
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(_SCAN_CONF)
+
+
 #: How to drop what a worker keeps between the tasks of one operator (tables of a tokenizer, say).
 _FORGET: list[Callable[[], object]] = []
 _busy_with: list[str] = []

@@ -22,7 +22,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, numbered, ranked, staged, unstage
+from .common import join_hot, numbered, ranked, small_scans, staged, unstage
 
 ROUNDS = 12
 
@@ -70,7 +70,9 @@ def balanced_shards(docs: DataFrame, links: list, shards: int = 16, rounds: int
     rows = docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in keep.items()],
                        F.when(known, F.md5(F.concat_ws("\x1f", *[c.cast("string") for c in links]))).alias("g"),
                        F.lit(0).alias("all"))
-    state = numbered(rows, "all", "rows").withColumn("row", F.shiftleft(F.col("part").cast("long"), 40) + F.col("local"))
+    with small_scans(docs.sparkSession):  # the only scan of whole texts
+        state = numbered(rows, "all", "rows")
+    state = state.withColumn("row", F.shiftleft(F.col("part").cast("long"), 40) + F.col("local"))
     state = state.drop("all", "part", "local")
     count = state.count()
     groups = state.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("n_g")).filter("n_g > 1")
