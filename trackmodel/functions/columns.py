@@ -94,6 +94,17 @@ def doc_id_col(collection: str, key: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", F.lit(collection), key), 256), 1, 24)
 
 
+def pack_hex(c: Column) -> Column:
+    """Text as it is shuffled: hex digits (ids, version tags) as half as many bytes, any other text as it is."""
+    hex_ = c.rlike("^([0-9a-f]{2})+$")
+    return F.when(c.isNotNull(), F.struct(F.when(hex_, F.unhex(c)).alias("hex"), F.when(~hex_, c).alias("text")))
+
+
+def unpack_hex(c: Column) -> Column:
+    """The text that :func:`pack_hex` was given."""
+    return F.coalesce(F.lower(F.hex(c["hex"])), c["text"])
+
+
 def json_array(c: Column | str, element: str = "array<double>") -> Column:
     """Recover a nested array that a mixed-type JSON array turned into text (e.g. the participants
     member of a moment tuple): ``'[[1,2.5],[3,4]]'`` -> ``array<array<double>>``; bad text -> null."""

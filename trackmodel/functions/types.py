@@ -48,7 +48,7 @@ def _number(a: T.DataType, b: T.DataType) -> T.DataType:
 
 def exact(src: T.DataType, dst: T.DataType) -> bool:
     """Whether every value of ``src`` is one of ``dst``, whatever the values are."""
-    if _same(src, dst) or isinstance(src, T.NullType):
+    if same_type(src, dst) or isinstance(src, T.NullType):
         return True
     if isinstance(src, T.StructType) and isinstance(dst, T.StructType):
         to = {f.name: f.dataType for f in dst.fields}
@@ -94,13 +94,13 @@ def _nested(dt: T.DataType) -> bool:
     return isinstance(dt, (T.StructType, T.ArrayType, T.MapType))
 
 
-def _same(a: T.DataType, b: T.DataType) -> bool:
+def same_type(a: T.DataType, b: T.DataType) -> bool:
     return a.simpleString() == b.simpleString()
 
 
 def conform(c: Column, src: T.DataType, dst: T.DataType) -> Column:
     """``c`` (of type ``src``) rebuilt to ``dst``; leaves without a safe cast become null (see :func:`lossy`)."""
-    if _same(src, dst):
+    if same_type(src, dst):
         return c
     if isinstance(src, T.StructType) and isinstance(dst, T.StructType):
         own = {f.name: f.dataType for f in src.fields}
@@ -120,12 +120,12 @@ def conform(c: Column, src: T.DataType, dst: T.DataType) -> Column:
 
 def lossy(c: Column, src: T.DataType, dst: T.DataType) -> Column:
     """Whether ``conform`` would lose a value of ``c``."""
-    if _same(src, dst):
+    if same_type(src, dst):
         return F.lit(False)
     if isinstance(src, T.StructType) and isinstance(dst, T.StructType):
         to = {f.name: f.dataType for f in dst.fields}
         parts = [lossy(c.getField(f.name), f.dataType, to[f.name]) for f in src.fields
-                 if not _same(f.dataType, to[f.name])]
+                 if not same_type(f.dataType, to[f.name])]
         return F.coalesce(reduce(lambda a, b: a | b, parts, F.lit(False)), F.lit(False))
     if isinstance(src, T.ArrayType) and isinstance(dst, T.ArrayType):
         return F.coalesce(F.exists(c, lambda x: lossy(x, src.elementType, dst.elementType)), F.lit(False))

@@ -14,14 +14,15 @@ Plan/apply contract
 * **apply** re-joins the plan to the *current* version: same etag -> merged row (new ``_etag`` and
   ``_updated`` only if the content changed, so re-running an import is idempotent); other etag, or a
   CREATE whose key appeared meanwhile -> ``CONFLICT`` and the stored row stays; an UPDATE whose
-  document vanished -> ``CONFLICT``. Untouched rows are copied through. A key planned twice (one
+  document vanished -> ``CONFLICT``. Against the very version that the plan was made for, every update meets its
+  document; the plan then holds all that the new one is made from, and only keys are joined. Untouched rows are copied through. A key planned twice (one
   batch, several definitions) is applied once: the first by (definition order, SHA-256 of the canonical JSON); the
   others get ``DUPLICATE``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,10 +30,10 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackmodel.functions.columns import canonical_json, doc_id_col, etag_col
+from trackmodel.functions.columns import canonical_json, doc_id_col, etag_col, pack_hex, unpack_hex
 from trackmodel.functions.pointers import KEY
-from trackmodel.functions.types import common_type, conform, exact, lossy, overlay
-from trackmodel.session import COMPRESSION, scratch_path
+from trackmodel.functions.types import common_type, conform, exact, lossy, overlay, same_type
+from trackmodel.session import COMPRESSION, freed_shuffles, scratch_path
 from trackmodel.sources.store import business_columns
 
 # --- fixed values: plan operations and apply outcomes ---
@@ -52,6 +53,8 @@ REJECTED = "REJECTED"
 DEF_COL = "__def"
 PLAN_ETAG = "__plan_etag"
 PLAN_ID = "__plan_id"
+PLAN_CREATED = "__plan_created"
+PLAN_UPDATED = "__plan_updated"
 
 
 def q(c: str) -> Column:
@@ -74,16 +77,20 @@ def settle(stored: DataFrame, old_types: dict[str, T.DataType], new_types: dict[
 
 
 def merge_columns(new_types: dict[str, T.DataType], old_types: dict[str, T.DataType],
-                  new_col, old_col, targets: dict[str, T.DataType] | None = None) -> list[Column]:
+                  new_col, old_col, targets: dict[str, T.DataType] | None = None, filled: Collection[str] = ()) -> list[Column]:
     """Merged business columns (union of both sides' names); ``new_col(name)``/``old_col(name)`` give the inputs.
 
     Columns both sides have are rebuilt to their type in ``targets`` (:func:`settle`; default: the common type that
-    needs no check of values) first.
+    needs no check of values) first. ``filled``: columns without a null on the new side, which need nothing of the old
+    one unless they are structs or are rebuilt.
     """
     out = []
     for c, nt in new_types.items():
         if c in old_types:
             dt = targets[c] if targets else common_type(old_types[c], nt, strict=True)
+            if c in filled and same_type(nt, dt) and not isinstance(dt, T.StructType):
+                out.append(new_col(c).alias(c))
+                continue
             out.append(overlay(conform(new_col(c), nt, dt), conform(old_col(c), old_types[c], dt), dt).alias(c))
         else:
             out.append(new_col(c).alias(c))
@@ -108,27 +115,29 @@ def _types(df: DataFrame, cols: list[str]) -> dict[str, T.DataType]:
     return {c: df.schema[c].dataType for c in cols}
 
 
-def plan_upsert(incoming: DataFrame, existing: DataFrame, collection: str, key: str = KEY) -> DataFrame:
+def plan_upsert(incoming: DataFrame, existing: DataFrame, collection: str, key: str = KEY,
+                filled: Collection[str] = ()) -> DataFrame:
     """Classify every incoming document CREATE/UPDATE against ``existing`` and merge.
 
-    A document with a value that does not fit the stored type of its column is ``REJECT``: applying the
+    ``filled``: columns of ``incoming`` known to hold no null; stored values that they replace are not shuffled. A document with a value that does not fit the stored type of its column is ``REJECT``: applying the
     plan reports it and leaves the stored document as it is.
     """
     nb = business_columns(incoming)
     ob = business_columns(existing)
     keys = incoming.select(q(key).alias("__k")).distinct()
-    hit = existing.join(keys, q(key) == F.col("__k"), "left_semi")
-    old = hit.select(q(key).alias("__ok"), F.col("_id").alias(PLAN_ID), F.col("_etag").alias(PLAN_ETAG),
-                     *[q(c).alias(f"__o_{c}") for c in ob])
-    extra = [DEF_COL] if DEF_COL in incoming.columns else []
+    times = [(c, n) for c, n in (("_created", PLAN_CREATED), ("_updated", PLAN_UPDATED)) if c in existing.columns]
+    old = existing.select(q(key).alias("__ok"), pack_hex(F.col("_id")).alias(PLAN_ID), pack_hex(F.col("_etag")).alias(PLAN_ETAG),
+                          *[q(c).alias(n) for c, n in times], *[q(c).alias(f"__o_{c}") for c in ob])
+    old = old.join(keys, F.col("__ok") == F.col("__k"), "left_semi")
+    extra = [n for _, n in times] + ([DEF_COL] if DEF_COL in incoming.columns else [])
     j = incoming.join(old, q(key) == F.col("__ok"), "left")
     new_types, old_types = _types(incoming, nb), _types(existing, ob)
     targets = settle(existing, old_types, new_types)
-    merged = merge_columns(new_types, old_types, lambda c: q(c), lambda c: F.col(f"`__o_{c}`"), targets)
+    merged = merge_columns(new_types, old_types, lambda c: q(c), lambda c: F.col(f"`__o_{c}`"), targets, filled)
     unfit = _unfit(new_types, targets, lambda c: q(c))
     op = F.when(unfit, F.lit(OP_REJECT)).when(F.col("__ok").isNull(), F.lit(OP_CREATE)).otherwise(F.lit(OP_UPDATE))
     return j.select(F.lit(collection).alias("collection"), op.alias("op"), *merged,
-                    F.col(PLAN_ID), F.col(PLAN_ETAG), *[F.col(c) for c in extra])
+                    *[unpack_hex(F.col(c)).alias(c) for c in (PLAN_ID, PLAN_ETAG)], *[F.col(c) for c in extra])
 
 
 def plan_creates(incoming: DataFrame, collection: str) -> DataFrame:
@@ -150,7 +159,7 @@ def grow_arrays(plan: DataFrame, existing: DataFrame, arrays: list[tuple[str, st
     so a document of many elements costs what they are. Tuples are positional: a stored array whose ``_cols``
     index is another one is replaced whole.
     """
-    row = F.sha2(canonical_json([c for c in plan.columns if c not in ("collection", "op", PLAN_ID, PLAN_ETAG)]), 256)
+    row = F.sha2(canonical_json([c for c in plan.columns if c not in ("collection", "op", PLAN_ID, PLAN_ETAG, PLAN_CREATED, PLAN_UPDATED)]), 256)
     plan = plan.withColumn("__r", F.when((F.col("op") == OP_UPDATE) & rows, row))
     for name, inner in arrays:
         if name not in existing.columns:
@@ -198,7 +207,8 @@ def dedup_plan(plan: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
     order = F.struct((q(DEF_COL) if DEF_COL in plan.columns else F.lit(0)).alias("d"),
                      F.sha2(canonical_json(biz), 256).alias("j"))
     twice = batch_duplicates(plan, key).select(q(key).alias("__tk"))
-    found = twice.limit(MAX_BROADCAST_KEYS + 1).count()
+    with freed_shuffles(plan.sparkSession):
+        found = twice.limit(MAX_BROADCAST_KEYS + 1).count()
     if not found:
         none = plan.select(q(key), "op", F.lit(0).cast("long").alias("n")).where(F.lit(False))
         return plan, none
@@ -236,10 +246,35 @@ class _Applied:
     certain: bool  # no row can be rejected now that the plan has not rejected
 
 
+def _untouched(current: DataFrame, updates: DataFrame, key: str, n: int) -> DataFrame | None:
+    """Rows of ``current`` that a plan of ``n`` ``updates`` made against it leaves as they are.
+
+    Found on the keys alone; rows of ``current`` are shuffled only where many are touched and many are not. None when
+    a touched key is stored more than once, or some document has no version tag: then the tags decide, row by row.
+    """
+    few = n <= MAX_BROADCAST_KEYS
+    keys = updates.select(q(key).alias("__uk"))
+    if few:
+        keys = F.broadcast(keys)
+    met = q(key) == F.col("__uk")
+    stored = current.select(q(key))
+    with freed_shuffles(current.sparkSession):
+        touched = stored.join(keys, met, "left_semi").count()
+        if touched != updates.select(q(key)).distinct().count() or not current.filter(F.col("_etag").isNull()).isEmpty():
+            return None
+        left = current.count() - touched
+    if not left:  # an empty branch, which the optimizer drops
+        return current.where(F.lit(False))
+    if few or left > MAX_BROADCAST_KEYS:
+        return current.join(keys, met, "left_anti")
+    rest = stored.join(keys, met, "left_anti").select(q(key).alias("__rk"))
+    return current.join(F.broadcast(rest), q(key).eqNullSafe(F.col("__rk")), "left_semi")
+
+
 def _applied(plan: DataFrame, current: DataFrame, collection: str, now: Column, key: str, unique: bool,
-             creates: bool = True, only_creates: bool = False) -> _Applied:
-    """``creates``: whether the plan may hold a CREATE. ``only_creates``: it is known to hold no UPDATE, and to have
-    been made against ``current`` itself, so none of its keys is stored."""
+             creates: bool = True, updates: int | None = None) -> _Applied:
+    """``creates``: whether the plan may hold a CREATE. ``updates``: it is known to hold that many, and to have been
+    made against ``current`` itself, so all their keys are stored and those of its creates are not."""
     pb, cb = business_columns(plan.drop("collection", "op")), business_columns(current)
     new_types, old_types = _types(plan, pb), _types(current, cb)
     # types settle again: the collection may hold values now that it did not hold when the plan was made
@@ -254,11 +289,22 @@ def _applied(plan: DataFrame, current: DataFrame, collection: str, now: Column,
     one, dups = (plan, None) if unique else dedup_plan(plan, key)
     pk = one.select(q(key).alias("__pk"), F.col("op").alias("__op"), F.col(PLAN_ETAG).alias("__pe"),
                     *[q(c).alias(f"__n_{c}") for c in pb])
-    if only_creates:  # no stored row meets the plan
+    if updates == 0:  # no stored row meets the plan
         pk = pk.where(F.lit(False))
-    j = current.join(pk, q(key) == F.col("__pk"), "left")
     is_update = (F.col("__op") == OP_UPDATE) & (F.col("_etag") == F.col("__pe"))
     names = list(dict.fromkeys(cb + pb))
+    times = {"_created": PLAN_CREATED, "_updated": PLAN_UPDATED}
+    rest = None
+    if updates and certain and set(times.values()) <= set(plan.columns):
+        rest = _untouched(current, plan.filter(F.col("op") == OP_UPDATE), key, updates)
+    if rest is None:
+        j = current.join(pk, q(key) == F.col("__pk"), "left")
+    else:
+        # what the join would give, without it: the updates beside the attributes of the documents they meet, and the others
+        met = one.filter(F.col("op") == OP_UPDATE).select(
+            F.col("op").alias("__op"), F.col(PLAN_ETAG).alias("__pe"), *[q(c).alias(f"__n_{c}") for c in pb],
+            F.col(PLAN_ID).alias("_id"), F.col(PLAN_ETAG).alias("_etag"), *[F.col(n).alias(c) for c, n in times.items()])
+        j = rest.unionByName(met, allowMissingColumns=True)
 
     def val(c: str) -> Column:
         if c in pb and c in cb:
@@ -275,7 +321,7 @@ def _applied(plan: DataFrame, current: DataFrame, collection: str, now: Column,
                          F.when(changed, new_etag).otherwise(F.col("_etag")).alias("_etag"), "_created",
                          F.when(changed, now).otherwise(F.col("_updated")).alias("_updated"), "__upd", "__op")
     # plan rows whose key is not stored (any more): creates, or updates of a vanished document
-    if only_creates:
+    if updates is not None:
         missing = one
     else:
         missing = one.join(_stored_keys(current, one, key), q(key) == F.col("__ck"), "left_anti")
@@ -331,12 +377,12 @@ def apply_counted(plan: DataFrame, planned: dict[str, int], current: DataFrame,
     ``planned``: rows of the plan by ``op`` (:func:`observe_plan`). Everything else is counted while the version is
     written, so neither collection nor plan is joined again. The counters sit in the writing stage, where a task
     counts once however often it was tried. ``unique``: the plan is known to hold each key once. ``same_base``:
-    ``current`` is the very version that the plan was made against; a plan of creates alone then needs no join.
+    ``current`` is the very version that the plan was made against; creates then need no join, and updates one of keys.
     """
     now = now if now is not None else F.current_timestamp()
     creates = planned.get(OP_CREATE) != 0  # not counted: there may be some
-    only = same_base and creates and planned.get(OP_UPDATE) == 0
-    a = _applied(plan, current, collection, now, key, unique, creates, only)
+    updates = planned.get(OP_UPDATE) if same_base else None
+    a = _applied(plan, current, collection, now, key, unique, creates, updates)
     if not a.certain:  # a rare case: values that fitted when the plan was made, and no more
         version, outcome = apply_plan(plan, current, collection, now, key)
         return version, lambda: [tuple(r) for r in outcome.groupBy("op", "status").agg(F.sum("n")).collect()]  # a row per status
@@ -345,7 +391,8 @@ def apply_counted(plan: DataFrame, planned: dict[str, int], current: DataFrame,
     stored = a.stored.observe(hits, F.count(F.when(F.col("__upd"), 1)).alias("updated"),
                               F.count(F.when(met & (F.col("__op") == OP_CREATE), 1)).alias("known"))
     new_rows = a.new_rows.observe(made, F.count(F.lit(1)).alias("created"))
-    again = {} if a.dups is None else {r[0]: r[1] for r in a.dups.groupBy("op").agg(F.sum("n")).collect()}  # a row per op
+    with freed_shuffles(plan.sparkSession):
+        again = {} if a.dups is None else {r[0]: r[1] for r in a.dups.groupBy("op").agg(F.sum("n")).collect()}  # a row per op
 
     def outcome() -> list[tuple[str, str, int]]:
         hit, new = hits.get, made.get

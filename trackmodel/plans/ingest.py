@@ -27,9 +27,9 @@ from trackmodel.operators.upsert import (DEF_COL, OP_REJECT, REJECTED, apply_cou
 from trackmodel.plans.extract import REASON, extract_collection, feature_constants, rejected_rows, split_rejected
 from trackmodel.plans.mapping import Definition, Mapping, parse_mapping
 from trackmodel.functions.pointers import KEY, parse_pointer
-from trackmodel.session import COMPRESSION, delete, scratch_path, together
+from trackmodel.session import COMPRESSION, delete, freed_shuffles, scratch_path, stored_bytes, together
 from trackmodel.sources.files import BROKEN, FILE, read_records, split_broken, whole
-from trackmodel.sources.store import CollectionStore, VersionConflict
+from trackmodel.sources.store import CollectionStore, VersionConflict, business_columns
 from trackmodel.sources.typed import leaf_types, retype, text_leaves
 from trackmodel.sources.variant import read_variant, unfit_values
 
@@ -37,6 +37,8 @@ from trackmodel.sources.variant import read_variant, unfit_values
 SOURCE = "(source)"
 MALFORMED = "MALFORMED"
 BAD_VALUE = "BAD_VALUE"
+#: Staged bytes of a source, or of a collection's plan, from which on collections are handled one by one.
+TOGETHER_BYTES = 128 * 1024 * 1024
 
 
 @dataclass
@@ -109,7 +111,8 @@ def stage_documents(docs: DataFrame, path: str, spark: SparkSession | None = Non
     ``spark``: the session to read them in (a micro-batch has one of its own; counts that are observed while
     something is written are reported to the session of its frames alone).
     """
-    docs.write.mode("errorifexists").option("compression", COMPRESSION).parquet(path)
+    with freed_shuffles(docs.sparkSession):
+        docs.write.mode("errorifexists").option("compression", COMPRESSION).parquet(path)
     # the schema is the one just written: reading it back needs no footer-inference job
     return (spark or docs.sparkSession).read.schema(docs.schema).parquet(path)
 
@@ -117,7 +120,8 @@ def stage_documents(docs: DataFrame, path: str, spark: SparkSession | None = Non
 def stage_plan(plan: DataFrame, path: str, spark: SparkSession | None = None) -> DataFrame:
     """Write a plan to the shared folder (partitioned by ``op``) and read it back: the confirm step then
     applies exactly what was validated, and the lineage of the extraction is cut (K5)."""
-    plan.write.mode("errorifexists").option("compression", COMPRESSION).partitionBy("op").parquet(path)
+    with freed_shuffles(plan.sparkSession):
+        plan.write.mode("errorifexists").option("compression", COMPRESSION).partitionBy("op").parquet(path)
     return (spark or plan.sparkSession).read.schema(plan.schema).parquet(path)
 
 
@@ -203,18 +207,25 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
             seen, *[F.count(F.when(F.col("collection") == c, 1)).alias(f"n{i}") for i, c in enumerate(names)])
         return stage_documents(rows, f"{stage_dir}/__rejected", spark), {c: seen.get.get(f"n{i}", 0) for i, c in enumerate(names)}
 
-    def planned(collection: str, d: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int], int | None]:
+    def documents(collection: str, d: DataFrame) -> tuple[DataFrame, int | None, set[str]]:
         if provenance:
             d = with_provenance(d, **provenance)
         base = store.current_version(collection)
+        if base is None:
+            return d, base, set()
+        # the documents are computed once: a plan against a stored version reads them twice (keys, then rows)
+        seen, names = Observation(), business_columns(d)
+        d = d.observe(seen, *[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"n{i}") for i, c in enumerate(names)])
+        d = stage_documents(d, f"{stage_dir}/{collection}__documents", spark)
+        return d, base, {c for i, c in enumerate(names) if seen.get.get(f"n{i}") == 0}
+
+    def planned(collection: str, d: DataFrame, base: int | None, filled: set[str]) -> tuple[DataFrame, dict[str, int]]:
         if base is None:
             # nothing stored yet: every document is a CREATE and the plan needs no join
             plan = plan_creates(d, collection)
         else:
-            # the documents are computed once: the plan reads them twice (keys, then rows)
-            d = stage_documents(d, f"{stage_dir}/{collection}__documents", spark)
             stored = store.scan(collection, version=base)
-            plan = plan_upsert(d, stored, collection)
+            plan = plan_upsert(d, stored, collection, filled=filled)
             growing = [x for x in m.collections[collection] if grow_slices and x.partition and (x.nested or x.array)]
             for i, x in enumerate(growing):
                 arrays = [(x.array.name, None)] if x.array else []
@@ -222,27 +233,48 @@ def plan_import(spark: SparkSession, mapping: dict | Mapping, source: str | Data
                 plan = stage_documents(plan, f"{stage_dir}/{collection}__growing/{i}", spark)
                 plan = grow_arrays(plan, stored, arrays, F.col(DEF_COL) == x.index)
         plan, seen = observe_plan(plan)
-        return d, stage_plan(plan, f"{stage_dir}/{collection}", spark), seen.get, base
-
-    tasks: list[Callable] = [lambda c=c, d=d: planned(c, d) for c, d in docs.items()]
-    *made, (rows, ip.left_out) = together(spark, [*tasks, rejected])
-    for c, (d, plan, counts, base) in zip(docs, made):
-        ip.documents[c], ip.plans[c], ip.planned[c], ip.base[c] = d, plan, counts, base
+        return stage_plan(plan, f"{stage_dir}/{collection}", spark), seen.get
+
+    limit = at_once(spark, [f"{stage_dir}/{name}" for name in ("__typed", "__source")])
+    tasks: list[Callable] = [lambda c=c, d=d: documents(c, d) for c, d in docs.items()]
+    *made, (rows, ip.left_out) = together(spark, [*tasks, rejected], limit)
+    for c, (d, base, _) in zip(docs, made):
+        ip.documents[c], ip.base[c] = d, base
+    if None not in ip.base.values():  # all documents and rejects are staged
+        delete_source(spark, stage_dir)
+    made = together(spark, [lambda c=c, m=m: planned(c, *m) for c, m in zip(docs, made)], limit)
+    for c, (plan, counts) in zip(docs, made):
+        ip.plans[c], ip.planned[c] = plan, counts
     ip.rejected = {c: rows.filter(F.col("collection") == c).drop("collection") for c in ip.left_out}
     ip.unique = {c: unique_keys(defs, df) for c, defs in m.collections.items()}
     return ip
 
 
+def at_once(spark: SparkSession, paths: list[str]) -> int:
+    """How many collections to handle together: one by one where a staged folder is large, for then each of them keeps
+    the cluster busy, and what they shuffle need not be on disk at the same time."""
+    return 1 if any(stored_bytes(spark, p) > TOGETHER_BYTES for p in paths) else 8
+
+
+def delete_source(spark: SparkSession, stage_dir: str) -> None:
+    for name in ("__source", "__typed"):
+        delete(spark, f"{stage_dir}/{name}")
+
+
 def apply_import(spark: SparkSession, ip: ImportPlan, store: CollectionStore, now: Column | None = None) -> DataFrame:
     """Apply staged plans and write one new version per collection; returns the grouped outcome.
 
     Each version claims the number after the one it was made from; when another writer was faster, the plan
     is applied again to the newer version, where documents changed meanwhile come out as ``CONFLICT``.
-    The outcome (with what was rejected before planning, as ``REJECTED``) is stored and read back; then the
-    staged source and documents are deleted. The plans and rejects stay, as the record of what was done. When a
-    collection fails the others are stopped; versions that were written stay, and the import can be applied again.
+    The staged source and documents are deleted first: applying reads the plans alone. The outcome (with what was
+    rejected before planning, as ``REJECTED``) is stored and read back. The plans and rejects stay, as the record of
+    what was done. When a collection fails the others are stopped; versions that were written stay, and the import can
+    be applied again.
     """
     now = now if now is not None else F.current_timestamp()
+    delete_source(spark, ip.stage_dir)
+    for name in [f"{c}__{part}" for c in ip.plans for part in ("documents", "growing")]:
+        delete(spark, f"{ip.stage_dir}/{name}")
 
     def apply(collection: str, plan: DataFrame) -> list[tuple[str, str, int]]:
         while True:
@@ -257,14 +289,12 @@ def apply_import(spark: SparkSession, ip: ImportPlan, store: CollectionStore, no
                 if store.current_version(collection) == base:
                     raise  # claimed by a writer that has not finished
 
-    done = together(spark, [lambda c=c, p=p: apply(c, p) for c, p in ip.plans.items()])
+    limit = at_once(spark, [f"{ip.stage_dir}/{c}" for c in ip.plans])
+    done = together(spark, [lambda c=c, p=p: apply(c, p) for c, p in ip.plans.items()], limit)
     rows = [(c, op, status, n) for c, out in zip(ip.plans, done) for op, status, n in out]
     rows += [(c, OP_REJECT, REJECTED, n) for c, n in ip.left_out.items() if n]
     grouped = spark.createDataFrame(rows, "collection string, op string, status string, n long").coalesce(1)
-    outcome = stage_documents(import_outcome(grouped), f"{ip.stage_dir}/__outcome", spark)
-    for name in ["__source", "__typed", *[f"{c}__{part}" for c in ip.plans for part in ("documents", "growing")]]:
-        delete(spark, f"{ip.stage_dir}/{name}")
-    return outcome
+    return stage_documents(import_outcome(grouped), f"{ip.stage_dir}/__outcome", spark)
 
 
 def ingest(spark: SparkSession, mapping: dict | Mapping, source: str | DataFrame, store: CollectionStore,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark import InheritableThread
@@ -128,6 +129,47 @@ def together(spark: SparkSession, tasks: list[Callable], limit: int = 8) -> list
     return results
 
 
+#: Spark's setting to remove the shuffle files of a query when the query ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_freeing: dict[str, int] = {}
+_freeing_lock = threading.Lock()
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of queries that run inside are removed when each query ends.
+
+    Without it they stay until the driver collects its garbage, so an import holds on disk what all its steps have
+    shuffled. For queries that nothing runs again: a frame that is, computes its shuffles anew. May be nested and used
+    by several threads; a session's own setting is kept.
+    """
+    session = spark._jsparkSession.sessionUUID()
+    with _freeing_lock:
+        if session in _freeing:
+            _freeing[session] += 1
+            ours = True
+        else:
+            ours = spark.conf.get(_FREE, None) is None
+            if ours:
+                spark.conf.set(_FREE, "true")
+                _freeing[session] = 1
+    try:
+        yield
+    finally:
+        with _freeing_lock:
+            if ours:
+                _freeing[session] -= 1
+                if not _freeing[session]:
+                    del _freeing[session]
+                    spark.conf.unset(_FREE)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below ``path`` (0: there is no such folder)."""
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -189,4 +231,4 @@ def glob_parents(spark: SparkSession, pattern: str) -> list[str]:
     return [] if found is None else [st.getPath().getParent().getName() for st in found]
 
 
-__all__ = ["get_spark", "scale_conf", "shared_dir", "scratch_path", "together", "create_file", "read_file", "file_times", "delete", "list_dirs", "glob_parents"]
+__all__ = ["get_spark", "scale_conf", "shared_dir", "scratch_path", "together", "freed_shuffles", "stored_bytes", "create_file", "read_file", "file_times", "delete", "list_dirs", "glob_parents"]

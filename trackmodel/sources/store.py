@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from trackmodel.functions.columns import SYSTEM_COLUMNS, doc_id_col, etag_col
 from trackmodel.functions.pointers import KEY
-from trackmodel.session import COMPRESSION, create_file, delete, file_times, glob_parents, list_dirs, read_file
+from trackmodel.session import COMPRESSION, create_file, delete, file_times, freed_shuffles, glob_parents, list_dirs, read_file
 
 _VERSION = re.compile(r"^v(\d{6})(?:-a(\d+))?$")
 _CLAIM = re.compile(r"^v(\d{6})(?:-a(\d+))?\.claim$")
@@ -35,7 +35,7 @@ _CLAIM = re.compile(r"^v(\d{6})(?:-a(\d+))?\.claim$")
 _BESIDE = (".ranks", ".keys", ".keys.ranks")
 
 #: Columns a batch or plan carries beside its documents.
-PLAN_COLUMNS = ("__def", "__plan_etag", "__plan_id")
+PLAN_COLUMNS = ("__def", "__plan_etag", "__plan_id", "__plan_created", "__plan_updated")
 
 EMPTY_SCHEMA = T.StructType([
     T.StructField(KEY, T.StringType()),
@@ -231,12 +231,15 @@ class CollectionStore:
         w = df.write.mode("errorifexists").options(compression=COMPRESSION).option(
             "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         # Parquet bloom filters on the lookup columns: a keyed lookup (= or IN, pushed to the scan) skips
-        # every row group that cannot hold the key, whatever order the documents were written in
+        # every row group that cannot hold the key, whatever order the documents were written in; each as large
+        # as the row group's values need, not 1 MB
+        w = w.option("parquet.bloom.filter.adaptive.enabled", "true")
         for c in (self.key, "_id"):
             if c in df.columns:
                 w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
         try:
-            w.parquet(claim.path)
+            with freed_shuffles(df.sparkSession):
+                w.parquet(claim.path)
             if ordered:
                 self._write_ranks(claim.path)
             claim.commit()

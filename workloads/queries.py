@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmodel.functions.columns import urlify_col
+from trackmodel.functions.columns import pack_hex, urlify_col
 from trackmodel.functions.pointers import KEY
 from trackmodel.operators import nest, timeparts, unnest, upsert
 from trackmodel.operators.report import import_counts, import_outcome, with_provenance
 from trackmodel.plans.extract import extract_definition, rejected_rows, union_definitions
-from trackmodel.plans.ingest import ingest, stage_plan
+from trackmodel.plans.ingest import ingest, stage_documents, stage_plan
 from trackmodel.plans.mapping import parse_definition, parse_mapping
 from trackmodel.session import scratch_path
 from trackmodel.sources.files import read_source, split_broken
@@ -1153,8 +1153,10 @@ def import_again(spark: SparkSession, mapping: dict, path: str) -> DataFrame:
     _, outcome = ingest(spark, mapping, path, store)
     parts = [outcome.select("collection", F.concat_ws(" ", "op", "status").alias("what"), long("n").alias("n"))]
     for c in store.collections():
-        a, b = (store.scan(c, version=v).select(KEY, F.col("_etag").alias(f"e{v}")) for v in (1, 2))
+        a, b = (store.scan(c, version=v).select(KEY, pack_hex(F.col("_etag")).alias(f"e{v}")) for v in (1, 2))
         both = a.join(b, KEY, "full").agg(F.count(F.when(~F.col("e1").eqNullSafe(F.col("e2")), 1)).alias("n"))
+        # one collection after the other: their shuffles need not be on disk together
+        both = stage_documents(both, scratch_path(spark, "moved"))
         parts.append(both.select(F.lit(c).alias("collection"), F.lit("tags moved").alias("what"), "n"))
     return union_definitions(parts)
 

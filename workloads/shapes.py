@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmodel.functions.columns import ntz_epoch_ms
-from trackmodel.session import scratch_path
+from trackmodel.session import freed_shuffles, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,8 @@ def write(df: DataFrame, fmt: str, name: str, sf_dir: str, **options) -> str:
         w = df.write.format(fmt)
         for k, v in options.items():
             w = w.option(k, v)
-        w.save(path)
+        with freed_shuffles(df.sparkSession):
+            w.save(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
@@ -76,7 +77,7 @@ def orders_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_json(spark: SparkSession, sf_dir: str) -> str:
-    return write(orders_nested(spark, sf_dir), "json", "orders-json", sf_dir, compression="lz4")
+    return write(orders_nested(spark, sf_dir), "json", "orders-json", sf_dir, compression="gzip", **{"zlib.compress.level": "BEST_SPEED"})
 
 
 def orders_file(spark: SparkSession, sf_dir: str) -> DataFrame:
